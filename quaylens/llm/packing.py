@@ -72,7 +72,7 @@ def best_pattern(values: np.ndarray, room: int) -> tuple[float, list[int]]:
     return float(best[room]), picked
 
 
-def solve(demand: np.ndarray, room: int, rounds: int = 4000) -> Counter[tuple[int, ...]]:
+def solve(demand: np.ndarray, room: int, rounds: int = 4000, tolerance: float = 1e-3) -> Counter[tuple[int, ...]]:
     """Patterns (sorted tuples of class numbers) with how often each is used, covering the demand exactly."""
     classes = np.flatnonzero(demand)
     m = len(classes)
@@ -89,7 +89,7 @@ def solve(demand: np.ndarray, room: int, rounds: int = 4000) -> Counter[tuple[in
         values = np.zeros(room)
         values[classes] = dual
         gain, picked = best_pattern(values, room)
-        if gain <= 1 + 1e-7:
+        if gain <= 1 + tolerance:  # no cover is cheaper than this one divided by the gain
             break
         column = Counter(row_of[k] for k in picked if k in row_of)
         entering = inverse @ np.array([column[i] for i in range(m)], dtype=float)
