@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quaylens.llm.common import WORD_GAP, materialise
 
-SAMPLES, BLOCK = 32, 16
+SAMPLES, BLOCK = 32, 4
 #: What tells documents apart: the id (NO_ID for null, which sorts first) and a hash of the text
 KEY, NO_ID = ["_id", "_hash"], -(1 << 63)
 
@@ -31,33 +31,38 @@ def _unit(bits: Column, shift: int, width: int) -> Column:
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(0.5)) * F.lit(1.0 / (1 << width))
 
 
-def bid(word: Column, log_weight: Column, sample: Column) -> Column:
-    """The bid of a word (by its hash) of a weight in a sample."""
+def draws(word: Column, sample: Column) -> tuple[Column, Column, Column]:
+    """r, c and b of a word (by its hash) in a sample."""
     first = F.xxhash64(word, sample)
     second = F.xxhash64(first, F.lit(1))
     r = -F.ln(_unit(first, 0, 24) * _unit(first, 24, 24))
     c = -F.ln(_unit(second, 0, 32) * _unit(second, 32, 32))
-    b = _unit(first, 48, 16)
+    return r, c, _unit(first, 48, 16)
+
+
+def bid(r: Column, c: Column, b: Column, log_weight: Column) -> Column:
+    """The bid of a word of a weight; null if the weight's logarithm is."""
     return c * F.exp(-r * (F.floor(log_weight / r + b) - b + F.lit(1.0)))
 
 
-def signatures(words: DataFrame, key: list[str], weights: dict[str, str], samples: int = SAMPLES) -> DataFrame:
-    """key, and an array of `samples` lowest bids for each weight column. words: key, word (a hash) and weights, one row per word.
+def signatures(words: DataFrame, samples: int = SAMPLES) -> DataFrame:
+    """KEY, and the `samples` lowest bids for the weights `held` and `held_edited`. words: KEY, word (a hash) and both weights, one row per word.
 
-    Samples are worked out in blocks: a row for each word and block, an aggregate of lowest bids for each key and block.
+    A row for each word and block of samples; an aggregate of lowest bids for each document and block. Blocks are small, so
+    that the code generated for a row stays short enough to be compiled.
     """
-    blocks = words.withColumn("_block", F.explode(F.lit(list(range(0, samples, BLOCK)))))
-    logs = {w: F.ln(F.col(w).cast("double")) for w in weights}
-    blocks = blocks.withColumns({f"_log_{w}": e for w, e in logs.items()})
-    lowest = []
-    for w in weights:
-        for j in range(BLOCK):
-            value = bid(F.col("word"), F.col(f"_log_{w}"), F.col("_block") + F.lit(j))
-            lowest.append(F.min(F.when(F.col(w) > 0, value)).alias(f"_{w}_{j}"))
-    per_block = blocks.groupBy(*key, "_block").agg(*lowest)
-    arrays = {w: F.array(*[F.col(f"_{w}_{j}") for j in range(BLOCK)]) for w in weights}
-    gathered = per_block.groupBy(*key).agg(*[F.array_sort(F.collect_list(F.struct("_block", a.alias("v")))).alias(name) for (w, name), a in zip(weights.items(), arrays.values(), strict=True)])
-    return gathered.select(*key, *[F.flatten(F.transform(name, lambda x: x["v"])).alias(name) for name in weights.values()])
+    j_all, weights = range(BLOCK), ["held", "held_edited"]
+    rows = words.select(*KEY, "word", *weights, *[F.ln(F.col(w).cast("double")).alias(f"log_{w}") for w in weights])
+    rows = rows.withColumn("_block", F.explode(F.lit(list(range(0, samples, BLOCK)))))
+    drawn = {f"{name}{j}": value for j in j_all for name, value in zip("rcb", draws(F.col("word"), F.col("_block") + F.lit(j)), strict=True)}
+    rows = rows.select(*KEY, "_block", *weights, "log_held", "log_held_edited", *[v.alias(k) for k, v in drawn.items()])
+    of = lambda j, weight: bid(F.col(f"r{j}"), F.col(f"c{j}"), F.col(f"b{j}"), F.col(weight))
+    rows = rows.select("*", *[of(j, "log_held").alias(f"held_{j}") for j in j_all])
+    # most words weigh the same in both texts
+    rows = rows.select(*KEY, "_block", *[f"held_{j}" for j in j_all], *[F.when(F.col("held") == F.col("held_edited"), F.col(f"held_{j}")).otherwise(of(j, "log_held_edited")).alias(f"held_edited_{j}") for j in j_all])
+    per_block = rows.groupBy(*KEY, "_block").agg(*[F.min(f"{w}_{j}").alias(f"{w}_{j}") for w in weights for j in j_all])
+    gathered = per_block.groupBy(*KEY).agg(*[F.array_sort(F.collect_list(F.struct("_block", F.array(*[f"{w}_{j}" for j in j_all]).alias("v")))).alias(w) for w in weights])
+    return gathered.select(*KEY, *[F.flatten(F.transform(w, lambda x: x["v"])).alias(name) for w, name in (("held", "_samples"), ("held_edited", "_edited_samples"))])
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -106,7 +111,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     parts = F.explode(F.array(F.struct(F.lit(1).alias("own"), F.col("text").alias("t")), F.struct(F.lit(0).alias("own"), F.col("_edited").alias("t"))))
     spoken = both.select(*KEY, parts.alias("v")).select(*KEY, "v.own", F.explode(F.split("v.t", WORD_GAP)).alias("w")).where("w <> ''")
     words = spoken.select(*KEY, "own", F.xxhash64("w").alias("word")).groupBy(*KEY, "word").agg(F.sum("own").alias("held"), F.sum(1 - F.col("own")).alias("held_edited"))
-    signed = signatures(words, KEY, {"held": "_samples", "held_edited": "_edited_samples"}, samples)
+    signed = signatures(words, samples)
     digests = both.select(*KEY, F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"))
     none = F.array_repeat(F.lit(-1.0), samples)
     signed = digests.join(signed, KEY, "left").select(*KEY, "edited_sha256", *[F.transform(F.coalesce(c, none), lambda x: F.coalesce(x, F.lit(-1.0))).alias(c) for c in ("_samples", "_edited_samples")])

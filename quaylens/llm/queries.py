@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylens.llm import bpe, linedup, ngram_join, packing, quality, toxicity, training_order, warc
+from quaylens.llm import bpe, fingerprint, hmm, linedup, ngram_join, packing, quality, toxicity, training_order, warc
 from quaylens.llm.common import crc_fold, read_table
 
 
@@ -27,6 +27,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -61,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_training_order": op2_training_order,
     "op3_quality": op3_quality,
+    "op4_fingerprint": op4_fingerprint,
+    "op5_hmm": op5_hmm,
     "op6_packing": op6_packing,
     "op7_ngram_join": op7_ngram_join,
     "op8_bpe": op8_bpe,
