@@ -10,8 +10,9 @@ order, finds candidates; for these, the overlap is counted in each fragment sepa
    one gives few candidates) and keep as many as two linked sets must share one of. Nodes that share one are candidates,
    if their sizes and the places of the shared n-gram allow a link.
 4. A group of candidates doesn't become all its pairs. First each member is held against one member, the one with the
-   fewest n-grams of its own; large groups of near copies join there. Only members of groups that are then still in more
-   than one component are held against the others, after a bound from the n-grams that they share with none of these.
+   fewest n-grams of its own; large groups of near copies join there. Members of groups that are then still in more than
+   one component put all their n-grams in order, rarest among them first, and are grouped anew by the first of these. Only
+   members of such a group that are in different components are held against one another.
 
 Nothing is capped: steps 2 to 4 drop only pairs that can't reach the threshold, so no link is lost.
 
@@ -221,19 +222,21 @@ def components(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
     links = _links(stars, docs, sets, n, share)
     label = smallest_reachable(links)
 
-    # groups that are still in several components
-    members = prefix.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("own")
-    spread = members.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
-    members = members.join(spread, "gram")
+    # members of groups that are still in several components; among these, all n-grams are put in order, rarest first
+    labelled = prefix.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    spread = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
+    left = materialise(labelled.join(spread, "gram").select("node", "label").distinct().join(open_nodes.select("node", "doc_id"), "node"), "open-members")
+    every = _grams(semi_join(docs, left.select("doc_id").distinct(), "doc_id"), n, share, None).select("gram", "node", F.col("n_grams").cast("long").alias("n_grams")).distinct()
+    every = materialise(every.join(left.select("node"), "node", "left_semi"), "open-grams")
+    uses = every.groupBy("gram").agg(F.count("*").alias("uses"), F.min("node").alias("low"), F.max("node").alias("high"))
+    own = uses.where("low = high").groupBy(F.col("low").alias("node")).agg(F.count("*").alias("own"))
+    members = every.join(uses.where("low <> high").select("gram", "uses"), "gram").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("uses", "gram")) - 1 + F.col("own")
+    members = members.withColumn("place", place).where(f"place <= {missing}").join(left.select("node", "label"), "node").drop("uses")
+    members = materialise(members, "open-prefixes")
     sizes = members.groupBy("gram", "label").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("gram").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+    main = sizes.groupBy("gram").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("gram", "main")
     members = materialise(members.join(main, "gram"), "open-groups")
-    left = members.select("node").distinct().join(open_nodes.select("node", "doc_id"), "node")
-    # n-grams of a member that no other member has: a better bound than the first fragment's
-    every = _grams(semi_join(docs, left.select("doc_id").distinct(), "doc_id"), n, share, None).select("gram", "node").join(left.select("node"), "node", "left_semi")
-    every = every.repartition("gram").groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low = high")
-    own = every.groupBy(F.col("low").alias("node")).agg(F.count("*").alias("own"))
-    members = members.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(f"own <= {missing}")
     outer = members.where("label <> main").alias("x")
     rest = outer.join(members.alias("y"), F.expr(f"x.gram = y.gram and x.label <> y.label and (y.label = y.main or x.node < y.node) and {possible('x.own', 'y.own')}"))
     more = _links(materialise(pairs_of(rest), "rest-pairs"), docs, sets, n, share)
