@@ -1,6 +1,6 @@
 """All registered queries but those of the corpus operators."""
 
-from quaylens.plans import offer_queries
+from quaylens.plans import evidence_queries, offer_queries
 from quaylens.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "offer_queries"]
+__all__ = ["ORACLE", "QUERIES", "evidence_queries", "offer_queries"]
