@@ -2,7 +2,7 @@
 
 A text is a set of words, each with the number of its occurrences as weight. For every word and sample number, hashes give
 two Gamma(2, 1) values r and c and a uniform b; with t = floor(ln(weight) / r + b), the word's bid in that sample is
-c * exp(-r * (t - b + 1)). The sample is the lowest bid. Words and weights fix the bids, so two texts share a sample with a
+c * exp(-r * (t - b + 1)). The sample is the lowest bid, of which 31 bits of a hash are kept. Words and weights fix the bids, so two texts share a sample with a
 probability equal to their generalised Jaccard similarity, the sum of the lesser weights over the sum of the greater; the
 share of equal samples estimates it, with a standard error of at most half the root of 1 / samples.
 
@@ -67,12 +67,12 @@ def signatures(words: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     """The share of equal samples."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x.eqNullSafe(y), 1).otherwise(0)), F.lit(0), lambda s, x: s + x) / F.lit(float(samples))
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) / F.lit(float(samples))
 
 
 def as_text(samples: Column) -> Column:
     """Eight hexadecimal digits of each sample."""
-    return F.array_join(F.transform(samples, lambda x: F.lpad(F.lower(F.hex(F.xxhash64(x).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
+    return F.array_join(F.transform(samples, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
 def next_documents(keys: DataFrame) -> DataFrame:
@@ -101,7 +101,8 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     sizes = materialise(texts.groupBy(*KEY).agg(F.max(F.char_length("text")).alias("n_chars"), F.count("*").alias("_copies")), "text-sizes")
     wanted = materialise(next_documents(sizes.select(*KEY)).join(sizes, KEY), "next-documents")
 
-    once = texts if wanted.where("_copies > 1").isEmpty() else texts.dropDuplicates(KEY)
+    # dealt out by key once; the exchange serves as the side that lends, and as the side that borrows
+    once = texts.repartition(*KEY) if wanted.where("_copies > 1").isEmpty() else texts.repartition(*KEY).dropDuplicates(KEY)
     lent = once.withColumnsRenamed({"_id": "next_id", "_hash": "next_hash"}).join(wanted, ["next_id", "next_hash"])
     lent = lent.select(*KEY, "n_chars", F.substring("text", F.lit(1), F.floor(F.col("n_chars") / 4).cast("int")).alias("_lent"))
     kept = (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")
@@ -114,7 +115,8 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     signed = signatures(words, samples)
     digests = both.select(*KEY, F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"))
     none = F.array_repeat(F.lit(-1.0), samples)
-    signed = digests.join(signed, KEY, "left").select(*KEY, "edited_sha256", *[F.transform(F.coalesce(c, none), lambda x: F.coalesce(x, F.lit(-1.0))).alias(c) for c in ("_samples", "_edited_samples")])
+    short = lambda c: F.transform(F.coalesce(c, none), lambda x: F.xxhash64(F.coalesce(x, F.lit(-1.0))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias(c)
+    signed = digests.join(signed, KEY, "left").select(*KEY, "edited_sha256", short("_samples"), short("_edited_samples"))
     signed = materialise(signed, "signatures")
 
     following = signed.select(F.col("_id").alias("next_id"), F.col("_hash").alias("next_hash"), F.col("_samples").alias("_next_samples"))
