@@ -255,7 +255,7 @@ def _name_components(known: DataFrame) -> DataFrame:
     twice = several.where("low <> high")
     if not twice.isEmpty():
         pairs = known.join(twice.select("doc_id", "low"), "doc_id").where("label is not null and label <> low").select(F.col("label").alias("a"), F.col("low").alias("b"))
-        merged = smallest_reachable(pairs).withColumnsRenamed({"node": "label", "label": "_to"})
+        merged = smallest_reachable(pairs).select(F.col("node").alias("label"), F.col("label").alias("_to"))
         known = known.join(merged, "label", "left").withColumn("label", F.coalesce("_to", "label")).drop("_to")
     per_doc = known.groupBy("doc_id").agg(F.max("n_grams").alias("n_grams"), F.min("label").alias("label"))
     names = per_doc.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
