@@ -215,7 +215,7 @@ def test_language_model_bears_odd_rows(odd, none):  # noqa: ANN001
     assert {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {1}
     assert hmm.score(none).count() == 0
     alone = hmm.score(odd.where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 1")).collect()
-    assert all(r.train_tokens == 0 and r.base_score == 0 and math.isfinite(r.score) for r in alone)
+    assert all(r.train_tokens == 0 and abs(r.base_score) < 1e-6 * r.n_tokens and math.isfinite(r.score) for r in alone)
 
 
 # WARC
