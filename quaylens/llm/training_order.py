@@ -3,8 +3,8 @@
 A sequence is a document with its end id. Sequences are numbered densely (a task's first number is the sum of the rows of
 the tasks before it); a keyed Feistel permutation of the numbers, walked along its cycles until it falls below the
 number of sequences, gives each its global slot. Slots are dealt to shards by range, each shard is written by one task in
-slot order, as records of a fixed stride: the slot, the record's place in its sequence, how many ids it holds, and the ids,
-filled up with the end id. A record's place in the file is its number times the stride, so a reader can go on anywhere.
+slot order, as records of a fixed stride: the slot, the record's place in its sequence, how many ids it holds, and the ids
+(of 16 bits if the vocabulary allows it, else of 32), filled up with the end id. A record's place in the file is its number times the stride, so a reader can go on anywhere.
 
 A manifest with one row per sequence says where it starts. Texts move once, to their shard; ids are made there.
 
@@ -27,9 +27,9 @@ from pyspark.sql.types import LongType
 
 from quaylens.llm.common import materialise, shared_folder, text_blocks
 from quaylens.llm.files import AtomicFile, open_input
-from quaylens.llm.tokens import default_vocabulary, encoder
+from quaylens.llm.tokens import default_vocabulary, encoder, read_vocabulary
 
-END_ID, RECORD_IDS, SHARD_SEQUENCES, ROUNDS = 50_256, 512, 4_096, 4
+END_ID, RECORD_IDS, SHARD_SEQUENCES, ROUNDS = 50_256, 256, 4_096, 4
 HEAD = "<QII"  # a record starts with its slot, its place in the sequence, and the number of its ids
 HEAD_BYTES = struct.calcsize(HEAD)
 
@@ -54,10 +54,17 @@ def feistel(numbers: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def id_type(vocabulary: str) -> str:
+    """The narrowest type that holds every id of the vocabulary."""
+    ordinary, added = read_vocabulary(vocabulary)
+    return "<u2" if max([END_ID, *ordinary.values(), *added.values()]) < 1 << 16 else "<u4"
+
+
 def write(docs: DataFrame, key: int = 20_24, vocabulary: str | None = None, folder: str | None = None, record_ids: int = RECORD_IDS, shard_sequences: int = SHARD_SEQUENCES) -> tuple[str, DataFrame]:
     """Writes the shards; returns their folder and the manifest: doc_id, slot, shard, first_record, n_records, n_tokens, ids_crc32."""
     spark = docs.sparkSession
-    path, out = vocabulary or default_vocabulary(), folder or shared_folder(spark, "shards")
+    path = vocabulary or default_vocabulary()
+    kind_of_id, out = np.dtype(id_type(path)), folder or shared_folder(spark, "shards")
     numbered = docs.select("doc_id", "text").withColumn("_n", F.monotonically_increasing_id())
     tasks = numbered.select(F.shiftright("_n", 33).cast("int").alias("task")).groupBy("task").count().orderBy("task").collect()  # a row per task
     start, total = {}, 0
@@ -80,7 +87,7 @@ def write(docs: DataFrame, key: int = 20_24, vocabulary: str | None = None, fold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, file, at, record = encoder(path), None, None, 0
-        stride = HEAD_BYTES + 4 * record_ids
+        stride = HEAD_BYTES + kind_of_id.itemsize * record_ids
         for block in text_blocks(batches):
             rows = []
             for text, slot, shard in zip(*(block.column(c).to_pylist() for c in ("text", "slot", "shard")), strict=True):
@@ -88,12 +95,14 @@ def write(docs: DataFrame, key: int = 20_24, vocabulary: str | None = None, fold
                     if file is not None:
                         file.close()
                     file, at, record = AtomicFile(out, f"shard-{shard:08d}.bin"), shard, 0
-                ids = enc.ids(text or "").tobytes() + END_ID.to_bytes(4, "little")
-                n = len(ids) // 4
+                ids = np.append(enc.ids(text or ""), np.uint32(END_ID)).astype("<u4")
+                n = len(ids)
                 count = -(-n // record_ids)
-                filled = ids + END_ID.to_bytes(4, "little") * (count * record_ids - n)
-                file.write(b"".join(struct.pack(HEAD, slot, i, min(record_ids, n - i * record_ids)) + filled[4 * i * record_ids : 4 * (i + 1) * record_ids] for i in range(count)))
-                rows.append((slot, shard, record, count, n, zlib.crc32(ids)))
+                filled = np.full(count * record_ids, END_ID, dtype=kind_of_id)
+                filled[:n] = ids
+                records = filled.reshape(count, record_ids)
+                file.write(b"".join(struct.pack(HEAD, slot, i, min(record_ids, n - i * record_ids)) + records[i].tobytes() for i in range(count)))
+                rows.append((slot, shard, record, count, n, zlib.crc32(ids.tobytes())))
                 record += count
                 assert file.size == record * stride
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], names=["doc_id", "slot", "shard", "first_record", "n_records", "n_tokens", "ids_crc32"])
@@ -105,12 +114,13 @@ def write(docs: DataFrame, key: int = 20_24, vocabulary: str | None = None, fold
     return out, manifest
 
 
-def read_back(folder: str, manifest: DataFrame, record_ids: int = RECORD_IDS) -> DataFrame:
+def read_back(folder: str, manifest: DataFrame, record_ids: int = RECORD_IDS, vocabulary: str | None = None) -> DataFrame:
     """`manifest` with read_crc32 and in_order, from the shards themselves: each shard is read by seeking to its records in slot order."""
     columns = manifest.columns
+    kind_of_id = np.dtype(id_type(vocabulary or default_vocabulary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stride, source, at = HEAD_BYTES + 4 * record_ids, None, None
+        stride, source, at = HEAD_BYTES + kind_of_id.itemsize * record_ids, None, None
         for batch in batches:
             crcs, fine = [], []
             for slot, shard, first, n in zip(*(batch.column(c).to_pylist() for c in ("slot", "shard", "first_record", "n_records")), strict=True):
@@ -119,7 +129,8 @@ def read_back(folder: str, manifest: DataFrame, record_ids: int = RECORD_IDS) ->
                 source.seek(first * stride)
                 data = source.read(n * stride)
                 heads = [struct.unpack_from(HEAD, data, i * stride) for i in range(n)]
-                crcs.append(zlib.crc32(b"".join(data[i * stride + HEAD_BYTES :][: 4 * h[2]] for i, h in enumerate(heads))))
+                ids = [np.frombuffer(data, dtype=kind_of_id, count=h[2], offset=i * stride + HEAD_BYTES) for i, h in enumerate(heads)]
+                crcs.append(zlib.crc32(np.concatenate(ids).astype("<u4").tobytes()))
                 fine.append([h[:2] for h in heads] == [(slot, i) for i in range(n)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(crcs, pa.int64()), pa.array(fine)], names=[*columns, "read_crc32", "in_order"])
 
