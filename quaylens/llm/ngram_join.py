@@ -48,7 +48,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < 100_000:
             self[word] = value
         return value
 
@@ -105,7 +105,7 @@ def _first_fragment_counts(docs: DataFrame, n: int, band: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit = _band_limit(band)
-        for block in text_blocks(batches, max_bytes=16 << 20):
+        for block in text_blocks(batches, max_bytes=6 << 20):
             sets = gram_sets(texts_of(block), n)
             node, _ = _names(sets)
             short = [s[: np.searchsorted(s, limit)] for s in sets]
