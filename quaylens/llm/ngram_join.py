@@ -12,7 +12,9 @@ order, finds candidates; for these, the overlap is counted in each fragment sepa
 4. A group of candidates doesn't become all its pairs. First each member is held against one member, the one with the
    fewest n-grams of its own; large groups of near copies join there. Members of groups that are then still in more than
    one component put all their n-grams in order, rarest among them first, and are grouped anew by the first of these. Only
-   members of such a group that are in different components are held against one another.
+   members of such a group that are in different components are held against one another, and of these only pairs whose
+   parities allow a link: a bucket whose n-grams are odd in number in one set and even in the other holds at least one
+   n-gram that the sets don't share, so such buckets count at most the n-grams on which the sets differ.
 
 Nothing is capped: steps 2 to 4 drop only pairs that can't reach the threshold, so no link is lost.
 
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from quaylens.llm.common import lower_words, materialise, semi_join, text_blocks, texts_of
 from quaylens.llm.components import smallest_reachable
 
-FRAGMENTS = 8
+FRAGMENTS, PARITY_WORDS = 8, 8
 _B, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -167,6 +169,12 @@ def _least_overlap(x: str, y: str, share: int) -> str:
     return f"(({share}L * ({x} + {y}) + {100 + share - 1}L) div {100 + share}L)"
 
 
+def _parities(grams: DataFrame) -> DataFrame:
+    """node, p0 to p7: for each of 512 buckets of n-grams a bit that says whether the node has an odd number of them. grams: node and gram, each once."""
+    bit = "shiftleft(1L, cast(gram & 63L as int))"
+    return grams.groupBy("node").agg(*[F.expr(f"bit_xor(case when (shiftrightunsigned(gram, 6) & {PARITY_WORDS - 1}L) = {j}L then {bit} else 0L end)").alias(f"p{j}") for j in range(PARITY_WORDS)])
+
+
 def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, share: int) -> DataFrame:
     """The pairs (a, b, size_a, size_b) that reach the share. Overlaps are counted per fragment and summed per pair."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -236,9 +244,11 @@ def components(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
     members = materialise(members, "open-prefixes")
     sizes = members.groupBy("gram", "label").agg(F.count("*").alias("size"))
     main = sizes.groupBy("gram").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("gram", "main")
-    members = materialise(members.join(main, "gram"), "open-groups")
+    members = materialise(members.join(main, "gram").join(_parities(every), "node"), "open-groups")
+    differ = " + ".join(f"bit_count(x.p{j} ^ y.p{j})" for j in range(PARITY_WORDS))
+    alike = f"{differ} <= x.n_grams + y.n_grams - 2L * {_least_overlap('x.n_grams', 'y.n_grams', share)}"
     outer = members.where("label <> main").alias("x")
-    rest = outer.join(members.alias("y"), F.expr(f"x.gram = y.gram and x.label <> y.label and (y.label = y.main or x.node < y.node) and {possible('x.own', 'y.own')}"))
+    rest = outer.join(members.alias("y"), F.expr(f"x.gram = y.gram and x.label <> y.label and (y.label = y.main or x.node < y.node) and {possible('x.own', 'y.own')} and {alike}"))
     more = _links(materialise(pairs_of(rest), "rest-pairs"), docs, sets, n, share)
     both = label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)
     label = smallest_reachable(both)
