@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -61,6 +62,14 @@ def lower_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_LOWER).split()
 
 
+def give_back_memory() -> None:
+    """Returns to the system what this worker has freed: workers live on between tasks and would keep it beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into row blocks of about `max_bytes` of text (at least one row), so that a task's memory doesn't follow the batch size."""
     for batch in batches:
@@ -73,6 +82,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", max_byt
             held += int(size) + 64
         if len(sizes) > first:
             yield batch.slice(first, len(sizes) - first)
+    give_back_memory()
 
 
 def texts_of(block: pa.RecordBatch, column: str = "text") -> list[str]:
