@@ -7,10 +7,11 @@ ending, and has a share of its group's probability by its count. So the model gi
 
 where a group's mass is the sum of c + 0.5 over its words and 0.5 for all words never seen.
 
-Training is Baum-Welch. A bounded sample of texts gives the first parameters; then every training text counts: each round,
-tasks add up expected emissions, transitions and starts, which are summed over the corpus by symbol. For these counts a
-text is cut into windows (later windows start from the states' overall shares). Scoring isn't cut: the scaled forward
-recursion runs over the whole text, all texts of a block in step.
+Training is Baum-Welch from random parameters. Every training text counts in every round: tasks add up expected emissions,
+transitions and starts, which are summed over the corpus by symbol. Rounds end when the corpus's likelihood gains no more
+than `least_gain` a token, less than the round before, and at the latest after `corpus_rounds`. Neither training nor scoring
+cuts a text: the scaled recursions run over the whole text, all texts of a block in step. Training holds `window` steps of
+them at a time and carries what leads from one window to the next.
 
 Words are counted over all training texts. At most `listed` of the most frequent ones are broadcast with their counts, the
 rest meets its counts in a join.
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaylens.llm.common import crc_fold, lower_words, materialise, text_blocks, texts_of
+from quaylens.llm.common import crc_fold, lower_words, materialise, shuffles_dropped, text_blocks, texts_of
 
 END = b"\n"  # no word holds a newline
 
@@ -45,11 +46,13 @@ class Settings:
     symbols: int = 60_000
     listed: int = 262_144
     groups: int = 512
-    #: texts in the sample that starts the training, about, and rounds over it and over the corpus
-    sample_rows: int = 1_500
+    #: rounds over the corpus at most, and the gain of log10 likelihood a token that is worth another
+    corpus_rounds: int = 14
+    least_gain: float = 1e-4
+    #: texts in a sample on which rounds may be run before those over the corpus; none unless asked for
+    sample_rows: int = 0
     sample_rounds: int = 12
-    corpus_rounds: int = 2
-    window: int = 256
+    window: int = 4_096
     prior: float = 30.0
     seed: int = 7
 
@@ -191,45 +194,68 @@ def _tables(words: Words) -> tuple[_Index, np.ndarray, np.ndarray]:
 
 
 def expected_counts(sequences: list[np.ndarray], m: Model, window: int, into: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
-    """Adds the sequences' expected starts, transitions and emissions to `into`; returns their log10 likelihood by windows."""
+    """Adds the sequences' expected starts, transitions and emissions to `into`; returns their log10 likelihood. Exact for any `window`, the number of steps that are held at a time."""
     start, step, emit = into
-    parts = [(s[i : i + window], i == 0) for s in sequences for i in range(0, len(s), window)]
-    parts.sort(key=lambda p: -len(p[0]))
-    n, k, longest = len(parts), len(m.start), len(parts[0][0])
-    sizes = np.array([len(p) for p, _ in parts])
-    symbols = np.zeros((longest, n), dtype=np.int64)
-    for j, (p, _) in enumerate(parts):
-        symbols[: len(p), j] = p
-    active = np.searchsorted(-sizes, -np.arange(longest), side="left")  # parts longer than t
-    first = np.array([f for _, f in parts])
+    sequences = sorted(sequences, key=lambda s: -len(s))
+    n, k, longest = len(sequences), len(m.start), len(sequences[0])
+    sizes = np.array([len(s) for s in sequences])
+    active = np.searchsorted(-sizes, -np.arange(longest), side="left")  # sequences longer than t
+    at = np.r_[0, np.cumsum(active)]  # step t is at[t]:at[t + 1], one place for each sequence longer than t
+    symbols = np.zeros(at[-1], dtype=np.int32)
+    for j, s in enumerate(sequences):
+        symbols[at[: len(s)] + j] = s
+    active, at = active.tolist(), at.tolist()
     emission, moves = m.emit.astype(np.float32), m.step.astype(np.float32)
-    alpha = np.zeros((longest, n, k), dtype=np.float32)
-    scale = np.ones((longest, n), dtype=np.float32)
-    a = np.where(first[:, None], m.start, m.share).astype(np.float32) * emission[symbols[0]]
-    for t in range(longest):
-        c = int(active[t])
-        if t:
-            a = (a[:c] @ moves) * emission[symbols[t, :c]]
-        scale[t, :c] = a.sum(axis=1)
-        a = a / scale[t, :c, None]
-        alpha[t, :c] = a
-    total = float(np.log10(scale.astype(np.float64)).sum())
+    back = np.ascontiguousarray(moves.T)
+    ones = np.ones(k, dtype=np.float32)
+    begin = np.tile(m.start.astype(np.float32), (n, 1))
+
+    def forward(low: int, high: int, a: np.ndarray, alpha: np.ndarray | None, seen: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        """Runs steps low to high from `a`, the step before low; returns the last step."""
+        first = at[low]
+        for t in range(low, high):
+            c, i, j = active[t], at[t] - first, at[t + 1] - first
+            a = (a[:c] @ moves if t else begin) * seen[i:j]
+            s = a @ ones
+            a /= s[:, None]
+            scale[i:j] = s
+            if alpha is not None:
+                alpha[i:j] = a
+        return a
+
+    lows = list(range(0, longest, window))
+    entries = [begin]  # the step before each window
+    for low in lows[:-1]:
+        part = slice(at[low], at[low + window])
+        entries.append(forward(low, low + window, entries[-1], None, emission[symbols[part]], np.empty(part.stop - part.start, np.float32)))
+    total, counted = 0.0, np.zeros((k, k))
     beta = np.ones((n, k), dtype=np.float32)
-    counted = np.zeros((k, k))
-    for t in range(longest - 2, -1, -1):
-        c = int(active[t + 1])
-        later = emission[symbols[t + 1, :c]] * beta[:c] / scale[t + 1, :c, None]
-        counted += alpha[t, :c].T @ later
-        beta[:c] = later @ moves.T
-        alpha[t, :c] *= beta[:c]  # the states' probabilities, given the whole part
-        alpha[t, :c] /= alpha[t, :c].sum(axis=1, keepdims=True)
+    for low, entry in zip(reversed(lows), reversed(entries), strict=True):
+        high = min(low + window, longest)
+        first, part = at[low], slice(at[low], at[high])
+        seen = emission[symbols[part]]
+        alpha, scale = np.empty_like(seen), np.empty(len(seen), dtype=np.float32)
+        forward(low, high, entry, alpha, seen, scale)
+        total += float(np.log10(scale, dtype=np.float64).sum())
+        seen /= scale[:, None]
+        for t in range(high - 1, low - 1, -1):
+            c, i, j = active[t], at[t] - first, at[t + 1] - first
+            b = beta[:c]
+            if t:
+                later = seen[i:j] * b
+                before = alpha[at[t - 1] - first :][:c] if t > low else entry[:c]
+                counted += before.T @ later
+                alpha[i:j] *= b
+                np.matmul(later, back, out=b)
+            else:
+                alpha[i:j] *= b
+        alpha /= (alpha @ ones)[:, None]  # the states' probabilities, given the whole texts
+        if not low:
+            start += alpha[:n].sum(axis=0)
+        flat = symbols[part]
+        for j in range(k):
+            emit[:, j] += np.bincount(flat, weights=alpha[:, j], minlength=len(emit))
     step += counted * m.step
-    start += alpha[0][first].sum(axis=0)
-    inside = np.arange(n)[None, :] < active[:, None]
-    flat = symbols[inside]
-    weights = alpha[inside]
-    for j in range(k):
-        emit[:, j] += np.bincount(flat, weights=weights[:, j], minlength=len(emit))
     return total
 
 
@@ -253,35 +279,43 @@ def train(encoded: DataFrame, words: Words, s: Settings) -> Model:
     if not n:
         return Model(model.start, model.share, model.step / model.step.sum(axis=1, keepdims=True), np.tile(common[:, None], (1, k)))
     drawn = rows.where(F.pmod(F.xxhash64("row", F.lit("hmm")), F.lit(1_000_000)) < min(1.0, s.sample_rows / n) * 1_000_000)
-    sample = [np.frombuffer(x, "<u2") for x in drawn.select("symbols").toArrow().column(0).to_pylist()]  # bounded by sample_rows
+    sample = [np.frombuffer(x, "<u2") for x in drawn.select("symbols").toArrow().column(0).to_pylist()] if s.sample_rows else []  # bounded by sample_rows
     for _ in range(s.sample_rounds if sample else 0):
         got = zeros()
         for i in range(0, len(sample), 500):
             expected_counts(sample[i : i + 500], model, s.window, got)
         model = maximise(*got, common, s.prior)
 
+    spark, reached, gain = encoded.sparkSession, -np.inf, np.inf
     for _ in range(s.corpus_rounds):
-        handle = encoded.sparkSession.sparkContext.broadcast(model)
+        handle = spark.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch], handle=handle) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            got = zeros()
-            for block in text_blocks(batches, "symbols", max_bytes=1 << 20):
-                expected_counts([np.frombuffer(x, "<u2") for x in block.column("symbols").to_pylist()], handle.value, s.window, got)
+            got, likelihood = zeros(), np.zeros((1, k))
+            for block in text_blocks(batches, "symbols"):
+                likelihood[0, 0] += expected_counts([np.frombuffer(x, "<u2") for x in block.column("symbols").to_pylist()], handle.value, s.window, got)
             start, step, emit = got
             used = np.flatnonzero(emit.any(axis=1))
-            symbol = np.r_[-1, -2 - np.arange(k), used].astype(np.int32)
-            values = np.vstack([start, step, emit[used]]).astype(np.float32)
+            symbol = np.r_[-1, -2 - np.arange(k), -2 - k, used].astype(np.int32)
+            values = np.vstack([start, step, likelihood, emit[used]]).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array(symbol), *(pa.array(values[:, j]) for j in range(k))], names=["symbol", *(f"s{j}" for j in range(k))])
 
-        summed = rows.select("symbols").mapInArrow(expect, "symbol int, " + ", ".join(f"s{j} float" for j in range(k)))
-        summed = summed.groupBy("symbol").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toArrow()  # a row for each symbol
+        with shuffles_dropped(spark):
+            summed = rows.select("symbols").mapInArrow(expect, "symbol int, " + ", ".join(f"s{j} float" for j in range(k)))
+            summed = summed.groupBy("symbol").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toArrow()  # a row for each symbol
+        handle.unpersist()
         symbol = summed.column("symbol").to_numpy()
         values = np.column_stack([summed.column(f"s{j}").to_numpy() for j in range(k)])
         start, step, emit = zeros()
         emit[symbol[symbol >= 0]] = values[symbol >= 0]
-        step[-2 - symbol[symbol < -1]] = values[symbol < -1]
+        moved = (symbol < -1) & (symbol > -2 - k)
+        step[-2 - symbol[moved]] = values[moved]
         start[:] = values[symbol == -1].sum(axis=0)
         model = maximise(start, step, emit, common, s.prior)
+        now = values[symbol == -2 - k, 0].sum() / words.total
+        last, gain, reached = gain, now - reached, now
+        if gain < min(last, s.least_gain):
+            break
     return model
 
 

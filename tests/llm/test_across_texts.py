@@ -193,6 +193,36 @@ def test_expected_counts_against_all_paths():
         assert np.allclose(a, b / total, atol=1e-4)
 
 
+def test_windows_do_not_change_expected_counts():
+    rng = np.random.default_rng(8)
+    draw = lambda *s: (x := rng.random(s)) / x.sum(axis=-1, keepdims=True)
+    m = hmm.Model(draw(3), draw(3), draw(3, 3), draw(3, 6).T.copy())
+    sequences = [rng.integers(0, 6, n) for n in (1, 2, 7, 8, 9, 30, 30, 61)]
+    found = []
+    for window in (4, 8, 1000):
+        got = (np.zeros(3), np.zeros((3, 3)), np.zeros((6, 3)))
+        total = hmm.expected_counts(sequences, m, window, got)
+        assert abs(total - hmm.log10_likelihoods(sequences, m).sum()) < 1e-3
+        assert abs(got[1].sum() - sum(len(s) - 1 for s in sequences)) < 1e-2  # no transition is lost at an edge
+        found.append(got)
+    for got in found[1:]:
+        assert all(np.allclose(a, b, atol=1e-3) for a, b in zip(got, found[0], strict=True))
+
+
+def test_every_training_text_counts_in_every_round(spark, monkeypatch):  # noqa: ANN001
+    df = spark.createDataFrame([(i, f"a{i % 5} b{i % 7} " * 20) for i in range(60)], "doc_id long, text string")
+    real = hmm.expected_counts
+
+    def in_tasks(*a):  # noqa: ANN002, ANN202
+        from pyspark import TaskContext
+
+        assert TaskContext.get() is not None, "texts were drawn to the driver"
+        return real(*a)
+
+    monkeypatch.setattr(hmm, "expected_counts", in_tasks)
+    assert hmm.score(df, hmm.Settings(states=2)).count() == 60
+
+
 def test_scores_against_plain_python(documents):  # noqa: ANN001
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     fold = lambda i: zlib.crc32(str(i).encode()) % 5
