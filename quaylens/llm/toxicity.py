@@ -15,6 +15,8 @@ toxic or without other labels there is nothing to learn: every text then gets th
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,6 +43,10 @@ IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
 )
 #: ASCII characters other than letters, digits and the underscore part words
 _PARTS = bytes(b if b >= 128 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
+#: and so do white space and punctuation beyond ASCII
+_WIDE = re.compile("[" + "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isspace() or unicodedata.category(c)[0] in "PZ") + "\u200b]")
+#: longer words are not kept in caches
+_CACHED = 64
 _SENTENCE = re.compile(r"[.!?\n]+")
 
 
@@ -65,20 +71,28 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
 
     def evidence(self, word: bytes) -> float:
-        return sum(self.weights.get(f, 0.0) for f in features(word))
+        return sum(self.weights[f] for f in set(filter(self.weights.__contains__, pieces(word))))
 
 
 def words_of(text: str) -> set[bytes]:
-    return set(text.lower().encode("utf-8", "replace").translate(_PARTS).split())
+    text = text.lower()
+    if not text.isascii():
+        text = _WIDE.sub(" ", text)
+    return set(text.encode("utf-8", "replace").translate(_PARTS).split())
 
 
-def features(coded: bytes) -> set[str]:
-    """The word, and its pieces of four and five characters, with marks for its ends."""
+def pieces(coded: bytes) -> Iterator[str]:
+    """The word, and its pieces of four and five characters, with marks for its ends; some may come repeatedly."""
     word = coded.decode("utf-8", "replace")
-    if len(word) > 64:
-        return {"=" + word[:64]}
+    yield "=" + word
     marked = f"^{word}$"
-    return {"=" + word, *(marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1))}
+    for n in (4, 5):
+        for i in range(len(marked) - n + 1):
+            yield marked[i : i + n]
+
+
+def features(coded: bytes) -> set[str]:
+    return set(pieces(coded))
 
 
 def swaps(text: str, groups: tuple[tuple[str, ...], ...]) -> Counter[tuple[str, str]]:
@@ -139,8 +153,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
             for text, toxic in zip(texts_of(block), block.column("toxic").to_pylist(), strict=True):
                 words = words_of(text)
                 for word in words - cache.keys():
-                    cache[word] = features(word)
-                (yes if toxic else no).update(set().union(*(cache[w] for w in words)))
+                    if len(word) <= _CACHED:
+                        cache[word] = features(word)
+                (yes if toxic else no).update(set().union(*(cache[w] if w in cache else pieces(w) for w in words)))
                 texts[toxic] += 1
                 pairs.update(swaps(text, s.groups))
             if len(cache) > 200_000:
@@ -195,7 +210,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         class Evidence(dict):
             def __missing__(self, word: bytes) -> float:
                 value = m.evidence(word)
-                if len(word) <= 64:
+                if len(word) <= _CACHED:
                     self[word] = value
                 return value
 

@@ -42,6 +42,19 @@ def test_swapped_terms_lower_the_cost_of_neutral_mentions(spark):  # noqa: ANN00
     assert said[50.0] < 0.5 * said[0.0]
 
 
+def test_toxic_terms_count_in_words_of_any_length_and_between_any_spaces(spark):  # noqa: ANN001
+    texts = [(i, f"you are awful scum {i}", 1) for i in range(0, 120, 2)] + [(i, f"people like the garden {i}", 0) for i in range(1, 120, 2)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"))
+    gap = "the garden is green and people like it " * 3
+    hidden = [(gap + "awful scum").replace(" ", c) for c in ("\u00a0", "\u2014", "\uff0c", "\u3000", "\u200b", "")]
+    said = {r.text: r.score for r in toxicity.score(spark.createDataFrame([(t,) for t in hidden], "text string"), model).collect()}
+    assert all(said[t] > 0.5 for t in hidden[:-1])
+    assert said[hidden[-1]] > 5 / (1 + np.exp(-model.bias))  # one long word: its pieces count, though not the ends of the terms
+    assert toxicity.words_of("d\u00e9j\u00e0\u2019vu \u6f22\u5b57\u3002") == {"d\u00e9j\u00e0".encode(), b"vu", "\u6f22\u5b57".encode()}
+    assert toxicity.features(b"a" * 63 + b"scum") >= {"scum$", "cum$"}
+
+
 def test_toxicity_bears_odd_rows(odd, none, labels):  # noqa: ANN001
     model = toxicity.fit(odd.where("doc_id is not null"), labels)
     got = toxicity.score(odd, model).collect()
