@@ -41,16 +41,32 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A join's hot keys are split even where the step after it would use the join's partitioning.
+SPLIT_JOINS = {"spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
+#: Queries lose their shuffle files when they end, so that rounds don't pile them up.
+DROP_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Queries made and run within lose their shuffle files when they end, so that rounds don't pile them up."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Runs what is within under these settings of the session."""
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name like `name` that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,14 +119,11 @@ def texts_of(block: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in block.column(column).to_pylist()]
 
 
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """True if `df` has at most `rows` rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
-
+def semi_join(docs: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """Semi or anti join on a nullable id, whatever columns `docs` has.
 
-def semi_join(docs: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Semi or anti join on a nullable id. The ids are broadcast only when a count shows at most `broadcast_rows` of them; else both sides are shuffled."""
-    ids = ids.select(F.col(key).alias("_wanted"))
-    if small_enough(ids, broadcast_rows):
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs[key].eqNullSafe(F.col("_wanted")), how)
+    `ids` should be read from a table: Spark then knows its size and broadcasts it below spark.sql.autoBroadcastJoinThreshold
+    (10 MB unless set otherwise); beyond, both sides are shuffled by the id.
+    """
+    wanted = fresh("wanted", docs)
+    return docs.join(ids.select(F.col(key).alias(wanted)), docs[key].eqNullSafe(F.col(wanted)), how)

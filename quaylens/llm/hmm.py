@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaylens.llm.common import crc_fold, lower_words, materialise, shuffles_dropped, text_blocks, texts_of
+from quaylens.llm.common import DROP_SHUFFLES, crc_fold, lower_words, materialise, settings, text_blocks, texts_of
 
 END = b"\n"  # no word holds a newline
 
@@ -300,7 +300,7 @@ def train(encoded: DataFrame, words: Words, s: Settings) -> Model:
             values = np.vstack([start, step, likelihood, emit[used]]).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array(symbol), *(pa.array(values[:, j]) for j in range(k))], names=["symbol", *(f"s{j}" for j in range(k))])
 
-        with shuffles_dropped(spark):
+        with settings(spark, DROP_SHUFFLES):
             summed = rows.select("symbols").mapInArrow(expect, "symbol int, " + ", ".join(f"s{j} float" for j in range(k)))
             summed = summed.groupBy("symbol").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toArrow()  # a row for each symbol
         handle.unpersist()

@@ -11,12 +11,16 @@ order, finds candidates; for these, the overlap is counted in each fragment sepa
    if their sizes and the places of the shared n-gram allow a link.
 4. A group of candidates doesn't become all its pairs. First each member is held against one member, the one with the
    fewest n-grams of its own; large groups of near copies join there. Members of groups that are then still in more than
-   one component put all their n-grams in order, rarest among them first, and are grouped anew by the first of these. Only
-   members of such a group that are in different components are held against one another, and of these only pairs whose
-   parities allow a link: a bucket whose n-grams are odd in number in one set and even in the other holds at least one
-   n-gram that the sets don't share, so such buckets count at most the n-grams on which the sets differ.
+   one component put all their n-grams in order, rarest among them first, and are grouped anew by the first of these.
+5. Members of such a group are held against pivots: about 16 of its members, then 256, and so on up to all of them. Only
+   pairs of different components are made, of these only pairs whose parities allow a link (a bucket whose n-grams are odd
+   in number in one set and even in the other holds at least one n-gram that the sets don't share, so such buckets count at
+   most the n-grams on which the sets differ), and of two components' pairs the likeliest is counted first, the others at
+   the end, where they are still needed. Linked members join between rounds; one that links with a share s of its group
+   meets about 1 / s pivots before it joins, so a round makes a few pairs a member, however large the group.
 
-Nothing is capped: steps 2 to 4 drop only pairs that can't reach the threshold, so no link is lost.
+Nothing is capped: steps 2 to 5 drop only pairs that can't reach the threshold or whose texts are already known to be
+linked, so no component is lost.
 
 Cases: a null, empty or blank text has an empty set and links with nothing. A text with fewer than n words is one n-gram,
 its whole sequence. Rows that repeat a doc_id are one document for the result (their texts' components count as one). A
@@ -31,13 +35,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaylens.llm.common import lower_words, materialise, semi_join, text_blocks, texts_of
+from quaylens.llm.common import SPLIT_JOINS, fresh, lower_words, materialise, semi_join, settings, text_blocks, texts_of
 from quaylens.llm.components import smallest_reachable
 
-FRAGMENTS, PARITY_WORDS = 8, 8
+FRAGMENTS, PARITY_WORDS, PIVOT_STEP = 8, 8, 16
 _B, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -85,83 +89,69 @@ def _names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return _mix(first + size).view(np.int64), _mix(second ^ size).view(np.int64)
 
 
-def document_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_grams, node, check: the size of each document's set and two hashes that name it."""
+def document_sets(docs: DataFrame, n: int, share: int, band: float) -> DataFrame:
+    """doc_id, n_grams, node, check, grams: the size of each document's set, two hashes that name it, and its n-grams of the first fragment.
+
+    n-grams are ascending; a set with fewer of them in the fragment than two linked sets must share one of gives as many as those.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limit = _band_limit(band)
         for block in text_blocks(batches):
             sets = gram_sets(texts_of(block), n)
             node, check = _names(sets)
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node), pa.array(check)], names=["doc_id", "n_grams", "node", "check"])
+            size = np.array([len(s) for s in sets], dtype=np.int64)
+            taken = np.maximum([np.searchsorted(s, limit) for s in sets], np.minimum(size, size - -(-share * size // 100) + 1))
+            grams = _lists([s[:t] for s, t in zip(sets, taken, strict=True)])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(size), pa.array(node), pa.array(check), grams], names=["doc_id", "n_grams", "node", "check", "grams"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_grams long, node long, check long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_grams long, node long, check long, grams array<long>")
 
 
 def _band_limit(band: float) -> np.uint64:
     return np.uint64(min(2**64 - 1, int(band * 2**64)))
 
 
-def _first_fragment_counts(docs: DataFrame, n: int, band: float) -> DataFrame:
-    """gram, uses, low, high: for the n-grams of the first fragment, in how many texts they are, and the least and greatest node that has them."""
+def _signed(x: np.ndarray) -> np.ndarray:
+    """Unsigned hashes as signed longs in the same order."""
+    return (x ^ np.uint64(1 << 63)).view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limit = _band_limit(band)
-        for block in text_blocks(batches, max_bytes=6 << 20):
-            sets = gram_sets(texts_of(block), n)
-            node, _ = _names(sets)
-            short = [s[: np.searchsorted(s, limit)] for s in sets]
-            gram = np.concatenate(short) if short else np.zeros(0, np.uint64)
-            owner = np.repeat(node, [len(s) for s in short])
-            order = np.argsort(gram, kind="stable")
-            gram, owner = gram[order], owner[order]
-            first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
-            uses = np.diff(np.r_[first, len(gram)])
-            low = np.minimum.reduceat(owner, first) if len(first) else owner
-            high = np.maximum.reduceat(owner, first) if len(first) else owner
-            # rows for one task's texts: one where a single node has the n-gram, else one for each end
-            two = low != high
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[gram[first], gram[first][two]].view(np.int64)), pa.array(np.r_[low, high[two]]), pa.array(np.r_[uses - two, np.ones(int(two.sum()), np.int64)].astype(np.int32))], names=["gram", "node", "uses"])
-
-    rows = docs.select("text").mapInArrow(run, "gram long, node long, uses int")
-    # each task has pre-aggregated its rows, so these go to their partition once, unaggregated
-    return rows.repartition("gram").groupBy("gram").agg(F.sum("uses").alias("uses"), F.min("node").alias("low"), F.max("node").alias("high"))
-
-
-def _grams(docs: DataFrame, n: int, least_share: int, band: float | None) -> DataFrame:
-    """node, n_grams, gram, late: the n-grams of the first fragment, and more in order of their hash where these are fewer than two linked sets must share one of; or, without band, all."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limit = _band_limit(band) if band is not None else None
-        for block in text_blocks(batches):
-            sets = gram_sets(texts_of(block), n)
-            node, _ = _names(sets)
-            size = np.array([len(s) for s in sets], dtype=np.int64)
-            if limit is None:
-                taken = size
-            else:
-                taken = np.maximum([np.searchsorted(s, limit) for s in sets], np.minimum(size, size - -(-least_share * size // 100) + 1)) if len(sets) else size
-            gram = np.concatenate([s[:t] for s, t in zip(sets, taken, strict=True)]) if len(sets) else np.zeros(0, np.uint64)
-            late = gram >= limit if limit is not None else np.zeros(len(gram), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, taken)), pa.array(np.repeat(size, taken).astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(late)], names=["node", "n_grams", "gram", "late"])
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(np.concatenate(parts)) if parts else np.zeros(0, np.int64)))
 
-    return docs.select("text").mapInArrow(run, "node long, n_grams int, gram long, late boolean")
+
+def _named_apart(sets: DataFrame) -> DataFrame:
+    """`sets` with a node for each pair of node and check; where two sets share a node, all are named anew by both."""
+    while not sets.where("n_grams > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").isEmpty():
+        sets = materialise(sets.withColumn("node", F.xxhash64("node", "check")), "gram-sets")
+    return sets
+
+
+def _first_fragment_counts(sets: DataFrame, band: float) -> DataFrame:
+    """owner, gram, uses: for an n-gram of the first fragment that one node alone has, that node; for any other, the n-gram and in how many texts it is."""
+    limit = int(_signed(np.array([_band_limit(band)]))[0])
+    rows = sets.select("node", F.explode("grams").alias("gram")).where(F.col("gram") < limit)
+    counted = rows.groupBy("gram").agg(F.count("*").alias("uses"), F.min("node").alias("low"), F.max("node").alias("high"))
+    alone = F.col("low") == F.col("high")
+    return counted.select(F.when(alone, F.col("low")).alias("owner"), *[F.when(~alone, F.col(c)).alias(c) for c in ("gram", "uses")])
 
 
 def _segments(docs: DataFrame, n: int) -> DataFrame:
-    """node, fragment, grams: each set cut into the fragments of the global order."""
+    """node, fragment, grams: each set cut into the fragments of the global order. A text whose set hasn't the given check gives nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = (np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64(2**64 // FRAGMENTS)).astype(np.uint64)
         for block in text_blocks(batches):
             sets = gram_sets(texts_of(block), n)
-            node, _ = _names(sets)
-            parts = [p.view(np.int64) for s in sets for p in np.split(s, np.searchsorted(s, edges))]
-            offsets = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
-            grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, FRAGMENTS)), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(sets))), grams], names=["node", "fragment", "grams"])
+            fits = np.flatnonzero(_names(sets)[1] == block.column("check").to_numpy())
+            parts = [p for i in fits for p in np.split(sets[i], np.searchsorted(sets[i], edges))]
+            owner = block.column("node").take(pa.array(np.repeat(fits, FRAGMENTS)))
+            yield pa.RecordBatch.from_arrays([owner, pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(fits))), _lists(parts)], names=["node", "fragment", "grams"])
 
-    return docs.select("text").mapInArrow(run, "node long, fragment int, grams array<long>")
+    return docs.select("node", "check", "text").mapInArrow(run, "node long, fragment int, grams array<long>")
 
 
 def _least_overlap(x: str, y: str, share: int) -> str:
@@ -169,93 +159,164 @@ def _least_overlap(x: str, y: str, share: int) -> str:
     return f"(({share}L * ({x} + {y}) + {100 + share - 1}L) div {100 + share}L)"
 
 
+def _possible(share: int) -> str:
+    """Whether x and y, by their sizes, the n-grams that are theirs alone and the places of a shared one, can reach the share."""
+    need = _least_overlap("x.n_grams", "y.n_grams", share)
+    return (
+        f"100L * least(x.n_grams, y.n_grams) >= {share}L * greatest(x.n_grams, y.n_grams)"
+        f" and least(x.n_grams - x.own, y.n_grams - y.own) >= {need}"
+        f" and least(x.n_grams - x.place, y.n_grams - y.place) >= {need}"
+    )
+
+
 def _parities(grams: DataFrame) -> DataFrame:
     """node, p0 to p7: for each of 512 buckets of n-grams a bit that says whether the node has an odd number of them. grams: node and gram, each once."""
     bit = "shiftleft(1L, cast(gram & 63L as int))"
     return grams.groupBy("node").agg(*[F.expr(f"bit_xor(case when (shiftrightunsigned(gram, 6) & {PARITY_WORDS - 1}L) = {j}L then {bit} else 0L end)").alias(f"p{j}") for j in range(PARITY_WORDS)])
 
 
-def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, share: int) -> DataFrame:
-    """The pairs (a, b, size_a, size_b) that reach the share. Overlaps are counted per fragment and summed per pair."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = sets.join(nodes, "node").groupBy("node").agg(F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("doc_id")).select("doc_id")
-    held = materialise(_segments(semi_join(docs, wanted.distinct(), "doc_id"), n).dropDuplicates(["node", "fragment"]), "segments")
-    left, right = (held.select(F.col("node").alias(k), "fragment", F.col("grams").alias(f"grams_{k}")) for k in "ab")
-    counted = pairs.withColumn("fragment", F.explode(F.lit(list(range(FRAGMENTS))))).join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
+def _pairs(rows: DataFrame, *more: Column) -> DataFrame:
+    """From x joined with y to a, b (the smaller node first) and their sizes."""
+    turned = F.expr("x.node < y.node")
+    sides = [F.when(turned, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(name) for c, name in (("node", "a"), ("n_grams", "size_a"))]
+    sides += [F.when(turned, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")).alias(name) for c, name in (("node", "b"), ("n_grams", "size_b"))]
+    return rows.select(*sides, *more).distinct()
+
+
+def _links(pairs: DataFrame, segments: DataFrame, share: int) -> DataFrame:
+    """The pairs (a, b) that reach the share. Overlaps are counted per fragment and summed per pair."""
+    left, right = (segments.select(F.col("node").alias(k), "fragment", F.col("grams").alias(f"grams_{k}")) for k in "ab")
+    counted = pairs.select("a", "b", "size_a", "size_b").join(left, "a").join(right, ["b", "fragment"])
     counted = counted.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part"))
     summed = counted.groupBy("a", "b", "size_a", "size_b").agg(F.sum("part").alias("overlap"))
     return summed.where(f"overlap >= {_least_overlap('size_a', 'size_b', share)}").select("a", "b")
 
 
-def components(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
-    """doc_id, n_grams, component_id. Texts link when their n-gram sets have a Jaccard similarity of share / 100 or more.
-
-    n_grams is the largest set of a doc_id's rows; component_id is the smallest doc_id that links reach.
-    """
-    if not 50 <= share <= 100:
-        raise ValueError("share is a percentage from 50 to 100")
-    docs = docs.select("doc_id", "text")
-    sets = materialise(document_sets(docs, n), "gram-sets")
-    band = min(1.0, max(0.1, 2 * (100 - share) / 100))
-    missing = f"(n_grams - (({share}L * n_grams + 99L) div 100L))"  # how many n-grams of its own a linked set can have
-
-    counts = materialise(_first_fragment_counts(docs, n, band), "gram-counts")
-    alone = counts.where("low = high").groupBy(F.col("low").alias("node")).agg(F.count("*").alias("own"))
-    nodes = sets.where("n_grams > 0").groupBy("node").agg(F.max("n_grams").alias("n_grams"), F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("doc_id"))
-    nodes = nodes.join(alone, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    open_nodes = materialise(nodes.where(f"own <= {missing}"), "open-nodes")
-
-    grams = _grams(semi_join(docs, open_nodes.select("doc_id").distinct(), "doc_id"), n, share, band).distinct()
-    shared = counts.where("low <> high").select("gram", "uses")
-    known = grams.join(shared, "gram", "left").join(open_nodes.select("node", "own"), "node")
-    known = known.where(F.col("late") | F.col("uses").isNotNull())  # the others are the node's own, and come first in its order
+def _prefixes(grams: DataFrame, share: int) -> DataFrame:
+    """The first n-grams of each node, as many as two linked sets must share one of; `grams` needs node, n_grams, own, gram, uses and late."""
     place = F.row_number().over(Window.partitionBy("node").orderBy("late", "uses", "gram")) - 1 + F.col("own")
-    prefix = known.withColumn("place", place).where(f"place <= {missing}").select("gram", "node", F.col("n_grams").cast("long").alias("n_grams"), "own", "place")
-    prefix = materialise(prefix, "gram-prefixes")
+    return grams.withColumn("place", place).where(f"place <= {_missing(share)}").select("gram", "node", "n_grams", "own", "place")
+
 
-    def possible(own_x: str, own_y: str) -> str:
-        need = _least_overlap("x.n_grams", "y.n_grams", share)
-        return (
-            f"100L * least(x.n_grams, y.n_grams) >= {share}L * greatest(x.n_grams, y.n_grams)"
-            f" and least(x.n_grams - {own_x}, y.n_grams - {own_y}) >= {need}"
-            f" and least(x.n_grams - x.place, y.n_grams - y.place) >= {need}"
-        )
+def _missing(share: int) -> str:
+    """How many n-grams that a linked set lacks a set can have."""
+    return f"(n_grams - (({share}L * n_grams + 99L) div 100L))"
 
-    def pairs_of(rows: DataFrame) -> DataFrame:
-        return rows.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.when(F.expr("x.node < y.node"), F.col("x.n_grams")).otherwise(F.col("y.n_grams")).alias("size_a"), F.when(F.expr("x.node < y.node"), F.col("y.n_grams")).otherwise(F.col("x.n_grams")).alias("size_b")).distinct()
 
+def _relabel(label: DataFrame, links: DataFrame) -> DataFrame:
+    """`label` (node, label) after the components of linked nodes have been joined."""
+    x, y = (label.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}")) for k in "ab")
+    met = links.join(x, "a").join(y, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).where("a <> b")
+    merged = smallest_reachable(met).select(F.col("node").alias("label"), F.col("label").alias("_to"))
+    return materialise(label.join(merged, "label", "left").select("node", F.coalesce("_to", "label").alias("label")), "node-labels")
+
+
+def _star_links(prefix: DataFrame, segments: DataFrame, share: int) -> DataFrame:
+    """Links of each group's members with the member that has the fewest n-grams of its own."""
     centre = prefix.groupBy("gram").agg(F.min(F.struct("own", "node", "n_grams", "place")).alias("c"), F.count("*").alias("size")).where("size > 1").select("gram", "c.*")
-    stars = prefix.alias("x").join(centre.alias("y"), F.expr(f"x.gram = y.gram and x.node <> y.node and {possible('x.own', 'y.own')}"))
-    stars = materialise(pairs_of(stars), "star-pairs")
-    links = _links(stars, docs, sets, n, share)
-    label = smallest_reachable(links)
-
-    # members of groups that are still in several components; among these, all n-grams are put in order, rarest first
-    labelled = prefix.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    spread = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
-    left = materialise(labelled.join(spread, "gram").select("node", "label").distinct().join(open_nodes.select("node", "doc_id"), "node"), "open-members")
-    every = _grams(semi_join(docs, left.select("doc_id").distinct(), "doc_id"), n, share, None).select("gram", "node", F.col("n_grams").cast("long").alias("n_grams")).distinct()
-    every = materialise(every.join(left.select("node"), "node", "left_semi"), "open-grams")
-    uses = every.groupBy("gram").agg(F.count("*").alias("uses"), F.min("node").alias("low"), F.max("node").alias("high"))
-    own = uses.where("low = high").groupBy(F.col("low").alias("node")).agg(F.count("*").alias("own"))
-    members = every.join(uses.where("low <> high").select("gram", "uses"), "gram").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("uses", "gram")) - 1 + F.col("own")
-    members = members.withColumn("place", place).where(f"place <= {missing}").join(left.select("node", "label"), "node").drop("uses")
-    members = materialise(members, "open-prefixes")
-    sizes = members.groupBy("gram", "label").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("gram").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("gram", "main")
-    members = materialise(members.join(main, "gram").join(_parities(every), "node"), "open-groups")
+    rows = prefix.alias("x").join(centre.alias("y"), F.expr(f"x.gram = y.gram and x.node <> y.node and {_possible(share)}"))
+    return _links(materialise(_pairs(rows), "star-pairs"), segments, share)
+
+
+def _join_by_pivots(members: DataFrame, label: DataFrame, segments: DataFrame, share: int) -> DataFrame:
+    """`label` after all links between members of one group that are in different components have been found.
+
+    members: gram, node, n_grams, own, place, parities, turn (the member's rank in its group, as a fraction of it, about) and
+    size. Round by round, PIVOT_STEP times as many members of each group as before are its pivots, and all others are held
+    against the new ones; between rounds linked members join, so a member with many links is done before there are many
+    pivots. The last round has all members for pivots, so no pair is left out.
+    """
     differ = " + ".join(f"bit_count(x.p{j} ^ y.p{j})" for j in range(PARITY_WORDS))
     alike = f"{differ} <= x.n_grams + y.n_grams - 2L * {_least_overlap('x.n_grams', 'y.n_grams', share)}"
-    outer = members.where("label <> main").alias("x")
-    rest = outer.join(members.alias("y"), F.expr(f"x.gram = y.gram and x.label <> y.label and (y.label = y.main or x.node < y.node) and {possible('x.own', 'y.own')} and {alike}"))
-    more = _links(materialise(pairs_of(rest), "rest-pairs"), docs, sets, n, share)
-    both = label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)
-    label = smallest_reachable(both)
+    settled, pivots, waiting = 0, PIVOT_STEP, None
+    while True:
+        known = members.join(label, "node")
+        several = known.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
+        rows = materialise(known.join(several, "gram"), "open-groups")
+        most = rows.agg(F.max("size")).first()[0]
+        if most is None or settled >= most:
+            break
+        new = rows.where(f"turn * size < {pivots} and turn * size >= {settled}")
+        after = "(x.turn > y.turn or x.turn = y.turn and x.node > y.node)"
+        met = rows.alias("x").join(new.alias("y"), F.expr(f"x.gram = y.gram and x.label <> y.label and {after} and {_possible(share)} and {alike}"))
+        pairs = _pairs(met, F.least("x.label", "y.label").alias("low"), F.greatest("x.label", "y.label").alias("high"), F.expr(f"{differ} - x.n_grams - y.n_grams").alias("off"))
+        pairs = materialise(pairs, "pivot-pairs")
+        # two components need one link: the likeliest pair first, the others only if it isn't one
+        first = pairs.groupBy("low", "high").agg(F.min(F.struct("off", "a", "b", "size_a", "size_b")).alias("p")).select("p.*")
+        if not pairs.isEmpty():
+            label = _relabel(label, _links(first, segments, share))
+            others = pairs.select("a", "b", "size_a", "size_b").subtract(first.select("a", "b", "size_a", "size_b"))
+            waiting = materialise(_apart(others if waiting is None else others.union(waiting), label), "other-pairs")
+        members = rows.drop("label")
+        settled, pivots = pivots, pivots * PIVOT_STEP
+    if waiting is not None:
+        label = _relabel(label, _links(_apart(waiting, label), segments, share))
+    return label
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """Those pairs whose nodes have different labels."""
+    x, y = (label.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}")) for k in "ab")
+    return pairs.join(x, "a").join(y, "b").where("label_a <> label_b").select(*pairs.columns)
+
+
+def components(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
+    """doc_id, n_grams, component_id. Texts link when their n-gram sets have a Jaccard similarity of share / 100 or more.
 
-    # rows of one doc_id are one document: its texts' components are joined too
-    known = sets.join(label, "node", "left").select("doc_id", "n_grams", F.when(F.col("n_grams") > 0, F.coalesce("label", "node")).alias("label"))
-    return _name_components(known)
+    n_grams is the largest set of a doc_id's rows; component_id is the smallest doc_id that links reach.
+    """
+    if not 50 <= share <= 100:
+        raise ValueError("share is a percentage from 50 to 100")
+    docs, spark = docs.select("doc_id", "text"), docs.sparkSession
+    band = min(1.0, max(0.1, 2 * (100 - share) / 100))
+    with settings(spark, SPLIT_JOINS):
+        sets = _named_apart(materialise(document_sets(docs, n, share, band), "gram-sets"))
+        counts = materialise(_first_fragment_counts(sets, band), "gram-counts")
+        alone = counts.where("owner is not null").groupBy(F.col("owner").alias("node")).agg(F.count("*").alias("own"))
+        nodes = sets.where("n_grams > 0").groupBy("node").agg(F.max("n_grams").alias("n_grams"), F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("doc_id"))
+        nodes = nodes.join(alone, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        open_nodes = materialise(nodes.where(f"own <= {_missing(share)}"), "open-nodes")
+
+        # one text of each open node: a doc_id may have several texts, so the node is part of the key
+        of = open_nodes.select(F.col("node").alias("_node"), F.col("doc_id").alias("_doc"), "own")
+        held = sets.join(of, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_node", "_doc")
+        held = materialise(held.dropDuplicates(["node"]), "open-sets")
+        limit = int(_signed(np.array([_band_limit(band)]))[0])
+        grams = held.select("node", "n_grams", "own", F.explode("grams").alias("gram")).withColumn("late", F.col("gram") >= limit)
+        known = grams.join(counts.where("gram is not null").select("gram", "uses"), "gram", "left")
+        known = known.where(F.col("late") | F.col("uses").isNotNull())  # the others are the node's own, and come first in its order
+        prefix = materialise(_prefixes(known, share), "gram-prefixes")
+
+        segments = materialise(_segments_of(docs, held.select("doc_id", "node", "check"), n), "segments")
+        star = smallest_reachable(_star_links(prefix, segments, share)).withColumnRenamed("label", "_to")
+        label = open_nodes.select("node", F.col("node").alias("label")).join(star, "node", "left")
+        label = materialise(label.select("node", F.coalesce("_to", "label").alias("label")), "node-labels")
+
+        # members of groups that are still in several components; among these, all n-grams are put in order, rarest first
+        labelled = prefix.join(label, "node")
+        spread = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
+        left = materialise(labelled.join(spread, "gram").select("node", "n_grams").distinct(), "open-members")
+        every = materialise(segments.join(left, "node").select("node", "n_grams", F.explode("grams").alias("gram")), "open-grams")
+        uses = every.groupBy("gram").agg(F.count("*").alias("uses"), F.min("node").alias("low"), F.max("node").alias("high"))
+        own = uses.where("low = high").groupBy(F.col("low").alias("node")).agg(F.count("*").alias("own"))
+        members = every.join(uses.where("low <> high").select("gram", "uses"), "gram").join(own, "node", "left")
+        members = members.withColumn("own", F.coalesce("own", F.lit(0))).withColumn("late", F.lit(False))
+        members = materialise(_prefixes(members, share), "open-prefixes")
+        sizes = members.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1")
+        turn = (F.shiftrightunsigned(F.xxhash64("node", "gram"), 11) / F.lit(float(1 << 53))).alias("turn")
+        members = materialise(members.join(sizes, "gram").join(_parities(every), "node").select("*", turn), "open-groups")
+        label = _join_by_pivots(members, label, segments, share)
+
+        # rows of one doc_id are one document: its texts' components are joined too
+        documents = sets.drop("grams", "check").join(label, "node", "left").select("doc_id", "n_grams", F.when(F.col("n_grams") > 0, F.coalesce("label", "node")).alias("label"))
+        return _name_components(documents)
+
+
+def _segments_of(docs: DataFrame, owners: DataFrame, n: int) -> DataFrame:
+    """The segments of one text of each node. owners: doc_id, node and check; other texts of an owner's doc_id are left out."""
+    ids = owners.select(F.col("doc_id").alias("_doc"), "node", "check")
+    found = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("node", "check", "text")
+    return _segments(found, n).dropDuplicates(["node", "fragment"])
 
 
 def _name_components(known: DataFrame) -> DataFrame:
@@ -278,11 +339,12 @@ def keep_one(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
     Of rows that repeat a doc_id one stays: the one whose text sorts first. Rows without a doc_id all stay.
     """
     found = components(docs, n, share)
-    gone = materialise(found.where("doc_id <> component_id").select("doc_id"), "near-copies")
-    out = semi_join(docs, gone, "doc_id", "left_anti")
-    rows, ids = docs.agg(F.count("doc_id"), F.lit(0)).first()[0], found.where("doc_id is not null").count()
+    found = materialise(found, "near-copies")
+    out = semi_join(docs, found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti")
+    rows, ids = docs.agg(F.count("doc_id")).first()[0], found.where("doc_id is not null").count()
     if rows > ids:
         named, unnamed = out.where("doc_id is not null"), out.where("doc_id is null")
-        best = named.groupBy("doc_id").agg(F.min(F.struct(F.col("text"), *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_best"))
-        out = best.select("doc_id", "_best.*").select(*docs.columns).unionByName(unnamed)
+        best = fresh("best", docs)
+        one = F.min(F.struct(F.col("text"), *[c for c in docs.columns if c not in ("doc_id", "text")])).alias(best)
+        out = named.groupBy("doc_id").agg(one).select("doc_id", f"{best}.*").select(*docs.columns).unionByName(unnamed)
     return out.select(*docs.columns)
