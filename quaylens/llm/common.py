@@ -17,30 +17,59 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
+_local_root: list[str] = []
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder for one run, below `spark.checkpoint.dir`.
 
-    Where that is unset a local session gets a temporary folder, any other a folder of the warehouse,
-    which all executors see.
+    Where that is unset a local session gets a temporary folder, any other a folder of the warehouse, which all executors
+    see. A path without a scheme is one of Spark's default file system; the result says which that is.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            root = tempfile.mkdtemp(prefix="spark-work-")
-            spark.conf.set("spark.checkpoint.dir", root)
+        if spark.sparkContext.master.startswith("local"):
+            if not _local_root:
+                _local_root.append(tempfile.mkdtemp(prefix="spark-work-"))
+            root = _local_root[0]
         else:
             root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    if "://" not in root and not root.startswith("file:"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, purpose: str) -> DataFrame:
-    """Write `df` to a table in the shared folder and read it back: its lineage ends there, and lost executors cost no more than a read."""
+_scratch: list[list[str]] = []
+
+
+def materialise(df: DataFrame, purpose: str, outlives: int = 0) -> DataFrame:
+    """Write `df` to a table in the shared folder and read it back: its lineage ends there, and lost executors cost no more than a read.
+
+    The table goes with the innermost `scratch`, or with the one `outlives` levels further out; without any it stays.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
     df.write.parquet(path)
+    if len(_scratch) > outlives:
+        _scratch[-1 - outlives].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Work tables that are written within are removed at its end."""
+    made: list[str] = []
+    _scratch.append(made)
+    try:
+        yield
+    finally:
+        _scratch.remove(made)
+        for name in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: A join's hot keys are split even where the step after it would use the join's partitioning.
 SPLIT_JOINS = {"spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
 #: Queries lose their shuffle files when they end, so that rounds don't pile them up.
@@ -48,7 +77,7 @@ DROP_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "tru
 
 
 @contextmanager
-def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+def session_settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Runs what is within under these settings of the session."""
     before = {k: spark.conf.get(k) for k in values}
     for k, v in values.items():

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaylens.llm.common import SPLIT_JOINS, fresh, lower_words, materialise, semi_join, settings, text_blocks, texts_of
+from quaylens.llm.common import DROP_SHUFFLES, SPLIT_JOINS, fresh, lower_words, materialise, scratch, semi_join, session_settings, text_blocks, texts_of
 from quaylens.llm.components import smallest_reachable
 
 FRAGMENTS, PARITY_WORDS, PIVOT_STEP = 8, 8, 16
@@ -269,47 +269,57 @@ def components(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
         raise ValueError("share is a percentage from 50 to 100")
     docs, spark = docs.select("doc_id", "text"), docs.sparkSession
     band = min(1.0, max(0.1, 2 * (100 - share) / 100))
-    with settings(spark, SPLIT_JOINS):
+    with session_settings(spark, SPLIT_JOINS | DROP_SHUFFLES), scratch(spark):
         sets = _named_apart(materialise(document_sets(docs, n, share, band), "gram-sets"))
-        counts = materialise(_first_fragment_counts(sets, band), "gram-counts")
-        alone = counts.where("owner is not null").groupBy(F.col("owner").alias("node")).agg(F.count("*").alias("own"))
-        nodes = sets.where("n_grams > 0").groupBy("node").agg(F.max("n_grams").alias("n_grams"), F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("doc_id"))
-        nodes = nodes.join(alone, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-        open_nodes = materialise(nodes.where(f"own <= {_missing(share)}"), "open-nodes")
-
-        # one text of each open node: a doc_id may have several texts, so the node is part of the key
-        of = open_nodes.select(F.col("node").alias("_node"), F.col("doc_id").alias("_doc"), "own")
-        held = sets.join(of, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_node", "_doc")
-        held = materialise(held.dropDuplicates(["node"]), "open-sets")
-        limit = int(_signed(np.array([_band_limit(band)]))[0])
-        grams = held.select("node", "n_grams", "own", F.explode("grams").alias("gram")).withColumn("late", F.col("gram") >= limit)
-        known = grams.join(counts.where("gram is not null").select("gram", "uses"), "gram", "left")
-        known = known.where(F.col("late") | F.col("uses").isNotNull())  # the others are the node's own, and come first in its order
-        prefix = materialise(_prefixes(known, share), "gram-prefixes")
-
-        segments = materialise(_segments_of(docs, held.select("doc_id", "node", "check"), n), "segments")
+        with scratch(spark):
+            open_nodes, held, prefix = _open_nodes(sets, share, band)
+        segments = materialise(_segments_of(docs, materialise(held.select("doc_id", "node", "check"), "open-owners"), n), "segments")
         star = smallest_reachable(_star_links(prefix, segments, share)).withColumnRenamed("label", "_to")
         label = open_nodes.select("node", F.col("node").alias("label")).join(star, "node", "left")
         label = materialise(label.select("node", F.coalesce("_to", "label").alias("label")), "node-labels")
-
-        # members of groups that are still in several components; among these, all n-grams are put in order, rarest first
-        labelled = prefix.join(label, "node")
-        spread = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
-        left = materialise(labelled.join(spread, "gram").select("node", "n_grams").distinct(), "open-members")
-        every = materialise(segments.join(left, "node").select("node", "n_grams", F.explode("grams").alias("gram")), "open-grams")
-        uses = every.groupBy("gram").agg(F.count("*").alias("uses"), F.min("node").alias("low"), F.max("node").alias("high"))
-        own = uses.where("low = high").groupBy(F.col("low").alias("node")).agg(F.count("*").alias("own"))
-        members = every.join(uses.where("low <> high").select("gram", "uses"), "gram").join(own, "node", "left")
-        members = members.withColumn("own", F.coalesce("own", F.lit(0))).withColumn("late", F.lit(False))
-        members = materialise(_prefixes(members, share), "open-prefixes")
-        sizes = members.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1")
-        turn = (F.shiftrightunsigned(F.xxhash64("node", "gram"), 11) / F.lit(float(1 << 53))).alias("turn")
-        members = materialise(members.join(sizes, "gram").join(_parities(every), "node").select("*", turn), "open-groups")
+        members, parities = _open_members(prefix, label, segments, share)
+        members = materialise(members.join(parities, "node"), "open-groups")
         label = _join_by_pivots(members, label, segments, share)
 
         # rows of one doc_id are one document: its texts' components are joined too
         documents = sets.drop("grams", "check").join(label, "node", "left").select("doc_id", "n_grams", F.when(F.col("n_grams") > 0, F.coalesce("label", "node")).alias("label"))
-        return _name_components(documents)
+        known = materialise(documents, "document-labels", outlives=1)
+    return _name_components(known)
+
+
+def _open_nodes(sets: DataFrame, share: int, band: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes with so few n-grams of their own that they can have links (node, n_grams, doc_id, own), their sets, and their prefixes."""
+    counts = materialise(_first_fragment_counts(sets, band), "gram-counts")
+    alone = counts.where("owner is not null").groupBy(F.col("owner").alias("node")).agg(F.count("*").alias("own"))
+    nodes = sets.where("n_grams > 0").groupBy("node").agg(F.max("n_grams").alias("n_grams"), F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("doc_id"))
+    nodes = nodes.join(alone, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    open_nodes = materialise(nodes.where(f"own <= {_missing(share)}"), "open-nodes", outlives=1)
+
+    # one text of each open node: a doc_id may have several texts, so the node is part of the key
+    of = open_nodes.select(F.col("node").alias("_node"), F.col("doc_id").alias("_doc"), "own")
+    held = sets.join(of, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_node", "_doc")
+    held = materialise(held.dropDuplicates(["node"]), "open-sets", outlives=1)
+    limit = int(_signed(np.array([_band_limit(band)]))[0])
+    grams = held.select("node", "n_grams", "own", F.explode("grams").alias("gram")).withColumn("late", F.col("gram") >= limit)
+    known = grams.join(counts.where("gram is not null").select("gram", "uses"), "gram", "left")
+    known = known.where(F.col("late") | F.col("uses").isNotNull())  # the others are the node's own, and come first in its order
+    return open_nodes, held, materialise(_prefixes(known, share), "gram-prefixes", outlives=1)
+
+
+def _open_members(prefix: DataFrame, label: DataFrame, segments: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
+    """Members of groups that are still in several components, grouped anew: all their n-grams are put in order, rarest among them first. And their parities."""
+    labelled = prefix.join(label, "node")
+    spread = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
+    left = materialise(labelled.join(spread, "gram").select("node", "n_grams").distinct(), "open-members")
+    every = materialise(segments.join(left, "node").select("node", "n_grams", F.explode("grams").alias("gram")), "open-grams")
+    uses = every.groupBy("gram").agg(F.count("*").alias("uses"), F.min("node").alias("low"), F.max("node").alias("high"))
+    own = uses.where("low = high").groupBy(F.col("low").alias("node")).agg(F.count("*").alias("own"))
+    members = every.join(uses.where("low <> high").select("gram", "uses"), "gram").join(own, "node", "left")
+    members = members.withColumn("own", F.coalesce("own", F.lit(0))).withColumn("late", F.lit(False))
+    members = materialise(_prefixes(members, share), "open-prefixes")
+    sizes = members.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1")
+    turn = F.shiftrightunsigned(F.xxhash64("node", "gram"), 11) / F.lit(float(1 << 53))
+    return members.join(sizes, "gram").withColumn("turn", turn), _parities(every)
 
 
 def _segments_of(docs: DataFrame, owners: DataFrame, n: int) -> DataFrame:
@@ -321,7 +331,6 @@ def _segments_of(docs: DataFrame, owners: DataFrame, n: int) -> DataFrame:
 
 def _name_components(known: DataFrame) -> DataFrame:
     """From doc_id, n_grams, label (null: linked with nothing) to one row per doc_id, named by the smallest doc_id of its component."""
-    known = materialise(known, "document-labels")
     several = known.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("n_grams").alias("n_grams"))
     twice = several.where("low <> high")
     if not twice.isEmpty():
