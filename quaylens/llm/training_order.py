@@ -1,37 +1,41 @@
 """Training-order materialisation of token sequences.
 
-A sequence is a document with its end id. Sequences are numbered densely (a task's first number is the sum of the rows of
-the tasks before it); a keyed Feistel permutation of the numbers, walked along its cycles until it falls below the
-number of sequences, gives each its global slot. Slots are dealt to shards by range, each shard is written by one task in
-slot order, as records of a fixed stride: the slot, the record's place in its sequence, how many ids it holds, and the ids
-(of 16 bits if the vocabulary allows it, else of 32), filled up with the end id. A record's place in the file is its number times the stride, so a reader can go on anywhere.
-
-A manifest with one row per sequence says where it starts. Texts move once, to their shard; ids are made there.
-
-Cases: a null or empty text is the end id alone. Repeated rows are sequences of their own, ties don't arise (slots differ).
-An empty table gives an empty manifest and no shard.
+1. Every task joins the ids of its documents, each with an end id, into one stream and cuts it into sequences of exactly
+   `length` ids; the task's last one is filled up with end ids. The sequences are written down once, with the task and the
+   number within it, so that a second attempt of anything later meets the same numbers.
+2. Sequences are numbered densely (a task's first number is the count of those of the tasks before it). A keyed Feistel
+   permutation of the numbers, walked along its cycles until it falls below the number of sequences, gives each its global
+   slot.
+3. Sequences are dealt to tasks by ranges of slots, several shards to a task where there are many, and written in slot
+   order. A shard holds `shard_sequences` slots and nothing but ids (of 16 bits if the vocabulary allows it, else of 32), so
+   slot s starts at byte (s mod shard_sequences) * length * id bytes of shard s div shard_sequences: reading goes on from
+   any slot, without an index.
+
+The manifest says what each slot holds: the pieces of documents, in order, with their places.
+
+Cases: a null or empty text is the end id alone. A text of any length runs over as many sequences as it needs. Repeated rows
+are documents of their own; ties don't arise (slots differ). Columns other than doc_id and text aren't read. An empty table
+gives an empty manifest and no shard.
 """
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from quaylens.llm.common import materialise, shared_folder, text_blocks
+from quaylens.llm.common import materialise, shared_folder, text_blocks, texts_of
 from quaylens.llm.files import AtomicFile, open_input
 from quaylens.llm.tokens import default_vocabulary, encoder, read_vocabulary
 
-END_ID, RECORD_IDS, SHARD_SEQUENCES, ROUNDS = 50_256, 256, 4_096, 4
-HEAD = "<QII"  # a record starts with its slot, its place in the sequence, and the number of its ids
-HEAD_BYTES = struct.calcsize(HEAD)
+END_ID, LENGTH, SHARD_SEQUENCES, MOST_TASKS, ROUNDS = 50_256, 2_048, 4_096, 8_192, 4
 
 
 def feistel(numbers: np.ndarray, size: int, key: int) -> np.ndarray:
@@ -60,79 +64,115 @@ def id_type(vocabulary: str) -> str:
     return "<u2" if max([END_ID, *ordinary.values(), *added.values()]) < 1 << 16 else "<u4"
 
 
-def write(docs: DataFrame, key: int = 20_24, vocabulary: str | None = None, folder: str | None = None, record_ids: int = RECORD_IDS, shard_sequences: int = SHARD_SEQUENCES) -> tuple[str, DataFrame]:
-    """Writes the shards; returns their folder and the manifest: doc_id, slot, shard, first_record, n_records, n_tokens, ids_crc32."""
-    spark = docs.sparkSession
-    path = vocabulary or default_vocabulary()
-    kind_of_id, out = np.dtype(id_type(path)), folder or shared_folder(spark, "shards")
-    numbered = docs.select("doc_id", "text").withColumn("_n", F.monotonically_increasing_id())
-    tasks = numbered.select(F.shiftright("_n", 33).cast("int").alias("task")).groupBy("task").count().orderBy("task").collect()  # a row per task
+def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
+    """task, number, ids (binary, `length` ids), pieces: doc_id, start (the document's ids before it), length and offset (in the sequence)."""
+    kind_of_id = np.dtype(id_type(vocabulary))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"task int, number long, ids binary, pieces array<struct<doc_id: {kind}, start: long, length: long, offset: long>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, task, number = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        open_ids: list[np.ndarray] = []
+        open_pieces: list[dict] = []
+        filled = 0
+        for block in text_blocks(batches):
+            rows: list[tuple[bytes, list[dict]]] = []
+            id_kind = block.schema.field("doc_id").type
+            for doc_id, text in zip(block.column("doc_id").to_pylist(), texts_of(block), strict=True):
+                ids = np.append(enc.ids(text), np.uint32(END_ID)).astype(kind_of_id)
+                start = 0
+                while start < len(ids):
+                    part = ids[start : start + length - filled]
+                    open_ids.append(part)
+                    open_pieces.append({"doc_id": doc_id, "start": start, "length": len(part), "offset": filled})
+                    start, filled = start + len(part), filled + len(part)
+                    if filled == length:
+                        rows.append((np.concatenate(open_ids).tobytes(), open_pieces))
+                        open_ids, open_pieces, filled = [], [], 0
+            if rows:
+                yield _batch(task, number, rows, id_kind)
+                number += len(rows)
+        if filled:
+            rest = np.full(length - filled, END_ID, dtype=kind_of_id)
+            yield _batch(task, number, [(np.concatenate([*open_ids, rest]).tobytes(), open_pieces)], id_kind)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def _batch(task: int, number: int, rows: list[tuple[bytes, list[dict]]], id_kind: pa.DataType) -> pa.RecordBatch:
+    pieces = pa.list_(pa.struct([("doc_id", id_kind), ("start", pa.int64()), ("length", pa.int64()), ("offset", pa.int64())]))
+    columns = [pa.array([task] * len(rows), pa.int32()), pa.array(range(number, number + len(rows)), pa.int64()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pieces)]
+    return pa.RecordBatch.from_arrays(columns, names=["task", "number", "ids", "pieces"])
+
+
+def place(cut: DataFrame, key: int) -> tuple[int, DataFrame]:
+    """The number of sequences, and `cut` with the slot of each in place of task and number."""
+    counts = cut.groupBy("task").agg(F.max("number").alias("last")).collect()  # a row per task that cut texts
     start, total = {}, 0
-    for task, rows in tasks:
+    for task, last in sorted(counts):
         start[task] = total
-        total += rows
+        total += last + 1
 
     @F.pandas_udf(LongType())
-    def slot_of(n: pd.Series) -> pd.Series:
-        v = n.to_numpy()
-        task = v >> 33
-        first = np.zeros(len(v), dtype=np.int64)
-        for t in np.unique(task):
-            first[task == t] = start[int(t)]
-        return pd.Series(feistel(first + (v & ((1 << 33) - 1)), total, key))
-
-    placed = numbered.withColumn("slot", slot_of("_n")).withColumn("shard", F.expr(f"slot div {shard_sequences}")).drop("_n")
-    n_shards = max(1, -(-total // shard_sequences))
-    ordered = placed.repartition(n_shards, "shard").sortWithinPartitions("shard", "slot")
+    def slot_of(task: pd.Series, number: pd.Series) -> pd.Series:
+        return pd.Series(feistel(task.map(start).to_numpy() + number.to_numpy(), total, key))
+
+    return total, cut.withColumn("slot", slot_of("task", "number")).drop("task", "number")
+
+
+def write(docs: DataFrame, key: int = 20_24, vocabulary: str | None = None, folder: str | None = None, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES) -> tuple[str, DataFrame]:
+    """Writes the shards; returns their folder and the manifest: slot, shard, position (in the shard), ids_crc32, pieces."""
+    spark = docs.sparkSession
+    path, out = vocabulary or default_vocabulary(), folder or shared_folder(spark, "shards")
+    total, placed = place(materialise(sequences(docs, path, length), "sequences"), key)
+    shards = max(1, -(-total // shard_sequences))
+    dealt = placed.withColumn("shard", F.expr(f"slot div {shard_sequences}L")).repartitionByRange(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard", "slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, file, at, record = encoder(path), None, None, 0
-        stride = HEAD_BYTES + kind_of_id.itemsize * record_ids
-        for block in text_blocks(batches):
-            rows = []
-            for text, slot, shard in zip(*(block.column(c).to_pylist() for c in ("text", "slot", "shard")), strict=True):
+        file, at = None, None
+        for batch in batches:
+            crcs = []
+            for ids, shard in zip(batch.column("ids").to_pylist(), batch.column("shard").to_pylist(), strict=True):
                 if shard != at:
                     if file is not None:
                         file.close()
-                    file, at, record = AtomicFile(out, f"shard-{shard:08d}.bin"), shard, 0
-                ids = np.append(enc.ids(text or ""), np.uint32(END_ID)).astype("<u4")
-                n = len(ids)
-                count = -(-n // record_ids)
-                filled = np.full(count * record_ids, END_ID, dtype=kind_of_id)
-                filled[:n] = ids
-                records = filled.reshape(count, record_ids)
-                file.write(b"".join(struct.pack(HEAD, slot, i, min(record_ids, n - i * record_ids)) + records[i].tobytes() for i in range(count)))
-                rows.append((slot, shard, record, count, n, zlib.crc32(ids.tobytes())))
-                record += count
-                assert file.size == record * stride
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], names=["doc_id", "slot", "shard", "first_record", "n_records", "n_tokens", "ids_crc32"])
+                    file, at = AtomicFile(out, f"shard-{shard:08d}.bin"), shard
+                file.write(ids)
+                crcs.append(zlib.crc32(ids))
+            position = pa.array([s % shard_sequences for s in batch.column("slot").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("slot"), batch.column("shard"), position, pa.array(crcs, pa.int64()), batch.column("pieces")], names=["slot", "shard", "position", "ids_crc32", "pieces"])
         if file is not None:
             file.close()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    manifest = materialise(ordered.mapInArrow(run, f"doc_id {kind}, slot long, shard long, first_record long, n_records long, n_tokens long, ids_crc32 long"), "shard-manifest")
-    return out, manifest
+    kind = placed.schema["pieces"].dataType.simpleString()
+    return out, materialise(dealt.mapInArrow(run, f"slot long, shard long, position long, ids_crc32 long, pieces {kind}"), "shard-manifest")
 
 
-def read_back(folder: str, manifest: DataFrame, record_ids: int = RECORD_IDS, vocabulary: str | None = None) -> DataFrame:
-    """`manifest` with read_crc32 and in_order, from the shards themselves: each shard is read by seeking to its records in slot order."""
-    columns = manifest.columns
-    kind_of_id = np.dtype(id_type(vocabulary or default_vocabulary()))
+def read(spark: SparkSession, folder: str, total: int, first_slot: int = 0, vocabulary: str | None = None, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES) -> DataFrame:
+    """slot, ids (binary) from the shards alone, from `first_slot` on: a task reads its shards from front to back, by stride."""
+    stride = length * np.dtype(id_type(vocabulary or default_vocabulary())).itemsize
+    shards = range(first_slot // shard_sequences, max(first_slot // shard_sequences, -(-total // shard_sequences)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stride, source, at = HEAD_BYTES + kind_of_id.itemsize * record_ids, None, None
         for batch in batches:
-            crcs, fine = [], []
-            for slot, shard, first, n in zip(*(batch.column(c).to_pylist() for c in ("slot", "shard", "first_record", "n_records")), strict=True):
-                if shard != at:
-                    source, at = open_input(folder, f"shard-{shard:08d}.bin"), shard
-                source.seek(first * stride)
-                data = source.read(n * stride)
-                heads = [struct.unpack_from(HEAD, data, i * stride) for i in range(n)]
-                ids = [np.frombuffer(data, dtype=kind_of_id, count=h[2], offset=i * stride + HEAD_BYTES) for i, h in enumerate(heads)]
-                crcs.append(zlib.crc32(np.concatenate(ids).astype("<u4").tobytes()))
-                fine.append([h[:2] for h in heads] == [(slot, i) for i in range(n)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(crcs, pa.int64()), pa.array(fine)], names=[*columns, "read_crc32", "in_order"])
-
-    ordered = manifest.repartition("shard").sortWithinPartitions("shard", "slot")
-    return ordered.mapInArrow(run, ordered.withColumn("read_crc32", F.lit(0).cast("long")).withColumn("in_order", F.lit(True)).schema)
+            for shard in batch.column("id").to_pylist():
+                slot, end = max(first_slot, shard * shard_sequences), min(total, (shard + 1) * shard_sequences)
+                with open_input(folder, f"shard-{shard:08d}.bin") as source:
+                    source.seek((slot - shard * shard_sequences) * stride)
+                    while slot < end:
+                        n = min(end - slot, max(1, (4 << 20) // stride))
+                        data = source.read(n * stride)
+                        if len(data) != n * stride:
+                            raise ValueError(f"shard {shard} of {folder} ends early")
+                        yield pa.RecordBatch.from_arrays([pa.array(range(slot, slot + n), pa.int64()), pa.array([data[i * stride : (i + 1) * stride] for i in range(n)], pa.binary())], names=["slot", "ids"])
+                        slot += n
+
+    return spark.range(shards.start, shards.stop, 1, max(1, min(len(shards), MOST_TASKS))).mapInArrow(run, "slot long, ids binary")
+
+
+def read_back(folder: str, manifest: DataFrame, vocabulary: str | None = None, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES) -> DataFrame:
+    """A row per piece of a document: doc_id, start, length, slot, offset, shard, position, ids_crc32, and read_crc32 of the sequence as read from its shard."""
+    total = manifest.count()
+    found = read(manifest.sparkSession, folder, total, 0, vocabulary, length, shard_sequences).select("slot", F.crc32("ids").alias("read_crc32"))
+    rows = manifest.join(found, "slot", "left").select("slot", "shard", "position", "ids_crc32", "read_crc32", F.explode("pieces").alias("piece"))
+    return rows.select("piece.doc_id", "piece.start", "piece.length", "slot", "piece.offset", "shard", "position", "ids_crc32", "read_crc32")
