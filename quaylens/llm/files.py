@@ -1,4 +1,8 @@
-"""Files that tasks write to and read from the shared folder, through pyarrow's file systems."""
+"""Files that tasks write to and read from the shared folder, through pyarrow's file systems.
+
+Paths are URIs by the time they get here: `common.shared_folder` gives a path without a scheme that of Spark's default file
+system.
+"""
 
 from __future__ import annotations
 

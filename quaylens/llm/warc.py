@@ -4,12 +4,14 @@ Every page becomes a record. Of equal payloads of at least `least_bytes` bytes t
 response, the others are revisits that refer to it and carry no payload. A task trains a Zstandard dictionary on the first
 records of its archive, writes it in a skippable frame at the file's start, and compresses each record as a frame of its
 own against it; so a reader can start at any record. Archives become visible when complete, under names that a second
-attempt of the task repeats.
+attempt of the task repeats. Training looks at the first 16,384 bytes of each record of the archive's first MB; the records
+themselves are written whole.
 
 Cases: a null html is an empty payload; empty and short payloads are always responses. Rows that repeat a page_id with
 equal payloads are records of their own: each row that has the smallest page_id is a response. A null page_id is larger
 than any other; if no equal payload has a page_id, all are responses. Columns other than page_id, url and html aren't read.
-An empty table gives no archive and an empty result.
+A payload of any length is one record, which is held whole while it is written or read. An empty table gives no archive
+and an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 import zstandard
@@ -31,6 +34,8 @@ from quaylens.llm.files import AtomicFile, open_input
 #: The magic number of the frame that holds a dictionary, and the start of any Zstandard frame.
 DICTIONARY_FRAME, ZSTD_FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 LEAST_BYTES, DICTIONARY_BYTES, TRAINING_BYTES, LEVEL = 100, 32_768, 1 << 20, 3
+#: bytes of a record that the training of a dictionary looks at (the record itself is written whole), and bytes read at a time
+SAMPLE_BYTES, READ_BYTES = 16_384, 1 << 20
 END = b"\r\n\r\n"
 
 
@@ -86,7 +91,7 @@ class Archive:
             self._start()
 
     def _start(self) -> None:
-        samples = [x[:16_384] for x in self.waiting]
+        samples = [x[:SAMPLE_BYTES] for x in self.waiting]
         try:
             book = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 8)), samples, d=8, k=512, steps=1).as_bytes()
         except zstandard.ZstdError:  # too few or too small records to train on: they serve as they are
@@ -105,20 +110,28 @@ class Archive:
         self.file.close()
 
 
-def records_of(data: bytes) -> Iterator[bytes]:
-    """The records of an archive: the dictionary frame first, then a frame for each."""
-    magic, size = struct.unpack_from("<II", data)
+def records_of(source: BinaryIO) -> Iterator[bytes]:
+    """The records of an archive: the dictionary frame first, then a frame for each. Holds a part of the file and one record at a time."""
+    head = source.read(8)
+    magic, size = struct.unpack("<II", head)
     if magic != DICTIONARY_FRAME:
         raise ValueError("the archive has no dictionary frame")
-    book = data[8 : 8 + size]
+    book = source.read(size)
     if book[:4] == ZSTD_FRAME:
         book = zstandard.ZstdDecompressor().decompress(book)
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(book))
-    rest = memoryview(data)[8 + size :]
-    while len(rest):
-        frame = reader.decompressobj()
-        yield frame.decompress(rest)
-        rest = memoryview(frame.unused_data)
+    rest = source.read(READ_BYTES)
+    while rest:
+        frame, parts = reader.decompressobj(), []
+        while True:
+            parts.append(frame.decompress(rest))
+            if frame.eof:
+                break
+            rest = source.read(READ_BYTES)
+            if not rest:
+                raise ValueError("the archive ends within a record")
+        yield b"".join(parts)
+        rest = frame.unused_data or source.read(READ_BYTES)
 
 
 def write(pages: DataFrame, folder: str | None = None, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -151,17 +164,19 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = LEAST_
 def read(manifest: DataFrame, id_type: str = "long") -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to and payload (null in revisits) of every record of the archives.
 
-    Payloads are held against their digests; a record that doesn't match raises an error.
+    Payloads are held against their digests; a record that doesn't match raises an error. There are as many tasks as archives.
     """
 
+    def opened(folder: str, file: str) -> Iterator[bytes]:
+        with open_input(folder, file) as source:
+            yield from records_of(source)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for folder, file in zip(batch.column("folder").to_pylist(), batch.column("file").to_pylist(), strict=True):
-                with open_input(folder, file) as source:
-                    data = source.read()
                 rows: list[tuple] = []
                 held = 0
-                for piece in records_of(data):
+                for piece in opened(folder, file):
                     fields, block = parse(piece)
                     sha = fields["WARC-Payload-Digest"].removeprefix("sha256:")
                     again = fields["WARC-Type"] == "revisit"
@@ -176,7 +191,8 @@ def read(manifest: DataFrame, id_type: str = "long") -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return manifest.repartition(F.col("file")).mapInArrow(run, f"page_id {id_type}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {id_type}, payload binary")
+    archives = max(1, manifest.count())
+    return manifest.repartitionByRange(archives, "file").mapInArrow(run, f"page_id {id_type}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {id_type}, payload binary")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
