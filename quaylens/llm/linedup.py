@@ -1,15 +1,18 @@
 """Line dedup by distinct-site spread, in DataFrame functions only.
 
-Every line is hashed; a HyperLogLog sketch of the sites that a line occurs on is built per hash and merged by aggregation.
-Lines whose estimate is near the threshold get an exact distinct count. A line on enough sites is boilerplate: it stays in
-the document with the smallest id that has it, and leaves all others.
+One pass over the texts gives the hashes of each document's lines. A HyperLogLog sketch of the sites that a line occurs on
+is built per hash and merged by aggregation; lines whose estimate is near the threshold get an exact distinct count. A line
+on enough sites is boilerplate: it stays in the document with the smallest id that has it, and leaves all others.
 
 A site is a value of `source`. Lines are what lies between newlines, without the white space around them; short ones are
 never boilerplate.
 
-Cases: a null or empty text has no lines and stays as it is. A null source is no site. Rows that repeat a doc_id are
-cleaned alike; documents without an id come after all others in the choice of the one that keeps a line, and share that
-place among themselves. A document that loses every line stays, with an empty text. Other columns stay as they are.
+Cases: a null or empty text has no lines and stays as it is; texts and lines of any length are read whole. A null source is
+no site. Rows that repeat a doc_id are cleaned by their own lines, all by the same rule; documents without an id come after
+all others in the choice of the one that keeps a line, and share that place among themselves. A document that loses every
+line stays, with an empty text. Ties don't arise: a line has one smallest id. Other columns stay as they are, whatever their
+names; where `docs` has columns n_lines or n_removed, `clean` gives its own numbers in their place, `clean_documents` leaves
+them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaylens.llm.common import SPLIT_JOINS, fresh, materialise, session_settings
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -36,61 +41,60 @@ def _trimmed(line: Column) -> Column:
     return F.trim(line, F.lit(_EDGES))
 
 
-def _line_hash(line: Column) -> Column:
+def _hash(line: Column) -> Column:
     return F.xxhash64(_trimmed(line))
 
 
-def site_spread(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """line_hash, sites, exact: the sites of each line that may be on enough of them."""
-    s = settings or Settings()
-    lines = docs.where(F.col("source").isNotNull()).select("source", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.where(F.char_length(_trimmed(F.col("line"))) >= s.least_chars).select(_line_hash(F.col("line")).alias("line_hash"), "source")
-    margin = max(s.near, 0.2 * s.least_sites)
-    sketched = lines.groupBy("line_hash").agg(F.hll_sketch_agg("source", s.sketch_bits).alias("sketch"))
-    guessed = sketched.select("line_hash", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= s.least_sites - margin).withColumn("exact", F.col("sites") <= s.least_sites + margin)
-    return guessed
+def _parts(text: Column) -> Column:
+    return F.split(text, "\n")
 
 
-def boilerplate(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """line_hash and sites of the lines on at least `least_sites` sites."""
-    from quaylens.llm.common import materialise
+def lines_of(docs: DataFrame, s: Settings) -> DataFrame:
+    """doc_id, text_hash, source, line_hash: the lines of each document that are long enough, each once."""
+    long_enough = F.filter(_parts(F.col("text")), lambda line: F.char_length(_trimmed(line)) >= s.least_chars)
+    hashes = F.array_distinct(F.transform(long_enough, _hash))
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", F.explode(hashes).alias("line_hash"))
 
-    s = settings or Settings()
-    guessed = materialise(site_spread(docs, s), "line-spread")
-    lines = docs.where(F.col("source").isNotNull()).select("source", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.where(F.char_length(_trimmed(F.col("line"))) >= s.least_chars).select(_line_hash(F.col("line")).alias("line_hash"), "source")
-    near = lines.join(guessed.where("exact").select("line_hash"), "line_hash").distinct()  # a row for each line and site
-    counted = near.groupBy("line_hash").agg(F.count("*").alias("sites")).where(F.col("sites") >= s.least_sites)
-    return counted.unionByName(guessed.where("not exact").select("line_hash", "sites"))
+
+def boilerplate(lines: DataFrame, s: Settings) -> DataFrame:
+    """line_hash, sites, owner: lines on at least `least_sites` sites, and the smallest doc_id that has each. lines: doc_id, source, line_hash."""
+    margin = max(s.near, 0.2 * s.least_sites)
+    sketched = lines.groupBy("line_hash").agg(F.hll_sketch_agg("source", s.sketch_bits).alias("sketch"), F.min("doc_id").alias("owner"))
+    guessed = sketched.select("line_hash", F.hll_sketch_estimate("sketch").alias("sites"), "owner").where(F.col("sites") >= s.least_sites - margin)
+    guessed = materialise(guessed, "line-spread")
+    sure = F.col("sites") > s.least_sites + margin
+    near = lines.where(F.col("source").isNotNull()).join(guessed.where(~sure).select("line_hash", "owner"), "line_hash")
+    near = near.select("line_hash", "owner", "source").distinct()  # a row for each line and site
+    counted = near.groupBy("line_hash", "owner").agg(F.count("*").alias("sites")).where(F.col("sites") >= s.least_sites)
+    return counted.select("line_hash", "sites", "owner").unionByName(guessed.where(sure))
 
 
 def clean(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """All rows and columns of `docs` with boilerplate lines taken out of `text`, and with n_lines and n_removed."""
-    from quaylens.llm.common import materialise
-
     s = settings or Settings()
-    spread = materialise(boilerplate(docs, s), "line-boilerplate").select("line_hash")
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.where(F.char_length(_trimmed(F.col("line"))) >= s.least_chars).select("doc_id", _line_hash(F.col("line")).alias("line_hash"))
-    hits = materialise(lines.join(spread, "line_hash").distinct(), "line-hits")
-    owner = hits.groupBy("line_hash").agg(F.min("doc_id").alias("owner"))
-    gone = hits.join(owner, "line_hash").where(~F.col("doc_id").eqNullSafe(F.col("owner")))
-    gone = gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_hash").alias("_gone"))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_doc")), "left")
-    parts = F.split("text", "\n")
-    stays = F.filter(parts, lambda line: ~F.array_contains(F.col("_gone"), F.xxhash64(F.trim(line, F.lit(_EDGES)))) | (F.char_length(F.trim(line, F.lit(_EDGES))) < s.least_chars))
-    out = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), stays))
-    n_lines = F.coalesce(F.size(parts), F.lit(0)).cast("long")
-    text = F.when(F.col("_gone").isNotNull(), F.array_join("_lines", "\n")).otherwise(F.col("text"))
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines))
-    out = out.withColumn("n_removed", F.coalesce(F.size(parts) - F.when(F.col("_gone").isNotNull(), F.size("_lines")), F.lit(0)).cast("long"))
-    return out.withColumn("text", text).drop("_doc", "_gone", "_lines")
+    with session_settings(docs.sparkSession, SPLIT_JOINS):
+        lines = materialise(lines_of(docs, s), "lines")
+        common = materialise(boilerplate(lines, s), "line-boilerplate")
+        hits = lines.join(common.select("line_hash", "owner"), "line_hash").where(~F.col("doc_id").eqNullSafe(F.col("owner")))
+        gone = materialise(hits.groupBy("doc_id", "text_hash").agg(F.collect_set("line_hash").alias("gone")), "line-hits")
+    doc, of, taken, kept = (fresh(c, docs) for c in ("doc", "of", "gone", "kept"))
+    gone = gone.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(of), F.col("gone").alias(taken))
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(of)), "left")
+    changed = F.col(taken).isNotNull()
+    stays = F.filter(_parts(F.col("text")), lambda line: ~F.array_contains(F.col(taken), _hash(line)) | (F.char_length(_trimmed(line)) < s.least_chars))
+    out = joined.withColumn(kept, F.when(changed, stays))
+    n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(_parts(F.col("text")))), F.lit(0)).cast("long")
+    n_removed = F.when(changed, n_lines - F.size(kept)).otherwise(F.lit(0)).cast("long")
+    text = F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("text"))
+    own = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*own, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
 def clean_documents(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """`docs` with cleaned texts and their lengths, with its own columns."""
-    out = clean(docs, settings)
+    held = {c: fresh(f"own_{c}", docs) for c in ("n_lines", "n_removed") if c in docs.columns}
+    out = clean(docs.withColumnsRenamed(held), settings)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.drop("n_lines", "n_removed").withColumnsRenamed({new: old for old, new in held.items()}).select(*docs.columns)
