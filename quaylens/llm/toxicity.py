@@ -9,7 +9,12 @@ text of any length is scored whole, and harmless words can't outvote toxic ones.
 
 Cases: a null or empty text has no evidence and gets the score of the bias alone. Labels that are null, or whose id is
 null, teach nothing; several labels of one id count as toxic if any does. A repeated doc_id is scored row by row. Without
-toxic or without other labels there is nothing to learn: every text then gets the smoothed share of toxic labels.
+toxic or without other labels there is nothing to learn: every text then gets the smoothed share of toxic labels. Equal
+texts get equal scores. `score` keeps extra columns (its own replaces one named score), `reject_toxic` that one too. An
+empty table gives an empty result.
+
+Where no labelled sentence holds an identity term, no swap is made and the extra term is zero: `Model.swapped` says how many
+sentences were swapped.
 """
 
 from __future__ import annotations
@@ -26,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaylens.llm.common import crc_fold, text_blocks, texts_of
+from quaylens.llm.common import crc_fold, fresh, text_blocks, texts_of
 
-#: Terms that name groups of people; terms of one group may replace one another.
+#: Terms that name groups of people, in English, French, German and Spanish; terms of one group may replace one another.
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
@@ -40,6 +45,32 @@ IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
     ("immigrant", "immigrants", "refugee", "refugees", "foreigner", "foreigners"),
     ("deaf", "blind", "disabled"),
     ("old", "young", "elderly"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noir", "blanc", "asiatique", "arabe", "africain", "européen"),
+    ("homosexuel", "hétérosexuel", "bisexuel", "transgenre"),
+    ("femme", "homme"),
+    ("femmes", "hommes"),
+    ("immigré", "réfugié", "étranger"),
+    ("immigrés", "réfugiés", "étrangers"),
+    ("sourd", "aveugle", "handicapé"),
+    ("muslim", "christ", "jude", "hindu", "buddhist", "atheist"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarzer", "weißer", "asiate", "araber", "afrikaner", "europäer"),
+    ("schwul", "lesbisch", "bisexuell", "heterosexuell"),
+    ("frau", "mann"),
+    ("frauen", "männer"),
+    ("einwanderer", "flüchtling", "ausländer"),
+    ("gehörlos", "blind", "behindert"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negro", "blanco", "asiático", "árabe", "africano", "europeo"),
+    ("homosexual", "heterosexual", "bisexual", "transgénero"),
+    ("mujer", "hombre"),
+    ("mujeres", "hombres"),
+    ("inmigrante", "refugiado", "extranjero"),
+    ("inmigrantes", "refugiados", "extranjeros"),
+    ("sordo", "ciego", "discapacitado"),
 )
 #: ASCII characters other than letters, digits and the underscore part words
 _PARTS = bytes(b if b >= 128 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
@@ -69,6 +100,8 @@ class Settings:
 class Model:
     bias: float
     weights: dict[str, float] = field(default_factory=dict)
+    #: swapped sentences that the fit held against their originals
+    swapped: int = 0
 
     def evidence(self, word: bytes) -> float:
         return sum(self.weights[f] for f in set(filter(self.weights.__contains__, pieces(word))))
@@ -97,7 +130,10 @@ def features(coded: bytes) -> set[str]:
 
 def swaps(text: str, groups: tuple[tuple[str, ...], ...]) -> Counter[tuple[str, str]]:
     """How often the sentences of a text hold an identity term, with each term that could stand there instead."""
-    partner = {term.encode(): group for group in groups for term in group}
+    partner: dict[bytes, set[str]] = {}
+    for group in groups:
+        for term in group:
+            partner.setdefault(term.encode(), set()).update(group)
     found: Counter[tuple[str, str]] = Counter()
     lowered = text.lower()
     if not words_of(lowered) & partner.keys():
@@ -195,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     bias, w = fit_weights(rows, toxic, len(names), [(of(a), of(b), n) for a, b, n in swapped], s)
     # the sample holds more toxic texts than the labels do; back to their share
     bias += float(np.log(n_toxic / n_other) - np.log(toxic.sum() / (len(toxic) - toxic.sum())))
-    return Model(bias, {f: float(x) for f, x in zip(names, w, strict=True) if x > 1e-6})
+    return Model(bias, {f: float(x) for f, x in zip(names, w, strict=True) if x > 1e-6}, int(sum(n for *_, n in swapped)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -227,7 +263,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, settings: Settings | None = None) -> DataFrame:
     """The rows of `docs` that score below the threshold, with their own columns."""
-    own = docs.columns
-    marked = docs if "score" not in own else docs.withColumnRenamed("score", "_own_score")
-    scored = score(marked, fit(docs, labels, settings)).where(F.col("score") < threshold).drop("score")
-    return (scored if "score" not in own else scored.withColumnRenamed("_own_score", "score")).select(*own)
+    held = {c: fresh("own_score", docs) for c in docs.columns if c == "score"}
+    scored = score(docs.withColumnsRenamed(held), fit(docs, labels, settings)).where(F.col("score") < threshold).drop("score")
+    return scored.withColumnsRenamed({new: old for old, new in held.items()}).select(*docs.columns)
