@@ -1,6 +1,7 @@
 """A hidden Markov language model over words.
 
-Words with many occurrences are symbols of their own; each other word belongs to one of a fixed number of groups by its
+Words that make up at least a share `least_share` of the training tokens are symbols of their own, at every size of the
+corpus (so there are at most 1 / least_share of them); each other word belongs to one of a fixed number of groups by its
 ending, and has a share of its group's probability by its count. So the model gives every sequence of words a probability:
 
     P(text) = P_hmm(symbols of its words, end) * product over grouped words of (c + 0.5) / (mass of the group)
@@ -10,11 +11,11 @@ where a group's mass is the sum of c + 0.5 over its words and 0.5 for all words
 Training is Baum-Welch from random parameters. Every training text counts in every round: tasks add up expected emissions,
 transitions and starts, which are summed over the corpus by symbol. Rounds end when the corpus's likelihood gains no more
 than `least_gain` a token, less than the round before, and at the latest after `corpus_rounds`. Neither training nor scoring
-cuts a text: the scaled recursions run over the whole text, all texts of a block in step. Training holds `window` steps of
-them at a time and carries what leads from one window to the next.
+cuts a text: the scaled recursions run over the whole text, all texts of a block in step. Training holds about `window` tokens
+of them at a time and carries what leads from one window to the next.
 
-Words are counted over all training texts. At most `listed` of the most frequent ones are broadcast with their counts, the
-rest meets its counts in a join.
+Words are counted over all training texts. The symbols, and at most `listed` of the most frequent words, are broadcast with
+their counts; the rest meets its counts in a join.
 
 Cases: a null or empty text is the end token alone. Repeated rows are scored (and, in training folds, counted) row by row.
 Without training texts every token has probability 1 under the base model, and the symbols are equally likely. Ties in
@@ -23,6 +24,7 @@ counts stay on the same side of every cut. Extra columns aren't read; an empty t
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaylens.llm.common import DROP_SHUFFLES, crc_fold, lower_words, materialise, settings, text_blocks, texts_of
+from quaylens.llm.common import DROP_SHUFFLES, crc_fold, lower_words, materialise, session_settings, text_blocks, texts_of
 
 END = b"\n"  # no word holds a newline
 
@@ -42,17 +44,16 @@ END = b"\n"  # no word holds a newline
 @dataclass(frozen=True)
 class Settings:
     states: int = 8
-    #: words that are symbols of their own, and words whose counts are broadcast, at most
-    symbols: int = 60_000
+    #: share of all training tokens from which on a word is a symbol of its own, and words listed with their counts at most, if symbols aren't more
+    least_share: float = 1e-6
     listed: int = 262_144
     groups: int = 512
     #: rounds over the corpus at most, and the gain of log10 likelihood a token that is worth another
     corpus_rounds: int = 14
     least_gain: float = 1e-4
-    #: texts in a sample on which rounds may be run before those over the corpus; none unless asked for
-    sample_rows: int = 0
-    sample_rounds: int = 12
-    window: int = 4_096
+    #: tokens whose forward steps are held at a time, and bytes of symbols in a block of texts that go in step
+    window: int = 1 << 20
+    block: int = 16 << 20
     prior: float = 30.0
     seed: int = 7
 
@@ -74,6 +75,11 @@ class Words:
     def size(self) -> int:
         return 1 + self.n_symbols + self.groups
 
+    @property
+    def kind(self) -> str:
+        """The narrowest type that holds every symbol."""
+        return "<u2" if self.size <= 1 << 16 else "<u4"
+
 
 @dataclass
 class Model:
@@ -114,29 +120,24 @@ _LEVEL = "cast(floor(log2(c) * 8) as int)"
 
 
 def learn_words(counts: DataFrame, s: Settings) -> tuple[Words, int]:
-    """The listed words, and the level of counts below which words aren't listed."""
+    """The listed words, and the count from which on words are listed."""
     total, distinct, ends = counts.agg(F.sum("c"), F.count("*"), F.max(F.when(F.col("word") == F.lit(END), F.col("c")))).first()
     proper = counts.where(F.col("word") != F.lit(END))
-    levels = sorted(proper.groupBy(F.expr(_LEVEL).alias("level")).count().collect(), reverse=True)  # a row for each level: a few hundred
-
-    def cut(most: int) -> int:
-        held, low = 0, 1 << 30
-        for level, n in levels:
-            held += n
-            if held > most:
-                break
-            low = level
-        return low
-
-    low_listed, low_symbol = cut(s.listed), cut(s.symbols)
-    rows = proper.where(f"{_LEVEL} >= {low_listed}").select("word", "c").toArrow()  # at most `listed` rows
+    own = max(1, math.ceil((total or 0) * s.least_share))
+    levels = proper.groupBy(F.expr(_LEVEL).alias("level")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("level")).collect()  # a few hundred rows
+    held, low = 0, own
+    for level in levels:
+        held += level.n
+        if held > s.listed:
+            break
+        low = min(low, level.c)
+    rows = proper.where(F.col("c") >= low).select("word", "c").toArrow()  # at most `listed` rows, or 1 / least_share
     words, numbers = rows.column("word").to_pylist(), rows.column("c").to_numpy()
     order = sorted(range(len(words)), key=lambda i: (-int(numbers[i]), words[i]))
-    n_symbols = sum(n for level, n in levels if level >= low_symbol)
     masses = np.full(s.groups, 0.5)
-    for group, mass in proper.where(f"{_LEVEL} < {low_symbol}").groupBy("group").agg(F.sum(F.col("c") + 0.5)).collect():
+    for group, mass in proper.where(F.col("c") < own).groupBy("group").agg(F.sum(F.col("c") + 0.5)).collect():
         masses[group] += mass
-    return Words(tuple(words[i] for i in order), numbers[order].astype(np.int64), n_symbols, s.groups, masses, total or 0, distinct or 0, ends or 0), low_listed
+    return Words(tuple(words[i] for i in order), numbers[order].astype(np.int64), int((numbers >= own).sum()), s.groups, masses, total or 0, distinct or 0, ends or 0), low
 
 
 class _Index(dict):
@@ -145,7 +146,7 @@ class _Index(dict):
 
 
 def encode(docs: DataFrame, words: Words) -> DataFrame:
-    """row, doc_id, held_out, n_tokens, n_known, base_score, score (both without unlisted words and the model), symbols (16-bit), rare (unlisted words with their numbers)."""
+    """row, doc_id, held_out, n_tokens, n_known, base_score, score (both without unlisted words and the model), symbols (of 16 bits if that holds them, else 32), rare (unlisted words with their numbers)."""
     handle = docs.sparkSession.sparkContext.broadcast(words)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = handle.value
@@ -167,7 +168,7 @@ def encode(docs: DataFrame, words: Words) -> DataFrame:
                 known.append(len(ws) - len(others) + (w.ends > 0))
                 base.append(listed_logs.sum() + np.log10(w.ends + 0.5) - (len(ws) + 1) * log_all)
                 model.append(log_c[at[grouped & ~unlisted]].sum() - log_mass[symbol[grouped] - first_group].sum())
-                symbols.append(np.append(symbol, 0).astype("<u2").tobytes())
+                symbols.append(np.append(symbol, 0).astype(w.kind).tobytes())
                 rare.append(list(Counter(others).items()))
             kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
             made = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), pa.array(symbols, pa.binary()), pa.array([[{"word": a, "n": n} for a, n in r] for r in rare], kind)]
@@ -194,7 +195,7 @@ def _tables(words: Words) -> tuple[_Index, np.ndarray, np.ndarray]:
 
 
 def expected_counts(sequences: list[np.ndarray], m: Model, window: int, into: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
-    """Adds the sequences' expected starts, transitions and emissions to `into`; returns their log10 likelihood. Exact for any `window`, the number of steps that are held at a time."""
+    """Adds the sequences' expected starts, transitions and emissions to `into`; returns their log10 likelihood. Exact for any `window`, about how many tokens are held at a time."""
     start, step, emit = into
     sequences = sorted(sequences, key=lambda s: -len(s))
     n, k, longest = len(sequences), len(m.start), len(sequences[0])
@@ -223,15 +224,18 @@ def expected_counts(sequences: list[np.ndarray], m: Model, window: int, into: tu
                 alpha[i:j] = a
         return a
 
-    lows = list(range(0, longest, window))
+    lows = [0]  # the first step of each window
+    for t in range(1, longest):
+        if at[t + 1] - at[lows[-1]] > window:
+            lows.append(t)
+    highs = [*lows[1:], longest]
     entries = [begin]  # the step before each window
-    for low in lows[:-1]:
-        part = slice(at[low], at[low + window])
-        entries.append(forward(low, low + window, entries[-1], None, emission[symbols[part]], np.empty(part.stop - part.start, np.float32)))
+    for low, high in zip(lows[:-1], highs, strict=False):
+        part = slice(at[low], at[high])
+        entries.append(forward(low, high, entries[-1], None, emission[symbols[part]], np.empty(part.stop - part.start, np.float32)))
     total, counted = 0.0, np.zeros((k, k))
     beta = np.ones((n, k), dtype=np.float32)
-    for low, entry in zip(reversed(lows), reversed(entries), strict=True):
-        high = min(low + window, longest)
+    for low, high, entry in zip(reversed(lows), reversed(highs), reversed(entries), strict=True):
         first, part = at[low], slice(at[low], at[high])
         seen = emission[symbols[part]]
         alpha, scale = np.empty_like(seen), np.empty(len(seen), dtype=np.float32)
@@ -278,29 +282,21 @@ def train(encoded: DataFrame, words: Words, s: Settings) -> Model:
     n = rows.count()
     if not n:
         return Model(model.start, model.share, model.step / model.step.sum(axis=1, keepdims=True), np.tile(common[:, None], (1, k)))
-    drawn = rows.where(F.pmod(F.xxhash64("row", F.lit("hmm")), F.lit(1_000_000)) < min(1.0, s.sample_rows / n) * 1_000_000)
-    sample = [np.frombuffer(x, "<u2") for x in drawn.select("symbols").toArrow().column(0).to_pylist()] if s.sample_rows else []  # bounded by sample_rows
-    for _ in range(s.sample_rounds if sample else 0):
-        got = zeros()
-        for i in range(0, len(sample), 500):
-            expected_counts(sample[i : i + 500], model, s.window, got)
-        model = maximise(*got, common, s.prior)
-
-    spark, reached, gain = encoded.sparkSession, -np.inf, np.inf
+    spark, reached, gain, kind_of_symbol = encoded.sparkSession, -np.inf, np.inf, words.kind
     for _ in range(s.corpus_rounds):
         handle = spark.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch], handle=handle) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             got, likelihood = zeros(), np.zeros((1, k))
-            for block in text_blocks(batches, "symbols"):
-                likelihood[0, 0] += expected_counts([np.frombuffer(x, "<u2") for x in block.column("symbols").to_pylist()], handle.value, s.window, got)
+            for block in text_blocks(batches, "symbols", s.block):
+                likelihood[0, 0] += expected_counts([np.frombuffer(x, kind_of_symbol) for x in block.column("symbols").to_pylist()], handle.value, s.window, got)
             start, step, emit = got
             used = np.flatnonzero(emit.any(axis=1))
             symbol = np.r_[-1, -2 - np.arange(k), -2 - k, used].astype(np.int32)
             values = np.vstack([start, step, likelihood, emit[used]]).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array(symbol), *(pa.array(values[:, j]) for j in range(k))], names=["symbol", *(f"s{j}" for j in range(k))])
 
-        with settings(spark, DROP_SHUFFLES):
+        with session_settings(spark, DROP_SHUFFLES):
             summed = rows.select("symbols").mapInArrow(expect, "symbol int, " + ", ".join(f"s{j} float" for j in range(k)))
             summed = summed.groupBy("symbol").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toArrow()  # a row for each symbol
         handle.unpersist()
@@ -333,7 +329,7 @@ def log10_likelihoods(sequences: list[np.ndarray], m: Model) -> np.ndarray:
         end = max(end, begin + 1)
         group = order[begin:end]
         longest = int(sizes[begin])
-        symbols = np.zeros((longest, len(group)), dtype=np.uint16)
+        symbols = np.zeros((longest, len(group)), dtype=sequences[0].dtype)
         for j, i in enumerate(group):
             symbols[: len(sequences[i]), j] = sequences[i]
         active = np.searchsorted(-sizes[begin:end], -np.arange(longest), side="left")
@@ -359,18 +355,18 @@ def score(docs: DataFrame, settings: Settings | None = None, folds: int = 5, fol
     words, low = learn_words(counts, s)
     encoded = materialise(encode(docs, words), "symbols")
     model = train(encoded, words, s)
-    handle = docs.sparkSession.sparkContext.broadcast(model)
+    handle, kind_of_symbol = docs.sparkSession.sparkContext.broadcast(model), words.kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, "symbols"):
-            found = log10_likelihoods([np.frombuffer(x, "<u2") for x in block.column("symbols").to_pylist()], handle.value)
+            found = log10_likelihoods([np.frombuffer(x, kind_of_symbol) for x in block.column("symbols").to_pylist()], handle.value)
             columns = [block.column(c) for c in ("row", "doc_id", "held_out", "n_tokens", "n_known", "base_score")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(block.column("score").to_numpy() + found)], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "symbols").mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     rare = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    met = rare.join(counts.where(f"{_LEVEL} < {low}").select("word", "c"), "word", "left")
+    met = rare.join(counts.where(F.col("c") < low).select("word", "c"), "word", "left")
     rest = met.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("met"))
     out = scored.join(rest, "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
