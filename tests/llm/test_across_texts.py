@@ -228,7 +228,7 @@ def test_scores_against_plain_python(documents):  # noqa: ANN001
     fold = lambda i: zlib.crc32(str(i).encode()) % 5
     counts = Counter(w for i, t in rows if fold(i) != 1 for w in [*lower_words(t), None])
     n, v = sum(counts.values()), len(counts)
-    got = {r.doc_id: r for r in hmm.score(documents, hmm.Settings(symbols=300, listed=2000, sample_rows=100)).collect()}
+    got = {r.doc_id: r for r in hmm.score(documents, hmm.Settings(least_share=3e-4, listed=2000)).collect()}
     gain = []
     for i, t in rows:
         ws, r = [*lower_words(t), None], got[i]

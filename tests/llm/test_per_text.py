@@ -65,6 +65,48 @@ def test_toxicity_bears_odd_rows(odd, none, labels):  # noqa: ANN001
     assert toxicity.fit(odd, labels.limit(0)).weights == {}
 
 
+def test_weights_against_a_numeric_gradient():
+    rng = np.random.default_rng(4)
+    rows = [rng.integers(0, 6, int(rng.integers(0, 5))) for _ in range(40)]
+    toxic = (rng.random(40) < 0.4).astype(float)
+    pairs = [(np.array([0, 1]), np.array([2]), 3.0), (np.array([4]), np.array([], dtype=np.int64), 1.0)]
+    s = toxicity.Settings(steps=4000)
+
+    def loss(bias, w):  # noqa: ANN001, ANN202
+        total = 0.0
+        for r, y in zip(rows, toxic, strict=True):
+            p = 1 / (1 + np.exp(-(bias + sum(w[i] for i in r))))
+            total -= np.log(p if y else 1 - p) / len(rows)
+        total += s.ridge * (w**2).sum()
+        return total + s.counterfactual * sum(n * (w[a].sum() - w[b].sum()) ** 2 for a, b, n in pairs) / sum(n for *_, n in pairs)
+
+    bias, w = toxicity.fit_weights(rows, toxic, 6, pairs, s)
+    step = 1e-5
+    assert abs(loss(bias + step, w) - loss(bias - step, w)) / (2 * step) < 2e-3
+    for i in range(6):
+        up, down = w.copy(), w.copy()
+        up[i] += step
+        down[i] -= step
+        slope = (loss(bias, up) - loss(bias, down)) / (2 * step)
+        assert abs(slope) < 2e-3 if w[i] > 1e-3 else slope > -2e-3
+
+
+def test_scores_against_plain_python(documents, odd):  # noqa: ANN001
+    model = toxicity.Model(-1.5, {"=alpha1": 0.7, "^alp": 0.2, "eta": 9.0, "beta": 0.4, "=x": 1.0})
+    for df in (documents, odd):
+        for r in toxicity.score(df, model).collect():
+            z = model.bias
+            for word in {w.decode() for w in toxicity.words_of(r.text or "")}:
+                marked = f"^{word}$"
+                z += sum(v for f, v in model.weights.items() if f == "=" + word or (len(f) in (4, 5) and f[0] != "=" and f in marked))
+            assert abs(r.score - 1 / (1 + np.exp(-max(-30, min(30, z))))) < 1e-9
+
+
+@pytest.mark.parametrize(("first", "second"), [("muslim", "christian"), ("juif", "musulman"), ("frauen", "männer"), ("refugiado", "extranjero")])
+def test_terms_of_four_languages_are_swapped(first, second):  # noqa: ANN001
+    assert toxicity.swaps(f"x {first} y. z", toxicity.IDENTITY_GROUPS)[first, second] == 1
+
+
 # quality
 
 
@@ -124,15 +166,73 @@ def test_feistel_is_a_permutation(size):  # noqa: ANN001
     assert size < 50 or not np.array_equal(a, b)
 
 
-def test_shards_can_be_read_from_anywhere(odd, none):  # noqa: ANN001
-    folder, manifest = training_order.write(odd, record_ids=64, shard_sequences=5)
-    got = training_order.read_back(folder, manifest, record_ids=64).collect()
-    assert sorted(r.slot for r in got) == list(range(18))
-    assert all(r.in_order and r.read_crc32 == r.ids_crc32 and r.shard == r.slot // 5 for r in got)
+def plain_feistel(n, size, key):  # noqa: ANN001, ANN201
+    """The permutation of one number in plain integers."""
+    half = max(1, (max(1, size - 1).bit_length() + 1) // 2)
+    keys = np.random.Generator(np.random.Philox(key)).integers(0, 2**63, training_order.ROUNDS).tolist()
+    while True:
+        left, right = n >> half, n & ((1 << half) - 1)
+        for k in keys:
+            y = ((right ^ k) * 0x9E3779B97F4A7C15) % 2**64
+            y = ((y ^ (y >> 29)) * 0xBF58476D1CE4E5B9) % 2**64
+            left, right = right, left ^ ((y >> 32) & ((1 << half) - 1))
+        n = (left << half) | right
+        if n < size:
+            return n
+
+
+def test_feistel_against_plain_integers():
+    for size in (1, 7, 1000):
+        assert training_order.feistel(np.arange(size), size, 9).tolist() == [plain_feistel(n, size, 9) for n in range(size)]
+
+
+def test_slots_and_shards_against_plain_python(spark, odd, none):  # noqa: ANN001
+    path, length, per_shard = tokens.default_vocabulary(), 64, 5
+    end = training_order.END_ID
+    for df in (odd, none):
+        cut = training_order.sequences(df, path, length).collect()
+        folder, manifest = training_order.write(df, key=3, length=length, shard_sequences=per_shard)
+        got = training_order.read_back(folder, manifest, length=length, shard_sequences=per_shard).collect()
+        first, total = {}, 0
+        for task in sorted({r.task for r in cut}):
+            first[task] = total
+            total += sum(r.task == task for r in cut)
+        assert manifest.count() == total and all(r.read_crc32 == r.ids_crc32 for r in got)
+        slots = {plain_feistel(first[r.task] + r.number, total, 3): r for r in cut}
+        assert sorted(slots) == list(range(total))
+        assert {(p.doc_id, p.start, p.length, s, p.offset) for s, r in slots.items() for p in r.pieces} == {(r.doc_id, r.start, r.length, r.slot, r.offset) for r in got}
+        assert all((r.shard, r.position) == divmod(r.slot, per_shard) for r in got)
+        # the ids of every document, put together from the shards alone
+        ids = {r.slot: np.frombuffer(r.ids, "<u2") for r in training_order.read(spark, folder, total, 0, length=length, shard_sequences=per_shard).collect()}
+        assert all(ids[s].tobytes() == r.ids for s, r in slots.items())
+        if not total:
+            continue
+        late = training_order.read(spark, folder, total, total - 7, length=length, shard_sequences=per_shard).collect()
+        assert sorted(r.slot for r in late) == list(range(total - 7, total)) and all(r.ids == ids[r.slot].tobytes() for r in late)
+        whole = {}
+        for r in sorted(got, key=lambda r: r.start):
+            if r.doc_id == 6:
+                whole.setdefault(r.doc_id, []).append(ids[r.slot][r.offset : r.offset + r.length])
+        text = next(r.text for r in odd.collect() if r.doc_id == 6)
+        assert np.concatenate(whole[6]).tolist() == [*tokens.library_ids(path, text), end]
+        assert sum(r.length for r in got) == sum(len(tokens.library_ids(path, r.text or "")) + 1 for r in odd.collect())
+
+
+HARD = {"spaces": " " * 1_000_000, "letters": "a" * 1_000_000, "newlines": "\n" * 300_000 + "x", "mixed": "ab \n\t" * 100_000 + " " * 200_000}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_ids_of_very_long_runs(name):  # noqa: ANN001
     path = tokens.default_vocabulary()
-    expected = sorted(zlib.crc32(tokens.library_ids(path, r.text or "").tobytes() + (50_256).to_bytes(4, "little")) for r in odd.collect())
-    assert sorted(r.ids_crc32 for r in got) == expected
-    assert training_order.write(none)[1].count() == 0
+    assert np.array_equal(tokens.encoder(path).ids(HARD[name]), tokens.library_ids(path, HARD[name]))
+
+
+def test_very_long_runs_are_packed_and_ordered(spark):  # noqa: ANN001
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(HARD.values())], "doc_id long, text string")
+    out = packing.pack(df).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
+    assert len(out) == len(HARD) and all(r.n == r.m for r in out)
+    folder, manifest = training_order.write(df)
+    assert all(r.read_crc32 == r.ids_crc32 for r in training_order.read_back(folder, manifest).collect())
 
 
 # packing
