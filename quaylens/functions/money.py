@@ -19,18 +19,23 @@ def half_up(x: Column, digits: int) -> Column:
     return F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
 
 
+#: Texts that say that there is no price.
+NO_PRICE = ("n/a", "na", "null", "undefined", "unknown", "--", "-", "not available")
+
+
 def parse_money(text: Column) -> Column:
-    """A non-negative amount from a text in either decimal style; null where there is none."""
-    raw = F.regexp_replace(F.trim(text), r"[\s ]", "")
-    raw = F.regexp_replace(raw, r"[^0-9.,+-]", "")
-    none = F.lower(F.trim(text)).rlike(r"^(n/?a|na|null|undefined|unknown|--|-|not available)?$") | ~raw.rlike("[0-9]")
-    comma, dot = F.length(raw) - F.instr(F.reverse(raw), ","), F.length(raw) - F.instr(F.reverse(raw), ".")
-    has_comma, has_dot = F.instr(raw, ",") > 0, F.instr(raw, ".") > 0
-    as_decimal = F.when(comma > dot, F.translate(F.translate(raw, ".", ""), ",", ".")).otherwise(F.translate(raw, ",", ""))
-    only_comma = F.when(raw.rlike(r"^[-+]?\d{1,3}(,\d{3})+$"), F.translate(raw, ",", "")).otherwise(F.regexp_replace(raw, "^([^,]*),", "$1."))
-    only_dot = F.when(raw.rlike(r"^[-+]?\d{1,3}(\.\d{3})+$"), F.translate(raw, ".", "")).otherwise(raw)
-    number = F.when(has_comma & has_dot, as_decimal).when(has_comma, only_comma).when(has_dot, only_dot).otherwise(raw).try_cast("double")
-    return F.when(~none & (number >= 0), number)
+    """A non-negative amount from a text in either decimal style; null where there is none.
+
+    The last comma or dot is the decimal mark, unless it is the only kind and parts off groups of three.
+    """
+    said = F.lower(F.trim(text))
+    raw = F.regexp_replace(said, "[^0-9.,+-]", "")
+    mark = F.regexp_extract(raw, "([.,])[^.,]*$", 1)
+    other = F.when(mark == ",", ".").otherwise(",")
+    grouped = raw.rlike(r"^[-+]?\d{1,3}(,\d{3})+$") | raw.rlike(r"^[-+]?\d{1,3}(\.\d{3})+$")
+    number = F.when(grouped, F.translate(raw, ",.", "")).otherwise(F.replace(F.replace(raw, other, F.lit("")), mark, F.lit(".")))
+    amount = F.when(mark == "", raw).otherwise(number).try_cast("double")
+    return F.when(~said.isin(*NO_PRICE) & raw.rlike("[0-9]") & (amount >= 0), amount)
 
 
 def strict_price(text: Column) -> Column:

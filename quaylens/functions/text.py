@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 _NOT_WORD = re.compile(r"[^\w]+|_+")
 _MARKS = re.compile("[ً-ٰٟ]")
@@ -27,8 +28,8 @@ def normalize_text(values: pd.Series) -> pd.Series:
 
 
 def plain_text(text: Column) -> Column:
-    """The same for ASCII texts, in built-in functions."""
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    """Lower case, everything but letters and digits of any script to single spaces; without NFKC, in built-in functions."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
 def tokens(text: Column) -> Column:
@@ -62,30 +63,122 @@ def capacity_gb(text: Column) -> Column:
     return F.when(F.size(sizes) == 1, sizes[0])
 
 
+#: The conditions that schema.org names.
+SCHEMA_CONDITIONS = {"newcondition": "new", "usedcondition": "used", "refurbishedcondition": "refurbished"}
+#: What words say of a condition and of a stock; the first that are found decide.
+CONDITION_WORDS = (
+    ("unknown", r"(not|non|never)\s+(brand\s+)?new"),
+    ("refurbished", r"refurbished?|renewed|remanufactured"),
+    ("open_box", r"open\s*box"),
+    ("used", r"like\s*new|used|pre\s*owned|second\s*hand"),
+    ("new", r"new"),
+)
+STOCK_WORDS = (
+    ("out_of_stock", r"unavailable|not\s+available|out\s+of\s+stock|outofstock|sold\s+out"),
+    ("preorder", r"pre\s*order"),
+    ("in_stock", r"in\s*stock|available"),
+)
+
+
+def _said(text: Column, table: tuple[tuple[str, str], ...]) -> Column:
+    """The first state of the table whose words a text has; unknown if none."""
+    spaced = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[_-]+", " "))
+    return F.coalesce(*[F.when(spaced.rlike(rf"(?<![a-z0-9_])({words})(?![a-z0-9_])"), F.lit(state)) for state, words in table], F.lit("unknown"))
+
+
 def normalize_condition(text: Column) -> Column:
     """new, used, refurbished, open_box or unknown from a schema.org name or free text. Addresses other than schema.org's, and negated claims, say nothing."""
     raw = F.trim(text)
     name = F.lower(F.regexp_extract(raw, r"^(?:https?://schema\.org/)?([A-Za-z]+Condition)/?$", 1))
-    v = F.regexp_replace(F.lower(raw), "[_-]+", " ")
-    word = lambda p: v.rlike(rf"(?<![a-z0-9_])({p})(?![a-z0-9_])")
-    free = (
-        F.when(word(r"(not|non|never)\s+(brand\s+)?new"), "unknown")
-        .when(word("refurbished?|renewed|remanufactured"), "refurbished")
-        .when(word(r"open\s*box"), "open_box")
-        .when(word(r"like\s*new|used|pre\s*owned|second\s*hand"), "used")
-        .when(word("new"), "new")
-        .otherwise("unknown")
-    )
-    known = F.when(name == "newcondition", "new").when(name == "usedcondition", "used").when(name == "refurbishedcondition", "refurbished").otherwise("unknown")
-    return F.when(raw.isNull() | (raw == "") | (F.length(raw) > 256), "unknown").when(name != "", known).when(raw.rlike("(?i)^[a-z][a-z0-9+.-]*:"), "unknown").otherwise(free)
+    named = F.coalesce(*[F.when(name == k, F.lit(v)) for k, v in SCHEMA_CONDITIONS.items()], F.lit("unknown"))
+    silent = raw.isNull() | (F.length(raw) > 256) | ((name == "") & raw.rlike("(?i)^[a-z][a-z0-9+.-]*:"))
+    return F.when(silent, "unknown").when(name != "", named).otherwise(_said(raw, CONDITION_WORDS))
 
 
 def normalize_availability(text: Column) -> Column:
-    v = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[_-]+", " "))
-    word = lambda p: v.rlike(rf"(?<![a-z0-9_])({p})(?![a-z0-9_])")
-    return (
-        F.when(word(r"unavailable|not\s+available|out\s+of\s+stock|outofstock|sold\s+out"), "out_of_stock")
-        .when(word(r"pre\s*order"), "preorder")
-        .when(word(r"in\s*stock|available"), "in_stock")
-        .otherwise("unknown")
-    )
+    """in_stock, out_of_stock, preorder or unknown from free text."""
+    return _said(text, STOCK_WORDS)
+
+
+@F.pandas_udf(StringType())
+def folded_text(values: pd.Series) -> pd.Series:
+    """Words of a text under NFKC and case folding, by single spaces; neither is built in."""
+    return values.map(lambda v: " ".join(re.findall(r"\w+", unicodedata.normalize("NFKC", v or "").casefold())))
+
+
+@F.pandas_udf(DoubleType())
+def fuzzy_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    """How alike two texts are, from 0 to 100: twice their longest common subsequence over both lengths. Two empty texts are alike."""
+
+    def one(a: str | None, b: str | None) -> float:
+        a, b = a or "", b or ""
+        if not a and not b:
+            return 100.0
+        row = [0] * (len(b) + 1)
+        for x in a:
+            held = 0
+            for j, y in enumerate(b):
+                held, row[j + 1] = row[j + 1], (held + 1 if x == y else max(row[j + 1], row[j]))
+        return 200.0 * row[-1] / (len(a) + len(b))
+
+    return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
+
+
+#: Fixed value: how models of phones, consoles and vacuums are named in a normal text.
+MODEL_PATTERN = r"\b(?:iphone (?:air|\d+)(?: pro(?: max)?| plus| air)?|galaxy s\d+(?: ultra| plus| fe| edge)?|pixel \d+(?: pro)?|ps[45](?: slim| pro)?|dyson v\d+)\b"
+
+
+def models(text: Column) -> Column:
+    """All models that a normal text names."""
+    return F.regexp_extract_all(text, F.lit(MODEL_PATTERN), F.lit(0))
+
+
+#: Words that ask, and so say nothing about what is asked for.
+ASKING_WORDS = ("ابغي", "ابي", "اريد", "ابحث", "عن", "لي", "بافضل", "افضل", "ارخص", "سعر", "اشتري", "please", "find")
+#: The capacities that a phone's name may have without a unit.
+BARE_CAPACITIES = ("64", "128", "256", "512", "1024")
+_DIGITS = {0x0660 + i: str(i) for i in range(10)} | {0x06F0 + i: str(i) for i in range(10)}
+
+
+def phrase_rewriter(phrases: dict[str, str]) -> Callable[[str], str]:
+    """Rewrites phrases that stand between spaces, the longest first, in one pass over a normal text."""
+    if not phrases:
+        return lambda text: text
+    longest_first = sorted(phrases, key=lambda p: (-len(p), p))
+    pattern = re.compile(r"(?<!\S)(" + "|".join(map(re.escape, longest_first)) + r")(?!\S)")
+    return lambda text: pattern.sub(lambda m: phrases[m[1]], text)
+
+
+def query_normalizer(aliases: dict[str, str], lexicon: dict[str, str]) -> Callable[[Column], Column]:
+    """A function of columns that brings shoppers' queries into one form.
+
+    aliases: names in Arabic letters and what they stand for; lexicon: retail phrases of other languages. Both are tables of
+    normal texts, given as parameters; texts without Arabic letters skip the first. Python runs in Arrow batches, since NFKC
+    and a table of phrases have no built-in function.
+    """
+    known, foreign = phrase_rewriter(aliases), phrase_rewriter(lexicon)
+    asking = re.compile(r"(?<!\S)(?:" + "|".join(ASKING_WORDS) + r")(?!\S)")
+    bare = re.compile(r"\b(" + "|".join(BARE_CAPACITIES) + r")(?= |$)(?! (?:gb|tb)\b)")
+
+    def one(value: str | None) -> str:
+        text = unicodedata.normalize("NFKC", value or "").lower()
+        text = re.sub(r"\b(s\d{1,3})\s*\+", r"\1 plus ", text)  # a plus behind a model is a word of its name
+        text = _MARKS.sub("", text.translate(_DIGITS)).replace("ـ", "").translate(_FOLDED)
+        text = _NOT_WORD.sub(" ", text).strip()
+        text = re.sub(r"\b(\d+)(?:st|nd|rd|th)\b", r"\1", text)
+        if re.search("[؀-ۿ]", text):
+            text = re.sub(r"([ء-ي])(?=\d)", r"\1 ", text)
+            text = known(re.sub(r"(\d)(?=جيجا|تيرا)", r"\1 ", text))
+        text = foreign(text)
+        if re.search(r"\b(?:iphone|galaxy)\b", text):
+            text = bare.sub(r"\1gb", text)
+        text = asking.sub(" ", text)
+        text = re.sub(r"\b(iphone|airpods|ps)\s*(\d+)", r"\1 \2", text)
+        text = re.sub(r"\bps (\d+)\b", r"ps\1", re.sub(r"\bplaystation\s+(\d+)\b", r"ps \1", text))
+        return " ".join(re.sub(r"\b(\d+)\s+(gb|tb|mb|mah|mp)\b", r"\1\2", text).split())
+
+    @F.pandas_udf(StringType())
+    def normalize(values: pd.Series) -> pd.Series:
+        return values.map(one)
+
+    return normalize

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The weights of an extraction strategy's score.
-SCORE_WEIGHTS = {"completeness": 0.3, "validity": 0.3, "stability": 0.2, "speed": 0.2}
+SCORE_WEIGHTS = {"correctness": 0.25, "completeness": 0.18, "stability": 0.15, "speed": 0.12, "repeatability": 0.1, "maintainability": 0.1, "resource_cost": 0.1}
+# What a source must reach to be certified.
+CERTIFIED_SCORE, CERTIFIED_SHARE, CERTIFIED_VARIANTS = 70, 0.99, 0.995
 
 
 def violations() -> Column:
@@ -32,21 +34,45 @@ def account(offers: DataFrame, by: str, identity: list[str]) -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("raw"), F.count_if(F.col("_bad")).alias("rejected"), F.count_if(~F.col("_bad") & F.col("_again")).alias("duplicates"), F.count_if(~F.col("_bad") & ~F.col("_again")).alias("accepted"))
 
 
-def certify(metrics: DataFrame) -> DataFrame:
-    """CERTIFIED if every share reaches its bound, CONDITIONAL if all but one do."""
-    bounds = {"title_share": 1.0, "price_share": 0.9, "url_share": 1.0, "stock_share": 0.6, "unique_share": 0.5}
-    passed = sum((F.when(F.col(c) >= b, 1).otherwise(0) for c, b in bounds.items()), F.lit(0))
-    out = metrics.withColumn("passed", passed)
-    return out.withColumn("state", F.when(F.col("passed") == len(bounds), "CERTIFIED").when(F.col("passed") == len(bounds) - 1, "CONDITIONAL").otherwise("REJECTED"))
+def certify(evidence: DataFrame) -> DataFrame:
+    """Adds failed (the checks that a source doesn't stand), passed and state to eleven pieces of evidence; a missing piece fails.
+
+    evidence: reachable, strategy_score, critical_field_coverage, price_validity, currency_verified, market_verified,
+    search_passed, pagination_passed, variant_accuracy, semantic_critical_issues (missing: none), repeatability_passed.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    least = lambda c, n: F.coalesce(F.col(c), F.lit(0.0)) >= n
+    checks = {
+        "reachable": yes("reachable"),
+        "extraction_candidate": least("strategy_score", CERTIFIED_SCORE),
+        "critical_fields": least("critical_field_coverage", CERTIFIED_SHARE),
+        "price_validity": least("price_validity", CERTIFIED_SHARE),
+        "currency_verified": yes("currency_verified"),
+        "market_verified": yes("market_verified"),
+        "search_passed": yes("search_passed"),
+        "pagination_passed": yes("pagination_passed"),
+        "variant_accuracy": least("variant_accuracy", CERTIFIED_VARIANTS),
+        "semantic_issues": F.coalesce(F.col("semantic_critical_issues"), F.lit(0)) == 0,
+        "repeatability_passed": yes("repeatability_passed"),
+    }
+    failed = F.array_compact(F.array(*[F.when(~c, F.lit(n)) for n, c in checks.items()]))
+    out = evidence.withColumn("failed", failed).withColumn("passed", F.size("failed") == 0)
+    probed = ~F.arrays_overlap("failed", F.array(F.lit("reachable"), F.lit("extraction_candidate")))
+    state = F.when(F.col("passed"), "CERTIFIED").when(probed, "CANDIDATE").when(~F.array_contains("failed", "reachable"), "PROBED").otherwise("DISCOVERED")
+    return out.withColumn("state", state)
 
 
 def extraction_score() -> Column:
-    clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c)))
-    return F.floor(sum((clamp(c) * w for c, w in SCORE_WEIGHTS.items()), F.lit(0.0)) * 100 + 0.5).cast("int")
+    """Seven shares, weighted, out of 100 with two decimals; a missing or impossible share counts as none."""
+    clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.when(~F.isnan(c), F.col(c)), F.lit(0.0))))
+    return F.floor(sum((clamp(c) * w for c, w in SCORE_WEIGHTS.items()), F.lit(0.0)) * 10000 + 0.5) / 100
 
 
-def next_sample_size(seen: Column) -> Column:
-    return F.when(seen < 5, 5).when(seen < 10, 10).when(seen < 20, 20).when(seen < 50, 50).otherwise(100)
+def next_sample_size(tested: Column, consistent: Column) -> Column:
+    """How many to test next; null when enough have been."""
+    more = F.when(tested < 5, 5).when(consistent & (tested >= 10), F.lit(None)).when(tested < 10, 10).when(tested < 20, 20).when(tested < 50, 50)
+    settled = consistent & (tested >= 10)
+    return F.when(settled, F.lit(None).cast("int")).otherwise(F.coalesce(more, F.when(consistent, F.lit(None)).otherwise(100)).cast("int"))
 
 
 def repeatability(runs: DataFrame, by: str, value: str) -> DataFrame:

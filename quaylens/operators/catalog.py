@@ -62,3 +62,25 @@ def field_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> D
     both = o.join(n, F.col(key) == F.col("_k"), "full")
     rows = both.select(F.coalesce(key, "_k").alias(key), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"o_{f}").alias("before"), F.col(f"n_{f}").alias("after")) for f in fields])).alias("d"))
     return rows.select(key, "d.*").where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def hit_reason(now: str, seconds: float, name):  # noqa: ANN001, ANN201
+    """Why an index hit can't be shown: malformed (no title or address), excluded (its merchant), or its time; null if it can."""
+    from quaylens.operators.gates import excluded_merchant
+
+    blank = F.coalesce(F.trim("title"), F.lit("")) == ""
+    malformed = blank | (F.coalesce(F.trim("source_url"), F.lit("")) == "")
+    return F.when(malformed, "malformed").when(excluded_merchant(F.lit(None).cast("string"), name, F.col("source_url")), "excluded").otherwise(reject_reason(now, seconds))
+
+
+def read_by_key(canonical: DataFrame, keys: DataFrame, key: str, now: str, seconds: float) -> DataFrame:
+    """The fresh canonical rows of a table of keys; a key that comes twice reads its rows once."""
+    wanted = keys.select(F.col(key).alias("_k")).distinct()
+    return canonical.where(reject_reason(now, seconds).isNull()).join(wanted, F.col(key) == F.col("_k"), "left_semi")
+
+
+def index_writes(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """What an index does with incoming documents, one per key: add, replace an older one, or skip."""
+    c = current.select(F.col(key).alias("_k"), F.col("observed_at").alias("_t"))
+    action = F.when(F.col("_k").isNull(), "add").when(F.col("observed_at") > F.col("_t"), "replace").otherwise("skip")
+    return incoming.join(c, F.col(key) == F.col("_k"), "left").select(key, action.alias("action"))

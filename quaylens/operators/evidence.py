@@ -56,32 +56,49 @@ def reconcile(candidates: DataFrame, fields: list[str], now: str) -> DataFrame:
 
 
 def pairs(candidates: DataFrame, columns: list[str]) -> DataFrame:
-    """Each two candidates of a product, once. A product has few candidates; the join is on the product."""
+    """Each two candidates of a product, once: what the result is made of. A product has few candidates; the join is on the product, and a product with many is split by AQE."""
     a = candidates.select("product_id", *[F.col(c).alias(f"{c}_a") for c in columns])
     b = candidates.select(F.col("product_id").alias("_p"), *[F.col(c).alias(f"{c}_b") for c in columns])
     return a.join(b, (F.col("product_id") == F.col("_p")) & (F.col("candidate_id_a") < F.col("candidate_id_b"))).drop("_p")
 
 
+def prepared(candidates: DataFrame) -> DataFrame:
+    """`candidates` with the words of their names and the plain forms of their identifiers, once a candidate and not once a pair."""
+    words = F.array_distinct(tokens(F.col("name")))
+    plain = {f"{c}_plain": plain_text(F.col(c)) for c in ("gtin", "sku", "model") if c in candidates.columns}
+    return candidates.withColumns({"words": words, "long_words": F.filter(words, lambda t: F.length(t) > 1), **plain})
+
+
 def conflicts(candidates: DataFrame) -> DataFrame:
     """Where two candidates of a product disagree: prices of one currency by 3 % or more, availabilities, names with less than 0.45 in common."""
-    p = pairs(candidates, ["candidate_id", "price", "currency", "availability", "name"])
+    p = pairs(prepared(candidates), ["candidate_id", "price", "currency", "availability", "words"])
     gap = F.abs(F.col("price_a") - F.col("price_b")) / F.greatest(F.abs("price_a"), F.abs("price_b"), F.lit(1.0))
     price = F.when((F.col("currency_a") == F.col("currency_b")) & (gap >= 0.03), F.struct(F.lit("price").alias("field"), F.when(gap >= 0.15, "high").otherwise("medium").alias("severity"), gap.alias("measure")))
     stock = F.when((F.col("currency_a") == F.col("currency_b")) & (F.col("availability_a") != F.col("availability_b")), F.struct(F.lit("availability").alias("field"), F.lit("medium").alias("severity"), F.lit(1.0).alias("measure")))
-    shared = token_similarity(tokens(F.col("name_a")), tokens(F.col("name_b")))
-    name = F.when(F.col("name_a").isNotNull() & F.col("name_b").isNotNull() & (shared < 0.45), F.struct(F.lit("name").alias("field"), F.when(shared < 0.2, "high").otherwise("medium").alias("severity"), shared.alias("measure")))
+    shared = token_similarity(F.col("words_a"), F.col("words_b"))
+    name = F.when(F.col("words_a").isNotNull() & F.col("words_b").isNotNull() & (shared < 0.45), F.struct(F.lit("name").alias("field"), F.when(shared < 0.2, "high").otherwise("medium").alias("severity"), shared.alias("measure")))
     return p.select("product_id", "candidate_id_a", "candidate_id_b", F.explode(F.array_compact(F.array(price, stock, name))).alias("c")).select("product_id", "candidate_id_a", "candidate_id_b", "c.*")
 
 
+#: what `identity_verdict` needs of both sides
+IDENTITY_COLUMNS = ["gtin", "sku", "model", "brand", "name"]
+PREPARED_COLUMNS = ["candidate_id", "gtin_plain", "sku_plain", "model_plain", "brand", "long_words"]
+
+
 def identity_verdict(p: DataFrame) -> DataFrame:
-    """Adds score and verdict to pairs with gtin, sku, model, brand and name on both sides."""
+    """Adds score and verdict to pairs with gtin, sku, model, brand and name on both sides, or with these `prepared`."""
+
+    def plain(c: str, side: str) -> Column:
+        return F.col(f"{c}_plain_{side}") if f"{c}_plain_{side}" in p.columns else plain_text(F.col(f"{c}_{side}"))
 
     def evidence(c: str, weight: float) -> Column:
-        a, b = plain_text(F.col(f"{c}_a")), plain_text(F.col(f"{c}_b"))
+        a, b = plain(c, "a"), plain(c, "b")
         return F.when(a.isNull() | b.isNull() | (a == "") | (b == ""), 0.0).when(a == b, weight).otherwise(-weight)
 
-    longer = lambda c: F.filter(tokens(F.col(c)), lambda t: F.length(t) > 1)
-    shared = F.when(F.col("name_a").isNotNull() & F.col("name_b").isNotNull(), token_similarity(longer("name_a"), longer("name_b")))
+    def longer(side: str) -> Column:
+        return F.col(f"long_words_{side}") if f"long_words_{side}" in p.columns else F.filter(tokens(F.col(f"name_{side}")), lambda t: F.length(t) > 1)
+
+    shared = F.when(longer("a").isNotNull() & longer("b").isNotNull(), token_similarity(longer("a"), longer("b")))
     out = p.withColumns({"_g": evidence("gtin", 0.45), "_s": evidence("sku", 0.35), "_m": evidence("model", 0.22), "_t": shared})
     out = out.withColumn("_b", F.when(F.col("brand_a") == F.col("brand_b"), 0.12).when(F.col("brand_a") != F.col("brand_b"), -0.22).otherwise(0.0))
     title = F.when(F.col("_t") >= 0.75, 0.16).when(F.col("_t") >= 0.45, 0.06).when(F.col("_t") < 0.2, -0.28).otherwise(0.0)
@@ -97,10 +114,10 @@ def identity_verdict(p: DataFrame) -> DataFrame:
 
 def identity_cluster(candidates: DataFrame) -> DataFrame:
     """Each candidate against its product's anchor, the most confident one; rejected if the verdict is that they differ."""
-    columns = ["candidate_id", "gtin", "sku", "model", "brand", "name"]
-    anchor = candidates.groupBy("product_id").agg(F.min(F.struct(-F.coalesce("confidence", F.lit(0.0)), *columns)).alias("x"))
-    a = anchor.select(F.col("product_id").alias("_p"), *[F.col("x")[c].alias(f"{c}_a") for c in columns])
-    b = candidates.select("product_id", *[F.col(c).alias(f"{c}_b") for c in columns])
+    raw = ["candidate_id", *IDENTITY_COLUMNS]
+    anchor = candidates.groupBy("product_id").agg(F.min(F.struct(-F.coalesce("confidence", F.lit(0.0)), *raw)).alias("x")).select("product_id", *[F.col("x")[c].alias(c) for c in raw])
+    a = prepared(anchor).select(F.col("product_id").alias("_p"), *[F.col(c).alias(f"{c}_a") for c in PREPARED_COLUMNS])
+    b = prepared(candidates).select("product_id", *[F.col(c).alias(f"{c}_b") for c in PREPARED_COLUMNS])
     joined = b.join(a, (F.col("product_id") == F.col("_p")) & (F.col("candidate_id_a") != F.col("candidate_id_b"))).drop("_p")
     return identity_verdict(joined).withColumn("accepted", F.col("verdict") != "different")
 

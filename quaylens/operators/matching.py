@@ -1,4 +1,4 @@
-"""Matching offers to a shopper's query: intent, score, reasons, admission.
+"""Matching offers to a shopper's query: intent, category, score, reasons, admission.
 
 A query is read once, on the driver, into an intent; the score is an expression made from it. For a table of many queries
 the same expressions run on columns of intents.
@@ -12,13 +12,85 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaylens.functions.text import plain_text, tokens
+from quaylens.functions.text import MODEL_PATTERN, models, plain_text, tokens
+from quaylens.operators.offers import newest
 
 # What a violated expectation leaves of a score, and the bounds of exact and doubtful matches.
-LEFT_BY = {"kind": 0.2, "accessory": 0.12, "variant": 0.82, "model": 0.2, "principal": 0.05, "ram": 0.2}
+LEFT_BY = {"kind": 0.2, "accessory": 0.12, "variant": 0.82, "model": 0.2, "principal": 0.05, "ram": 0.2, "carrier": 0.2}
 EXACT, DOUBTFUL, CONDITION_COST, FLOOR = 0.92, 0.69, 0.15, 0.35
 STOP_WORDS = frozenset("for with and the from compatible replacement new used original model in on of a an to by".split())
 ACCESSORY_WORDS = ("case", "cover", "charger", "protector", "strap", "bolt", "gear")
+VARIANT_WORDS = ("pro", "max", "plus", "ultra", "air", "fold", "flip", "fe")
+CARRIERS = r"(?i)\(\s*(?:at\s*&\s*t|verizon|t[- ]mobile)\s*\)"
+CARRIER_ASKED = r"(?i)\bat\s*&\s*t\b|\bverizon\b|\bt[- ]mobile\b"
+LAPTOP_LINES = ("pavilion", "elitebook", "probook", "spectre", "envy", "omnibook", "victus", "omen", "latitude", "thinkpad", "ideapad", "zenbook", "vivobook", "macbook", "chromebook")
+LAPTOP_PARTS = ("intel", "amd", "ryzen", "core", "celeron", "pentium", "ram", "memory", "ssd", "windows", "processor")
+#: The words by which a text is of a category; the first category that has one is the text's.
+CATEGORY_WORDS: dict[str, str] = {
+    "accessory": r"mouse|keyboard|charger|cable|adapter|adaptor|cases?|covers?|protector|cartridge|toner|ink|controller|remote|gift card",
+    "laptop": r"laptops?|notebooks?|macbook|chromebook|zenbook|vivobook|thinkpad|ideapad|elitebook|probook|omnibook|spectre|envy|pavilion|inspiron|latitude|loq",
+    "printer": r"printers?|laserjet|deskjet|officejet|ecotank|smart tank",
+    "desktop": r"desktop|imac|mac mini|all in one|tower pc|optiplex|prodesk",
+    "phone": r"phones?|smartphone|iphone|galaxy s\d+|galaxy a\d+|galaxy z|pixel \d+",
+    "tablet": r"tablets?|ipad|galaxy tab|surface pro",
+    "tv": r"tv|television|bravia|oled tv|qled tv",
+    "monitor": r"monitors?|display screen",
+    "audio": r"headphones?|earphones?|earbuds?|airpods|headset|speaker|soundbar|walkman",
+    "jewelry": r"jewelry|jewellery|necklaces?|pendants?|bracelets?|bangles?|earrings?|rings?|brooch(?:es)?|charms?",
+    "watch": r"watch|smartwatch",
+    "camera": r"camera|dslr|mirrorless|eos",
+    "vacuum": r"vacuum|hoover|dyson v\d+",
+    "network": r"router|modem|wifi|wi fi|network switch",
+    "projector": r"projector",
+    "coffee": r"coffee|ground coffee|coffee beans",
+    "shoes": r"shoes?|sneakers?|boots?|sandals?|heels?|slippers?|loafers?",
+    "bag": r"bags?|handbags?|backpacks?|luggage|wallets?|purses?|totes?",
+    "perfume": r"perfumes?|fragrances?|eau de parfum|eau de toilette|eau de cologne|parfums?|edp|edt|cologne",
+    "furniture": r"furniture|sofas?|couches?|chairs?|tables?|desks?|beds?|wardrobes?|cabinets?",
+    "kitchen": r"kitchen|cookware|pans?|pots?|cutlery|tableware|air fryer|toaster|cooktop",
+    "sports": r"sports?|fitness|gym|running|football|soccer|basketball|cycling|camping|hiking",
+    "toy": r"toys?|dolls?|lego|building blocks|plush|kids game",
+    "baby": r"baby|infant|stroller|diaper|feeding bottle|car seat",
+    "book": r"books?|paperback|hardcover|kindle",
+    "grocery": r"grocery|groceries|snacks?|chocolate|tea|rice|pasta|cereal|spices?",
+    "tool": r"drill|saw|screwdriver|power tool",
+}
+#: Words that end the principal part of a title: what follows is only included.
+INCLUDED = r" (?:with|including|includes|con|avec|mit) "
+#: For queries of a whole product (first pattern, unless the second is asked for), titles whose principal part is only a part of it or a book about it.
+PRINCIPAL_RULES = (
+    ("camera", r"\b(?:camera|mirrorless|dslr)\b", r"\b(?:lens(?:es)?|straps?|bags?|cases?|covers?|tripods?|filters?|guides?|manuals?|books?)\b", r"\b(?:user manual|user guide|pocket guide|gimbal stabilizer|lens(?:es)?|hand strap|wrist strap|camera bag|camera case|tripod)\b"),
+    ("vacuum", r"\b(?:dyson v\d+|vacuum cleaner)\b", r"\b(?:filters?|attachments?|brushes?|accessories|spare parts?|hoses?|holders?|toys?)\b", r"\b(?:replacement filters?|filter element|vacuum attachments?|vacuum cleaner hoses?|docking stand|mop head attachment|toy vacuum|pretend play)\b"),
+    ("office_chair", r"\b(?:office chair|chair office)\b", r"\b(?:repair|clamp|caster|wheels?|headrests?|armrests?|cushions?|mats?|gas lifts?|spare parts?)\b", r"\b(?:armrest cushions?|headrest attachment|chair spare parts|chair gas lift cylinder|office chair mat|caster wheel replacement|miniatures?)\b"),
+    ("watch", r"\b(?:apple watch|watch apple)\b", r"\b(?:straps?|bands?|loops?|cases?|chargers?|glass|protector|guides?|books?)\b", r"\b(?:watch bands?|straps?|wristbands?|sport loop|screen protector|tempered glass|user guide|for beginners)\b"),
+)
+
+
+def category_of(text: str) -> str | None:
+    """The category of a normal text."""
+    return next((c for c, p in CATEGORY_WORDS.items() if re.search(rf"\b(?:{p})\b", text)), None)
+
+
+def category(text: Column) -> Column:
+    """The same for a column of texts; null if no category's word is there."""
+    plain = plain_text(text)
+    return F.coalesce(*[F.when(plain.rlike(rf"\b(?:{p})\b"), F.lit(c)) for c, p in CATEGORY_WORDS.items()])
+
+
+def principal(text: Column) -> Column:
+    """The principal part of a title: what is sold, before what is only included."""
+    return F.split(F.concat(F.lit(" "), plain_text(text), F.lit(" ")), INCLUDED)[0]
+
+
+def sold_role(text: Column) -> Column:
+    """accessory or product, by the principal part of a title."""
+    return F.when(F.arrays_overlap(F.split(F.trim(principal(text)), " "), F.array(*[F.lit(w) for w in ACCESSORY_WORDS])), "accessory").otherwise("product")
+
+
+def ram_gb(text: Column) -> Column:
+    """The memory in GB that a normal text names as such."""
+    either = F.regexp_extract(text, r"\b(\d{1,3})(?:gb)?(?: (?:ddr[345]|lpddr[345]x?|memory)){0,2} ram\b", 1)
+    return F.when(either != "", either.cast("int")).otherwise(F.regexp_extract(text, r"\bram (\d{1,3})(?:gb)?\b", 1).try_cast("int"))
 
 
 @dataclass(frozen=True)
@@ -31,17 +103,33 @@ class Intent:
     condition: str | None = None
     accessory: bool = False
     variants: tuple[str, ...] = field(default=())
+    model: str | None = None
+    ram: int | None = None
+    carrier: bool = False
+
 
+def parse_intent(text: str, categories: tuple[str, ...] | None = None, colors: tuple[str, ...] = ()) -> Intent:
+    """What a query asks for. The category's word isn't a token to be matched: it is held against the offer's category.
 
-def parse_intent(text: str, categories: tuple[str, ...], colors: tuple[str, ...]) -> Intent:
-    """What a query asks for. The category's word isn't a token to be matched: it is held against the offer's category."""
-    plain = re.sub(r"(\d+) (gb|tb|mb)\b", r"\1\2", " ".join(re.sub(r"[^a-z0-9]+", " ", text.lower()).split()))
+    `categories` names the words that are categories themselves; without it a category is found by CATEGORY_WORDS.
+    """
+    carrier = bool(re.search(CARRIER_ASKED, text))
+    plain = re.sub(r"(\d+) (gb|tb|mb)\b", r"\1\2", " ".join(re.sub(r"[^\w]+|_", " ", text.lower()).split()))
     words = [w for w in plain.split() if w not in STOP_WORDS]
-    category = next((w for w in words if w in categories), None)
-    storage = next((w for w in words if re.fullmatch(r"\d+(gb|tb)", w)), None)
+    if categories is None:
+        kind = category_of(plain)
+        gone = set(re.search(rf"\b(?:{CATEGORY_WORDS[kind]})\b", plain)[0].split()) if kind else set()
+    else:
+        kind = next((w for w in words if w in categories), None)
+        gone = {kind}
+    memory = re.search(r"\b(\d{1,3})(?:gb)?(?: (?:ddr[345]|lpddr[345]x?|memory)){0,2} ram\b|\bram (\d{1,3})(?:gb)?\b", plain)
+    without_memory = plain.replace(memory[0], " ") if memory else plain
+    storage = next((w for w in without_memory.split() if re.fullmatch(r"\d+(gb|tb)", w)), None)
     color = next((w for w in words if w in colors), None)
-    condition = "used" if "used" in plain.split() else "new" if "new" in plain.split() else None
-    return Intent(plain, tuple(dict.fromkeys(w for w in words if w != category)), category, storage, color, condition, any(w in ACCESSORY_WORDS for w in words))
+    condition = next((m[0] for m in [re.search(r"\b(refurbished|used|new)\b", plain)] if m), None)
+    model = re.search(MODEL_PATTERN, plain)
+    wanted = tuple(dict.fromkeys(w for w in words if w not in gone))
+    return Intent(plain, wanted, kind, storage, color, condition, any(w in ACCESSORY_WORDS for w in words) or kind == "accessory", tuple(w for w in words if w in VARIANT_WORDS), model[0] if model else None, int(memory[1] or memory[2]) if memory else None, carrier)
 
 
 def relaxed(intent: Intent) -> list[str]:
@@ -52,53 +140,102 @@ def relaxed(intent: Intent) -> list[str]:
     return [q for q in dict.fromkeys(out) if q and q != intent.text]
 
 
-def score(intent: Intent) -> Column:
-    """match score of an offer with title, category, condition and storage, from 0 to 1 with two decimals."""
+def _flags(intent: Intent) -> dict[str, Column]:
+    """What an offer (title, brand, category, condition, storage) violates of an intent, by name; a flag is never null."""
+    title, words = plain_text(F.col("title")), tokens(F.concat_ws(" ", "title", "brand"))
+    any_of = lambda these: F.arrays_overlap(words, F.array(*[F.lit(w) for w in these]))
+    no = F.lit(False)
+    found = F.regexp_extract_all(title, F.lit(r"[0-9]+(?:gb|tb)"), F.lit(0))
+    titled = F.when(title.rlike(r"\b(refurbished|renewed|remanufactured)\b"), "refurbished").when(title.rlike(r"\b(used|pre owned|b grade|c grade|grade [bc])\b"), "used")
+    condition = F.coalesce(titled, "condition", F.lit("unknown"))
+    out = {
+        "kind": F.col("category") != intent.category if intent.category else no,
+        "accessory": no if intent.accessory else any_of(ACCESSORY_WORDS),
+        "capacity": (F.size(found) > 0) & ~F.array_contains(found, intent.storage) if intent.storage else no,
+        "condition": (condition != "unknown") & (condition != (intent.condition or "new")),
+        "carrier": no if intent.carrier else (F.col("category") == "phone") & F.col("title").rlike(CARRIERS),
+    }
+    unasked = [w for w in VARIANT_WORDS if w not in intent.variants]
+    out["variant"] = any_of(unasked) & ~F.col("category").eqNullSafe("shoes") if intent.model else no
+    named = models(title)
+    out["model"] = F.exists(named, lambda m: m != intent.model) if intent.model else no
+    rules = [bad for _, asked, unless, bad in PRINCIPAL_RULES if re.search(asked, intent.text) and not re.search(unless, intent.text)]
+    out["principal"] = principal(F.col("title")).rlike("|".join(rules)) if rules else no
+    laptop = F.col("category") == "laptop"
+    memory = ram_gb(title)
+    out["ram"] = laptop & (memory != intent.ram) if intent.ram else no
+    out["ram_unverified"] = laptop & memory.isNull() if intent.ram else no
+    sparse = (F.size(F.split(title, " ")) <= 4) & ~any_of(LAPTOP_LINES) & ~any_of(LAPTOP_PARTS) & ~title.rlike(r"\d+(?:gb|tb)\b")
+    out["sparse"] = laptop & sparse if intent.category == "laptop" else no
+    return {k: F.coalesce(c, no) for k, c in out.items()}
+
+
+def _hits(intent: Intent) -> Column:
     words = tokens(F.concat_ws(" ", "title", "brand"))
-    wanted = F.array(*[F.lit(t) for t in intent.tokens]) if intent.tokens else F.array().cast("array<string>")
-    hits, n = F.size(F.array_intersect(wanted, words)), len(intent.tokens)
+    if intent.ram:
+        words = F.when(ram_gb(plain_text(F.col("title"))) == intent.ram, F.concat(words, F.array(F.lit(str(intent.ram)), F.lit(f"{intent.ram}gb")))).otherwise(words)
+    return F.size(F.array_intersect(F.array(*[F.lit(t) for t in intent.tokens]), words)) if intent.tokens else F.lit(0)
+
+
+def score(intent: Intent) -> Column:
+    """match score of an offer with title, brand, category, condition and storage, from 0 to 1 with two decimals."""
+    hits, n, bad = _hits(intent), len(intent.tokens), _flags(intent)
     base = hits / F.lit(float(n)) if n else F.lit(1.0)
     if intent.category:
-        same = F.col("category") == intent.category
-        base = F.when(same, F.least(F.lit(1.0), (hits + 1) / F.lit(n + 1.0))).otherwise(base * LEFT_BY["kind"])
-    if not intent.accessory:
-        base = base * F.when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in ACCESSORY_WORDS])), LEFT_BY["accessory"]).otherwise(1.0)
-    named = F.regexp_extract_all("title", F.lit("[0-9]+(?:gb|tb)"), F.lit(0))
-    if intent.storage:
-        base = base * F.when((F.size(named) > 0) & ~F.array_contains(named, intent.storage), LEFT_BY["variant"]).otherwise(1.0)
-    if intent.condition:
-        base = base - F.when(~F.col("condition").eqNullSafe(intent.condition), CONDITION_COST).otherwise(0.0)
+        base = F.when(bad["kind"], base * LEFT_BY["kind"]).otherwise(F.least(F.lit(1.0), (hits + 1) / F.lit(n + 1.0)) if n else F.lit(1.0))
+    left = lambda name, flag: F.when(bad[flag], LEFT_BY[name]).otherwise(1.0)
+    base = base * left("principal", "principal") * left("accessory", "accessory") * left("variant", "capacity") * left("variant", "variant") * left("model", "model") * left("carrier", "carrier")
+    base = base - F.when(bad["condition"], CONDITION_COST).otherwise(0.0)
+    base = F.when(bad["sparse"], F.least(base, F.lit(DOUBTFUL))).otherwise(base) * left("ram", "ram")
+    base = F.when(bad["ram_unverified"], F.least(base, F.lit(DOUBTFUL))).otherwise(base)
     return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base)) * 100 + 0.5) / 100
 
 
 def assess(offers: DataFrame, intent: Intent) -> DataFrame:
     """Adds query_score, all_hits and exact: nothing an offer once scored for another query is used."""
-    words = tokens(F.concat_ws(" ", "title", "brand"))
-    wanted = F.array(*[F.lit(t) for t in intent.tokens]) if intent.tokens else F.array().cast("array<string>")
-    out = offers.withColumn("query_score", score(intent)).withColumn("all_hits", F.size(F.array_intersect(wanted, words)) == len(intent.tokens))
-    return out.withColumn("exact", (F.col("query_score") >= EXACT) & F.col("all_hits"))
+    spoiled = [c for k, c in _flags(intent).items() if k != "sparse"]
+    clean = ~F.greatest(*spoiled)
+    out = offers.withColumn("query_score", score(intent)).withColumn("all_hits", _hits(intent) == len(intent.tokens))
+    return out.withColumn("exact", (F.col("query_score") >= EXACT) & F.col("all_hits") & clean)
 
 
 def reasons(offers: DataFrame, intent: Intent) -> DataFrame:
-    """Adds why an offer isn't what was asked for: capacity_conflict, query_mismatch; empty for those to keep."""
-    out = assess(offers, intent)
-    named = F.regexp_extract_all("title", F.lit("[0-9]+(?:gb|tb)"), F.lit(0))
-    capacity = F.when((F.size(named) > 0) & ~F.array_contains(named, intent.storage), "capacity_conflict") if intent.storage else F.lit(None).cast("string")
-    mismatch = F.when(~F.col("exact") if intent.storage else F.col("query_score") < 0.65, "query_mismatch")
-    return out.withColumn("reasons", F.array_join(F.array_compact(F.array(capacity, mismatch)), ","))
+    """Adds why an offer isn't what was asked for: model_conflict, capacity_conflict, query_mismatch; empty for those to keep."""
+    out, bad = assess(offers, intent), _flags(intent)
+    missing = ~F.array_contains(models(plain_text(F.col("title"))), intent.model) if intent.model else F.lit(False)
+    mismatch = (~F.col("exact") if intent.storage or intent.model else F.col("query_score") < 0.65) | missing
+    said = [F.when(bad["model"], "model_conflict"), F.when(bad["capacity"], "capacity_conflict"), F.when(mismatch, "query_mismatch")]
+    return out.withColumn("reasons", F.array_join(F.array_compact(F.array(*said)), ","))
 
 
-def admit(offers: DataFrame, intent: Intent) -> DataFrame:
-    """Offers with a fair score, or with two of the query's words in the title (one, if it has just one)."""
-    words = tokens(F.col("title"))
+def admitted(intent: Intent) -> Column:
+    """Whether an assessed offer has a fair score, or two of the query's words in the title (one, if it has just one)."""
     wanted = [t for t in dict.fromkeys(intent.text.split()) if len(t) > 1 and t not in STOP_WORDS]
-    hits = F.size(F.array_intersect(words, F.array(*[F.lit(t) for t in wanted]))) if wanted else F.lit(0)
-    return assess(offers, intent).withColumn("title_hits", hits).where((F.col("query_score") >= FLOOR) | ((F.lit(len(wanted)) > 0) & (F.col("title_hits") >= (1 if len(wanted) == 1 else 2))))
+    hits = F.size(F.array_intersect(tokens(F.col("title")), F.array(*[F.lit(t) for t in wanted]))) if wanted else F.lit(0)
+    return (F.col("query_score") >= FLOOR) | ((F.lit(len(wanted)) > 0) & (hits >= (1 if len(wanted) == 1 else 2)))
+
+
+def admit(offers: DataFrame, intent: Intent) -> DataFrame:
+    return assess(offers, intent).where(admitted(intent))
+
+
+def retain_acquired(offers: DataFrame, intent: Intent) -> DataFrame:
+    """Offers of a source to keep: those that fit, and for a query with a model also admissible ones that contradict neither model nor capacity."""
+    out = reasons(offers, intent)
+    fits = F.col("reasons") == ""
+    if intent.model:
+        fits = fits | (~F.col("reasons").rlike("model_conflict|capacity_conflict") & admitted(intent))
+    return out.where(fits)
+
+
+def retain_related(offers: DataFrame, intent: Intent, identity: list[str]) -> DataFrame:
+    """The newest offer of each identity, scored and admitted; in order of score (a sort over ranges, of what is left)."""
+    return admit(newest(offers, identity, ["offer_id"]), intent).orderBy(F.desc("query_score"), F.col("product_price").asc_nulls_last(), "offer_id")
 
 
 def simple_score(query: str, text: Column) -> Column:
     """The share of the query's words that occur anywhere in the text, even inside words."""
-    words = [w for w in re.sub(r"[^a-z0-9]+", " ", query.lower()).split()]
+    words = re.sub(r"[^\w]+|_", " ", query.lower()).split()
     if not words:
         return F.lit(0.0)
     plain = plain_text(text)

@@ -56,7 +56,7 @@ def tier() -> Column:
 def cohorts(offers: DataFrame, gap: float = 0.12) -> DataFrame:
     """tier, match_confidence, cohort: within a tier a cohort reaches from its highest confidence to less than `gap` below.
 
-    Confidences have two decimals, so a tier has at most 101 of them; the fold runs over these, not over offers.
+    The fold runs over a tier's distinct confidences, which `diverse` rounds to two decimals: at most 101.
     """
     levels = offers.select(tier().alias("tier"), F.coalesce("match_confidence", F.lit(0.0)).alias("match_confidence")).distinct()
     listed = levels.groupBy("tier").agg(F.reverse(F.array_sort(F.collect_list("match_confidence"))).alias("l"))
@@ -77,8 +77,9 @@ def diverse(offers: DataFrame, by: list[str], limit: int) -> DataFrame:
     A merchant's own offers go by price where all of a cohort's have one currency, by confidence otherwise. Merchants take
     turns in the order in which they first come up: by confidence, then offer_id.
     """
-    base = offers.withColumn("match_confidence", F.coalesce("match_confidence", F.lit(0.0))).withColumn("tier", tier())
-    base = base.join(F.broadcast(cohorts(offers)), ["tier", "match_confidence"])  # at most 4 x 101 rows
+    confidence = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.when(~F.isnan("match_confidence"), F.col("match_confidence")), F.lit(0.0)))) * 100 + 0.5) / 100
+    base = offers.withColumn("match_confidence", confidence).withColumn("tier", tier())
+    base = base.join(F.broadcast(cohorts(base)), ["tier", "match_confidence"])  # at most 4 x 101 rows, by the rounding
     own = Window.partitionBy(*by, "tier", "cohort", "merchant")
     one_currency = (F.min("currency").over(own) == F.max("currency").over(own)) & (F.count("currency").over(own) == F.count("*").over(own)) & F.min("currency").over(own).rlike("^[A-Z]{3}$")
     price = F.when(F.col("product_price") > 0, F.col("product_price"))
@@ -102,16 +103,21 @@ def relevance_band(offers: DataFrame, by: list[str]) -> DataFrame:
     """How many steps of 0.07 an exact offer's confidence lies below the best of its availability class."""
     closed = F.col("availability").eqNullSafe("out_of_stock") | F.col("can_ship_to_saudi").eqNullSafe(False)
     out = offers.withColumn("availability_class", F.when(closed, "unavailable").otherwise("available"))
-    top = F.coalesce(F.max(F.when(F.col("exact_match"), F.col("match_confidence"))).over(Window.partitionBy(*by, "availability_class")), F.lit(0.0))
-    return out.withColumn("band", F.floor((F.greatest(F.lit(0.0), top - F.coalesce("match_confidence", F.lit(0.0))) + 1e-10) / 0.07).cast("int"))
+    best = out.groupBy(*by, "availability_class").agg(F.coalesce(F.max(F.when(F.col("exact_match"), F.col("match_confidence"))), F.lit(0.0)).alias("_top"))
+    out = out.join(best, [*by, "availability_class"])  # a row for each group; the offers stay where they are if that is small
+    below = F.greatest(F.lit(0.0), F.col("_top") - F.coalesce("match_confidence", F.lit(0.0)))
+    return out.withColumn("band", F.floor((below + 1e-10) / 0.07).cast("int")).drop("_top")
 
 
 def profile(offers: DataFrame, by: list[str], fields: tuple[str, ...] = SPEC_FIELDS) -> DataFrame:
     """For each group and field the value that most merchants state (then most observations, the longest, the first by name), and whether others disagree."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.trim(f).alias("value")) for f in fields]))
-    rows = offers.select(*by, "merchant", pairs.alias("p")).select(*by, "merchant", "p.field", "p.value").where("value is not null and value <> ''")
-    rows = rows.withColumn("normal", F.regexp_replace(F.lower("value"), "[^a-z0-9]+", "")).where("normal <> ''")
-    votes = rows.groupBy(*by, "field", "normal").agg(F.countDistinct("merchant").alias("sources"), F.count("*").alias("observations"), F.max(F.struct(F.length("value").alias("n"), "value"))["value"].alias("value"))
+    # equal statements of a merchant are counted first, so that the text work runs once for each
+    said = offers.groupBy(*by, "merchant", *fields).agg(F.count("*").alias("_n"))
+    rows = said.select(*by, "merchant", "_n", pairs.alias("p")).select(*by, "merchant", "_n", "p.field", "p.value").where("value is not null and value <> ''")
+    rows = rows.withColumn("normal", F.regexp_replace(F.lower("value"), r"[^\p{L}\p{N}]+", "")).where("normal <> ''")
+    voices = rows.groupBy(*by, "field", "normal", "merchant").agg(F.sum("_n").alias("_n"), F.max(F.struct(F.length("value").alias("n"), "value")).alias("_v"))
+    votes = voices.groupBy(*by, "field", "normal").agg(F.count("merchant").alias("sources"), F.sum("_n").alias("observations"), F.max("_v")["value"].alias("value"))
     w = Window.partitionBy(*by, "field")
     order = w.orderBy(F.desc("sources"), F.desc("observations"), F.desc(F.length("value")), "normal")
     return votes.withColumn("_rn", F.row_number().over(order)).withColumn("alternatives", F.count("*").over(w) - 1).where("_rn = 1").select(*by, "field", "value", "sources", "observations", (F.col("alternatives") > 0).alias("conflict"), "alternatives")

@@ -74,17 +74,16 @@ class _Blocks(HTMLParser):
             self.blocks[-1] += data
 
 
-def _nodes(value: object, depth: int = 0) -> Iterator[dict]:
-    if depth > 8:
-        return
-    if isinstance(value, list):
-        for v in value:
-            yield from _nodes(v, depth + 1)
-    elif isinstance(value, dict):
-        yield value
-        for v in value.values():
-            if isinstance(v, (dict, list)):
-                yield from _nodes(v, depth + 1)
+def _nodes(value: object) -> Iterator[dict]:
+    """Every object within a value, outer ones first, however deep."""
+    waiting = [value]
+    while waiting:
+        v = waiting.pop()
+        if isinstance(v, dict):
+            yield v
+            waiting += [x for x in reversed(list(v.values())) if isinstance(x, (dict, list))]
+        elif isinstance(v, list):
+            waiting += reversed(v)
 
 
 def _is(node: dict, kind: str) -> bool:
@@ -100,7 +99,7 @@ def products_of(html: str) -> list[dict]:
     for block in parser.blocks:
         try:
             nodes += _nodes(json.loads(block))
-        except ValueError:
+        except (ValueError, RecursionError):  # not JSON, or nested beyond what the parser reads
             continue
     by_id = {n["@id"]: n for n in nodes if isinstance(n.get("@id"), str) and len(n) > 1}
     resolve = lambda n: by_id.get(n.get("@id"), n) if isinstance(n, dict) and set(n) == {"@id"} else n

@@ -22,16 +22,42 @@ def rates(calls: DataFrame) -> DataFrame:
 
 
 def folded(calls: DataFrame) -> DataFrame:
-    """latency_ewma, consecutive_failures and cooldown_seconds of each source after its last call, by a fold in order of time.
+    """latency_ewma, consecutive_failures and cooldown_seconds of each source after its last call.
 
-    The fold needs a source's calls together; call by call over an endless stream it is the stateful operator in `streaming`.
+    The average is a sum: a latency that n later ones follow has the weight s * (1 - s)^n (the first one (1 - s)^n). Its
+    place is counted within its hour, and the hours' counts are added up, so that no task needs a source's calls together.
+    Failures in a row are those after the last success.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("observed_at", "event_id", "latency_ms", "transport_ok")))
-    grouped = calls.groupBy("source_id").agg(ordered.alias("l"))
-    ewma = F.aggregate("l", F.lit(None).cast("double"), lambda a, x: F.when(x["latency_ms"].isNull() | (x["latency_ms"] < 0), a).when(a.isNull(), x["latency_ms"]).otherwise(a * (1 - FRESH_SHARE) + x["latency_ms"] * FRESH_SHARE))
-    failures = F.aggregate("l", F.lit(0), lambda a, x: F.when(x["transport_ok"], 0).otherwise(a + 1))
+    hour = F.date_trunc("hour", F.col("observed_at").cast("timestamp"))
+    known = calls.where("latency_ms >= 0").select("source_id", hour.alias("hour"), "observed_at", "event_id", "latency_ms")
+    counts = known.groupBy("source_id", "hour").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("source_id").orderBy(F.desc("hour"))
+    later = counts.withColumn("later", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy("source_id")))
+    within = F.row_number().over(Window.partitionBy("source_id", "hour").orderBy(F.desc("observed_at"), F.desc("event_id"))) - 1
+    placed = known.withColumn("after", within).join(later.select("source_id", "hour", "later", "total"), ["source_id", "hour"]).withColumn("after", F.col("after") + F.col("later"))
+    weight = F.pow(F.lit(1 - FRESH_SHARE), F.col("after")) * F.when(F.col("after") == F.col("total") - 1, 1.0).otherwise(FRESH_SHARE)
+    average = placed.groupBy("source_id").agg(F.sum(weight * F.col("latency_ms")).alias("latency_ewma"))
+
+    at = F.struct("observed_at", "event_id")
+    last = calls.groupBy("source_id").agg(F.max(F.when(F.col("transport_ok"), at)).alias("last_ok"))
+    failed = calls.where("not transport_ok").join(last, "source_id").where(F.col("last_ok").isNull() | (at > F.col("last_ok")))
+    row = failed.groupBy("source_id").agg(F.count("*").alias("consecutive_failures"))
+    out = last.select("source_id").join(average, "source_id", "left").join(row, "source_id", "left").withColumn("consecutive_failures", F.coalesce("consecutive_failures", F.lit(0)).cast("int"))
     wait = F.when(F.col("consecutive_failures") >= COOLDOWN_AFTER, F.least(F.lit(float(COOLDOWN_MOST)), COOLDOWN_SECONDS * F.pow(F.lit(2.0), F.col("consecutive_failures") - COOLDOWN_AFTER))).otherwise(0.0)
-    return grouped.select("source_id", ewma.alias("latency_ewma"), failures.alias("consecutive_failures")).withColumn("cooldown_seconds", wait)
+    return out.withColumn("cooldown_seconds", wait)
+
+
+def health(metrics: DataFrame) -> DataFrame:
+    """Adds state and ingest to consecutive_failures, success_rate, price_validity and quarantined; what is missing counts as fine."""
+    fails = F.coalesce("consecutive_failures", F.lit(0))
+    success, price = (F.coalesce(c, F.lit(1.0)) for c in ("success_rate", "price_validity"))
+    state = (
+        F.when(F.coalesce("quarantined", F.lit(False)), "QUARANTINED")
+        .when((fails >= 3) | (success < 0.5) | (price < 0.9), "CIRCUIT_OPEN")
+        .when((fails > 0) | (success < 0.9) | (price < 0.99), "DEGRADED")
+        .otherwise("HEALTHY")
+    )
+    return metrics.withColumn("state", state).withColumn("ingest", F.col("state").isin("HEALTHY", "DEGRADED"))
 
 
 def routing(calls: DataFrame) -> DataFrame:
@@ -61,21 +87,6 @@ def price_stats(observations: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("delta", delta).withColumn("direction", F.when(delta > 0, "up").when(delta < 0, "down").otherwise("flat"))
 
 
-def token_bucket(requests: DataFrame, capacity: float, per_second: float) -> DataFrame:
-    """How many of each client's requests a bucket of tokens lets through: client_id, allowed, denied. requests: client_id, at, event_id."""
-    seconds = F.unix_micros(F.col("at").cast("timestamp")) / F.lit(1e6)
-    listed = requests.select("client_id", F.struct(seconds.alias("t"), "event_id").alias("x")).groupBy("client_id").agg(F.array_sort(F.collect_list("x")).alias("l"))
-    start = F.struct(F.lit(capacity).alias("held"), F.lit(None).cast("double").alias("t"), F.lit(0).alias("allowed"), F.lit(0).alias("denied"))
-
-    def step(acc: Column, x: Column) -> Column:
-        filled = F.least(F.lit(capacity), acc["held"] + F.coalesce(x["t"] - acc["t"], F.lit(0.0)) * per_second)
-        fine = filled >= 1
-        return F.struct((filled - F.when(fine, 1.0).otherwise(0.0)).alias("held"), x["t"].alias("t"), (acc["allowed"] + F.when(fine, 1).otherwise(0)).alias("allowed"), (acc["denied"] + F.when(fine, 0).otherwise(1)).alias("denied"))
-
-    done = listed.withColumn("r", F.aggregate("l", start, step))
-    return done.select("client_id", F.col("r.allowed").alias("allowed"), F.col("r.denied").alias("denied"))
-
-
 def failure_matrix(calls: DataFrame) -> DataFrame:
     return calls.groupBy("source_id", "kind").agg(F.count("*").alias("events"))
 

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaylens.functions import text as tx
@@ -26,16 +25,16 @@ CATEGORIES, COLORS = ("ring", "widget", "bolt", "gear", "gizmo"), ("red", "blue"
 QUERY = mt.parse_intent("new red widget 128 GB", CATEGORIES, COLORS)
 _HITS = "((list_contains(w, 'red'))::INT + (list_contains(w, '128gb'))::INT)"
 _SCORED = f"""{OFFERS_SQL}, w AS (SELECT *, string_split(trim(regexp_replace(lower(concat(title, ' ', brand)), '[^a-z0-9]+', ' ', 'g')), ' ') AS w, regexp_extract_all(title, '[0-9]+(?:gb|tb)') AS named FROM offers),
-h AS (SELECT *, {_HITS} AS hits, list_has_any(w, ['case','cover','charger','protector','strap','bolt','gear']) AS acc FROM w),
-s AS (SELECT *, floor(greatest(0e0, least(1e0, (CASE WHEN category = 'widget' THEN least(1e0, (hits + 1) / 3e0) ELSE hits / 2e0 * 0.2e0 END) * (CASE WHEN acc THEN 0.12e0 ELSE 1e0 END) * (CASE WHEN len(named) > 0 AND NOT list_contains(named, '128gb') THEN 0.82e0 ELSE 1e0 END) - CASE WHEN condition <> 'new' THEN 0.15e0 ELSE 0e0 END)) * 100 + 0.5) / 100 AS query_score FROM h)"""
+h AS (SELECT *, {_HITS} AS hits, condition NOT IN ('new', 'unknown') AS worn, list_has_any(w, ['case','cover','charger','protector','strap','bolt','gear']) AS acc FROM w),
+s AS (SELECT *, floor(greatest(0e0, least(1e0, (CASE WHEN category = 'widget' THEN least(1e0, (hits + 1) / 3e0) ELSE hits / 2e0 * 0.2e0 END) * (CASE WHEN acc THEN 0.12e0 ELSE 1e0 END) * (CASE WHEN len(named) > 0 AND NOT list_contains(named, '128gb') THEN 0.82e0 ELSE 1e0 END) - CASE WHEN condition NOT IN ('new', 'unknown') THEN 0.15e0 ELSE 0e0 END)) * 100 + 0.5) / 100 AS query_score FROM h)"""
 
 
-@query("q_match_score", f"{_SCORED} SELECT offer_id, query_score, query_score >= 0.92e0 AND hits = 2 AS exact FROM s")
+@query("q_match_score", f"{_SCORED} SELECT offer_id, query_score, query_score >= 0.92e0 AND hits = 2 AND category = 'widget' AND NOT acc AND NOT worn AND NOT (len(named) > 0 AND NOT list_contains(named, '128gb')) AS exact FROM s")
 def match_score(spark: SparkSession, d: str) -> DataFrame:
     return mt.assess(offers(spark, d), QUERY).select("offer_id", "query_score", "exact")
 
 
-@query("q_filter_query", f"{_SCORED} SELECT concat_ws(',', CASE WHEN len(named) > 0 AND NOT list_contains(named, '128gb') THEN 'capacity_conflict' END, CASE WHEN NOT (query_score >= 0.92e0 AND hits = 2) THEN 'query_mismatch' END) AS reasons, count(*) AS offers FROM s GROUP BY reasons")
+@query("q_filter_query", f"{_SCORED} SELECT concat_ws(',', CASE WHEN len(named) > 0 AND NOT list_contains(named, '128gb') THEN 'capacity_conflict' END, CASE WHEN NOT (query_score >= 0.92e0 AND hits = 2 AND category = 'widget' AND NOT acc AND NOT worn) THEN 'query_mismatch' END) AS reasons, count(*) AS offers FROM s GROUP BY reasons")
 def filter_query(spark: SparkSession, d: str) -> DataFrame:
     return mt.reasons(offers(spark, d), QUERY).groupBy("reasons").agg(F.count("*").alias("offers"))
 
@@ -58,10 +57,10 @@ def find_best(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_relaxed_queries", """WITH o AS (SELECT * FROM (VALUES (0, 'red widget'), (1, 'widget')) AS t(step, q)) SELECT step, q, count(*) AS hits FROM o JOIN part ON len(list_filter(string_split(q, ' '), lambda x: NOT list_contains(string_split(p_name, ' '), x))) = 0 GROUP BY step, q""")
 def relaxed_queries(spark: SparkSession, d: str) -> DataFrame:
-    steps = [q for q in mt.relaxed(QUERY) if q in ("red widget", "widget")]
+    steps = mt.relaxed(QUERY)
     names = F.split("p_name", " ")
     out = [table(spark, d, "part").where(F.size(F.array_except(F.array(*[F.lit(w) for w in q.split()]), names)) == 0).agg(F.count("*").alias("hits")).select(F.lit(i).alias("step"), F.lit(q).alias("q"), "hits") for i, q in enumerate(steps)]
-    return out[0].unionByName(out[1])
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("q_comparison_query", f"{OFFERS_SQL} SELECT concat_ws(' ', brand, title, storage, color, condition) AS comparison_query, count(*) AS n FROM offers GROUP BY comparison_query")
@@ -127,12 +126,11 @@ def extract_products(spark: SparkSession, d: str) -> DataFrame:
 # payloads: what merchants' answers would look like for these offers
 
 def _answers(spark: SparkSession, d: str, item: str, wrap: str) -> DataFrame:
-    rows = offers(spark, d).where("product_price is not null").select("merchant", "offer_id", F.expr(item).alias("i"))
-    one = rows.groupBy("merchant", "offer_id").agg(F.min("i").alias("i"))
-    return one.groupBy(F.col("merchant").alias("source_id"), (F.pmod(F.xxhash64("offer_id"), F.lit(16))).alias("page")).agg(F.array_sort(F.collect_list("i")).alias("l")).select("source_id", F.expr(wrap).alias("payload"))
+    rows = offers(spark, d).select("merchant", "offer_id", F.expr(item).alias("i"))
+    return rows.groupBy(F.col("merchant").alias("source_id"), (F.pmod(F.xxhash64("offer_id"), F.lit(16))).alias("page")).agg(F.array_sort(F.collect_list("i")).alias("l")).select("source_id", F.expr(wrap).alias("payload"))
 
 
-_SOURCE_SQL = f"{OFFERS_SQL}, u AS (SELECT merchant, offer_id, any_value(title) AS title, any_value(brand) AS brand, min(floor(product_price * 100)) AS cents, any_value(availability) AS availability FROM offers WHERE product_price IS NOT NULL GROUP BY merchant, offer_id)"
+_SOURCE_SQL = f"{OFFERS_SQL}, u AS (SELECT merchant, offer_id, any_value(title) AS title, any_value(brand) AS brand, min(floor(product_price * 100)) AS cents, any_value(availability) AS availability FROM offers GROUP BY merchant, offer_id)"
 
 
 @query("q_source_search_api", f"{_SOURCE_SQL} SELECT merchant AS source_id, offer_id AS listing_id, title, brand, cents / 100 AS price FROM u")
@@ -148,10 +146,11 @@ def source_hits(spark: SparkSession, d: str) -> DataFrame:
     return pl.parse(_answers(spark, d, item, "concat('{\"hits\":[', array_join(l, ','), ']}')"), pl.FORMATS["hits"]).select("source_id", "listing_id", "price", "availability")
 
 
-@query("q_source_storefront", "WITH v AS (SELECT s_name, p_partkey, p_name, p_retailprice, (p_partkey + s_suppkey) % 5 + 1 AS n FROM part JOIN supplier ON p_partkey % 10 = s_suppkey % 10 AND s_suppkey < 10) SELECT s_name AS source_id, concat(p_partkey, '-', i) AS listing_id, floor(p_retailprice) + i AS price FROM v, range(0, 3) r(i) WHERE i < n")
+@query("q_source_storefront", "WITH k AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), v AS (SELECT s_name, p_partkey, p_retailprice, (p_partkey + s_suppkey) % 5 + 1 AS n FROM k JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey) SELECT s_name AS source_id, concat(p_partkey, '-', i) AS listing_id, floor(p_retailprice) + i AS price FROM v, range(0, 3) r(i) WHERE i < n")
 def source_storefront(spark: SparkSession, d: str) -> DataFrame:
-    part, supplier = table(spark, d, "part"), table(spark, d, "supplier").where("s_suppkey < 10")
-    made = part.join(supplier, (F.col("p_partkey") % 10) == (F.col("s_suppkey") % 10))
+    """Each supplier is a storefront that offers the parts of its line items, in one to five variants, of which a search shows three."""
+    sold = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    made = sold.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     variants = "transform(sequence(0, cast((p_partkey + s_suppkey) % 5 as int)), i -> named_struct('id', concat(p_partkey, '-', i), 'price', cast(cast(floor(p_retailprice) + i as int) as string), 'available', true))"
     products = made.select(F.col("s_name").alias("source_id"), F.expr(f"to_json(named_struct('products', array(named_struct('id', cast(p_partkey as string), 'title', p_name, 'variants', {variants}))))").alias("payload"))
     return pl.parse(products, pl.FORMATS["storefront"]).select("source_id", "listing_id", "price")
@@ -189,26 +188,55 @@ def audit_warnings(spark: SparkSession, d: str) -> DataFrame:
     return offers(spark, d).select("merchant", F.explode(au.warnings()).alias("warning")).groupBy("merchant", "warning").agg(F.count("*").alias("offers"))
 
 
+_SHARES = {
+    "correctness": "product_price > 0",
+    "completeness": "sku IS NOT NULL",
+    "stability": "shipping IS NOT NULL",
+    "speed": "delivery_days <= 5",
+    "repeatability": "price_confidence = 'observed'",
+    "maintainability": "data_kind = 'live'",
+    "resource_cost": "mandatory_fees IS NOT NULL",
+}
+_SHARES_SQL = ", ".join(f"avg(CASE WHEN {c} THEN 1e0 ELSE 0e0 END) AS {n}" for n, c in _SHARES.items())
+_SCORE_SQL = "floor((0e0 + correctness * 0.25e0 + completeness * 0.18e0 + stability * 0.15e0 + speed * 0.12e0 + repeatability * 0.1e0 + maintainability * 0.1e0 + resource_cost * 0.1e0) * 10000 + 0.5) / 100"
+
+
+def _shares() -> list[Column]:
+    return [F.avg(F.when(F.expr(c), 1.0).otherwise(0.0)).alias(n) for n, c in _SHARES.items()]
+
+
 @query(
     "q_certification",
-    f"""{OFFERS_SQL}, m AS (SELECT merchant, avg(CASE WHEN title IS NOT NULL THEN 1e0 ELSE 0e0 END) AS title_share, avg(CASE WHEN product_price IS NOT NULL THEN 1e0 ELSE 0e0 END) AS price_share, avg(CASE WHEN starts_with(source_url, 'https') THEN 1e0 ELSE 0e0 END) AS url_share, avg(CASE WHEN availability <> 'unknown' THEN 1e0 ELSE 0e0 END) AS stock_share, count(DISTINCT product_id) / count(*)::DOUBLE AS unique_share FROM offers GROUP BY merchant),
-    p AS (SELECT merchant, (title_share >= 1)::INT + (price_share >= 0.9e0)::INT + (url_share >= 1)::INT + (stock_share >= 0.6e0)::INT + (unique_share >= 0.5e0)::INT AS passed FROM m) SELECT merchant, passed, CASE passed WHEN 5 THEN 'CERTIFIED' WHEN 4 THEN 'CONDITIONAL' ELSE 'REJECTED' END AS state FROM p""",
+    f"""{OFFERS_SQL}, m AS (SELECT merchant, {_SHARES_SQL}, avg(CASE WHEN title IS NOT NULL AND product_price IS NOT NULL AND source_url IS NOT NULL THEN 1e0 ELSE 0e0 END) AS critical, min(currency) = max(currency) AS one_currency, min(market) = max(market) AS one_market,
+      avg(CASE WHEN match_confidence >= 0.35e0 THEN 1e0 ELSE 0e0 END) >= 0.5e0 AS found, 1 - count(DISTINCT product_id) / count(*)::DOUBLE <= 0.5e0 AS paged, avg(CASE WHEN color IS NOT NULL THEN 1e0 ELSE 0e0 END) AS variants, count(*) FILTER (product_price <= 0) AS issues, avg(CASE WHEN price_confidence = 'observed' THEN 1e0 ELSE 0e0 END) >= 0.6e0 AS repeats FROM offers GROUP BY merchant),
+    f AS (SELECT merchant, list_filter([CASE WHEN {_SCORE_SQL} < 70 THEN 'extraction_candidate' END, CASE WHEN critical < 0.99e0 THEN 'critical_fields' END, CASE WHEN correctness < 0.99e0 THEN 'price_validity' END, CASE WHEN NOT one_currency THEN 'currency_verified' END, CASE WHEN NOT one_market THEN 'market_verified' END, CASE WHEN NOT found THEN 'search_passed' END,
+      CASE WHEN NOT paged THEN 'pagination_passed' END, CASE WHEN variants < 0.995e0 THEN 'variant_accuracy' END, CASE WHEN issues > 0 THEN 'semantic_issues' END, CASE WHEN NOT repeats THEN 'repeatability_passed' END], lambda x: x IS NOT NULL) AS failed FROM m)
+    SELECT merchant, array_to_string(failed, ',') AS failed, len(failed) = 0 AS passed, CASE WHEN len(failed) = 0 THEN 'CERTIFIED' WHEN NOT list_contains(failed, 'extraction_candidate') THEN 'CANDIDATE' ELSE 'PROBED' END AS state FROM f""",
 )
 def certification(spark: SparkSession, d: str) -> DataFrame:
-    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    m = offers(spark, d).groupBy("merchant").agg(share(F.col("title").isNotNull()).alias("title_share"), share(F.col("product_price").isNotNull()).alias("price_share"), share(F.col("source_url").startswith("https")).alias("url_share"), share(F.col("availability") != "unknown").alias("stock_share"), (F.countDistinct("product_id") / F.count("*")).alias("unique_share"))
-    return au.certify(m).select("merchant", "passed", "state")
+    share = lambda c: F.avg(F.when(F.expr(c), 1.0).otherwise(0.0))
+    evidence = offers(spark, d).groupBy("merchant").agg(
+        *_shares(),
+        F.lit(True).alias("reachable"),
+        share("title is not null and product_price is not null and source_url is not null").alias("critical_field_coverage"),
+        (F.min("currency") == F.max("currency")).alias("currency_verified"),
+        (F.min("market") == F.max("market")).alias("market_verified"),
+        (share("match_confidence >= 0.35") >= 0.5).alias("search_passed"),
+        (1 - F.countDistinct("product_id") / F.count("*") <= 0.5).alias("pagination_passed"),
+        share("color is not null").alias("variant_accuracy"),
+        F.count_if(F.col("product_price") <= 0).alias("semantic_critical_issues"),
+        (share("price_confidence = 'observed'") >= 0.6).alias("repeatability_passed"),
+    )
+    out = au.certify(evidence.withColumn("strategy_score", au.extraction_score()).withColumn("price_validity", F.col("correctness")))
+    return out.select("merchant", F.array_join("failed", ",").alias("failed"), "passed", "state")
 
 
 @query(
     "q_extraction_score",
-    f"""{OFFERS_SQL}, m AS (SELECT merchant, provider, avg(CASE WHEN sku IS NOT NULL THEN 1e0 ELSE 0e0 END) AS a, avg(CASE WHEN product_price > 0 THEN 1e0 ELSE 0e0 END) AS b, avg(CASE WHEN shipping IS NOT NULL THEN 1e0 ELSE 0e0 END) AS c, avg(CASE WHEN delivery_days <= 5 THEN 1e0 ELSE 0e0 END) AS e FROM offers GROUP BY ALL),
-    s AS (SELECT merchant, provider, CAST(floor((0e0 + a * 0.3e0 + b * 0.3e0 + c * 0.2e0 + e * 0.2e0) * 100 + 0.5) AS INT) AS score FROM m) SELECT merchant, provider, score, row_number() OVER (PARTITION BY provider ORDER BY score DESC, merchant) AS place FROM s""",
+    f"""{OFFERS_SQL}, m AS (SELECT merchant, provider, {_SHARES_SQL} FROM offers GROUP BY ALL), s AS (SELECT merchant, provider, {_SCORE_SQL} AS score FROM m) SELECT merchant, provider, score, row_number() OVER (PARTITION BY provider ORDER BY score DESC, merchant) AS place FROM s""",
 )
 def extraction_score(spark: SparkSession, d: str) -> DataFrame:
-    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    m = offers(spark, d).groupBy("merchant", "provider").agg(share(F.col("sku").isNotNull()).alias("completeness"), share(F.col("product_price") > 0).alias("validity"), share(F.col("shipping").isNotNull()).alias("stability"), share(F.col("delivery_days") <= 5).alias("speed"))
-    out = m.withColumn("score", au.extraction_score())
+    out = offers(spark, d).groupBy("merchant", "provider").agg(*_shares()).withColumn("score", au.extraction_score())
     return out.withColumn("place", F.row_number().over(Window.partitionBy("provider").orderBy(F.desc("score"), "merchant"))).select("merchant", "provider", "score", "place")
 
 
@@ -218,9 +246,10 @@ def repeatability(spark: SparkSession, d: str) -> DataFrame:
     return au.repeatability(daily, "source_id", "n")
 
 
-@query("q_pagination_quality", f"{OFFERS_SQL} SELECT merchant, 1 - count(DISTINCT product_id) / count(*)::DOUBLE AS duplicate_rate, CASE WHEN count(*) < 5 THEN 5 WHEN count(*) < 10 THEN 10 WHEN count(*) < 20 THEN 20 WHEN count(*) < 50 THEN 50 ELSE 100 END AS next_sample FROM offers GROUP BY merchant")
+@query("q_pagination_quality", f"{OFFERS_SQL}, q AS (SELECT merchant, product_id, count(*) AS n, min(currency) = max(currency) AS one FROM offers GROUP BY ALL) SELECT merchant, 1 - count(*) / sum(n)::DOUBLE AS duplicate_rate, CASE WHEN count(*) < 5 THEN 5 WHEN bool_and(one) AND count(*) >= 10 THEN NULL WHEN count(*) < 10 THEN 10 WHEN count(*) < 20 THEN 20 WHEN count(*) < 50 THEN 50 WHEN bool_and(one) THEN NULL ELSE 100 END AS next_sample FROM q GROUP BY merchant")
 def pagination_quality(spark: SparkSession, d: str) -> DataFrame:
-    return offers(spark, d).groupBy("merchant").agg((1 - F.countDistinct("product_id") / F.count("*")).alias("duplicate_rate"), au.next_sample_size(F.count("*")).alias("next_sample"))
+    products = offers(spark, d).groupBy("merchant", "product_id").agg(F.count("*").alias("n"), (F.min("currency") == F.max("currency")).alias("one"))
+    return products.groupBy("merchant").agg((1 - F.count("*") / F.sum("n")).alias("duplicate_rate"), au.next_sample_size(F.count("*"), F.bool_and("one")).alias("next_sample"))
 
 
 @query("q_variant_integrity", f"{OFFERS_SQL} SELECT product_id, sku, count(*) AS n FROM offers WHERE sku IS NOT NULL GROUP BY product_id, sku HAVING count(*) > 1")
@@ -316,21 +345,9 @@ def quote_states(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("raw"), state.alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("q_cache_admission", f"{OBSERVATIONS_SQL}, s AS (SELECT product_id, count(*) FILTER (transport_ok) AS good, count(*) FILTER (NOT transport_ok) AS bad FROM observations GROUP BY product_id) SELECT product_id, CASE WHEN good = 0 AND bad = 0 THEN 'unknown' WHEN good = 0 THEN 'empty' WHEN bad > good / 4e0 THEN 'partial' ELSE 'complete' END AS decision FROM s")
-def cache_admission(spark: SparkSession, d: str) -> DataFrame:
-    s = observations(spark, d).groupBy("product_id").agg(F.count_if("transport_ok").alias("good"), F.count_if(~F.col("transport_ok")).alias("bad"))
-    return s.select("product_id", F.when((F.col("good") == 0) & (F.col("bad") == 0), "unknown").when(F.col("good") == 0, "empty").when(F.col("bad") > F.col("good") / 4.0, "partial").otherwise("complete").alias("decision"))
-
-
-@query("q_retry_actions", f"{OBSERVATIONS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY source_id, product_id ORDER BY observed_at, event_id) AS attempt FROM observations) SELECT event_id, CASE WHEN transport_ok THEN 'done' WHEN latency_ms > 10000 THEN 'cooldown' WHEN attempt < 3 THEN 'retry' ELSE 'give_up' END AS action FROM n")
-def retry_actions(spark: SparkSession, d: str) -> DataFrame:
-    n = observations(spark, d).withColumn("attempt", F.row_number().over(Window.partitionBy("source_id", "product_id").orderBy("observed_at", "event_id")))
-    return n.select("event_id", F.when(F.col("transport_ok"), "done").when(F.col("latency_ms") > 10000, "cooldown").when(F.col("attempt") < 3, "retry").otherwise("give_up").alias("action"))
-
-
 # texts
 
-@query("q_tokens", "WITH t AS (SELECT unnest(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS token FROM documents) SELECT token, count(*) AS n FROM t GROUP BY token")
+@query("q_tokens", "WITH t AS (SELECT unnest(list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')) AS token FROM documents) SELECT token, count(*) AS n FROM t GROUP BY token")
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
@@ -358,18 +375,18 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     return raw.select("event_id", F.concat(F.lit("source_"), F.col("user_id") % 40).alias("source_id"), F.col("user_id").alias("product_id"), F.col("event_type").alias("kind"), (F.col("event_type") != "error").alias("transport_ok"), (F.col("value") * 100).alias("latency_ms"), F.col("value").alias("price"), F.col("ts").cast("timestamp").alias("observed_at"))
 
 
-def _checkpoint(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query("q_stream_newest", "SELECT user_id AS product_id, max(ts) AS observed_at, arg_max(value, struct_pack(a := ts, b := event_id)) AS price FROM events GROUP BY user_id")
 def stream_newest(spark: SparkSession, d: str) -> DataFrame:
-    out = st.run_available(st.newest_by_key(_stream(spark, d), "product_id"), f"newest_{uuid.uuid4().hex}", "complete", _checkpoint(spark))
+    out = st.run_available(st.newest_by_key(_stream(spark, d), "product_id"), "complete")
     return out.select("product_id", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"), "price")
 
 
 @query("q_stream_windows", "SELECT date_trunc('hour', ts) AS start, event_type AS kind, count(*) AS events FROM events GROUP BY ALL")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    out = st.run_available(st.windowed_counts(_stream(spark, d)), f"windows_{uuid.uuid4().hex}", "complete", _checkpoint(spark))
+    out = st.run_available(st.windowed_counts(_stream(spark, d)), "complete")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "kind", "events")
+
+
+@query("q_stream_distinct", "SELECT DISTINCT concat('source_', user_id % 40) AS source_id, event_type AS kind FROM events")
+def stream_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return st.run_available(st.distinct_within(_stream(spark, d), ["source_id", "kind"]).select("source_id", "kind"), "append")

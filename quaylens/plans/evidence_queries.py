@@ -86,10 +86,9 @@ def conflict_summary(spark: SparkSession, d: str) -> DataFrame:
 @query("q_token_similarity", f"{_PAIRS} SELECT candidate_id_a, candidate_id_b, {_SIM.format('ta', 'tb')} AS similarity FROM p WHERE na IS NOT NULL AND nb IS NOT NULL")
 def token_similarity(spark: SparkSession, d: str) -> DataFrame:
     from quaylens.functions.text import token_similarity as similarity
-    from quaylens.functions.text import tokens
 
-    p = ev.pairs(candidates(spark, d), ["candidate_id", "name"]).where("name_a is not null and name_b is not null")
-    return p.select("candidate_id_a", "candidate_id_b", similarity(tokens(F.col("name_a")), tokens(F.col("name_b"))).alias("similarity"))
+    p = ev.pairs(ev.prepared(candidates(spark, d).where("name is not null")), ["candidate_id", "words"])
+    return p.select("candidate_id_a", "candidate_id_b", similarity(F.col("words_a"), F.col("words_b")).alias("similarity"))
 
 
 def _ev_sql(a: str, b: str, w: float) -> str:
@@ -105,7 +104,7 @@ def _verdict_sql(source: str) -> str:
 
 @query("q_identity_compare", f"{_PAIRS}, {_verdict_sql('p')} SELECT product_id, candidate_id_a, candidate_id_b, score, verdict FROM v")
 def identity_compare(spark: SparkSession, d: str) -> DataFrame:
-    p = ev.pairs(candidates(spark, d), ["candidate_id", "gtin", "sku", "model", "brand", "name"])
+    p = ev.pairs(ev.prepared(candidates(spark, d)), ev.PREPARED_COLUMNS)
     return ev.identity_verdict(p).select("product_id", "candidate_id_a", "candidate_id_b", "score", "verdict")
 
 
@@ -158,9 +157,9 @@ _FOLDED = """l AS (SELECT source_id, list(struct_pack(l := latency_ms, ok := tra
 f AS (SELECT source_id, list_reduce(list_transform(l, lambda x: x.l), lambda a, x: a * 0.72e0 + x * 0.28e0) AS latency_ewma, CAST(list_reduce(list_prepend(0, list_transform(l, lambda x: CASE WHEN x.ok THEN -1 ELSE 1 END)), lambda a, x: CASE WHEN x < 0 THEN 0 ELSE a + 1 END) AS INT) AS consecutive_failures FROM l)"""
 
 
-@query("q_ewma_latency", f"{OBSERVATIONS_SQL}, {_FOLDED} SELECT *, CASE WHEN consecutive_failures >= 3 THEN least(1800e0, 120e0 * pow(2e0, consecutive_failures - 3)) ELSE 0e0 END AS cooldown_seconds FROM f")
+@query("q_ewma_latency", f"{OBSERVATIONS_SQL}, {_FOLDED} SELECT * REPLACE (round(latency_ewma, 6) AS latency_ewma), CASE WHEN consecutive_failures >= 3 THEN least(1800e0, 120e0 * pow(2e0, consecutive_failures - 3)) ELSE 0e0 END AS cooldown_seconds FROM f")
 def ewma(spark: SparkSession, d: str) -> DataFrame:
-    return rel.folded(observations(spark, d))
+    return rel.folded(observations(spark, d)).withColumn("latency_ewma", F.round("latency_ewma", 6))
 
 
 @query("q_route", f"{_RATES}, {_FOLDED}, s AS (SELECT source_id, floor(reliability * (0.45e0 + yield * 0.55e0) * (1 / (1 + greatest(0e0, coalesce(latency_ewma, 1800e0)) / 1800)) * (0.35e0 + confidence * 0.65e0) * 1e6 + 0.5) / 1e6 AS routing_score FROM q JOIN f USING (source_id)) SELECT source_id, routing_score, row_number() OVER (ORDER BY routing_score DESC, source_id) AS place FROM s")
@@ -205,17 +204,20 @@ def revision_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return rel.revisions(o, "product_id").select("event_id", "outcome", "revision")
 
 
-@query("q_token_bucket")
-def token_bucket(spark: SparkSession, d: str) -> DataFrame:
-    return rel.token_bucket(table(spark, d, "events").select(F.col("user_id").alias("client_id"), F.col("ts").alias("at"), "event_id"), 3.0, 1 / 3600)
-
-
-@query("q_source_health", f"{OBSERVATIONS_SQL}, h AS (SELECT source_id, count(*) FILTER (NOT transport_ok) AS failures, avg(CASE WHEN transport_ok THEN 1e0 ELSE 0e0 END) AS success, avg(CASE WHEN price >= 10 THEN 1e0 ELSE 0e0 END) AS valid FROM observations GROUP BY source_id) SELECT source_id, failures, CASE WHEN success < 0.5e0 OR valid < 0.8e0 OR failures >= 70 THEN 'CIRCUIT_OPEN' WHEN failures > 0 OR success < 0.9e0 OR valid < 0.99e0 THEN 'DEGRADED' ELSE 'HEALTHY' END AS state FROM h")
+@query(
+    "q_source_health",
+    f"""{OBSERVATIONS_SQL}, h AS (SELECT source_id, max(struct_pack(t := observed_at, e := event_id)) FILTER (transport_ok) AS last_ok, avg(CASE WHEN transport_ok THEN 1e0 ELSE 0e0 END) AS success, avg(CASE WHEN price >= 10 THEN 1e0 ELSE 0e0 END) AS valid FROM observations GROUP BY source_id),
+    r AS (SELECT o.source_id, count(*) AS failures FROM observations o JOIN h ON h.source_id = o.source_id WHERE NOT transport_ok AND (last_ok IS NULL OR struct_pack(t := observed_at, e := event_id) > last_ok) GROUP BY o.source_id),
+    s AS (SELECT h.source_id, coalesce(failures, 0) AS consecutive_failures, success, valid, h.source_id = 'source_7' AS quarantined FROM h LEFT JOIN r ON r.source_id = h.source_id)
+    SELECT source_id, CAST(consecutive_failures AS INT) AS consecutive_failures, CASE WHEN quarantined THEN 'QUARANTINED' WHEN consecutive_failures >= 3 OR success < 0.5e0 OR valid < 0.9e0 THEN 'CIRCUIT_OPEN' WHEN consecutive_failures > 0 OR success < 0.9e0 OR valid < 0.99e0 THEN 'DEGRADED' ELSE 'HEALTHY' END AS state,
+      NOT quarantined AND NOT (consecutive_failures >= 3 OR success < 0.5e0 OR valid < 0.9e0) AS ingest FROM s""",
+)
 def source_health(spark: SparkSession, d: str) -> DataFrame:
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    h = observations(spark, d).groupBy("source_id").agg(F.count_if(~F.col("transport_ok")).alias("failures"), share(F.col("transport_ok")).alias("success"), share(F.col("price") >= 10).alias("valid"))
-    state = F.when((F.col("success") < 0.5) | (F.col("valid") < 0.8) | (F.col("failures") >= 70), "CIRCUIT_OPEN").when((F.col("failures") > 0) | (F.col("success") < 0.9) | (F.col("valid") < 0.99), "DEGRADED").otherwise("HEALTHY")
-    return h.select("source_id", "failures", state.alias("state"))
+    calls = observations(spark, d)
+    rates = calls.groupBy("source_id").agg(share(F.col("transport_ok")).alias("success_rate"), share(F.col("price") >= 10).alias("price_validity"))
+    metrics = rates.join(rel.folded(calls).select("source_id", "consecutive_failures"), "source_id").withColumn("quarantined", F.col("source_id") == "source_7")
+    return rel.health(metrics).select("source_id", "consecutive_failures", "state", "ingest")
 
 
 @query("q_quantile", f"{OBSERVATIONS_SQL} SELECT kind, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95, quantile_disc(latency_ms, 0.99) AS p99 FROM observations GROUP BY kind")

@@ -50,5 +50,7 @@ def parse(payloads: DataFrame, fmt: Format) -> DataFrame:
 
 
 def first_tier(rows: DataFrame, by: str, tier: Column) -> DataFrame:
-    """Of each store the rows of the best tier that has any."""
-    return rows.withColumn("tier", tier).withColumn("_best", F.min("tier").over(Window.partitionBy(by))).where("tier = _best").drop("_best")
+    """Of each store the rows of the best tier that has any. The best tier is an aggregate joined back, so that a large store isn't one task."""
+    marked = rows.withColumn("tier", tier)
+    best = marked.groupBy(F.col(by).alias("_by")).agg(F.min("tier").alias("_best"))
+    return marked.join(best, (F.col(by) == F.col("_by")) & (F.col("tier") == F.col("_best"))).drop("_by", "_best")

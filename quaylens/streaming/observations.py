@@ -1,23 +1,30 @@
-"""Observations as streams: newest wins, late and future ones turned away, top offers after every batch, source state."""
+"""Observations as streams: newest wins, counts by window, repeated notices once, source state."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaylens.operators.reliability import COOLDOWN_AFTER, COOLDOWN_MOST, COOLDOWN_SECONDS, FRESH_SHARE
 
 
-def newest_by_key(stream: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
-    """The newest observation of each key so far; state older than the watermark goes."""
-    marked = stream.withWatermark("observed_at", late)
-    return marked.groupBy(key).agg(F.max(F.struct("observed_at", "event_id", "price")).alias("x")).select(key, "x.observed_at", "x.event_id", "x.price")
+def not_ahead(stream: DataFrame, seconds: int = 60) -> DataFrame:
+    """Observations whose time is at most a minute ahead of the clock."""
+    return stream.where(F.col("observed_at") <= F.current_timestamp() + F.expr(f"interval {seconds} seconds"))
+
+
+def newest_by_key(stream: DataFrame, key: str) -> DataFrame:
+    """The newest observation of each key so far, one row of state a key. Observations from the future are turned away."""
+    return not_ahead(stream).groupBy(key).agg(F.max(F.struct("observed_at", "event_id", "price")).alias("x")).select(key, "x.observed_at", "x.event_id", "x.price")
 
 
 def distinct_within(stream: DataFrame, key: list[str], late: str = "1 hour") -> DataFrame:
+    """Of notices that repeat within the watermark's delay the first; state older than the watermark goes."""
     return stream.withWatermark("observed_at", late).dropDuplicatesWithinWatermark(key)
 
 
@@ -45,8 +52,37 @@ def source_state(stream: DataFrame) -> DataFrame:
     return stream.groupBy("source_id").applyInPandasWithState(step, out, kept, "update", "NoTimeout")
 
 
-def run_available(result: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there now into a table in memory, for results of a bounded size."""
-    q = result.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return result.sparkSession.table(name)
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the cluster shares; a temporary one only in a local session that names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="spark-stream-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
+
+
+def run_available(result: DataFrame, mode: str, root: str | None = None) -> DataFrame:
+    """Runs a stream over what is there now, into files of the shared folder, and reads them back.
+
+    In append mode the files are the stream's own sink; in complete and update mode every batch is written to a folder of
+    its own, and the result is the last one (complete) or all of them (update).
+    """
+    spark = result.sparkSession
+    base = f"{root or shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    writer = result.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{base}/rows").start().awaitTermination()
+        return spark.read.schema(result.schema).parquet(f"{base}/rows")
+    batches: list[int] = []
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/rows/{batch}")  # a batch that runs again replaces its rows
+        if batch not in batches:
+            batches.append(batch)
+
+    writer.foreachBatch(keep).start().awaitTermination()
+    if not batches:
+        return spark.createDataFrame([], result.schema)
+    wanted = batches[-1:] if mode == "complete" else batches
+    return spark.read.schema(result.schema).parquet(*[f"{base}/rows/{b}" for b in wanted])

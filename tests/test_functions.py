@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaylens.functions import money, text, urls
-from quaylens.operators import catalog, groups, matching, offers, pages, reliability
+from quaylens.operators import audit, catalog, coverage, gates, groups, matching, offers, pages, reliability
 from quaylens.schema import OFFER_DDL
 from quaylens.sources import payloads
 
@@ -96,10 +96,44 @@ def test_upsert_keeps_the_stored_row_among_equals(spark):  # noqa: ANN001
     assert sorted(r.offer_id for r in catalog.upsert(current, incoming, ["k"]).collect()) == ["b", "w", "x", "z"]
 
 
-def test_token_bucket(spark):  # noqa: ANN001
-    rows = [("c", f"2024-01-01 00:00:{s:02d}", i) for i, s in enumerate([0, 0, 0, 1, 2, 12])]
-    out = reliability.token_bucket(spark.createDataFrame(rows, "client_id string, at string, event_id int").withColumn("at", F.col("at").cast("timestamp")), 2.0, 0.1).first()
-    assert (out.allowed, out.denied) == (3, 3)
+def test_averages_equal_a_fold(spark):  # noqa: ANN001
+    rng = random.Random(8)
+    rows = [(f"s{i % 2}", i, f"2024-01-01 {rng.randrange(24):02d}:{rng.randrange(60):02d}:00", rng.choice([None, -1.0, rng.random() * 100]), rng.random() < 0.4) for i in range(200)]
+    df = spark.createDataFrame(rows, "source_id string, event_id int, observed_at string, latency_ms double, transport_ok boolean").withColumn("observed_at", F.col("observed_at").cast("timestamp"))
+    got = {r.source_id: r for r in reliability.folded(df).collect()}
+    for source in ("s0", "s1"):
+        average, failures = None, 0
+        for _, _, _, latency, ok in sorted((r for r in rows if r[0] == source), key=lambda r: (r[2], r[1])):
+            if latency is not None and latency >= 0:
+                average = latency if average is None else average * 0.72 + latency * 0.28
+            failures = 0 if ok else failures + 1
+        assert abs(got[source].latency_ewma - average) < 1e-9 and got[source].consecutive_failures == failures
+
+
+@pytest.mark.parametrize(
+    ("fails", "success", "price", "held", "state"),
+    [(0, 1.0, 1.0, False, "HEALTHY"), (0, None, None, None, "HEALTHY"), (1, 1.0, 1.0, False, "DEGRADED"), (3, 1.0, 1.0, False, "CIRCUIT_OPEN"), (0, 0.49, 1.0, False, "CIRCUIT_OPEN"), (0, 1.0, 0.89, False, "CIRCUIT_OPEN"), (0, 1.0, 0.98, False, "DEGRADED"), (0, 1.0, 1.0, True, "QUARANTINED")],
+)
+def test_health(spark, fails, success, price, held, state):  # noqa: ANN001
+    row = reliability.health(spark.createDataFrame([(fails, success, price, held)], "consecutive_failures int, success_rate double, price_validity double, quarantined boolean")).first()
+    assert row.state == state and row.ingest == (state in ("HEALTHY", "DEGRADED"))
+
+
+def test_certification(spark):  # noqa: ANN001
+    full = {"reachable": True, "strategy_score": 70.0, "critical_field_coverage": 0.99, "price_validity": 1.0, "currency_verified": True, "market_verified": True, "search_passed": True, "pagination_passed": True, "variant_accuracy": 0.995, "semantic_critical_issues": 0, "repeatability_passed": True}
+    ddl = ", ".join(f"{k} {'boolean' if isinstance(v, bool) else 'double' if isinstance(v, float) else 'int'}" for k, v in full.items())
+    for change, state in [({}, "CERTIFIED"), ({"variant_accuracy": 0.994}, "CANDIDATE"), ({"semantic_critical_issues": None}, "CERTIFIED"), ({"strategy_score": 69.99}, "PROBED"), ({"reachable": None}, "DISCOVERED"), ({"market_verified": None}, "CANDIDATE")]:
+        row = audit.certify(spark.createDataFrame([full | change], ddl)).first()
+        assert (row.state, row.passed) == (state, state == "CERTIFIED")
+
+
+def test_sample_sizes_and_scores(spark):  # noqa: ANN001
+    rows = [(0, True, 5), (5, True, 10), (9, False, 10), (10, True, None), (10, False, 20), (20, False, 50), (50, False, 100), (50, True, None)]
+    df = spark.createDataFrame(rows, "n int, same boolean, expected int")
+    assert df.where(~audit.next_sample_size(F.col("n"), F.col("same")).eqNullSafe(F.col("expected"))).count() == 0
+    names = list(audit.SCORE_WEIGHTS)
+    one = spark.createDataFrame([(1.0, 0.5, 2.0, -1.0, None, float("nan"), 1.0)], ", ".join(f"{n} double" for n in names))
+    assert one.select(audit.extraction_score()).first()[0] == 59.0  # 25 + 9 + 15 + 0 + 0 + 0 + 10
 
 
 def test_products_of_pages():
@@ -135,3 +169,90 @@ def test_groups_never_bridge_model_numbers():
     got = dict(groups.greedy(df)[["offer_id", "group"]].itertuples(index=False))
     assert got["1"] == got["4"] != got["2"]
     assert got["3"] == got["2"]  # the only group all of whose members it fits
+
+
+def scored(spark, query, **given):  # noqa: ANN001, ANN003, ANN201
+    row = {"title": "", "brand": "", "category": None, "condition": "new", "storage": None, "product_price": 10.0} | given
+    df = spark.createDataFrame([row], "title string, brand string, category string, condition string, storage string, product_price double")
+    r = matching.reasons(df, matching.parse_intent(query)).first()
+    return r.query_score, r.exact, r.reasons
+
+
+@pytest.mark.parametrize(
+    ("query", "given", "score", "exact", "reasons"),
+    [
+        ("galaxy s24 ultra 256gb", {"title": "Samsung Galaxy S24 Ultra 256GB", "category": "phone"}, 1.0, True, ""),
+        ("galaxy s24 ultra 256gb", {"title": "Samsung Galaxy S24 Ultra 256GB", "category": "phone", "condition": "unknown"}, 1.0, True, ""),
+        ("galaxy s24 ultra 256gb", {"title": "Samsung Galaxy S24 Ultra 256GB", "category": "phone", "condition": "used"}, 0.85, False, "query_mismatch"),
+        ("used galaxy s24 ultra 256gb", {"title": "Samsung Galaxy S24 Ultra 256GB", "category": "phone", "condition": "used"}, 1.0, True, ""),
+        ("galaxy s24 ultra 256gb", {"title": "Samsung Galaxy S24 Ultra 256GB renewed", "category": "phone"}, 0.85, False, "query_mismatch"),
+        ("galaxy s24 256gb", {"title": "Samsung Galaxy S24 Ultra 256GB", "category": "phone"}, 0.16, False, "model_conflict,query_mismatch"),
+        ("galaxy s24 ultra 256gb", {"title": "Samsung Galaxy S24 Ultra 512GB", "category": "phone"}, 0.55, False, "capacity_conflict,query_mismatch"),
+        ("galaxy s24 ultra 256gb", {"title": "Samsung Galaxy S24 Ultra 256GB (AT&T)", "category": "phone"}, 0.2, False, "query_mismatch"),
+        ("galaxy s24 ultra 256gb at&t", {"title": "Samsung Galaxy S24 Ultra 256GB (AT&T)", "category": "phone"}, 1.0, True, ""),
+        ("galaxy s24 ultra 256gb", {"title": "Case for Galaxy S24 Ultra 256GB", "category": "accessory"}, 0.02, False, "query_mismatch"),
+        ("dyson v15 vacuum cleaner", {"title": "Dyson V15 vacuum cleaner replacement filters", "category": "vacuum"}, 0.05, False, "query_mismatch"),
+        ("hp laptop", {"title": "HP Everyday Laptop", "brand": "HP", "category": "laptop"}, 0.69, False, ""),
+        ("hp laptop 16gb ram", {"title": "HP ProBook 16GB DDR5 RAM", "brand": "HP", "category": "laptop"}, 1.0, True, ""),
+        ("hp laptop 16gb ram", {"title": "HP ProBook 8GB DDR5 RAM 16GB", "brand": "HP", "category": "laptop"}, 0.2, False, "query_mismatch"),
+        ("hp laptop 16gb ram", {"title": "HP ProBook RAM upgrade 16gb kit", "brand": "HP", "category": "laptop"}, 0.69, False, ""),
+    ],
+)
+def test_scores(spark, query, given, score, exact, reasons):  # noqa: ANN001
+    assert scored(spark, query, **given) == (score, exact, reasons)
+
+
+def test_intents_by_category_words():
+    i = matching.parse_intent("used HP laptop 16gb ram 512 GB")
+    assert (i.category, i.storage, i.ram, i.condition) == ("laptop", "512gb", 16, "used")
+    assert matching.parse_intent("iPhone 15 Pro Max 256gb").model == "iphone 15 pro max"
+    assert matching.category_of("leather cover") == "accessory" and matching.category_of("granite") is None
+
+
+def test_queries_in_normal_form(spark):  # noqa: ANN001
+    normal = text.query_normalizer({"جوال": "phone", "ايفون": "iphone"}, {"téléphone portable": "phone", "téléphone": "phone"})
+    given = ["ابغي جوال ايفون ١٥ 256", "Galaxy S24+ 512", "Téléphone portable", "please find PlayStation 5 2nd 825 GB", "ＨＰ－Laptop", None]
+    assert values(spark, normal, given) == ["phone iphone 15 256gb", "galaxy s24 plus 512gb", "phone", "ps5 2 825gb", "hp laptop", ""]
+
+
+def test_tokens_of_any_script(spark):  # noqa: ANN001
+    assert values(spark, text.plain_text, ["Déjà-Vu, 漢字!", "آيفون ١٥"]) == ["déjà vu 漢字", "آيفون ١٥"]
+
+
+def test_fuzzy_ratio(spark):  # noqa: ANN001
+    df = spark.createDataFrame([("abcd", "abxd"), ("", ""), (None, "x"), ("same", "same")], "a string, b string")
+    assert [r[0] for r in df.select(text.fuzzy_ratio(F.col("a"), F.col("b"))).collect()] == [75.0, 100.0, 0.0, 100.0]
+
+
+@pytest.mark.parametrize(
+    ("name", "url", "excluded"),
+    [("Decathlon", None, True), ("DECATHLON KSA", None, True), ("Decathlonia", None, False), ("x", "https://shop.decathlon.co.uk/a", True), ("x", "https://mydecathlon.com/", False), (None, None, False)],
+)
+def test_excluded_merchant(spark, name, url, excluded):  # noqa: ANN001
+    df = spark.createDataFrame([(name, url)], "n string, u string")
+    assert df.select(gates.excluded_merchant(F.lit(None).cast("string"), F.col("n"), F.col("u"))).first()[0] is excluded
+
+
+@pytest.mark.parametrize(
+    ("status", "message", "expected"),
+    [(429, "x", "HTTP_429_RATE_LIMITED"), (None, "status: 410 gone", "HTTP_410_RESOURCE_GONE"), (None, "product 404 pack", "UNKNOWN"), (599, None, "HTTP_5XX_SOURCE_FAILURE"), (None, "deadline exceeded", "HTTP_TIMEOUT"), (None, "sku mismatch", "PRODUCT_IDENTITY_MISMATCH"), (None, None, "UNKNOWN"), (302, "redirect changed", "HTTP_REDIRECT_CHANGED")],
+)
+def test_failure_class(spark, status, message, expected):  # noqa: ANN001
+    df = spark.createDataFrame([(status, message)], "s int, m string")
+    assert df.select(coverage.failure_class(F.col("s"), F.col("m"))).first()[0] == expected
+
+
+def test_sitemaps(spark):  # noqa: ANN001
+    good = "<urlset xmlns='x'><url><loc>https://a.com/1?x=1&amp;y=2#f</loc></url><url><loc> https://A.com/1?x=1&amp;y=2</loc></url><url><loc>http://a.com/2</loc></url><url><loc>https://u@a.com/3</loc></url><url><loc>https://b.com/4</loc></url><url></url></urlset>"
+    rows = [("a.com", good), ("a.com", "<!DOCTYPE x>" + good), ("a.com", "<sitemapindex/>"), ("a.com", None), ("bad host", good)]
+    got = coverage.sitemap_urls(spark.createDataFrame(rows, "merchant_host string, xml string")).collect()
+    assert [r.reason for r in got] == ["SITEMAP_URLSET_PARSED", "INVALID_OR_UNTRUSTED_SITEMAP", "SITEMAP_INDEX_REQUIRES_CHILDREN", "NOT_A_URL_SITEMAP", "INVALID_OR_UNTRUSTED_SITEMAP"]
+    assert got[0].urls == ["https://a.com/1?x=1&y=2", "https://A.com/1?x=1&y=2"] and all(not r.complete and r.urls == [] for r in got[1:])
+
+
+def test_deep_structured_data():
+    block = '{"@type": "Product", "name": "x", "offers": {"price": 5}}'
+    for _ in range(60):
+        block = '{"a": [' + block + "]}"
+    assert [p["name"] for p in pages.products_of(f'<script type="application/ld+json">{block}</script>')] == ["x"]
+    assert pages.products_of('<script type="application/ld+json">' + "[" * 100_000 + "</script>") == []

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quaylens.operators import reliability
@@ -22,13 +20,13 @@ def arrivals(spark, folder):  # noqa: ANN001, ANN201
 
 def test_newest_wins(spark, tmp_path):  # noqa: ANN001
     df, stream = arrivals(spark, str(tmp_path / "in"))
-    out = st.run_available(st.newest_by_key(stream, "product_id"), f"t{uuid.uuid4().hex}", "complete", str(tmp_path / "cp"))
+    out = st.run_available(st.newest_by_key(stream, "product_id"), "complete", str(tmp_path / "out"))
     assert {(r.product_id, r.event_id) for r in out.collect()} == {(0, 38), (1, 39)}
 
 
 def test_source_state_equals_the_batch_fold(spark, tmp_path):  # noqa: ANN001
     df, stream = arrivals(spark, str(tmp_path / "in"))
-    out = st.run_available(st.source_state(stream), f"t{uuid.uuid4().hex}", "update", str(tmp_path / "cp"))
+    out = st.run_available(st.source_state(stream), "update", str(tmp_path / "out"))
     last = {}
     for r in out.collect():
         if r.attempts > last.get(r.source_id, (0,))[0]:
@@ -40,5 +38,19 @@ def test_source_state_equals_the_batch_fold(spark, tmp_path):  # noqa: ANN001
 
 def test_window_counts(spark, tmp_path):  # noqa: ANN001
     df, stream = arrivals(spark, str(tmp_path / "in"))
-    out = st.run_available(st.windowed_counts(stream, width="10 minutes"), f"t{uuid.uuid4().hex}", "complete", str(tmp_path / "cp"))
+    out = st.run_available(st.windowed_counts(stream, width="10 minutes"), "complete", str(tmp_path / "out"))
     assert sum(r.events for r in out.collect()) == 40
+
+
+def test_repeated_notices_come_once(spark, tmp_path):  # noqa: ANN001
+    df, stream = arrivals(spark, str(tmp_path / "in"))
+    out = st.run_available(st.distinct_within(stream, ["source_id", "kind"], "2 hours"), "append", str(tmp_path / "out"))
+    assert out.count() == df.select("source_id", "kind").distinct().count()
+
+
+def test_future_observations_are_turned_away(spark, tmp_path):  # noqa: ANN001
+    rows = [("s", 1, i, "view", True, 1.0, float(i), t) for i, t in enumerate(["2024-01-01 00:00:00", "2999-01-01 00:00:00"])]
+    df = spark.createDataFrame(rows, DDL.replace("observed_at timestamp", "observed_at string")).withColumn("observed_at", F.col("observed_at").cast("timestamp"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(DDL).parquet(str(tmp_path / "in"))
+    assert [r.event_id for r in st.run_available(st.newest_by_key(stream, "product_id"), "complete", str(tmp_path / "out")).collect()] == [0]
