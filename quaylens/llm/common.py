@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -120,6 +121,18 @@ def lower_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_LOWER).split()
 
 
+def block_words(block: pa.RecordBatch, column: str = "text") -> tuple[pa.Array, np.ndarray]:
+    """The same for a whole block: all words one after another (binary), and where each text's words start and end. A null text has none."""
+    texts = pc.fill_null(block.column(column), "")
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # with an empty word where a text starts or ends in white space
+    words, edges = parts.flatten(), np.r_[0, np.cumsum(pc.list_value_length(parts).to_numpy())]
+    filled = pc.binary_length(words).to_numpy() > 0
+    if not filled.all():
+        edges = np.r_[0, np.cumsum(filled)][edges]
+        words = words.filter(pa.array(filled))
+    return words.cast(pa.binary()), edges
+
+
 def give_back_memory() -> None:
     """Returns to the system what this worker has freed: workers live on between tasks and would keep it beside the next stage's."""
     pa.default_memory_pool().release_unused()
@@ -148,11 +161,17 @@ def texts_of(block: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in block.column(column).to_pylist()]
 
 
-def semi_join(docs: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
-    """Semi or anti join on a nullable id, whatever columns `docs` has.
+#: bytes of a table, as written, that may be broadcast
+BROADCAST_BYTES = 8 << 20
 
-    `ids` should be read from a table: Spark then knows its size and broadcasts it below spark.sql.autoBroadcastJoinThreshold
-    (10 MB unless set otherwise); beyond, both sides are shuffled by the id.
-    """
+
+def small(table: DataFrame) -> DataFrame:
+    """`table`, marked to be broadcast if its files hold at most BROADCAST_BYTES; for tables that `materialise` gave, whose size Spark knows."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+
+def semi_join(docs: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """Semi or anti join on a nullable id, whatever columns `docs` has. `ids`, read from a table, is broadcast if that is small; else both sides are shuffled by the id."""
     wanted = fresh("wanted", docs)
-    return docs.join(ids.select(F.col(key).alias(wanted)), docs[key].eqNullSafe(F.col(wanted)), how)
+    return docs.join(small(ids.select(F.col(key).alias(wanted))), docs[key].eqNullSafe(F.col(wanted)), how)

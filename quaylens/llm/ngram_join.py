@@ -10,12 +10,13 @@ order, finds candidates; for these, the overlap is counted in each fragment sepa
    one gives few candidates) and keep as many as two linked sets must share one of. Nodes that share one are candidates,
    if their sizes and the places of the shared n-gram allow a link.
 4. A group of candidates doesn't become all its pairs. First each member is held against one member, the one with the
-   fewest n-grams of its own; large groups of near copies join there. Members of groups that are then still in more than
-   one component put all their n-grams in order, rarest among them first, and are grouped anew by the first of these.
-5. Members of such a group are held against pivots: about 16 of its members, then 256, and so on up to all of them. Only
-   pairs of different components are made, of these only pairs whose parities allow a link (a bucket whose n-grams are odd
-   in number in one set and even in the other holds at least one n-gram that the sets don't share, so such buckets count at
-   most the n-grams on which the sets differ), and of two components' pairs the likeliest is counted first, the others at
+   fewest n-grams of its own; large groups of near copies join there. Then the groups of up to 256 members that are still
+   in more than one component are gone through as in step 5. Members of larger groups that are in several components even
+   then put all their n-grams in order, rarest among them first, and are grouped anew by the first of these, for step 5.
+5. Members of a group are held against pivots: about 16 of its members, then 256, and so on up to all of them. Only
+   pairs of different components are made, of these only pairs whose parities allow a link (each fragment is dealt to 64
+   buckets; a bucket whose n-grams are odd in number in one set and even in the other holds at least one n-gram that the
+   sets don't share, so such buckets count at most the n-grams on which the sets differ), and of two components' pairs the likeliest is counted first, the others at
    the end, where they are still needed. Linked members join between rounds; one that links with a share s of its group
    meets about 1 / s pivots before it joins, so a round makes a few pairs a member, however large the group.
 
@@ -38,10 +39,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaylens.llm.common import DROP_SHUFFLES, SPLIT_JOINS, fresh, lower_words, materialise, scratch, semi_join, session_settings, text_blocks, texts_of
+from quaylens.llm.common import DROP_SHUFFLES, SPLIT_JOINS, block_words, fresh, materialise, scratch, semi_join, session_settings, small, text_blocks
 from quaylens.llm.components import smallest_reachable
 
-FRAGMENTS, PARITY_WORDS, PIVOT_STEP = 8, 8, 16
+FRAGMENTS, PIVOT_STEP, SMALL_GROUP = 8, 16, 256
 _B, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -64,20 +65,24 @@ def _word_hashes() -> _WordHashes:
     return _WordHashes()
 
 
-def gram_sets(texts: list[str], n: int) -> list[np.ndarray]:
-    """The distinct n-gram hashes of each text, ascending."""
-    cache, out = _word_hashes(), []
-    for text in texts:
-        words = lower_words(text)
-        h = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
-        width = min(n, len(h))
-        if not width:
-            out.append(h)
-            continue
-        rolling = np.full(len(h) - width + 1, width, dtype=np.uint64)
-        for j in range(width):
-            rolling = _mix(rolling * _B + h[j : len(h) - width + 1 + j])
-        out.append(np.unique(rolling))
+def gram_sets(block: pa.RecordBatch, n: int) -> list[np.ndarray]:
+    """The distinct n-gram hashes of each text of a block, ascending."""
+    words, edges = block_words(block)
+    coded, cache = words.dictionary_encode(), _word_hashes()
+    distinct = np.fromiter(map(cache.__getitem__, coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
+    h = distinct[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
+    rolled = np.full(max(0, len(h) - n + 1), n, dtype=np.uint64)  # over the whole block; windows across two texts aren't used
+    for j in range(n):
+        rolled = _mix(rolled * _B + h[j : j + len(rolled)])
+    out = []
+    for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if 0 < end - start < n:
+            whole = np.full(1, end - start, dtype=np.uint64)
+            for x in h[start:end]:
+                whole = _mix(whole * _B + x)
+            out.append(whole)
+        else:
+            out.append(np.unique(rolled[start : max(start, end - n + 1)]))
     return out
 
 
@@ -98,7 +103,7 @@ def document_sets(docs: DataFrame, n: int, share: int, band: float) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit = _band_limit(band)
         for block in text_blocks(batches):
-            sets = gram_sets(texts_of(block), n)
+            sets = gram_sets(block, n)
             node, check = _names(sets)
             size = np.array([len(s) for s in sets], dtype=np.int64)
             taken = np.maximum([np.searchsorted(s, limit) for s in sets], np.minimum(size, size - -(-share * size // 100) + 1))
@@ -140,18 +145,24 @@ def _first_fragment_counts(sets: DataFrame, band: float) -> DataFrame:
 
 
 def _segments(docs: DataFrame, n: int) -> DataFrame:
-    """node, fragment, grams: each set cut into the fragments of the global order. A text whose set hasn't the given check gives nothing."""
+    """node, fragment, grams, parity: each set cut into the fragments of the global order. A text whose set hasn't the given check gives nothing.
+
+    A parity has a bit for each of 64 buckets, which says whether an odd number of the fragment's n-grams fall into it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = (np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64(2**64 // FRAGMENTS)).astype(np.uint64)
         for block in text_blocks(batches):
-            sets = gram_sets(texts_of(block), n)
+            sets = gram_sets(block, n)
             fits = np.flatnonzero(_names(sets)[1] == block.column("check").to_numpy())
             parts = [p for i in fits for p in np.split(sets[i], np.searchsorted(sets[i], edges))]
             owner = block.column("node").take(pa.array(np.repeat(fits, FRAGMENTS)))
-            yield pa.RecordBatch.from_arrays([owner, pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(fits))), _lists(parts)], names=["node", "fragment", "grams"])
+            bits = np.uint64(1) << (np.concatenate([np.zeros(0, np.uint64), *parts]) & np.uint64(63))
+            upto, ends = np.r_[np.uint64(0), np.bitwise_xor.accumulate(bits)], np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int64)
+            parity = pa.array((upto[ends[1:]] ^ upto[ends[:-1]]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([owner, pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(fits))), _lists(parts), parity], names=["node", "fragment", "grams", "parity"])
 
-    return docs.select("node", "check", "text").mapInArrow(run, "node long, fragment int, grams array<long>")
+    return docs.select("node", "check", "text").mapInArrow(run, "node long, fragment int, grams array<long>, parity long")
 
 
 def _least_overlap(x: str, y: str, share: int) -> str:
@@ -169,10 +180,15 @@ def _possible(share: int) -> str:
     )
 
 
-def _parities(grams: DataFrame) -> DataFrame:
-    """node, p0 to p7: for each of 512 buckets of n-grams a bit that says whether the node has an odd number of them. grams: node and gram, each once."""
-    bit = "shiftleft(1L, cast(gram & 63L as int))"
-    return grams.groupBy("node").agg(*[F.expr(f"bit_xor(case when (shiftrightunsigned(gram, 6) & {PARITY_WORDS - 1}L) = {j}L then {bit} else 0L end)").alias(f"p{j}") for j in range(PARITY_WORDS)])
+def _with_parities(members: DataFrame, segments: DataFrame) -> DataFrame:
+    """`members` with size and turn, and with the parities p0 to p7 of each node."""
+    parities = segments.groupBy("node").agg(*[F.max(F.when(F.col("fragment") == j, F.col("parity"))).alias(f"p{j}") for j in range(FRAGMENTS)])
+    turn = F.shiftrightunsigned(F.xxhash64("node", "gram"), 11) / F.lit(float(1 << 53))
+    return members.join(parities, "node").withColumn("turn", turn)
+
+
+def _sizes(members: DataFrame) -> DataFrame:
+    return members.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1")
 
 
 def _pairs(rows: DataFrame, *more: Column) -> DataFrame:
@@ -184,9 +200,9 @@ def _pairs(rows: DataFrame, *more: Column) -> DataFrame:
 
 
 def _links(pairs: DataFrame, segments: DataFrame, share: int) -> DataFrame:
-    """The pairs (a, b) that reach the share. Overlaps are counted per fragment and summed per pair."""
+    """The pairs (a, b) that reach the share, each once however often it is given. Overlaps are counted per fragment and summed per pair."""
     left, right = (segments.select(F.col("node").alias(k), "fragment", F.col("grams").alias(f"grams_{k}")) for k in "ab")
-    counted = pairs.select("a", "b", "size_a", "size_b").join(left, "a").join(right, ["b", "fragment"])
+    counted = pairs.select("a", "b", "size_a", "size_b").distinct().join(left, "a").join(right, ["b", "fragment"])
     counted = counted.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part"))
     summed = counted.groupBy("a", "b", "size_a", "size_b").agg(F.sum("part").alias("overlap"))
     return summed.where(f"overlap >= {_least_overlap('size_a', 'size_b', share)}").select("a", "b")
@@ -226,7 +242,7 @@ def _join_by_pivots(members: DataFrame, label: DataFrame, segments: DataFrame, s
     against the new ones; between rounds linked members join, so a member with many links is done before there are many
     pivots. The last round has all members for pivots, so no pair is left out.
     """
-    differ = " + ".join(f"bit_count(x.p{j} ^ y.p{j})" for j in range(PARITY_WORDS))
+    differ = " + ".join(f"bit_count(x.p{j} ^ y.p{j})" for j in range(FRAGMENTS))
     alike = f"{differ} <= x.n_grams + y.n_grams - 2L * {_least_overlap('x.n_grams', 'y.n_grams', share)}"
     settled, pivots, waiting = 0, PIVOT_STEP, None
     while True:
@@ -277,9 +293,14 @@ def components(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
         star = smallest_reachable(_star_links(prefix, segments, share)).withColumnRenamed("label", "_to")
         label = open_nodes.select("node", F.col("node").alias("label")).join(star, "node", "left")
         label = materialise(label.select("node", F.coalesce("_to", "label").alias("label")), "node-labels")
-        members, parities = _open_members(prefix, label, segments, share)
-        members = materialise(members.join(parities, "node"), "open-groups")
-        label = _join_by_pivots(members, label, segments, share)
+        sized = prefix.join(_sizes(prefix), "gram")
+        few = materialise(_with_parities(_several(sized.where(f"size <= {SMALL_GROUP}"), label), segments), "open-groups")
+        label = _join_by_pivots(few, label, segments, share)
+        many = materialise(_several(sized.where(f"size > {SMALL_GROUP}"), label).select("node", "n_grams").distinct(), "open-members")
+        if not many.isEmpty():
+            again = _grouped_anew(many, segments, share)
+            again = materialise(_with_parities(again.join(_sizes(again), "gram"), segments), "open-groups")
+            label = _join_by_pivots(again, label, segments, share)
 
         # rows of one doc_id are one document: its texts' components are joined too
         documents = sets.drop("grams", "check").join(label, "node", "left").select("doc_id", "n_grams", F.when(F.col("n_grams") > 0, F.coalesce("label", "node")).alias("label"))
@@ -297,7 +318,7 @@ def _open_nodes(sets: DataFrame, share: int, band: float) -> tuple[DataFrame, Da
 
     # one text of each open node: a doc_id may have several texts, so the node is part of the key
     of = open_nodes.select(F.col("node").alias("_node"), F.col("doc_id").alias("_doc"), "own")
-    held = sets.join(of, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_node", "_doc")
+    held = sets.join(small(of), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_node", "_doc")
     held = materialise(held.dropDuplicates(["node"]), "open-sets", outlives=1)
     limit = int(_signed(np.array([_band_limit(band)]))[0])
     grams = held.select("node", "n_grams", "own", F.explode("grams").alias("gram")).withColumn("late", F.col("gram") >= limit)
@@ -306,26 +327,27 @@ def _open_nodes(sets: DataFrame, share: int, band: float) -> tuple[DataFrame, Da
     return open_nodes, held, materialise(_prefixes(known, share), "gram-prefixes", outlives=1)
 
 
-def _open_members(prefix: DataFrame, label: DataFrame, segments: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
-    """Members of groups that are still in several components, grouped anew: all their n-grams are put in order, rarest among them first. And their parities."""
-    labelled = prefix.join(label, "node")
-    spread = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
-    left = materialise(labelled.join(spread, "gram").select("node", "n_grams").distinct(), "open-members")
-    every = materialise(segments.join(left, "node").select("node", "n_grams", F.explode("grams").alias("gram")), "open-grams")
+def _several(members: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of groups whose members are in several components."""
+    labelled = members.join(label, "node")
+    several = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
+    return labelled.join(several, "gram").drop("label")
+
+
+def _grouped_anew(nodes: DataFrame, segments: DataFrame, share: int) -> DataFrame:
+    """The prefixes of some nodes (node, n_grams) when all their n-grams are put in order, rarest among them first."""
+    every = materialise(segments.join(small(nodes), "node").select("node", "n_grams", F.explode("grams").alias("gram")), "open-grams")
     uses = every.groupBy("gram").agg(F.count("*").alias("uses"), F.min("node").alias("low"), F.max("node").alias("high"))
     own = uses.where("low = high").groupBy(F.col("low").alias("node")).agg(F.count("*").alias("own"))
     members = every.join(uses.where("low <> high").select("gram", "uses"), "gram").join(own, "node", "left")
     members = members.withColumn("own", F.coalesce("own", F.lit(0))).withColumn("late", F.lit(False))
-    members = materialise(_prefixes(members, share), "open-prefixes")
-    sizes = members.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1")
-    turn = F.shiftrightunsigned(F.xxhash64("node", "gram"), 11) / F.lit(float(1 << 53))
-    return members.join(sizes, "gram").withColumn("turn", turn), _parities(every)
+    return materialise(_prefixes(members, share), "open-prefixes")
 
 
 def _segments_of(docs: DataFrame, owners: DataFrame, n: int) -> DataFrame:
     """The segments of one text of each node. owners: doc_id, node and check; other texts of an owner's doc_id are left out."""
     ids = owners.select(F.col("doc_id").alias("_doc"), "node", "check")
-    found = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("node", "check", "text")
+    found = docs.join(small(ids), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("node", "check", "text")
     return _segments(found, n).dropDuplicates(["node", "fragment"])
 
 

@@ -104,6 +104,30 @@ def test_join_of_a_large_group_of_near_copies(spark):  # noqa: ANN001
     assert got == brute(rows, 3, 80)
 
 
+def test_join_of_more_near_copies_than_a_small_group_holds(spark, monkeypatch):  # noqa: ANN001
+    """Chains, bridges and loners among many copies of one text, with groups gone through in several rounds of pivots."""
+    monkeypatch.setattr(ngram_join, "SMALL_GROUP", 24)
+    monkeypatch.setattr(ngram_join, "PIVOT_STEP", 3)
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(int(rng.integers(1, 7))):
+            w[int(rng.integers(0, 60))] = f"v{rng.integers(0, 12)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 400, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for share in (75, 90):
+        assert {r.doc_id: r.component_id for r in ngram_join.components(df, 3, share).collect()} == brute(rows, 3, share)
+
+
+def test_pairs_given_twice_count_once(spark):  # noqa: ANN001
+    segments = spark.createDataFrame([(n, f, [f * 10 + k for k in range(3)] if f < 2 else []) for n in (1, 2) for f in range(8)], "node long, fragment int, grams array<long>")
+    pairs = spark.createDataFrame([(1, 2, 10, 10)] * 2, "a long, b long, size_a long, size_b long")
+    assert ngram_join._links(pairs, segments, 80).count() == 0  # six of ten are shared, given once or twice
+
+
 def test_join_bears_odd_rows(odd, none):  # noqa: ANN001
     got = {r.doc_id: (r.n_grams, r.component_id) for r in ngram_join.components(odd, 3, 80).collect()}
     assert got[1] == (0, 1) and got[2] == (0, 2) and got[3] == (0, 3) and got[4] == (1, 4)
