@@ -29,14 +29,14 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaylens.llm.common import DROP_SHUFFLES, crc_fold, lower_words, materialise, session_settings, text_blocks, texts_of
+from quaylens.llm.common import DROP_SHUFFLES, block_words, crc_fold, materialise, session_settings, text_blocks
 
 END = b"\n"  # no word holds a newline
 
@@ -52,7 +52,7 @@ class Settings:
     corpus_rounds: int = 14
     least_gain: float = 1e-4
     #: tokens whose forward steps are held at a time, and bytes of symbols in a block of texts that go in step
-    window: int = 1 << 20
+    window: int = 3 << 20
     block: int = 16 << 20
     prior: float = 30.0
     seed: int = 7
@@ -103,9 +103,11 @@ def count_words(docs: DataFrame, groups: int) -> DataFrame:
             names = list(held)
             return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([group_of(w, groups) for w in names], pa.int32()), pa.array(list(held.values()), pa.int64())], names=["word", "group", "c"])
 
-        for block in text_blocks(batches):
-            for text in texts_of(block):
-                held.update(lower_words(text))
+        for block in text_blocks(batches, max_bytes=8 << 20):
+            words, _ = block_words(block)
+            counts = words.value_counts()
+            for word, n in zip(counts.field("values").to_pylist(), counts.field("counts").to_pylist(), strict=True):
+                held[word] += n
             held[END] += block.num_rows
             if len(held) > 600_000:
                 yield rows()
@@ -140,38 +142,47 @@ def learn_words(counts: DataFrame, s: Settings) -> tuple[Words, int]:
     return Words(tuple(words[i] for i in order), numbers[order].astype(np.int64), int((numbers >= own).sum()), s.groups, masses, total or 0, distinct or 0, ends or 0), low
 
 
-class _Index(dict):
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 def encode(docs: DataFrame, words: Words) -> DataFrame:
     """row, doc_id, held_out, n_tokens, n_known, base_score, score (both without unlisted words and the model), symbols (of 16 bits if that holds them, else 32), rare (unlisted words with their numbers)."""
     handle = docs.sparkSession.sparkContext.broadcast(words)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = handle.value
-        index, symbol_of, log_c = _tables(w)
+        listed, symbol_of, log_c = _tables(w)
         log_all, log_mass = np.log10(w.total + 0.5 * (w.distinct + 1)), np.log10(w.masses)
         first_group = 1 + w.n_symbols
-        for block in text_blocks(batches):
-            tokens, known, base, model, symbols, rare = [], [], [], [], [], []
-            for text in texts_of(block):
-                ws = lower_words(text)
-                at = np.fromiter(map(index.__getitem__, ws), dtype=np.int64, count=len(ws))
-                unlisted = at < 0
-                symbol = symbol_of[at] if len(symbol_of) else at.copy()
-                others = list(compress(ws, unlisted))
-                symbol[unlisted] = [first_group + group_of(x, w.groups) for x in others]
-                grouped = symbol >= first_group
-                listed_logs = log_c[at[~unlisted]]
-                tokens.append(len(ws) + 1)
-                known.append(len(ws) - len(others) + (w.ends > 0))
-                base.append(listed_logs.sum() + np.log10(w.ends + 0.5) - (len(ws) + 1) * log_all)
-                model.append(log_c[at[grouped & ~unlisted]].sum() - log_mass[symbol[grouped] - first_group].sum())
-                symbols.append(np.append(symbol, 0).astype(w.kind).tobytes())
-                rare.append(list(Counter(others).items()))
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-            made = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), pa.array(symbols, pa.binary()), pa.array([[{"word": a, "n": n} for a, n in r] for r in rare], kind)]
+
+        def per_text(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+            sums = np.r_[0.0, np.cumsum(values)]
+            return sums[edges[1:]] - sums[edges[:-1]]
+
+        for block in text_blocks(batches, max_bytes=8 << 20):
+            words, edges = block_words(block)
+            n, size = block.num_rows, np.diff(edges)
+            at = pc.fill_null(pc.index_in(words, value_set=listed), -1).to_numpy()
+            unlisted = at < 0
+            others = words.filter(pa.array(unlisted)).dictionary_encode()
+            codes, names = others.indices.to_numpy(), others.dictionary
+            symbol = symbol_of[at] if len(symbol_of) else np.zeros(len(at), np.int64)
+            if len(names):
+                symbol[unlisted] = np.array([first_group + group_of(x, w.groups) for x in names.to_pylist()])[codes]
+            grouped = symbol >= first_group
+            logs = np.where(unlisted, 0.0, log_c[at] if len(log_c) else 0.0)
+            owner = np.repeat(np.arange(n), size)
+            base = per_text(logs, edges) + np.log10(w.ends + 0.5) - (size + 1) * log_all
+            shares = np.where(grouped, logs, 0.0)
+            shares[grouped] -= log_mass[symbol[grouped] - first_group]
+            known = np.round(per_text(~unlisted, edges)).astype(np.int64) + (w.ends > 0)
+            # each text's symbols with the end behind them
+            ended = np.zeros(len(symbol) + n, dtype=w.kind)
+            ended[np.arange(len(symbol)) + owner] = symbol
+            bounds = ((edges + np.arange(n + 1)) * ended.itemsize).astype(np.int32)
+            symbols = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(ended.tobytes())])
+            # each text's unlisted words with their numbers
+            pairs, times = np.unique(owner[unlisted] * max(1, len(names)) + codes, return_counts=True)
+            texts, word = np.divmod(pairs, max(1, len(names)))
+            rare = pa.StructArray.from_arrays([names.take(pa.array(word)), pa.array(times.astype(np.int64))], names=["word", "n"])
+            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(texts, np.arange(n + 1)).astype(np.int32)), rare)
+            made = [pa.array(size + 1), pa.array(known), pa.array(base), pa.array(per_text(shares, edges)), symbols, rare]
             yield pa.RecordBatch.from_arrays([*(block.column(c) for c in ("row", "doc_id", "held_out")), *made], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "symbols", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -182,15 +193,14 @@ def encode(docs: DataFrame, words: Words) -> DataFrame:
 _held: dict[str, tuple] = {}
 
 
-def _tables(words: Words) -> tuple[_Index, np.ndarray, np.ndarray]:
+def _tables(words: Words) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """A worker's look-up tables for the words that were broadcast; one set at a time."""
     if _held.get("key") != (words.total, words.distinct, words.words[:50]):
         _held.clear()
-        index = _Index(zip(words.words, range(len(words.words)), strict=True))
         symbol = np.arange(1, len(words.words) + 1)
         for i in range(words.n_symbols, len(words.words)):
             symbol[i] = 1 + words.n_symbols + group_of(words.words[i], words.groups)
-        _held.update(key=(words.total, words.distinct, words.words[:50]), tables=(index, symbol, np.log10(words.counts + 0.5)))
+        _held.update(key=(words.total, words.distinct, words.words[:50]), tables=(pa.array(words.words, pa.binary()), symbol, np.log10(words.counts + 0.5)))
     return _held["tables"]
 
 
@@ -207,21 +217,20 @@ def expected_counts(sequences: list[np.ndarray], m: Model, window: int, into: tu
         symbols[at[: len(s)] + j] = s
     active, at = active.tolist(), at.tolist()
     emission, moves = m.emit.astype(np.float32), m.step.astype(np.float32)
-    back = np.ascontiguousarray(moves.T)
-    ones = np.ones(k, dtype=np.float32)
+    back, ones = np.ascontiguousarray(moves.T), np.ones(k, dtype=np.float32)
     begin = np.tile(m.start.astype(np.float32), (n, 1))
 
-    def forward(low: int, high: int, a: np.ndarray, alpha: np.ndarray | None, seen: np.ndarray, scale: np.ndarray) -> np.ndarray:
-        """Runs steps low to high from `a`, the step before low; returns the last step."""
+    def forward(low: int, high: int, a: np.ndarray, alpha: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        """Runs steps low to high from `a`, the step before low; alpha holds the emissions and then the steps. Returns the last step."""
         first = at[low]
+        moved = np.empty((active[low], k), dtype=np.float32)
         for t in range(low, high):
             c, i, j = active[t], at[t] - first, at[t + 1] - first
-            a = (a[:c] @ moves if t else begin) * seen[i:j]
-            s = a @ ones
-            a /= s[:, None]
-            scale[i:j] = s
-            if alpha is not None:
-                alpha[i:j] = a
+            now, s = alpha[i:j], scale[i:j]
+            now *= np.matmul(a[:c], moves, out=moved[:c]) if t else begin
+            np.matmul(now, ones, out=s)
+            now /= s[:, None]
+            a = now
         return a
 
     lows = [0]  # the first step of each window
@@ -232,33 +241,42 @@ def expected_counts(sequences: list[np.ndarray], m: Model, window: int, into: tu
     entries = [begin]  # the step before each window
     for low, high in zip(lows[:-1], highs, strict=False):
         part = slice(at[low], at[high])
-        entries.append(forward(low, high, entries[-1], None, emission[symbols[part]], np.empty(part.stop - part.start, np.float32)))
+        entries.append(forward(low, high, entries[-1], emission[symbols[part]], np.empty(part.stop - part.start, np.float32)).copy())
     total, counted = 0.0, np.zeros((k, k))
     beta = np.ones((n, k), dtype=np.float32)
     for low, high, entry in zip(reversed(lows), reversed(highs), reversed(entries), strict=True):
         first, part = at[low], slice(at[low], at[high])
-        seen = emission[symbols[part]]
-        alpha, scale = np.empty_like(seen), np.empty(len(seen), dtype=np.float32)
-        forward(low, high, entry, alpha, seen, scale)
+        later = emission[symbols[part]]
+        alpha, scale = later.copy(), np.empty(len(later), dtype=np.float32)
+        forward(low, high, entry, alpha, scale)
         total += float(np.log10(scale, dtype=np.float64).sum())
-        seen /= scale[:, None]
-        for t in range(high - 1, low - 1, -1):
-            c, i, j = active[t], at[t] - first, at[t + 1] - first
-            b = beta[:c]
+        later /= scale[:, None]
+        for t in range(high - 1, low - 1, -1):  # later: what follows a step and its own emission, given the state
+            c, here = active[t], later[at[t] - first : at[t + 1] - first]
+            here *= beta[:c]
+            np.matmul(here, back, out=beta[:c])
+        # for all tokens of the window: the step before, the states' probabilities given the whole texts, and the moves
+        flat, t = symbols[part], low
+        while t < high:
+            upto = t + 1
+            while upto < high and at[upto + 1] - at[t] <= 1 << 17:
+                upto += 1
+            i, j = at[t] - first, at[upto] - first
+            if t == low:
+                upto, j = t + 1, at[t + 1] - first
+                before = entry[: active[t]]
+            else:
+                before = np.concatenate([alpha[at[x - 1] - first : at[x - 1] - first + active[x]] for x in range(t, upto)])
+            given = (before @ moves if t else begin) * later[i:j]
+            mass = (given @ ones)[:, None]
+            given /= mass
             if t:
-                later = seen[i:j] * b
-                before = alpha[at[t - 1] - first :][:c] if t > low else entry[:c]
-                counted += before.T @ later
-                alpha[i:j] *= b
-                np.matmul(later, back, out=b)
+                counted += before.T @ (later[i:j] / mass)
             else:
-                alpha[i:j] *= b
-        alpha /= (alpha @ ones)[:, None]  # the states' probabilities, given the whole texts
-        if not low:
-            start += alpha[:n].sum(axis=0)
-        flat = symbols[part]
-        for j in range(k):
-            emit[:, j] += np.bincount(flat, weights=alpha[:, j], minlength=len(emit))
+                start += given.sum(axis=0)
+            for x in range(k):
+                emit[:, x] += np.bincount(flat[i:j], weights=given[:, x], minlength=len(emit))
+            t = upto
     step += counted * m.step
     return total
 
@@ -298,7 +316,8 @@ def train(encoded: DataFrame, words: Words, s: Settings) -> Model:
 
         with session_settings(spark, DROP_SHUFFLES):
             summed = rows.select("symbols").mapInArrow(expect, "symbol int, " + ", ".join(f"s{j} float" for j in range(k)))
-            summed = summed.groupBy("symbol").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toArrow()  # a row for each symbol
+            # a task has one row for each symbol, so the rows go to their partition once, unaggregated
+            summed = summed.repartition("symbol").groupBy("symbol").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toArrow()  # a row for each symbol
         handle.unpersist()
         symbol = summed.column("symbol").to_numpy()
         values = np.column_stack([summed.column(f"s{j}").to_numpy() for j in range(k)])
