@@ -26,12 +26,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from quaylens.llm.common import materialise, shared_folder, text_blocks, texts_of
+from quaylens.llm.common import DROP_SHUFFLES, materialise, scratch, session_settings, shared_folder, text_blocks, texts_of
 from quaylens.llm.files import AtomicFile, open_input
 from quaylens.llm.tokens import default_vocabulary, encoder, read_vocabulary
 
@@ -65,10 +66,10 @@ def id_type(vocabulary: str) -> str:
 
 
 def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
-    """task, number, ids (binary, `length` ids), pieces: doc_id, start (the document's ids before it), length and offset (in the sequence)."""
+    """task, number, packed (`length` ids, compressed for their way to the shard), pieces: doc_id, start (the document's ids before it), length and offset (in the sequence)."""
     kind_of_id = np.dtype(id_type(vocabulary))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"task int, number long, ids binary, pieces array<struct<doc_id: {kind}, start: long, length: long, offset: long>>"
+    schema = f"task int, number long, packed binary, pieces array<struct<doc_id: {kind}, start: long, length: long, offset: long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task, number = encoder(vocabulary), TaskContext.get().partitionId(), 0
@@ -101,8 +102,9 @@ def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFra
 
 def _batch(task: int, number: int, rows: list[tuple[bytes, list[dict]]], id_kind: pa.DataType) -> pa.RecordBatch:
     pieces = pa.list_(pa.struct([("doc_id", id_kind), ("start", pa.int64()), ("length", pa.int64()), ("offset", pa.int64())]))
-    columns = [pa.array([task] * len(rows), pa.int32()), pa.array(range(number, number + len(rows)), pa.int64()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pieces)]
-    return pa.RecordBatch.from_arrays(columns, names=["task", "number", "ids", "pieces"])
+    press = zstandard.ZstdCompressor(level=1)
+    columns = [pa.array([task] * len(rows), pa.int32()), pa.array(range(number, number + len(rows)), pa.int64()), pa.array([press.compress(r[0]) for r in rows], pa.binary()), pa.array([r[1] for r in rows], pieces)]
+    return pa.RecordBatch.from_arrays(columns, names=["task", "number", "packed", "pieces"])
 
 
 def place(cut: DataFrame, key: int) -> tuple[int, DataFrame]:
@@ -124,15 +126,21 @@ def write(docs: DataFrame, key: int = 20_24, vocabulary: str | None = None, fold
     """Writes the shards; returns their folder and the manifest: slot, shard, position (in the shard), ids_crc32, pieces."""
     spark = docs.sparkSession
     path, out = vocabulary or default_vocabulary(), folder or shared_folder(spark, "shards")
-    total, placed = place(materialise(sequences(docs, path, length), "sequences"), key)
+    with session_settings(spark, DROP_SHUFFLES), scratch(spark):
+        return out, _write(materialise(sequences(docs, path, length), "sequences"), key, out, shard_sequences)
+
+
+def _write(cut: DataFrame, key: int, out: str, shard_sequences: int) -> DataFrame:
+    total, placed = place(cut, key)
     shards = max(1, -(-total // shard_sequences))
     dealt = placed.withColumn("shard", F.expr(f"slot div {shard_sequences}L")).repartitionByRange(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard", "slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, at = None, None
+        file, at, unpack = None, None, zstandard.ZstdDecompressor()
         for batch in batches:
             crcs = []
-            for ids, shard in zip(batch.column("ids").to_pylist(), batch.column("shard").to_pylist(), strict=True):
+            for packed, shard in zip(batch.column("packed").to_pylist(), batch.column("shard").to_pylist(), strict=True):
+                ids = unpack.decompress(packed)
                 if shard != at:
                     if file is not None:
                         file.close()
@@ -145,7 +153,7 @@ def write(docs: DataFrame, key: int = 20_24, vocabulary: str | None = None, fold
             file.close()
 
     kind = placed.schema["pieces"].dataType.simpleString()
-    return out, materialise(dealt.mapInArrow(run, f"slot long, shard long, position long, ids_crc32 long, pieces {kind}"), "shard-manifest")
+    return materialise(dealt.mapInArrow(run, f"slot long, shard long, position long, ids_crc32 long, pieces {kind}"), "shard-manifest", outlives=1)
 
 
 def read(spark: SparkSession, folder: str, total: int, first_slot: int = 0, vocabulary: str | None = None, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES) -> DataFrame:
