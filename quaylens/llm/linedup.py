@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaylens.llm.common import SPLIT_JOINS, fresh, materialise, session_settings
+from quaylens.llm.common import DROP_SHUFFLES, SPLIT_JOINS, fresh, materialise, session_settings, small
 
 
 @dataclass(frozen=True)
@@ -63,7 +63,7 @@ def boilerplate(lines: DataFrame, s: Settings) -> DataFrame:
     guessed = sketched.select("line_hash", F.hll_sketch_estimate("sketch").alias("sites"), "owner").where(F.col("sites") >= s.least_sites - margin)
     guessed = materialise(guessed, "line-spread")
     sure = F.col("sites") > s.least_sites + margin
-    near = lines.where(F.col("source").isNotNull()).join(guessed.where(~sure).select("line_hash", "owner"), "line_hash")
+    near = lines.where(F.col("source").isNotNull()).join(small(guessed).where(~sure).select("line_hash", "owner"), "line_hash")
     near = near.select("line_hash", "owner", "source").distinct()  # a row for each line and site
     counted = near.groupBy("line_hash", "owner").agg(F.count("*").alias("sites")).where(F.col("sites") >= s.least_sites)
     return counted.select("line_hash", "sites", "owner").unionByName(guessed.where(sure))
@@ -72,10 +72,10 @@ def boilerplate(lines: DataFrame, s: Settings) -> DataFrame:
 def clean(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """All rows and columns of `docs` with boilerplate lines taken out of `text`, and with n_lines and n_removed."""
     s = settings or Settings()
-    with session_settings(docs.sparkSession, SPLIT_JOINS):
+    with session_settings(docs.sparkSession, SPLIT_JOINS | DROP_SHUFFLES):
         lines = materialise(lines_of(docs, s), "lines")
         common = materialise(boilerplate(lines, s), "line-boilerplate")
-        hits = lines.join(common.select("line_hash", "owner"), "line_hash").where(~F.col("doc_id").eqNullSafe(F.col("owner")))
+        hits = lines.join(small(common).select("line_hash", "owner"), "line_hash").where(~F.col("doc_id").eqNullSafe(F.col("owner")))
         gone = materialise(hits.groupBy("doc_id", "text_hash").agg(F.collect_set("line_hash").alias("gone")), "line-hits")
     doc, of, taken, kept = (fresh(c, docs) for c in ("doc", "of", "gone", "kept"))
     gone = gone.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(of), F.col("gone").alias(taken))
