@@ -9,50 +9,70 @@ from pyspark.sql import functions as F
 from quaylens.functions.text import joined_units, plain_text
 from quaylens.operators.offers import enrich
 
-CORE = ("storage", "color")
+#: Categories whose model must have a digit to be one.
+NUMBERED = ("laptop", "printer", "desktop", "monitor", "tv", "tablet", "camera", "watch")
 
 
-def _fits(a: tuple, b: tuple) -> bool:
-    """a, b: model number, name, storage, colour. Different model numbers never fit; equal ones do; without, names and core variants must agree."""
+def _fits(a: tuple, b: tuple, category: str = "") -> bool:
+    """a, b: model number, name, storage, colour, of one brand, category and condition.
+
+    Different model numbers never fit; equal ones do (of phones only under one name). Without, a known name and the core
+    variants must agree; a name without a digit is no model where models are numbered, and a phone needs both variants.
+    """
     if a[0] and b[0]:
-        return a[0] == b[0]
-    return a[1] == b[1] and a[2] == b[2] and a[3] == b[3]
+        return a[0] == b[0] and (category != "phone" or a[1] == b[1])
+    if not a[1] or a[1:] != b[1:]:
+        return False
+    if category in NUMBERED and not any(c.isdigit() for c in a[1]):
+        return False
+    return category != "phone" or bool(a[2] and a[3])
 
 
 def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
     """Offers with a model number first, then by key: each joins the one group all of whose members it fits, or starts its own.
 
-    What decides is the identity, of which a block has few; offers that share one share a group if the first of them founds or joins it.
+    What decides is the identity, of which a block has few; offers that share one share a group if the first of them founds or
+    joins it. Only groups with a member of equal model number, or of equal name and variants, can fit, so only these are tried.
     """
     ordered = pdf.sort_values(["has_model", "key", "offer_id"], ascending=[False, True, True])
+    category = str(ordered["category"].iloc[0]) if len(ordered) else ""
     members: list[list[tuple]] = []
+    by_model: dict[str, set[int]] = {}
+    by_name: dict[tuple, set[int]] = {}
     placed: dict[tuple, int] = {}
     out = []
     for identity in zip(ordered["model"], ordered["name"], ordered["storage"], ordered["color"], strict=True):
         if identity not in placed:
-            found = [i for i, m in enumerate(members) if all(_fits(x, identity) for x in m)]
-            if len(found) == 1:
-                members[found[0]].append(identity)
-                placed[identity] = found[0]
-            else:
-                members.append([identity])
-                placed[identity] = len(members) - 1
+            near = (by_model.get(identity[0], set()) if identity[0] else set()) | by_name.get(identity[1:], set())
+            found = [i for i in near if all(_fits(x, identity, category) for x in members[i])]
+            at = found[0] if len(found) == 1 else len(members)
+            if at == len(members):
+                members.append([])
+            members[at].append(identity)
+            placed[identity] = at
+            by_model.setdefault(identity[0], set()).add(at)
+            by_name.setdefault(identity[1:], set()).add(at)
         out.append(placed[identity])
-    return ordered.assign(group=out)[["offer_id", "brand", "category", "condition", "group"]]
+    return ordered.assign(group=out)[["id", "check", "brand", "category", "condition", "group"]]
 
 
 def comparable(offers: DataFrame) -> DataFrame:
-    """brand, category, condition, group, offers, merchants, best_value.
+    """brand, category, condition, group, offers, merchants, best_value, savings (to the next merchant's best), fastest (days).
 
     Offers of different brand, category or condition never fit, so these are a block without loss. The greedy rule runs once
-    per block over its distinct identities, which are few however many offers there are; offers join back to their group.
+    per block over its distinct identities, which are few however many offers there are; offers join back to their group by
+    two hashes of the identity.
     """
     e = enrich(offers)
     low = lambda c: F.coalesce(F.lower(F.trim(c)), F.lit(""))
-    e = e.select("offer_id", "merchant", "product_price", "brand", "category", "condition", F.regexp_replace(low("model_number"), "[^a-z0-9]+", "").alias("model"), plain_text(F.col("title")).alias("name"), joined_units(plain_text(low("storage"))).alias("storage"), low("color").alias("color"))
-    e = e.withColumn("key", F.concat_ws("|", "name", "storage", "color", "model")).withColumn("has_model", F.col("model") != "")
-    identity = ["brand", "category", "condition", "model", "name", "storage", "color", "key", "has_model"]
-    few = e.groupBy(*identity).agg(F.min("offer_id").alias("offer_id"))
-    grouped = few.groupBy("brand", "category", "condition").applyInPandas(greedy, "offer_id string, brand string, category string, condition string, group int")
-    named = few.join(grouped.select(F.col("offer_id").alias("_o"), F.col("brand").alias("_b"), F.col("category").alias("_c"), F.col("condition").alias("_d"), "group"), (F.col("offer_id") == F.col("_o")) & (F.col("brand") == F.col("_b")) & (F.col("category") == F.col("_c")) & (F.col("condition") == F.col("_d"))).drop("offer_id", "_o", "_b", "_c", "_d")
-    return e.join(named, identity).groupBy("brand", "category", "condition", "group").agg(F.count("*").alias("offers"), F.countDistinct("merchant").alias("merchants"), F.min("product_price").alias("best_value"))
+    e = e.select("offer_id", "merchant", "product_price", "delivery_days", "brand", "category", "condition", F.regexp_replace(low("model_number"), r"[^\p{L}\p{N}]+", "").alias("model"), plain_text(F.col("title")).alias("name"), joined_units(plain_text(low("storage"))).alias("storage"), low("color").alias("color"))
+    identity = ["brand", "category", "condition", "model", "name", "storage", "color"]
+    e = e.withColumn("id", F.xxhash64(*identity)).withColumn("check", F.xxhash64(F.lit("identity"), *identity))
+    few = e.groupBy("id", "check").agg(F.min("offer_id").alias("offer_id"), *[F.min(c).alias(c) for c in identity])
+    few = few.withColumn("key", F.concat_ws("|", "name", "storage", "color", "model")).withColumn("has_model", F.col("model") != "")
+    grouped = few.groupBy("brand", "category", "condition").applyInPandas(greedy, "id long, check long, brand string, category string, condition string, group int")
+    # a merchant's best first, so that what meets in a group is a row for each merchant
+    best = e.select("id", "check", "offer_id", "merchant", "product_price", "delivery_days").join(grouped, ["id", "check"])
+    best = best.groupBy("brand", "category", "condition", "group", "merchant").agg(F.count("*").alias("n"), F.min("product_price").alias("price"), F.min("delivery_days").alias("days"))
+    out = best.groupBy("brand", "category", "condition", "group").agg(F.sum("n").alias("offers"), F.count("merchant").alias("merchants"), F.min("price").alias("best_value"), F.min("days").alias("fastest"), F.array_sort(F.collect_list("price")).alias("prices"))
+    return out.withColumn("savings", F.try_element_at("prices", F.lit(2)) - F.col("best_value")).drop("prices")

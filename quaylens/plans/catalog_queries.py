@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quaylens.functions import text as tx
 from quaylens.functions import urls
+from quaylens.functions.money import to_riyal
 from quaylens.operators import audit as au
 from quaylens.operators import catalog as cat
 from quaylens.operators import groups
@@ -146,6 +147,60 @@ def source_hits(spark: SparkSession, d: str) -> DataFrame:
     return pl.parse(_answers(spark, d, item, "concat('{\"hits\":[', array_join(l, ','), ']}')"), pl.FORMATS["hits"]).select("source_id", "listing_id", "price", "availability")
 
 
+@query("q_source_constructor", f"{OFFERS_SQL}, u AS (SELECT merchant, offer_id, any_value(title) AS title, any_value(brand) AS brand, min(floor(product_price * 100)) AS cents FROM offers GROUP BY merchant, offer_id) SELECT merchant AS source_id, offer_id AS listing_id, title, brand, cents / 100 AS price FROM u")
+def source_constructor(spark: SparkSession, d: str) -> DataFrame:
+    item = "to_json(named_struct('value', title, 'data', named_struct('id', offer_id, 'brand', brand, 'final_price', cast(floor(product_price * 100) / 100 as decimal(18,2)))))"
+    answers = _answers(spark, d, item, "concat('{\"results\":[', array_join(l, ','), ']}')")
+    return pl.parse(answers, pl.FORMATS["constructor"]).select("source_id", "listing_id", "title", "brand", "price")
+
+
+_SOLD_SQL = "WITH k AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), v AS (SELECT p_partkey, p_name, p_brand, floor(p_retailprice) AS price, s_name, s_suppkey FROM k JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey)"
+
+
+def _sold(spark: SparkSession, d: str, item: str, wrap: str) -> DataFrame:
+    """Payloads in which each supplier offers the parts of its line items, in pages."""
+    sold = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    made = sold.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    pages = made.groupBy(F.col("s_name").alias("source_id"), F.pmod(F.xxhash64("p_partkey"), F.lit(64)).alias("page")).agg(F.array_sort(F.collect_list(F.expr(item))).alias("l"))
+    return pages.select("source_id", F.expr(wrap).alias("payload"))
+
+
+@query("q_source_items", f"{_SOLD_SQL} SELECT s_name AS source_id, CAST(p_partkey AS VARCHAR) AS listing_id, price, CASE WHEN s_suppkey % 3 = 0 THEN 'EUR' ELSE 'USD' END AS currency, CASE p_partkey % 3 WHEN 0 THEN 'used' WHEN 1 THEN 'new' ELSE 'unknown' END AS condition, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE (p_partkey % 4) - 0.5e0 END AS shipping, CASE WHEN s_suppkey % 3 <> 0 THEN floor(price * 3.75e0 * 100 + 0.5) / 100 END AS price_sar FROM v")
+def source_items(spark: SparkSession, d: str) -> DataFrame:
+    item = "to_json(named_struct('itemId', cast(p_partkey as string), 'title', p_name, 'brand', p_brand, 'price', named_struct('value', cast(cast(floor(p_retailprice) as int) as string), 'currency', case when s_suppkey % 3 = 0 then 'EUR' else 'USD' end), 'condition', case p_partkey % 3 when 0 then 'Pre-owned' when 1 then 'Brand New' else 'mint' end, 'shippingOptions', case when p_partkey % 4 > 0 then array(named_struct('cost', '9'), named_struct('cost', cast(p_partkey % 4 - 0.5 as string))) end))"
+    rows = pl.parse(_sold(spark, d, item, "concat('{\"itemSummaries\":[', array_join(l, ','), ']}')"), pl.FORMATS["item_summaries"])
+    rates = spark.createDataFrame([("USD", 3.75)], "currency string, rate double")
+    return to_riyal(rows, rates, "price").select("source_id", "listing_id", "price", "currency", "condition", "shipping", "price_sar")
+
+
+@query("q_source_marketplace", f"{_SOLD_SQL} SELECT s_name AS source_id, CAST(p_partkey AS VARCHAR) AS listing_id, p_brand AS brand, CASE p_partkey % 3 WHEN 0 THEN price - 1 ELSE price END AS price, CASE WHEN p_partkey % 5 = 0 THEN 'out_of_stock' WHEN p_partkey % 5 = 1 THEN 'unknown' ELSE 'in_stock' END AS availability, CASE WHEN s_suppkey % 2 = 0 THEN 0e0 END AS shipping FROM v")
+def source_marketplace(spark: SparkSession, d: str) -> DataFrame:
+    item = "to_json(named_struct(case when p_partkey % 2 = 0 then 'sku' else 'sku_config' end, cast(p_partkey as string), 'name', p_name, 'brand', p_brand, 'price', floor(p_retailprice), 'sale_price', case p_partkey % 3 when 0 then floor(p_retailprice) - 1 when 1 then floor(p_retailprice) + 5 end, 'is_buyable', case when p_partkey % 5 <> 1 then p_partkey % 5 <> 0 end, 'flags', case when s_suppkey % 2 = 0 then array('new', 'free_delivery_eligible') end))"
+    item = item.replace("named_struct(case when p_partkey % 2 = 0 then 'sku' else 'sku_config' end, cast(p_partkey as string)", "named_struct('sku', case when p_partkey % 2 = 0 then cast(p_partkey as string) end, 'sku_config', case when p_partkey % 2 = 1 then cast(p_partkey as string) end")
+    rows = pl.parse(_sold(spark, d, item, "concat('{\"hits\":[', array_join(l, ','), ']}')"), pl.FORMATS["marketplace_hits"])
+    return rows.select("source_id", "listing_id", "brand", "price", "availability", "shipping")
+
+
+@query("q_source_cards", f"{_SOLD_SQL}, x AS (SELECT *, unnest(CASE WHEN p_partkey % 4 = 0 THEN [1, 2] ELSE [1] END) AS o FROM v) SELECT s_name AS source_id, concat_ws('|', p_partkey, o, s_name, CAST(price AS BIGINT)) AS listing_id, price, CASE WHEN p_partkey % 3 = 0 THEN 'out_of_stock' ELSE 'in_stock' END AS availability FROM x")
+def source_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Cards in rows: some twice (one offer), some with two offers of one product, some without a product."""
+    card = "named_struct('type', 'product', 'additionalAttributes', named_struct('productId', cast(p_partkey as string), 'offerId', '{0}', 'shopName', s_name, 'productName', p_name, 'stock', case when p_partkey % 3 = 0 then 'Out of Stock' else 'In stock' end, 'price', cast(cast(floor(p_retailprice) as int) as string)))"
+    none = "named_struct('type', 'banner', 'additionalAttributes', named_struct('productId', cast(null as string), 'offerId', '', 'shopName', s_name, 'productName', p_name, 'stock', '', 'price', ''))"
+    item = f"to_json(named_struct('cards', case when p_partkey % 4 = 0 then array({card.format(1)}, {none}, {card.format(2)}) else array({card.format(1)}, {card.format(1)}, {none}) end))"
+    rows = pl.parse(_sold(spark, d, item, "concat('{\"rows\":[', array_join(l, ','), ']}')"), pl.FORMATS["cards"])
+    return rows.select("source_id", "listing_id", "price", "availability")
+
+
+@query("q_source_catalog_items", f"{_SOLD_SQL} SELECT s_name AS source_id, CAST(p_partkey AS VARCHAR) AS listing_id, CASE WHEN p_partkey % 5 = 0 THEN concat('Item ', p_partkey) ELSE p_name END AS title, CASE WHEN p_partkey % 2 = 0 THEN price + 1 ELSE price END AS price, CASE WHEN p_partkey % 2 = 0 THEN 'EUR' ELSE 'SAR' END AS currency, CASE WHEN p_partkey % 2 = 0 THEN 'refurbished' ELSE 'new' END AS condition, CASE WHEN p_partkey % 2 = 0 THEN 'out_of_stock' ELSE 'in_stock' END AS availability FROM v WHERE p_partkey % 7 <> 0")
+def source_catalog_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items with several listings, of which the one in the buy box counts, else the first; items without a listing are no offers."""
+    first = "named_struct('isBuyBoxWinner', false, 'amount', floor(p_retailprice), 'currency', 'sar', 'condition', cast(null as string), 'availability', 'NOW_IN_STOCK')"
+    won = "named_struct('isBuyBoxWinner', true, 'amount', floor(p_retailprice) + 1, 'currency', 'eur', 'condition', 'Renewed', 'availability', 'OUT_OF_STOCK')"
+    item = f"to_json(named_struct('asin', cast(p_partkey as string), 'detailPageURL', concat('https://x/', p_partkey), 'title', case when p_partkey % 5 <> 0 then p_name end, 'brand', p_brand, 'listings', case when p_partkey % 7 = 0 then array() when p_partkey % 2 = 0 then array({first}, {won}) else array({first}) end))"
+    rows = pl.parse(_sold(spark, d, item, "concat('{\"searchResult\":{\"items\":[', array_join(l, ','), ']}}')"), pl.FORMATS["catalog_items"])
+    return rows.select("source_id", "listing_id", "title", "price", "currency", "condition", "availability")
+
+
 @query("q_source_storefront", "WITH k AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), v AS (SELECT s_name, p_partkey, p_retailprice, (p_partkey + s_suppkey) % 5 + 1 AS n FROM k JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey) SELECT s_name AS source_id, concat(p_partkey, '-', i) AS listing_id, floor(p_retailprice) + i AS price FROM v, range(0, 3) r(i) WHERE i < n")
 def source_storefront(spark: SparkSession, d: str) -> DataFrame:
     """Each supplier is a storefront that offers the parts of its line items, in one to five variants, of which a search shows three."""
