@@ -2,6 +2,12 @@
 
 STAGES holds (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return
 the columns of documents.
+
+Cases: a null or empty text has fewer than 50 words and goes in the first stage; texts of any length are read whole. Rows that
+repeat a doc_id, and rows without one, are documents of their own until the near duplicates, where one row of each doc_id
+stays and rows without an id all stay. Ties go to the smallest doc_id, or to the text that sorts first. Extra columns, whatever
+their names, stay with their rows to the last stage but one. Labels of documents that are gone teach nothing. An empty table
+gives an empty result at every stage.
 """
 
 from __future__ import annotations
