@@ -84,3 +84,8 @@ def index_writes(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame
     c = current.select(F.col(key).alias("_k"), F.col("observed_at").alias("_t"))
     action = F.when(F.col("_k").isNull(), "add").when(F.col("observed_at") > F.col("_t"), "replace").otherwise("skip")
     return incoming.join(c, F.col(key) == F.col("_k"), "left").select(key, action.alias("action"))
+
+
+def record(log: DataFrame, current: DataFrame, incoming: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The log with the incoming observations behind it, whatever they say, and the canonical table after them, the newest of each key."""
+    return log.unionByName(incoming), upsert(current, incoming, key)

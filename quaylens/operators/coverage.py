@@ -236,3 +236,44 @@ def sitemap_urls(sitemaps: DataFrame, most: int = 50_000) -> DataFrame:
     own = F.filter(found, lambda u: F.regexp_extract(F.lower(u), r"^https://([^/@:?]+)(?::443)?(?:/|\?|$)", 1) == F.col("merchant_host"))
     out = sitemaps.withColumn("reason", reason).withColumn("complete", F.col("reason") == "SITEMAP_URLSET_PARSED")
     return out.withColumn("urls", F.when(F.col("complete"), F.array_distinct(own)).otherwise(F.array().cast("array<string>"))).drop("xml")
+
+
+#: How many sources the first and the second wave ask; the third asks the rest.
+WAVES = (16, 12)
+
+
+def acquisition_waves(stores: DataFrame) -> DataFrame:
+    """The wave in which each ranked store of a query is asked. stores: query_id, place."""
+    first, second = WAVES[0], WAVES[0] + WAVES[1]
+    return stores.withColumn("wave", F.when(F.col("place") <= first, 0).when(F.col("place") <= second, 1).otherwise(2))
+
+
+def arabic_plural(n: Column) -> Column:
+    """The plural class of a number in Arabic: zero, one, two, few, many or other."""
+    rest = n % 100
+    return F.when(n == 0, "zero").when(n == 1, "one").when(n == 2, "two").when(rest.between(3, 10), "few").when(rest.between(11, 99), "many").otherwise("other")
+
+
+def counted_label(n: Column, one: str, two: str, few: str, many: str, other: str) -> Column:
+    """A number with its noun: alone for one and two, else the number before the form of its class."""
+    kind = arabic_plural(n)
+    with_number = lambda form: F.concat(n.cast("string"), F.lit(f" {form}"))
+    return F.when(kind == "one", one).when(kind == "two", two).when(kind.isin("few", "zero"), with_number(few)).when(kind == "many", with_number(many)).otherwise(with_number(other))
+
+
+def profile_versions(stored: DataFrame, found: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """The profiles after a new inspection: a version more where a field differs, version 1 where there was none, else as stored."""
+    s = stored.select(F.col(key).alias("_k"), F.col("version").alias("_v"), *[F.col(f).alias(f"_{f}") for f in fields])
+    both = found.select(key, *fields).join(s, F.col(key) == F.col("_k"), "full")
+    changed = F.greatest(F.lit(False), *[~F.col(f).eqNullSafe(F.col(f"_{f}")) for f in fields])
+    gone, new = F.col(key).isNull(), F.col("_k").isNull()
+    version = F.when(new, 1).when(gone | ~changed, F.col("_v")).otherwise(F.col("_v") + 1)
+    return both.select(F.coalesce(key, "_k").alias(key), *[F.when(gone, F.col(f"_{f}")).otherwise(F.col(f)).alias(f) for f in fields], version.cast("int").alias("version"))
+
+
+def ranking_metrics(ranked: DataFrame, by: str, relevant: int = 3, depth: int = 10) -> DataFrame:
+    """Mean reciprocal rank's term and price regret of each query: one over the place of the first fully relevant row, and how much dearer than the cheapest relevant row it is. ranked: place, grade, price."""
+    hit = F.col("grade") >= relevant
+    first = F.min(F.when(hit & (F.col("place") <= depth), F.struct("place", "price")))
+    out = ranked.groupBy(by).agg(first.alias("_f"), F.min(F.when(hit, F.col("price"))).alias("_low"))
+    return out.select(by, F.coalesce(1.0 / F.col("_f.place"), F.lit(0.0)).alias("reciprocal_rank"), (F.col("_f.price") - F.col("_low")).alias("regret"))

@@ -137,3 +137,22 @@ def enrich_with(base: DataFrame, found: DataFrame, key: str, price: str) -> Data
     out = base.join(f, F.col(key) == F.col("_k"), "left").drop("_k")
     fine = F.col("found_price").isNotNull() & (F.col(price).isNull() | F.col("found_price").between(F.col(price) * 0.5, F.col(price) * 2))
     return out.withColumn("admitted", fine).withColumn("final_price", F.when(fine, F.col("found_price")).otherwise(F.col(price)))
+
+
+#: How sure each way of extraction is of a product that it found.
+STRATEGY_CONFIDENCE = {"jsonld": 0.99, "embedded_json": 0.94, "hydrated_state": 0.9, "storefront_data": 0.92, "domain_adapter": 0.96, "meta": 0.72}
+
+
+def extraction_candidates(found: DataFrame) -> DataFrame:
+    """What six ways of extraction found, as candidates with the confidence of the way; unknown ways give none."""
+    sure = F.coalesce(*[F.when(F.col("strategy") == s, F.lit(c)) for s, c in STRATEGY_CONFIDENCE.items()])
+    return found.withColumn("confidence", sure).where("confidence is not null")
+
+
+def resolve(candidates: DataFrame, rates: DataFrame, now: str) -> DataFrame:
+    """One offer of each product: the price, currency and availability of the candidate most trusted for a price, other fields reconciled, the price in riyal. A currency without a rate gives no offer."""
+    from quaylens.functions.money import to_riyal
+
+    priced = preferred(candidates, "price", now).select("product_id", "candidate_id", "strategy", "price", "currency", "availability")
+    fields = reconcile(candidates, ["name", "brand"], now).groupBy("product_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in ("name", "brand")])
+    return to_riyal(priced.join(fields, "product_id", "left"), rates, "price").where("price_sar is not null")

@@ -141,3 +141,18 @@ def intelligence(offers: DataFrame, by: list[str]) -> DataFrame:
     badges = F.array_compact(F.array(F.when(F.col("value") == base, "lowest"), F.when(F.col("delivery_days") == fastest, "fastest"), F.when(F.col("is_local"), "local")))
     warnings = F.array_compact(F.array(*[F.when(F.col(c).isNull(), c) for c in ("shipping", "import_cost", "tax", "mandatory_fees")], F.when(~F.col("condition").eqNullSafe("new"), "condition")))
     return e.withColumn("badges", F.array_join(badges, ",")).withColumn("warnings", F.array_join(warnings, ","))
+
+
+def variant_dimensions(offers: DataFrame) -> DataFrame:
+    """offer_id, dimension, label: what tells an offer's variants apart, one row for each dimension that is known."""
+    sources = {"model": "model_number", "storage": "storage", "color": "color", "condition": "condition", "sku": "sku"}
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), F.trim(c).alias("label")) for k, c in sources.items()]))
+    return offers.select("offer_id", rows.alias("d")).select("offer_id", "d.*").where("label is not null and label <> ''")
+
+
+def presentation(groups: DataFrame, wanted_condition: str = "new") -> DataFrame:
+    """Adds section and lane to groups of offers: groups of the principal kind in the wanted condition by category, all others as alternatives or accessories. groups: category, role, condition, match_confidence."""
+    direct = (F.col("role") == "product") & (F.col("match_confidence") >= 0.35) & F.col("condition").eqNullSafe(wanted_condition)
+    lane = F.when(direct, "primary").otherwise("secondary")
+    section = F.when(direct, F.col("category")).when(F.col("role") == "accessory", "accessory").otherwise("alternative")
+    return groups.withColumn("lane", lane).withColumn("section", section)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaylens.functions.urls import host
@@ -137,3 +138,57 @@ def extract_products(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["page_id", *fields])
 
     return pages.select("page_id", "html").mapInPandas(run, f"page_id long, {_PRODUCT}")
+
+
+def embedded_offers(pages: DataFrame, words: list[str]) -> DataFrame:
+    """page_id, title, price, currency, url: every object in a page's embedded JSON that has all four, at least a fifth of the words in its title, and a positive price; each address and price of a page once."""
+    names = {"title": ("title", "name"), "price": ("price", "salePrice"), "currency": ("currency", "priceCurrency"), "url": ("url", "productUrl")}
+    wanted = {w.lower() for w in words}
+
+    def found(html: str | None) -> Iterator[tuple[str, float, str, str]]:
+        seen = set()
+        for block in re.findall(r'(?is)<script[^>]*type="application/json"[^>]*>(.*?)</script>', html or ""):
+            try:
+                nodes = list(_nodes(json.loads(block)))
+            except (ValueError, RecursionError):  # not JSON, or nested beyond what the parser reads
+                continue
+            for n in nodes:
+                v = {k: next((n[a] for a in aliases if isinstance(n.get(a), (str, int, float)) and n[a] != ""), None) for k, aliases in names.items()}
+                try:
+                    price = float(v["price"])
+                except (TypeError, ValueError):
+                    continue
+                if None in v.values() or not 0 < price < float("inf"):
+                    continue
+                hits = len(wanted & set(re.findall(r"\w+", str(v["title"]).lower())))
+                key = (str(v["url"]), price)
+                if (not wanted or hits / len(wanted) >= 0.2) and key not in seen:
+                    seen.add(key)
+                    yield str(v["title"]), price, str(v["currency"]), str(v["url"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, *o) for p, html in zip(pdf["page_id"], pdf["html"], strict=True) for o in found(html)]
+            yield pd.DataFrame(rows, columns=["page_id", "title", "price", "currency", "url"])
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, title string, price double, currency string, url string")
+
+
+def recovery_links(links: DataFrame, answered: DataFrame, words: list[str], most: int = 2) -> DataFrame:
+    """At most two links of each page without a direct offer: its own host's, those with most of the words first. answered: page_id."""
+    score = sum((F.when(F.lower("link").contains(w.lower()), 1).otherwise(0) for w in words), F.lit(0))
+    open_links = links.where("same_host and link like 'https://%'").join(answered.select("page_id").distinct(), "page_id", "left_anti")
+    order = Window.partitionBy("page_id").orderBy(F.desc("score"), "link")
+    return open_links.withColumn("score", score).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+VARIANT_STATE = "id string, title string, vendor string, variants array<struct<id: string, sku: string, title: string, price: long, available: boolean>>"
+
+
+def variant_state(pages: DataFrame) -> DataFrame:
+    """page_id, variant_id, sku, title, price, availability of the variants that a hosted shop's page holds as JSON; prices come in hundredths."""
+    text = F.regexp_extract("html", r'(?is)<script[^>]*id="ProductJson[^"]*"[^>]*>(.*?)</script>', 1)
+    rows = pages.select("page_id", F.from_json(text, VARIANT_STATE).alias("p")).select("page_id", "p.title", F.explode("p.variants").alias("v")).where("v.id is not null and v.price > 0")
+    named = F.when(F.coalesce("v.title", F.lit("Default Title")) == "Default Title", F.col("title")).otherwise(F.concat("title", F.lit(" · "), "v.title"))
+    stock = F.when(F.col("v.available"), "in_stock").when(~F.col("v.available"), "out_of_stock").otherwise("unknown")
+    return rows.select("page_id", F.col("v.id").alias("variant_id"), "v.sku", named.alias("title"), (F.col("v.price") / 100).alias("price"), stock.alias("availability"))
