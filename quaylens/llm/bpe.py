@@ -9,7 +9,8 @@ isn't tried again, so the work grows with the length of the piece. The result is
 Decoding joins the tokens' bytes through one table of all bytes and an offset per token, in numpy.
 
 Cases: a null or empty text has no ids and decodes to the empty text. Strings of added tokens in a text become their id.
-Rows are encoded one by one, so repeated rows and ties need nothing. Texts of any length are encoded whole.
+Rows are encoded one by one, so repeated rows and ties need nothing. Texts of any length are encoded whole. `encode` reads
+doc_id and text only, `decode` keeps other columns (its own replaces one named decoded). An empty table gives an empty one.
 """
 
 from __future__ import annotations

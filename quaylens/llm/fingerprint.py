@@ -11,7 +11,8 @@ Words are runs of characters other than space and U+0009 to U+000D, as they are
 Cases: a null text counts as empty. An empty text has no words; its samples are all a fixed value, so empty texts are equal
 to one another and to nothing else. Rows that repeat a doc_id and its text are one document, whose row appears as often as
 they do; rows that repeat a doc_id with other texts are documents of their own, in the order of their texts' hashes. Rows
-without a doc_id come first. Extra columns aren't read. An empty table gives an empty one.
+without a doc_id come first. Texts of any length are sampled whole: a long text is more rows, not a longer one. Equal bids give
+equal samples. Extra columns aren't read. An empty table gives an empty one.
 """
 
 from __future__ import annotations

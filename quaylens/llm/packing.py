@@ -10,8 +10,8 @@ Only the histogram, the patterns and the rank offsets meet on the driver, all bo
 ranked in buckets of bounded size, whose offsets come from a window over counts.
 
 Cases: a null or empty text is the end id alone. Repeated rows and ties are packed row by row (a row number that is
-written down with the pieces tells them apart). Columns other than doc_id and text are not read. An empty table gives an
-empty result.
+written down with the pieces tells them apart). A text of any length is cut into as many pieces as it needs, however long its
+runs of one kind of character. Columns other than doc_id and text are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -4,8 +4,9 @@ Words are runs of characters other than space and U+0009 to U+000D. Every block
 numbers; a rolling hash over it gives, for each n, a 64-bit value per window of n words (mixed with the text's number, so
 windows of two texts never meet). A window whose value occurs twice in its text is repeated, and its characters count once.
 
-Cases: a null or empty text has no words and fails the base rule. Repeated rows are measured row by row. There is no
-order, so ties don't arise; an empty table gives an empty one.
+Cases: a null or empty text has no words and fails the base rule. Texts of any length are measured whole. Repeated rows are
+measured row by row. There is no order, so ties don't arise. `keep_good` keeps all columns of its rows, whatever their names;
+`assess` reads doc_id and text only. An empty table gives an empty one.
 """
 
 from __future__ import annotations

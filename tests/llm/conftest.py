@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-DDL = "doc_id long, text string, lang string, source string, n_chars long, node long, word string, score double, label string, slot long, _id long, gram long"
+DDL = "doc_id long, text string, lang string, source string, n_chars long, node long, word string, score double, label string, slot long, _id long, gram long, _gone long, _doc long, _lines long, n_lines long, n_removed long, _own_n_lines long, _wanted long, _best long, _own_score double, _kept long, _of long, check long, owner long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 
 
@@ -39,7 +39,7 @@ def rows():  # noqa: ANN201
         (13, "word " * 500, "s1"),
         (14, "x" * 60_000, "s3"),
     ]
-    return [(i, t, "en", s, -1, 7, "w", 0.5, "l", 3, 4, 5) for i, t, s in texts]
+    return [(i, t, "en", s, -1, 7, "w", 0.5, "l", 3, 4, 5, 1, 2, 3, 777, 888, 4, 5, 6, 0.25, 7, 8, 9, 10) for i, t, s in texts]
 
 
 @pytest.fixture(scope="session")

@@ -167,6 +167,25 @@ def test_lines_against_plain_python(documents, odd):  # noqa: ANN001
         assert Counter((r.doc_id, r.text) for r in linedup.clean(df).collect()) == expected
 
 
+def test_cleaned_documents_keep_their_own_columns(odd, none):  # noqa: ANN001
+    own = [c for c in odd.columns if c not in ("text", "n_chars")]
+    out = linedup.clean_documents(odd)
+    assert out.columns == odd.columns
+    assert Counter(map(tuple, out.select(*own).collect())) == Counter(map(tuple, odd.select(*own).collect()))
+    assert {(r.n_lines, r.n_removed) for r in out.collect()} == {(777, 888)}
+    counted = linedup.clean(odd)
+    assert sum(r.n_lines for r in counted.collect()) == sum(len(r.text.split("\n")) for r in odd.collect() if r.text is not None)
+    assert linedup.clean_documents(none).columns == none.columns
+
+
+def test_lines_of_documents_without_an_id(spark):  # noqa: ANN001
+    line = "a line that many sites have"
+    rows = [(None, f"{line}\nown line number {i} of nobody", f"s{i}") for i in range(6)] + [(None, line, "s9"), (5, f"{line}\nx", "s7"), (9, line, "s8")]
+    out = linedup.clean(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert [r.text for r in out if r.doc_id == 5] == [f"{line}\nx"] and [r.text for r in out if r.doc_id == 9] == [""]
+    assert all(line not in r.text for r in out if r.doc_id is None)
+
+
 def test_many_sites_need_no_exact_count(spark):  # noqa: ANN001
     rows = [(i, f"This line is on many sites, it is.\nand this one only here {i}", f"s{i}") for i in range(40)]
     out = {r.doc_id: r.text.count("\n") for r in linedup.clean(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
@@ -297,27 +316,78 @@ def test_archives(spark):  # noqa: ANN001
 # the pipeline
 
 
-def test_pipeline_stage_by_stage(spark, data):  # noqa: ANN001
+def cleaned(rows):  # noqa: ANN001, ANN201
+    """doc_id and text after line dedup, by plain Python."""
+    edges = " \t\x0b\x0c\r"
+    sites, ids = defaultdict(set), defaultdict(list)
+    for i, source, text in rows:
+        for line in (text or "").split("\n"):
+            if len(k := line.strip(edges)) >= 20:
+                sites[k].add(source)
+                ids[k].append(i)
+    common = {k: min((i for i in ids[k] if i is not None), default=None) for k, s in sites.items() if len(s - {None}) >= 3}
+    stays = lambda i, x: x.strip(edges) not in common or common[x.strip(edges)] == i
+    return Counter((i, None if t is None else "\n".join(x for x in t.split("\n") if stays(i, x))) for i, _, t in rows)
+
+
+def cut(rows):  # noqa: ANN001, ANN201
+    """The pieces of documents, by the tokenizers library."""
+    from quaylens.llm import tokens
+
+    path, out = tokens.default_vocabulary(), Counter()
+    for i, text in rows:
+        ids = tokens.library_ids(path, text or "").tobytes() + (1).to_bytes(4, "little")
+        n = len(ids) // 4
+        out.update((i, s, min(2048, n - s), zlib.crc32(ids[4 * s : 4 * (s + 2048)]), n) for s in range(0, n, 2048))
+    return out
+
+
+def evidence(model, text):  # noqa: ANN001, ANN201
+    from quaylens.llm import toxicity
+
+    total = model.bias
+    for word in {w.decode() for w in toxicity.words_of(text or "")}:
+        total += sum(v for f, v in model.weights.items() if f == "=" + word or (f[0] != "=" and f in f"^{word}$"))
+    return total
+
+
+def check_stages(spark, folder, docs):  # noqa: ANN001, ANN201
     import corpus_pipeline as cp
     from quaylens.llm import quality, toxicity
     from quaylens.llm.common import materialise, read_table
 
-    docs = read_table(spark, data, "documents")
     assert [n for n, _ in cp.STAGES] == ["quality_rules", "toxicity", "line_dedup", "ngram_jaccard", "packing"]
     given, made = [docs], []
     for name, stage in cp.STAGES:
-        made.append(materialise(stage(spark, given[-1], data), name))
+        made.append(materialise(stage(spark, given[-1], folder), name))
         given.append(made[-1])
     assert all(d.schema == docs.schema for d in made[:4])
-    ids = [{r.doc_id for r in d.select("doc_id").collect()} for d in [docs, *made]]
-    assert ids[1] == {r.doc_id for r in quality.assess(docs).where("kept").collect()}
-    scored = toxicity.score(made[0].select("doc_id", "text"), toxicity.fit(made[0], read_table(spark, data, "labels")))
-    assert ids[2] == {r.doc_id for r in scored.where("score < 0.5").collect()}
-    assert ids[3] == ids[2]
-    component = brute([(r.doc_id, r.text) for r in made[2].collect()], 5, 80)
-    assert ids[4] == set(component.values())
-    assert ids[5] == ids[4]
-    assert made[4].count() == cp.run(spark, data).count()
+    texts = [Counter((r.doc_id, r.text) for r in d.collect()) for d in made[:4]]
+    wanted = Counter((r.doc_id, r.text) for r in docs.collect())
+    kept = quality.assess(docs.select("doc_id", "text")).where("kept")
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in made[0].collect()) and texts[0] <= wanted
+    model = toxicity.fit(made[0], read_table(spark, folder, "labels"))
+    assert texts[1] == Counter({k: n for k, n in texts[0].items() if evidence(model, k[1]) < 0})
+    assert texts[2] == cleaned([(r.doc_id, r.source, r.text) for r in made[1].collect()])
+    known = [(r.doc_id, r.text) for r in made[2].collect() if r.doc_id is not None]
+    assert {i for i, _ in texts[3] if i is not None} == set(brute(known, 5, 80).values()) and texts[3] <= texts[2]
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in made[4].collect()) == cut([(r.doc_id, r.text) for r in made[3].collect()])
+    assert made[4].count() == cp.run(spark, folder).count()
+    return texts
+
+
+def test_pipeline_stage_by_stage(spark, data, documents):  # noqa: ANN001
+    texts = check_stages(spark, data, documents)
+    assert sum(texts[0].values()) > sum(texts[3].values()) > 0
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none, labels, tmp_path):  # noqa: ANN001
+    for name, df in (("odd", odd), ("none", none)):
+        folder = str(tmp_path / name)
+        df.write.parquet(f"{folder}/documents.parquet")
+        labels.limit(0 if name == "none" else 1000).write.parquet(f"{folder}/labels.parquet")
+        texts = check_stages(spark, folder, spark.read.parquet(f"{folder}/documents.parquet"))
+        assert bool(texts[3]) == (name == "odd")
 
 
 def test_every_query_runs_on_whole_tables(spark, data):  # noqa: ANN001
