@@ -52,7 +52,7 @@ class Settings:
     corpus_rounds: int = 14
     least_gain: float = 1e-4
     #: tokens whose forward steps are held at a time, and bytes of symbols in a block of texts that go in step
-    window: int = 3 << 20
+    window: int = 2 << 20
     block: int = 16 << 20
     prior: float = 30.0
     seed: int = 7
@@ -204,6 +204,19 @@ def _tables(words: Words) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return _held["tables"]
 
 
+def alike(sequences: list[np.ndarray], tokens: int) -> Iterator[list[np.ndarray]]:
+    """The sequences in parts of like length, longest first, each of at most so many tokens (or of one sequence)."""
+    part, held = [], 0
+    for s in sorted(sequences, key=lambda s: -len(s)):
+        if part and held + len(s) > tokens:
+            yield part
+            part, held = [], 0
+        part.append(s)
+        held += len(s)
+    if part:
+        yield part
+
+
 def expected_counts(sequences: list[np.ndarray], m: Model, window: int, into: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
     """Adds the sequences' expected starts, transitions and emissions to `into`; returns their log10 likelihood. Exact for any `window`, about how many tokens are held at a time."""
     start, step, emit = into
@@ -241,42 +254,45 @@ def expected_counts(sequences: list[np.ndarray], m: Model, window: int, into: tu
     entries = [begin]  # the step before each window
     for low, high in zip(lows[:-1], highs, strict=False):
         part = slice(at[low], at[high])
-        entries.append(forward(low, high, entries[-1], emission[symbols[part]], np.empty(part.stop - part.start, np.float32)).copy())
+        entries.append(forward(low, high, entries[-1], emission.take(symbols[part], axis=0), np.empty(part.stop - part.start, np.float32)).copy())
     total, counted = 0.0, np.zeros((k, k))
     beta = np.ones((n, k), dtype=np.float32)
     for low, high, entry in zip(reversed(lows), reversed(highs), reversed(entries), strict=True):
         first, part = at[low], slice(at[low], at[high])
-        later = emission[symbols[part]]
+        later = emission.take(symbols[part], axis=0)
         alpha, scale = later.copy(), np.empty(len(later), dtype=np.float32)
         forward(low, high, entry, alpha, scale)
-        total += float(np.log10(scale, dtype=np.float64).sum())
+        total += float(np.log10(scale).sum(dtype=np.float64))
         later /= scale[:, None]
         for t in range(high - 1, low - 1, -1):  # later: what follows a step and its own emission, given the state
             c, here = active[t], later[at[t] - first : at[t + 1] - first]
             here *= beta[:c]
             np.matmul(here, back, out=beta[:c])
-        # for all tokens of the window: the step before, the states' probabilities given the whole texts, and the moves
-        flat, t = symbols[part], low
+        # for all tokens of the window: the step before, the moves, and the states' probabilities given the whole texts, which
+        # take the place of `later`; in parts that stay in a processor's cache
+        t = low
         while t < high:
             upto = t + 1
-            while upto < high and at[upto + 1] - at[t] <= 1 << 17:
+            while t > low and upto < high and at[upto + 1] - at[t] <= 1 << 14:
                 upto += 1
-            i, j = at[t] - first, at[upto] - first
+            here = later[at[t] - first : at[upto] - first]
             if t == low:
-                upto, j = t + 1, at[t + 1] - first
                 before = entry[: active[t]]
             else:
                 before = np.concatenate([alpha[at[x - 1] - first : at[x - 1] - first + active[x]] for x in range(t, upto)])
-            given = (before @ moves if t else begin) * later[i:j]
+            given = before @ moves if t else begin.copy()
+            given *= here
             mass = (given @ ones)[:, None]
-            given /= mass
             if t:
-                counted += before.T @ (later[i:j] / mass)
-            else:
-                start += given.sum(axis=0)
-            for x in range(k):
-                emit[:, x] += np.bincount(flat[i:j], weights=given[:, x], minlength=len(emit))
+                here /= mass
+                counted += before.T @ here
+            np.divide(given, mass, out=here)
+            if not t:
+                start += here.sum(axis=0)
             t = upto
+        flat = symbols[part]
+        for x in range(k):
+            emit[:, x] += np.bincount(flat, weights=later[:, x], minlength=len(emit))
     step += counted * m.step
     return total
 
@@ -307,7 +323,8 @@ def train(encoded: DataFrame, words: Words, s: Settings) -> Model:
         def expect(batches: Iterator[pa.RecordBatch], handle=handle) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             got, likelihood = zeros(), np.zeros((1, k))
             for block in text_blocks(batches, "symbols", s.block):
-                likelihood[0, 0] += expected_counts([np.frombuffer(x, kind_of_symbol) for x in block.column("symbols").to_pylist()], handle.value, s.window, got)
+                for part in alike([np.frombuffer(x, kind_of_symbol) for x in block.column("symbols").to_pylist()], s.window):
+                    likelihood[0, 0] += expected_counts(part, handle.value, s.window, got)
             start, step, emit = got
             used = np.flatnonzero(emit.any(axis=1))
             symbol = np.r_[-1, -2 - np.arange(k), -2 - k, used].astype(np.int32)
@@ -377,7 +394,7 @@ def score(docs: DataFrame, settings: Settings | None = None, folds: int = 5, fol
     handle, kind_of_symbol = docs.sparkSession.sparkContext.broadcast(model), words.kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, "symbols"):
+        for block in text_blocks(batches, "symbols", s.block):
             found = log10_likelihoods([np.frombuffer(x, kind_of_symbol) for x in block.column("symbols").to_pylist()], handle.value)
             columns = [block.column(c) for c in ("row", "doc_id", "held_out", "n_tokens", "n_known", "base_score")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(block.column("score").to_numpy() + found)], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
