@@ -201,8 +201,11 @@ def _pairs(rows: DataFrame, *more: Column) -> DataFrame:
 
 def _links(pairs: DataFrame, segments: DataFrame, share: int) -> DataFrame:
     """The pairs (a, b) that reach the share, each once however often it is given. Overlaps are counted per fragment and summed per pair."""
-    left, right = (segments.select(F.col("node").alias(k), "fragment", F.col("grams").alias(f"grams_{k}")) for k in "ab")
-    counted = pairs.select("a", "b", "size_a", "size_b").distinct().join(left, "a").join(right, ["b", "fragment"])
+    pairs = materialise(pairs.select("a", "b", "size_a", "size_b").distinct(), "linked-pairs")
+    nodes = pairs.select(F.col("a").alias("_n")).unionByName(pairs.select(F.col("b").alias("_n"))).distinct()
+    needed = segments.join(small(materialise(nodes, "linked-nodes")), F.col("node") == F.col("_n"), "left_semi")
+    left, right = (needed.select(F.col("node").alias(k), "fragment", F.col("grams").alias(f"grams_{k}")) for k in "ab")
+    counted = pairs.join(left, "a").join(right, ["b", "fragment"])
     counted = counted.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part"))
     summed = counted.groupBy("a", "b", "size_a", "size_b").agg(F.sum("part").alias("overlap"))
     return summed.where(f"overlap >= {_least_overlap('size_a', 'size_b', share)}").select("a", "b")
@@ -221,7 +224,7 @@ def _missing(share: int) -> str:
 
 def _relabel(label: DataFrame, links: DataFrame) -> DataFrame:
     """`label` (node, label) after the components of linked nodes have been joined."""
-    x, y = (label.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}")) for k in "ab")
+    x, y = (small(label.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}"))) for k in "ab")
     met = links.join(x, "a").join(y, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).where("a <> b")
     merged = smallest_reachable(met).select(F.col("node").alias("label"), F.col("label").alias("_to"))
     return materialise(label.join(merged, "label", "left").select("node", F.coalesce("_to", "label").alias("label")), "node-labels")
@@ -246,7 +249,7 @@ def _join_by_pivots(members: DataFrame, label: DataFrame, segments: DataFrame, s
     alike = f"{differ} <= x.n_grams + y.n_grams - 2L * {_least_overlap('x.n_grams', 'y.n_grams', share)}"
     settled, pivots, waiting = 0, PIVOT_STEP, None
     while True:
-        known = members.join(label, "node")
+        known = members.join(small(label), "node")
         several = known.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
         rows = materialise(known.join(several, "gram"), "open-groups")
         most = rows.agg(F.max("size")).first()[0]
@@ -272,7 +275,7 @@ def _join_by_pivots(members: DataFrame, label: DataFrame, segments: DataFrame, s
 
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """Those pairs whose nodes have different labels."""
-    x, y = (label.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}")) for k in "ab")
+    x, y = (small(label.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}"))) for k in "ab")
     return pairs.join(x, "a").join(y, "b").where("label_a <> label_b").select(*pairs.columns)
 
 
@@ -329,7 +332,7 @@ def _open_nodes(sets: DataFrame, share: int, band: float) -> tuple[DataFrame, Da
 
 def _several(members: DataFrame, label: DataFrame) -> DataFrame:
     """The rows of groups whose members are in several components."""
-    labelled = members.join(label, "node")
+    labelled = members.join(small(label), "node")
     several = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
     return labelled.join(several, "gram").drop("label")
 
@@ -339,9 +342,9 @@ def _grouped_anew(nodes: DataFrame, segments: DataFrame, share: int) -> DataFram
     every = materialise(segments.join(small(nodes), "node").select("node", "n_grams", F.explode("grams").alias("gram")), "open-grams")
     uses = every.groupBy("gram").agg(F.count("*").alias("uses"), F.min("node").alias("low"), F.max("node").alias("high"))
     own = uses.where("low = high").groupBy(F.col("low").alias("node")).agg(F.count("*").alias("own"))
-    members = every.join(uses.where("low <> high").select("gram", "uses"), "gram").join(own, "node", "left")
-    members = members.withColumn("own", F.coalesce("own", F.lit(0))).withColumn("late", F.lit(False))
-    return materialise(_prefixes(members, share), "open-prefixes")
+    shared = every.join(uses.where("low <> high").select("gram", "uses"), "gram").withColumns({"own": F.lit(0), "late": F.lit(False)})
+    first = _prefixes(shared, share).drop("own").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    return materialise(first.withColumn("place", F.col("place") + F.col("own")).where(f"place <= {_missing(share)}"), "open-prefixes")
 
 
 def _segments_of(docs: DataFrame, owners: DataFrame, n: int) -> DataFrame:
