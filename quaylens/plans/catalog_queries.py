@@ -14,7 +14,6 @@ from quaylens.operators import audit as au
 from quaylens.operators import catalog as cat
 from quaylens.operators import groups
 from quaylens.operators import matching as mt
-from quaylens.operators import offers as op
 from quaylens.operators import pages as pg
 from quaylens.plans.registry import query
 from quaylens.schema import OFFERS_NOW

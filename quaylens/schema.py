@@ -9,10 +9,9 @@ can_ship_to_saudi BOOLEAN, is_local BOOLEAN, delivery_days INT, product_price DO
 tax DOUBLE, mandatory_fees DOUBLE, discount DOUBLE, currency STRING, exact_match BOOLEAN, match_confidence DOUBLE,
 price_confidence STRING, data_kind STRING, observed_at TIMESTAMP
 """
-CONDITIONS = ("new", "used", "refurbished", "open_box", "unknown")
-AVAILABILITIES = ("in_stock", "out_of_stock", "preorder", "unknown")
-#: from the most to the least certain
+#: How certain an offer is, from the most to the least
 BUCKETS = ("confirmed", "estimated", "probable", "incomplete", "ineligible")
+#: The specifications that a profile holds
 SPEC_FIELDS = ("brand", "color", "storage", "model_number")
 #: the moment at which queries look at the tables
 OFFERS_NOW, EVENTS_NOW = "2000-06-01 00:00:00", "2024-01-30 00:00:00"
