@@ -1,8 +1,8 @@
 """Training-order materialisation of token sequences.
 
 1. Every task joins the ids of its documents, each with an end id, into one stream and cuts it into sequences of exactly
-   `length` ids; the task's last one is filled up with end ids. The sequences are written down once, with the task and the
-   number within it, so that a second attempt of anything later meets the same numbers.
+   `length` ids; the task's last one is filled up with end ids. The sequences are written down once, compressed, with the
+   task and the number within it, so that a second attempt of anything later meets the same numbers.
 2. Sequences are numbered densely (a task's first number is the count of those of the tasks before it). A keyed Feistel
    permutation of the numbers, walked along its cycles until it falls below the number of sequences, gives each its global
    slot.
@@ -37,6 +37,7 @@ from quaylens.llm.files import AtomicFile, open_input
 from quaylens.llm.tokens import default_vocabulary, encoder, read_vocabulary
 
 END_ID, LENGTH, SHARD_SEQUENCES, MOST_TASKS, ROUNDS = 50_256, 2_048, 4_096, 8_192, 4
+BOOK_BYTES, SAMPLE_TEXTS, SAMPLE_CHARS = 112_640, 1_000, 20_000
 
 
 def feistel(numbers: np.ndarray, size: int, key: int) -> np.ndarray:
@@ -65,14 +66,33 @@ def id_type(vocabulary: str) -> str:
     return "<u2" if max([END_ID, *ordinary.values(), *added.values()]) < 1 << 16 else "<u4"
 
 
-def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
+def _press(book: bytes) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(book)) if book else zstandard.ZstdCompressor(level=6)
+
+
+def _unpack(book: bytes) -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(book)) if book else zstandard.ZstdDecompressor()
+
+
+def shared_book(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> bytes:
+    """A compression dictionary for sequences, from the start of up to SAMPLE_TEXTS texts. It makes what tasks send one another smaller and has no other effect; empty where there is too little to train on."""
+    kind_of_id, enc = np.dtype(id_type(vocabulary)), encoder(vocabulary)
+    rows = docs.where("text is not null").select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_TEXTS).collect()
+    ids = np.concatenate([np.zeros(0, kind_of_id), *(enc.ids(r.text).astype(kind_of_id) for r in rows)])
+    try:
+        return zstandard.train_dictionary(BOOK_BYTES, [ids[i : i + length].tobytes() for i in range(0, len(ids), length)], d=8, k=256, steps=1).as_bytes()
+    except (zstandard.ZstdError, ValueError):  # too few samples
+        return b""
+
+
+def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH, book: bytes = b"") -> DataFrame:
     """task, number, packed (`length` ids, compressed for their way to the shard), pieces: doc_id, start (the document's ids before it), length and offset (in the sequence)."""
     kind_of_id = np.dtype(id_type(vocabulary))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"task int, number long, packed binary, pieces array<struct<doc_id: {kind}, start: long, length: long, offset: long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task, number = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        enc, task, number, press = encoder(vocabulary), TaskContext.get().partitionId(), 0, _press(book)
         open_ids: list[np.ndarray] = []
         open_pieces: list[dict] = []
         filled = 0
@@ -91,18 +111,17 @@ def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFra
                         rows.append((np.concatenate(open_ids).tobytes(), open_pieces))
                         open_ids, open_pieces, filled = [], [], 0
             if rows:
-                yield _batch(task, number, rows, id_kind)
+                yield _batch(task, number, rows, id_kind, press)
                 number += len(rows)
         if filled:
             rest = np.full(length - filled, END_ID, dtype=kind_of_id)
-            yield _batch(task, number, [(np.concatenate([*open_ids, rest]).tobytes(), open_pieces)], id_kind)
+            yield _batch(task, number, [(np.concatenate([*open_ids, rest]).tobytes(), open_pieces)], id_kind, press)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _batch(task: int, number: int, rows: list[tuple[bytes, list[dict]]], id_kind: pa.DataType) -> pa.RecordBatch:
+def _batch(task: int, number: int, rows: list[tuple[bytes, list[dict]]], id_kind: pa.DataType, press: zstandard.ZstdCompressor) -> pa.RecordBatch:
     pieces = pa.list_(pa.struct([("doc_id", id_kind), ("start", pa.int64()), ("length", pa.int64()), ("offset", pa.int64())]))
-    press = zstandard.ZstdCompressor(level=1)
     columns = [pa.array([task] * len(rows), pa.int32()), pa.array(range(number, number + len(rows)), pa.int64()), pa.array([press.compress(r[0]) for r in rows], pa.binary()), pa.array([r[1] for r in rows], pieces)]
     return pa.RecordBatch.from_arrays(columns, names=["task", "number", "packed", "pieces"])
 
@@ -127,16 +146,17 @@ def write(docs: DataFrame, key: int = 20_24, vocabulary: str | None = None, fold
     spark = docs.sparkSession
     path, out = vocabulary or default_vocabulary(), folder or shared_folder(spark, "shards")
     with session_settings(spark, DROP_SHUFFLES), scratch(spark):
-        return out, _write(materialise(sequences(docs, path, length), "sequences"), key, out, shard_sequences)
+        book = shared_book(docs, path, length)
+        return out, _write(materialise(sequences(docs, path, length, book), "sequences"), key, out, shard_sequences, book)
 
 
-def _write(cut: DataFrame, key: int, out: str, shard_sequences: int) -> DataFrame:
+def _write(cut: DataFrame, key: int, out: str, shard_sequences: int, book: bytes) -> DataFrame:
     total, placed = place(cut, key)
     shards = max(1, -(-total // shard_sequences))
     dealt = placed.withColumn("shard", F.expr(f"slot div {shard_sequences}L")).repartitionByRange(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard", "slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, at, unpack = None, None, zstandard.ZstdDecompressor()
+        file, at, unpack = None, None, _unpack(book)
         for batch in batches:
             crcs = []
             for packed, shard in zip(batch.column("packed").to_pylist(), batch.column("shard").to_pylist(), strict=True):
