@@ -43,6 +43,8 @@ from quaylens.llm.common import DROP_SHUFFLES, SPLIT_JOINS, block_words, fresh,
 from quaylens.llm.components import smallest_reachable
 
 FRAGMENTS, PIVOT_STEP, SMALL_GROUP = 8, 16, 256
+#: bytes of a work table that a task reads at a time
+SMALL_PARTS = {"spark.sql.files.maxPartitionBytes": "4m"}
 _B, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -313,7 +315,8 @@ def components(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
 
 def _open_nodes(sets: DataFrame, share: int, band: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes with so few n-grams of their own that they can have links (node, n_grams, doc_id, own), their sets, and their prefixes."""
-    counts = materialise(_first_fragment_counts(sets, band), "gram-counts")
+    with session_settings(sets.sparkSession, SMALL_PARTS):  # a task counts its n-grams in memory, and few of them come twice
+        counts = materialise(_first_fragment_counts(sets, band), "gram-counts")
     alone = counts.where("owner is not null").groupBy(F.col("owner").alias("node")).agg(F.count("*").alias("own"))
     nodes = sets.where("n_grams > 0").groupBy("node").agg(F.max("n_grams").alias("n_grams"), F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("doc_id"))
     nodes = nodes.join(alone, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
