@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylens.llm import bpe, fingerprint, hmm, linedup, ngram_join, packing, quality, toxicity, training_order, warc
+from quaylens.llm import bpe, centroids, fingerprint, hmm, linedup, ngram_join, packing, quality, toxicity, training_order, warc
 from quaylens.llm.common import crc_fold, read_table
 
 
@@ -59,6 +59,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), "n_removed", "text")
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroids.cluster(read_table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
+    "op13_centroids": op13_centroids,
     "pipeline": pipeline,
 }
 
@@ -135,4 +142,22 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHE
 FROM q LEFT JOIN f USING (payload_digest)
 """
 
-ORACLE: dict[str, str] = {"op3_quality": QUALITY_SQL, "op9_warc": WARC_SQL, "op10_line_dedup": LINES_SQL}
+_NEAREST = """(SELECT r, min(struct_pack(d := list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT, c := n)) AS best FROM vectors, {of} GROUP BY r)"""
+_ROUND = """m{i} AS MATERIALIZED (
+  SELECT n, coalesce(list(floor_mean ORDER BY place), any_value(c)) AS c FROM {of} LEFT JOIN (
+    SELECT best.c AS n, place, floor(sum(x)::DECIMAL(38, 0) / count(*))::BIGINT AS floor_mean
+    FROM (SELECT best, unnest(v) AS x, unnest(range(1, 65)) AS place FROM vectors JOIN {nearest} USING (r)) GROUP BY ALL) USING (n) GROUP BY n)"""
+CENTROIDS_SQL = (
+    """WITH vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND list_count(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS n, v AS c FROM vectors ORDER BY n LIMIT 40),
+"""
+    + ",\n".join(_ROUND.format(i=i, of=f"m{i - 1}", nearest=_NEAREST.format(of=f"m{i - 1}")) for i in range(1, 6))
+    + f"""
+SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+  (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m5.c, ',')) AS centroid_sha256
+FROM vectors JOIN {_NEAREST.format(of="m5")} USING (r) JOIN m5 ON m5.n = best.c"""
+)
+
+ORACLE: dict[str, str] = {"op3_quality": QUALITY_SQL, "op9_warc": WARC_SQL, "op10_line_dedup": LINES_SQL, "op13_centroids": CENTROIDS_SQL}
