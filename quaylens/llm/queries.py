@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylens.llm import bpe, centroids, fingerprint, hmm, linedup, ngram_join, packing, quality, toxicity, training_order, warc
+from quaylens.llm import bpe, centroids, chunked_bpe, fingerprint, hmm, linedup, ngram_join, packing, quality, toxicity, training_order, warc
 from quaylens.llm.common import crc_fold, read_table
 
 
@@ -59,6 +59,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), "n_removed", "text")
 
 
+def op12_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunked_bpe.decode(chunked_bpe.encode(read_table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_tokens", F.sha2(F.col("decimal").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = centroids.cluster(read_table(spark, sf_dir, "embeddings"))
     digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
+    "op12_chunked_bpe": op12_chunked_bpe,
     "op13_centroids": op13_centroids,
     "pipeline": pipeline,
 }
