@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylens.llm import bpe, centroids, chunked_bpe, fingerprint, hmm, linedup, ngram_join, packing, quality, toxicity, training_order, warc
+from quaylens.llm import bpe, centroids, chunked_bpe, fingerprint, hmm, linedup, ngram_join, packing, quality, repair, toxicity, training_order, warc
 from quaylens.llm.common import crc_fold, read_table
 
 
@@ -59,6 +59,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), "n_removed", "text")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damage(turns), turns)
+
+
 def op12_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunked_bpe.decode(chunked_bpe.encode(read_table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_tokens", F.sha2(F.col("decimal").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
+    "op11_repair": op11_repair,
     "op12_chunked_bpe": op12_chunked_bpe,
     "op13_centroids": op13_centroids,
     "pipeline": pipeline,
@@ -148,6 +154,56 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHE
 FROM q LEFT JOIN f USING (payload_digest)
 """
 
+
+
+def _edit(state: str, cost: str, letter: str, put: str = "''", when: str = "true") -> str:
+    """A state (cost, audit, repaired rows) after one edit; null where there is none."""
+    return f"CASE WHEN {state} IS NOT NULL AND {when} THEN struct_pack(c := {state}.c + {cost}, a := {state}.a || '{letter}', t := {state}.t || {put}) END"
+
+
+def _least(*states: str) -> str:
+    return f"list_min([{', '.join(states)}])"
+
+
+_USER, _ASSISTANT, _ROW = "chr(10) || 'user:'", "chr(10) || 'assistant:'", "chr(10) || role || ':' || text"
+_CLOSED = f"""SELECT *, {_least("k2", _edit("s3", "2", "I", _USER))} AS q2, {_least("s3", _edit("k2", "2", "I", _ASSISTANT))} AS q3 FROM (
+    SELECT *, {_least("s2", _edit("s0", "2", "I", _USER), _edit("s1", "2", "I", _USER))} AS k2 FROM {{rows}})"""
+_TO_USER = [e for q in ("s0", "s1", "q3") for e in (_edit(q, "late", "K", _ROW, "stays AND letter = 'u'"), _edit(q, "2 + late", "R", f"{_USER} || text", "stays"))]
+_TO_ASSISTANT = [_edit("q2", "late", "K", _ROW, "stays AND letter = 'a'"), _edit("q2", "2 + late", "R", f"{_ASSISTANT} || text", "stays")]
+REPAIR_SQL = rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, dense_rank() OVER (ORDER BY conv_id) AS conv,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT) AS key FROM conversations),
+coded AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, key), lambda crc, b:
+    list_reduce(list_prepend(xor(crc, b), [1::BIGINT, 2, 3, 4, 5, 6, 7, 8]), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) % 20 AS fault FROM raw),
+damaged AS (
+  SELECT conv, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) FROM coded WHERE fault <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS p,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, left(role, 1) AS letter FROM damaged),
+faulty AS MATERIALIZED (
+  SELECT *, body = '' AS blank, body <> '' AND row_number() OVER (PARTITION BY conv, role, text ORDER BY p) > 1 AS duplicate, right(body, 1) NOT IN ('.', '!', '?') AS open,
+    p > 1 AND lag(letter) OVER (PARTITION BY conv ORDER BY p) || letter NOT IN ('su', 'ua', 'au') AS illegal FROM placed),
+rows_of AS MATERIALIZED (SELECT conv, p, role, text, letter, NOT blank AND NOT duplicate AS stays, open::INTEGER AS late FROM faulty),
+steps AS (
+  SELECT conv, 0::BIGINT AS done, struct_pack(c := 0, a := '', t := '') AS s0, NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR) AS s1, NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR) AS s2, NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR) AS s3
+  FROM (SELECT DISTINCT conv FROM raw)
+  UNION ALL
+  SELECT conv, done + 1, {_edit("s0", "3", "D")}, {_least(_edit("s1", "3", "D"), _edit("s0", "late", "K", _ROW, "stays AND letter = 's'"))},
+    {_least(_edit("q2", "3", "D"), *_TO_USER)}, {_least(_edit("q3", "3", "D"), *_TO_ASSISTANT)}
+  FROM ({_CLOSED.format(rows="(SELECT s.*, role, text, letter, stays, late FROM steps s JOIN rows_of r ON r.conv = s.conv AND r.p = s.done + 1)")})),
+last AS (SELECT * FROM steps WHERE done = (SELECT count(*) FROM rows_of r WHERE r.conv = steps.conv)),
+best AS (SELECT conv, {_least("s0", "q3")} AS b FROM ({_CLOSED.format(rows="last")})),
+counted AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(duplicate) AS duplicate,
+    count_if(open AND NOT blank AND NOT duplicate) AS truncated, count_if(illegal) AS illegal FROM faulty GROUP BY conv)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, b.c::BIGINT AS cost, b.a AS audit, sha256(b.t[2:]) AS repaired_sha256
+FROM (SELECT DISTINCT conv, conv_id FROM raw) JOIN best USING (conv) LEFT JOIN counted USING (conv)
+"""
+
 _NEAREST = """(SELECT r, min(struct_pack(d := list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT, c := n)) AS best FROM vectors, {of} GROUP BY r)"""
 _ROUND = """m{i} AS MATERIALIZED (
   SELECT n, coalesce(list(floor_mean ORDER BY place), any_value(c)) AS c FROM {of} LEFT JOIN (
@@ -166,4 +222,4 @@ SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, (sum(best.d) OVER
 FROM vectors JOIN {_NEAREST.format(of="m5")} USING (r) JOIN m5 ON m5.n = best.c"""
 )
 
-ORACLE: dict[str, str] = {"op3_quality": QUALITY_SQL, "op9_warc": WARC_SQL, "op10_line_dedup": LINES_SQL, "op13_centroids": CENTROIDS_SQL}
+ORACLE: dict[str, str] = {"op3_quality": QUALITY_SQL, "op9_warc": WARC_SQL, "op10_line_dedup": LINES_SQL, "op11_repair": REPAIR_SQL, "op13_centroids": CENTROIDS_SQL}
