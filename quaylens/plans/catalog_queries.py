@@ -12,7 +12,6 @@ from quaylens.functions import urls
 from quaylens.functions.money import to_riyal
 from quaylens.operators import audit as au
 from quaylens.operators import catalog as cat
-from quaylens.operators import groups
 from quaylens.operators import matching as mt
 from quaylens.operators import pages as pg
 from quaylens.plans.registry import query
@@ -416,12 +415,7 @@ def capacity(spark: SparkSession, d: str) -> DataFrame:
     return offers(spark, d).select("offer_id", tx.capacity_gb(F.col("title")).alias("capacity"), tx.joined_units(tx.plain_text(F.col("storage"))).alias("joined"))
 
 
-# groups and streams
-
-@query("q_comparable_groups")
-def comparable_groups(spark: SparkSession, d: str) -> DataFrame:
-    return groups.comparable(offers(spark, d))
-
+# streams
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema

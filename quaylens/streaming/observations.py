@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaylens.operators.reliability import COOLDOWN_AFTER, COOLDOWN_MOST, COOLDOWN_SECONDS, FRESH_SHARE
+from quaylens.sources.storage import shared_root
 
 
 def not_ahead(stream: DataFrame, seconds: int = 60) -> DataFrame:
@@ -52,16 +52,6 @@ def source_state(stream: DataFrame) -> DataFrame:
     return stream.groupBy("source_id").applyInPandasWithState(step, out, kept, "update", "NoTimeout")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only in a local session that names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="spark-stream-")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
-
-
 def run_available(result: DataFrame, mode: str, root: str | None = None) -> DataFrame:
     """Runs a stream over what is there now, into files of the shared folder, and reads them back.
 
