@@ -156,3 +156,51 @@ def resolve(candidates: DataFrame, rates: DataFrame, now: str) -> DataFrame:
     priced = preferred(candidates, "price", now).select("product_id", "candidate_id", "strategy", "price", "currency", "availability")
     fields = reconcile(candidates, ["name", "brand"], now).groupBy("product_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in ("name", "brand")])
     return to_riyal(priced.join(fields, "product_id", "left"), rates, "price").where("price_sar is not null")
+
+
+#: How many seconds older or newer than an offer its evidence may be.
+EVIDENCE_BEFORE, EVIDENCE_AHEAD = 300, 60
+
+
+def newest_in_time(offers: DataFrame, evidence: DataFrame, key: str, at: str, before: int = EVIDENCE_BEFORE, ahead: int = EVIDENCE_AHEAD) -> DataFrame:
+    """`offers` with `found`: the newest evidence of their key, at most `before` seconds older and `ahead` seconds newer, both edges included; null without one.
+
+    evidence: key, found_at, evidence_id and whatever else. Time is cut into buckets as wide as the window; a row of evidence is in
+    its own and in the next, an offer looks in the bucket of its window's end. Within a key and bucket all rows go in order of time, so
+    nothing is paired that isn't in the result, and a key with very many rows is many buckets. Equal times go to the largest evidence_id.
+    """
+    width = F.lit((before + ahead) * 1_000_000)
+    fields = [c for c in evidence.columns if c != key]
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    known = F.col(key).isNotNull() & F.col(at).isNotNull()
+    end = micros(at) + F.lit(ahead * 1_000_000)
+    asked = offers.where(known).select(F.col(key).alias("_key"), F.floor(end / width).alias("_bucket"), end.alias("_time"), F.lit(1).alias("_side"), F.struct(*offers.columns).alias("_offer"))
+    told = evidence.where(F.col(key).isNotNull() & F.col("found_at").isNotNull()).select(F.col(key).alias("_key"), micros("found_at").alias("_time"), F.lit(0).alias("_side"), F.struct(*fields).alias("_found"))
+    own = F.floor(F.col("_time") / width)
+    told = told.withColumn("_bucket", F.explode(F.array(own, own + 1)))
+    so_far = Window.partitionBy("_key", "_bucket").orderBy("_time", "_side", F.col("_found.evidence_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = asked.unionByName(told, allowMissingColumns=True).withColumn("_last", F.last("_found", ignorenulls=True).over(so_far)).where("_side = 1")
+    inside = F.unix_micros(F.col("_last.found_at").cast("timestamp")) >= F.col("_time") - width
+    found = both.select("_offer.*", F.when(inside, F.col("_last")).alias("found"))
+    return found.unionByName(offers.where(~known).withColumn("found", F.lit(None).cast(found.schema["found"].dataType)))
+
+
+def admit_evidence(joined: DataFrame, key: str, price: str) -> DataFrame:
+    """Adds `reason` (admitted, or why not) and final_price: the evidence's price where it is admitted, else the offer's own.
+
+    joined: an offer's sku, brand and model beside `found` with those, price and currency. What either side doesn't state is no conflict, but for a
+    missing price. A price beyond half to twice the known one needs a review.
+    """
+    f = lambda c: F.col(f"found.{c}")
+    differs = lambda c: F.coalesce(plain_text(F.col(c)) != plain_text(f(c)), F.lit(False))
+    fair = F.col(price) > 0
+    reason = (
+        F.when(F.col("found").isNull(), "no_evidence")
+        .when(~f("sku").eqNullSafe(F.col(key)) & f("sku").isNotNull(), "sku_mismatch")
+        .when(f("price").isNull() | F.isnan(f("price")) | ~(f("price") > 0) | ~f("currency").eqNullSafe("SAR"), "price_invalid")
+        .when(differs("brand") | differs("model"), "variant_conflict")
+        .when(~F.coalesce(fair, F.lit(False)) | (f("price") < F.col(price) * 0.5) | (f("price") > F.col(price) * 2), "price_review")
+        .otherwise("admitted")
+    )
+    out = joined.withColumn("reason", reason)
+    return out.withColumn("final_price", F.when(F.col("reason") == "admitted", f("price")).otherwise(F.col(price)))

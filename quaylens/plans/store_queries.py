@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaylens.operators import evidence as ev
 from quaylens.operators import groups
+from quaylens.operators import quotes as qt
 from quaylens.operators.inverted import OfferIndex
 from quaylens.plans.registry import query
 from quaylens.schema import OFFERS_NOW
 from quaylens.sources.storage import work_folder
-from quaylens.sources.views import OFFERS_SQL, offers
+from quaylens.sources.views import OFFERS_SQL, offers, table
 
 INDEX_QUERY, INDEX_SECONDS, INDEX_LIMIT = "red widget 128gb", 2000 * 86400.0, 40
 _WORDS = [f"list_contains(w, '{t}')" for t in INDEX_QUERY.split()]
@@ -51,3 +53,75 @@ def index_incremental(spark: SparkSession, d: str) -> DataFrame:
 def comparable_groups(spark: SparkSession, d: str) -> DataFrame:
     stated = F.expr("map('Material', element_at(split(title, ' '), 3), 'Pack', case when delivery_days % 3 = 0 then 'pack of 2' end)")
     return groups.comparable(offers(spark, d).withColumn("extra_specs", stated))
+
+
+# evidence in time: an event as an offer, and evidence shifted around its time, on and beyond both edges
+
+_SHIFT = "case event_id % 6 when 0 then -300 when 1 then 60 when 2 then -301 when 3 then 61 when 4 then -10 else 0 end"
+_FOUND = {
+    "sku": "concat('S', user_id)",
+    "model": "concat('m', (user_id + event_id % 11 % 2) % 3)",
+    "price": "case when event_id % 13 = 0 then null when event_id % 5 = 0 then value * 3 else value end",
+    "currency": "case when event_id % 7 = 0 then 'USD' else 'SAR' end",
+    "evidence_id": "event_id",
+}
+
+
+@query(
+    "q_enrich_in_time",
+    f"""WITH o AS (SELECT event_id, concat('S', user_id) AS sku, concat('m', user_id % 3) AS model, value AS product_price, ts + INTERVAL 60 SECOND AS x FROM events WHERE event_type IN ('view', 'click')),
+    e AS (SELECT {', '.join(f'{c} AS {n}' for n, c in _FOUND.items())}, ts + ({_SHIFT}) * INTERVAL 1 SECOND AS t FROM events),
+    n AS (SELECT sku, t, arg_max(struct_pack(model := model, price := price, currency := currency, id := evidence_id), evidence_id) AS f FROM e GROUP BY sku, t),
+    j AS (SELECT o.*, CASE WHEN n.t >= o.x - INTERVAL 360 SECOND THEN n.f END AS f FROM o ASOF LEFT JOIN n ON o.sku = n.sku AND o.x >= n.t),
+    r AS (SELECT *, CASE WHEN f IS NULL THEN 'no_evidence' WHEN f.price IS NULL OR NOT f.price > 0 OR f.currency <> 'SAR' THEN 'price_invalid' WHEN f.model <> model THEN 'variant_conflict'
+      WHEN NOT coalesce(product_price > 0, false) OR f.price < product_price * 0.5e0 OR f.price > product_price * 2 THEN 'price_review' ELSE 'admitted' END AS reason FROM j)
+    SELECT event_id, f.id AS evidence_id, reason, CASE WHEN reason = 'admitted' THEN f.price ELSE product_price END AS final_price FROM r""",
+)
+def enrich_in_time(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events")
+    asked = events.where("event_type in ('view', 'click')").selectExpr("event_id", "concat('S', user_id) AS sku", "cast(null AS string) AS brand", "concat('m', user_id % 3) AS model", "value AS product_price", "ts")
+    told = events.selectExpr(*[f"{c} AS {n}" for n, c in _FOUND.items()], "cast(null AS string) AS brand", f"ts + make_interval(0, 0, 0, 0, 0, 0, {_SHIFT}) AS found_at")
+    told = told.withColumn("key", F.col("sku"))
+    joined = ev.newest_in_time(asked.withColumn("key", F.col("sku")), told, "key", "ts")
+    return ev.admit_evidence(joined, "key", "product_price").select("event_id", F.col("found.evidence_id").alias("evidence_id"), "reason", "final_price")
+
+
+# quotes: events as commands, some of which come twice
+
+_COMMANDS = {
+    "quote_id": "concat('q', user_id)",
+    "command_id": "concat('c', lpad(cast(event_id as varchar(20)), 12, '0'))",
+    "at": "ts",
+    "kind": "case event_type when 'signup' then 'request' when 'view' then 'quote' when 'error' then 'quote' else 'decide' end",
+    "payload": "case when event_type = 'signup' then concat('p', event_id % 2) end",
+    "price": "cast(floor(value * 100) as bigint)",
+    "eta_days": "k",
+    "valid_seconds": "k * 1000",
+    "terms": "case when event_id % 23 = 0 then ' ' else 'net 30' end",
+    "expected_revision": "case event_type when 'view' then null when 'error' then event_id % 5 when 'signup' then null else event_id % 4 end",
+    "decision": "case event_type when 'purchase' then 'accepted' when 'click' then 'declined' end",
+}
+_SOUND = "price BETWEEN 1 AND 999999999 AND eta_days BETWEEN 0 AND 90 AND valid_seconds BETWEEN 60 AND 2592000 AND trim(terms) <> ''"
+_QUOTES_SQL = f"""WITH RECURSIVE e AS (SELECT *, cast(json_extract(props, '$.k') as bigint) AS k FROM events), c AS (SELECT {', '.join(f'{c} AS "{n}"' for n, c in _COMMANDS.items())} FROM e),
+n AS (SELECT *, row_number() OVER (PARTITION BY quote_id ORDER BY "at", command_id) AS i FROM c),
+s AS (SELECT DISTINCT quote_id, 0::BIGINT AS i, NULL::VARCHAR AS status, NULL::VARCHAR AS held, 0::BIGINT AS revision, NULL::TIMESTAMP AS valid_until, NULL::VARCHAR AS command_id, NULL::VARCHAR AS outcome FROM n
+  UNION ALL SELECT quote_id, i, CASE outcome WHEN 'requested' THEN 'requested' WHEN 'quoted' THEN 'quoted' WHEN 'accepted' THEN 'accepted' WHEN 'declined' THEN 'declined' ELSE status END, CASE WHEN outcome = 'requested' THEN payload ELSE held END,
+    CASE WHEN outcome = 'quoted' THEN revision + 1 ELSE revision END, CASE WHEN outcome = 'quoted' THEN "at" + valid_seconds * INTERVAL 1 SECOND ELSE valid_until END, command_id, outcome
+  FROM (SELECT n.quote_id, n.i, s.status, s.held, s.revision, s.valid_until, n.command_id, n.payload, n."at", n.valid_seconds, CASE
+    WHEN kind = 'request' THEN CASE WHEN status IS NULL THEN 'requested' WHEN payload = held THEN 'replayed' ELSE 'payload_conflict' END
+    WHEN kind = 'quote' THEN CASE WHEN NOT ({_SOUND}) THEN 'invalid_quote' WHEN coalesce(status, '') NOT IN ('requested', 'quoted') OR coalesce(expected_revision, revision) <> revision THEN 'not_mutable' ELSE 'quoted' END
+    ELSE CASE WHEN status IS NULL THEN 'not_found' WHEN status <> 'quoted' OR expected_revision <> revision OR valid_until <= "at" THEN 'expired_or_changed' ELSE decision END END AS outcome
+    FROM s JOIN n ON n.quote_id = s.quote_id AND n.i = s.i + 1))
+SELECT quote_id, command_id, outcome, status, revision::INT AS revision FROM s WHERE i > 0 UNION ALL SELECT quote_id, command_id, 'repeated', status, revision::INT FROM s WHERE i > 0 AND cast(command_id[2:] AS BIGINT) % 7 = 0"""
+
+
+def quote_commands(spark: SparkSession, d: str) -> DataFrame:
+    """Every event a command; each seventh comes twice."""
+    rows = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    commands = rows.selectExpr(*[f"{c} AS {n}" for n, c in _COMMANDS.items()], "explode(case when event_id % 7 = 0 then array(1, 2) else array(1) end) AS time")
+    return commands.drop("time").withColumn("at", F.col("at").cast("timestamp"))
+
+
+@query("q_quote_fold", _QUOTES_SQL)
+def quote_fold(spark: SparkSession, d: str) -> DataFrame:
+    return qt.outcomes(quote_commands(spark, d)).select("quote_id", "command_id", "outcome", "status", "revision")
