@@ -106,20 +106,26 @@ def folded_text(values: pd.Series) -> pd.Series:
     return values.map(lambda v: " ".join(re.findall(r"\w+", unicodedata.normalize("NFKC", v or "").casefold())))
 
 
+def common_length(a: str, b: str) -> int:
+    """The length of the longest common subsequence, a column of the table at a time: each bit of `open_` stands for a character of `a` that adds nothing yet."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every = open_ = (1 << len(a)) - 1
+    for y in b:
+        if (here := places.get(y)) is not None:
+            taken = open_ & here
+            open_ = ((open_ + taken) | (open_ - taken)) & every
+    return len(a) - open_.bit_count()
+
+
 @F.pandas_udf(DoubleType())
 def fuzzy_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """How alike two texts are, from 0 to 100: twice their longest common subsequence over both lengths. Two empty texts are alike."""
 
     def one(a: str | None, b: str | None) -> float:
         a, b = a or "", b or ""
-        if not a and not b:
-            return 100.0
-        row = [0] * (len(b) + 1)
-        for x in a:
-            held = 0
-            for j, y in enumerate(b):
-                held, row[j + 1] = row[j + 1], (held + 1 if x == y else max(row[j + 1], row[j]))
-        return 200.0 * row[-1] / (len(a) + len(b))
+        return 200.0 * common_length(a, b) / (len(a) + len(b)) if a or b else 100.0
 
     return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
 

@@ -78,3 +78,20 @@ def next_sample_size(tested: Column, consistent: Column) -> Column:
 def repeatability(runs: DataFrame, by: str, value: str) -> DataFrame:
     spread = (F.max(value) - F.min(value)) / F.avg(value)
     return runs.groupBy(by).agg(F.count("*").alias("runs"), spread.alias("spread")).withColumn("repeatable", F.col("spread") <= 0.15)
+
+
+def matrix(calls: DataFrame, sets: list[list[str]]) -> DataFrame:
+    """calls, passed, total_ms, slowest_ms for each cell of each set of columns (the empty set: over all), in one aggregation; columns that a set lacks are null.
+
+    Each task adds up its rows for each set before anything is shuffled.
+    """
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    ms = F.floor("latency_ms").cast("long")
+    grouped = calls.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns])
+    return grouped.agg(F.count("*").alias("calls"), F.count_if("transport_ok").alias("passed"), F.sum(ms).alias("total_ms"), F.max(ms).alias("slowest_ms")).select(*columns, "calls", "passed", "total_ms", "slowest_ms")
+
+
+def slowest(calls: DataFrame, by: list[str], most: int = 10) -> DataFrame:
+    """The slowest calls of each group with their place; each task keeps its own `most` before the shuffle."""
+    order = Window.partitionBy(*by).orderBy(F.col("latency_ms").desc_nulls_last(), "event_id")
+    return calls.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)

@@ -118,10 +118,11 @@ def recall_evidence(hits: DataFrame, by: list[str], reason: Column) -> DataFrame
 
 
 def windowed(hits: DataFrame, by: list[str], order: list[Column], windows: tuple[tuple[int, int], ...]) -> DataFrame:
-    """The hits within the windows of a recall plan, with the depth of each."""
-    i = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    depth = F.coalesce(*[F.when((F.col("_i") >= at) & (F.col("_i") < at + n), F.lit(d)) for d, (at, n) in enumerate(windows)])
-    return hits.withColumn("_i", i).withColumn("depth", depth).where("depth is not null").drop("_i")
+    """The hits within the windows of a recall plan, with the depth of each. Spark keeps a task's first rows only, since the last window's end is a limit."""
+    i = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    depth = F.coalesce(*[F.when((F.col("_i") > at) & (F.col("_i") <= at + n), F.lit(d)) for d, (at, n) in enumerate(windows)])
+    first = hits.withColumn("_i", i).where(F.col("_i") <= max(at + n for at, n in windows))
+    return first.withColumn("depth", depth).where("depth is not null").drop("_i")
 
 
 def catalog_text(html: Column) -> dict[str, Column]:

@@ -194,13 +194,13 @@ def price_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "q_revision_outcomes",
-    """WITH o AS (SELECT event_id, user_id % 20 AS product_id, date_trunc('hour', ts) - INTERVAL 1 HOUR * (event_id % 5) AS observed_at, floor(value / 50) AS price FROM events),
+    """WITH o AS (SELECT event_id, user_id AS product_id, date_trunc('hour', ts) - INTERVAL 1 HOUR * (event_id % 5) AS observed_at, floor(value / 50) AS price FROM events),
     n AS (SELECT *, max(observed_at) OVER w AS newest, max(struct_pack(t := observed_at, n := -event_id, p := price)) OVER w AS held FROM o WINDOW w AS (PARTITION BY product_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     x AS (SELECT *, CASE WHEN newest IS NULL OR observed_at > newest THEN 'accepted' WHEN observed_at < newest THEN 'rejected_older' WHEN held.p IS NOT DISTINCT FROM price THEN 'duplicate' ELSE 'equal_time_conflict' END AS outcome FROM n)
     SELECT event_id, outcome, sum(CASE WHEN outcome = 'accepted' THEN 1 ELSE 0 END) OVER (PARTITION BY product_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS revision FROM x""",
 )
 def revision_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "events").select("event_id", (F.col("user_id") % 20).alias("product_id"), (F.date_trunc("hour", F.col("ts").cast("timestamp")) - F.make_interval(hours=(F.col("event_id") % 5).cast("int"))).alias("observed_at"), F.floor(F.col("value") / 50).alias("price"))
+    o = table(spark, d, "events").select("event_id", F.col("user_id").alias("product_id"), (F.date_trunc("hour", F.col("ts").cast("timestamp")) - F.make_interval(hours=(F.col("event_id") % 5).cast("int"))).alias("observed_at"), F.floor(F.col("value") / 50).alias("price"))
     return rel.revisions(o, "product_id").select("event_id", "outcome", "revision")
 
 

@@ -279,9 +279,8 @@ _NEAR = [("ring", "widget"), ("bolt", "gear"), ("gear", "bolt")]
 def route_sources(spark: SparkSession, d: str) -> DataFrame:
     """Each region's stores for a query of each category there."""
     t = lambda n: table(spark, d, n)
-    kinds = t("part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("category")).distinct().groupBy().agg(F.collect_set("category").alias("kinds"))  # the categories are a few words
-    wanted = [r for r in kinds.first().kinds]
-    asked = t("region").select("r_regionkey", "r_name", F.explode(F.array(*[F.lit(w) for w in wanted])).alias("category"))
+    kinds = t("part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("category")).groupBy(F.lit(1).alias("one")).agg(F.collect_set("category").alias("kinds"))  # the categories are a few words
+    asked = t("region").withColumn("one", F.lit(1)).join(kinds, "one").select("r_regionkey", "r_name", F.explode("kinds").alias("category"))
     store = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).selectExpr("n_regionkey", "s_suppkey", "concat('s', s_suppkey) AS store_id", "case when s_suppkey % 4 = 0 then 'SA' when s_suppkey % 4 = 1 then 'AE' else 'US' end AS country", "array(case s_suppkey % 5 when 0 then '*' when 1 then 'ring' when 2 then 'gear' when 3 then 'widget' else 'bolt' end) AS categories", "case when s_suppkey % 9 = 0 then array('best', 'acme') else array('acme') end AS brands", "s_suppkey % 10 = 0 AS general")
     rows = store.join(asked, F.col("n_regionkey") == F.col("r_regionkey")).withColumn("query_id", F.concat("r_name", F.lit("/"), "category")).withColumn("q", F.concat(F.lit("best "), "category"))
     near = spark.createDataFrame(_NEAR, "category string, near string")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quaylens.functions import text as tx
 from quaylens.functions.money import comparable_total, half_up, parse_money, strict_price, to_riyal
+from quaylens.operators import coverage as cov
 from quaylens.operators import offers as op
+from quaylens.operators.ranks import ranked
 from quaylens.plans.registry import query
 from quaylens.sources.views import OFFERS_SQL, offers, table
 
@@ -207,7 +209,8 @@ def lanes(spark: SparkSession, d: str) -> DataFrame:
     sold = F.col("title").contains("bolt") | F.col("title").contains("gear")
     lane = F.when(sold, "accessory").when((F.col("match_confidence") >= 0.92) & F.col("exact_match"), "direct").when(F.col("match_confidence") >= 0.35, "alternative").otherwise("other")
     out = op.enrich(offers(spark, d)).withColumn("lane", lane)
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("market", "lane").orderBy(*op.rank_order()))).select("offer_id", "lane", "place")
+    needed = ["market", "lane", "offer_id", "bucket", "total_sar", "product_price", "match_confidence"]
+    return ranked(out.select(*needed), ["market", "lane"], op.rank_order()).select("offer_id", "lane", "place")
 
 
 @query(
@@ -241,8 +244,7 @@ def result_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_page_plan", f"{OFFERS_SQL}, r AS (SELECT category, offer_id, row_number() OVER (PARTITION BY category ORDER BY match_confidence DESC, offer_id) - 1 AS i FROM offers) SELECT category, offer_id, CASE WHEN i < 80 THEN 0 WHEN i < 500 THEN 1 ELSE 2 END AS depth FROM r WHERE i < 1000")
 def page_plan(spark: SparkSession, d: str) -> DataFrame:
-    i = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("match_confidence"), "offer_id")) - 1
-    return offers(spark, d).withColumn("i", i).where("i < 1000").select("category", "offer_id", F.when(F.col("i") < 80, 0).when(F.col("i") < 500, 1).otherwise(2).alias("depth"))
+    return cov.windowed(offers(spark, d), ["category"], [F.desc("match_confidence"), F.asc("offer_id")], ((0, 80), (80, 420), (500, 500))).select("category", "offer_id", "depth")
 
 
 @query("q_keyset_page", "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE (o_orderdate, o_orderkey) < (TIMESTAMP '1998-01-01 00:00:00', 1000) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 51")

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaylens.operators import audit as au
 from quaylens.operators import evidence as ev
 from quaylens.operators import groups
 from quaylens.operators import quotes as qt
 from quaylens.operators.inverted import OfferIndex
+from quaylens.plans.catalog_queries import _SOLD_SQL, _sold
 from quaylens.plans.registry import query
 from quaylens.schema import OFFERS_NOW
+from quaylens.sources import nested
 from quaylens.sources.storage import work_folder
-from quaylens.sources.views import OFFERS_SQL, offers, table
+from quaylens.sources.views import OBSERVATIONS_SQL, OFFERS_SQL, observations, offers, table
 
 INDEX_QUERY, INDEX_SECONDS, INDEX_LIMIT = "red widget 128gb", 2000 * 86400.0, 40
 _WORDS = [f"list_contains(w, '{t}')" for t in INDEX_QUERY.split()]
@@ -125,3 +128,33 @@ def quote_commands(spark: SparkSession, d: str) -> DataFrame:
 @query("q_quote_fold", _QUOTES_SQL)
 def quote_fold(spark: SparkSession, d: str) -> DataFrame:
     return qt.outcomes(quote_commands(spark, d)).select("quote_id", "command_id", "outcome", "status", "revision")
+
+
+# payloads whose cards lie at any depth
+
+@query("q_source_nested_cards", f"{_SOLD_SQL}, x AS (SELECT *, unnest(CASE WHEN p_partkey % 4 = 0 THEN [1, 2] ELSE [1] END) AS o FROM v) SELECT s_name AS source_id, concat_ws('|', p_partkey, o, s_name, concat(CAST(price AS BIGINT), '.00')) AS listing_id, p_name AS title, price, CASE WHEN p_partkey % 3 = 0 THEN 'out_of_stock' ELSE 'in_stock' END AS availability FROM x")
+def source_nested_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Cards in the payload's list, in a slot of a widget, and in rows of a grid; some twice, some with the price in a part, some without a product."""
+    own = "'productId', cast(p_partkey as string), 'offerId', '{0}', 'shopName', s_name, 'productName', p_name, 'sellingPrice', case when p_partkey % 2 = 0 then floor(p_retailprice) end, 'stock', named_struct('stockLevelStatus', case when p_partkey % 3 = 0 then 'outOfStock' else 'lowStock' end)"
+    parts = "array(named_struct('componentDTO', named_struct('priceDTO', named_struct('finalPrice', floor(p_retailprice)))))"
+    card = f"to_json(named_struct('uid', 'master-product-card', 'componentDTO', named_struct('additionalAttributes', named_struct({own}), 'productCardComponents', {parts})))"
+    banner = """'{"uid":"banner","componentDTO":{"additionalAttributes":{"productName":"x"}}}'"""
+    cards = f"concat_ws(',', {card.format(1)}, {banner}, case when p_partkey % 4 = 0 then {card.format(2)} else {card.format(1)} end)"
+    item = f"case p_partkey % 3 when 0 then {cards} when 1 then concat('{{\"widget\":{{\"slot\":[', {cards}, ']}}}}') else concat('{{\"grid\":[{{\"row\":[[', {cards}, ']]}}]}}') end"
+    return nested.product_cards(_sold(spark, d, item, "concat('{\"rows\":[', array_join(l, ','), ']}')")).select("source_id", "listing_id", "title", "price", "availability")
+
+
+# audits by round, source and kind
+
+_CELLS = "count(*) AS calls, count(*) FILTER (transport_ok) AS passed, sum(cast(floor(latency_ms) as bigint))::BIGINT AS total_ms, max(cast(floor(latency_ms) as bigint)) AS slowest_ms"
+
+
+@query("q_audit_rollup", f"{OBSERVATIONS_SQL}, r AS (SELECT *, date_diff('day', DATE '2024-01-01', cast(observed_at as date)) // 10 AS round FROM observations) SELECT round, source_id, kind, {_CELLS} FROM r GROUP BY GROUPING SETS ((round, source_id, kind), (round, source_id), (round, kind), (source_id), (round), ())")
+def audit_rollup(spark: SparkSession, d: str) -> DataFrame:
+    o = observations(spark, d).withColumn("round", F.floor(F.datediff("observed_at", F.lit("2024-01-01")) / 10))
+    return au.matrix(o, [["round", "source_id", "kind"], ["round", "source_id"], ["round", "kind"], ["source_id"], ["round"], []])
+
+
+@query("q_slowest_calls", f"{OBSERVATIONS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY latency_ms DESC NULLS LAST, event_id) AS place FROM observations) SELECT kind, place::INT AS place, source_id, event_id, latency_ms FROM r WHERE place <= 10")
+def slowest_calls(spark: SparkSession, d: str) -> DataFrame:
+    return au.slowest(observations(spark, d), ["kind"]).select("kind", "place", "source_id", "event_id", "latency_ms")
