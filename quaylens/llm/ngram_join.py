@@ -382,6 +382,8 @@ def keep_one(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
     if rows > ids:
         named, unnamed = out.where("doc_id is not null"), out.where("doc_id is null")
         best = fresh("best", docs)
-        one = F.min(F.struct(F.col("text"), *[c for c in docs.columns if c not in ("doc_id", "text")])).alias(best)
+        # maps and variants have no order of their own; their text has
+        told = [F.to_json(F.struct(F.col(c))) if "map<" in kind or "variant" in kind else F.col(c) for c, kind in docs.dtypes if c not in ("doc_id", "text")]
+        one = F.min_by(F.struct(*[c for c in docs.columns if c != "doc_id"]), F.struct(F.col("text"), *told)).alias(best)
         out = named.groupBy("doc_id").agg(one).select("doc_id", f"{best}.*").select(*docs.columns).unionByName(unnamed)
     return out.select(*docs.columns)

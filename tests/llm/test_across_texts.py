@@ -396,3 +396,11 @@ def test_every_query_runs_on_whole_tables(spark, data):  # noqa: ANN001
     n = spark.read.parquet(f"{data}/documents.parquet").count()
     assert QUERIES["op3_quality"](spark, data).count() == QUERIES["op10_line_dedup"](spark, data).count() == n
     assert QUERIES["op1_toxicity"](spark, data).agg(F.countDistinct("doc_id")).first()[0] == n
+
+
+def test_near_copies_with_maps_and_repeated_ids(spark):  # noqa: ANN001
+    rows = [(1, "b", {"x": 1}), (1, "a", {"y": 2}), (1, "a", {"x": 3}), (2, "other", None), (None, "a", {}), (None, "a", {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>")
+    got = ngram_join.keep_one(docs).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "a"), (0, "a"), (1, "a"), (2, "other")]
+    assert [r.more for r in got if r.doc_id == 1] == [{"x": 3}]
