@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quaylens.operators import audit as au
 from quaylens.operators import evidence as ev
+from quaylens.operators import extraction as ex
 from quaylens.operators import groups
 from quaylens.operators import quotes as qt
 from quaylens.operators.inverted import OfferIndex
@@ -158,3 +159,39 @@ def audit_rollup(spark: SparkSession, d: str) -> DataFrame:
 @query("q_slowest_calls", f"{OBSERVATIONS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY latency_ms DESC NULLS LAST, event_id) AS place FROM observations) SELECT kind, place::INT AS place, source_id, event_id, latency_ms FROM r WHERE place <= 10")
 def slowest_calls(spark: SparkSession, d: str) -> DataFrame:
     return au.slowest(observations(spark, d), ["kind"]).select("kind", "place", "source_id", "event_id", "latency_ms")
+
+
+# pages of parts, each of which one or two ways of extraction can read
+
+_PRODUCT = "named_struct('@type', 'Product', 'name', p_name, 'sku', {sku}, 'brand', named_struct('name', p_brand), 'offers', named_struct('@type', 'Offer', 'price', price, 'priceCurrency', 'SAR'))"
+_OWN = _PRODUCT.format(sku="concat('SKU', p_partkey)")
+_LD = """concat('<script type="application/ld+json">', to_json({}), '</script>')"""
+_META = """concat('<meta property="og:title" content="', p_name, '"><meta property="product:price:amount" content="', price, '">')"""
+_KINDS = [
+    _LD.format(_OWN),
+    """concat('<script type="application/json">', to_json(named_struct('list', array(named_struct('title', p_name, 'price', price, 'currency', 'SAR')))), '</script>')""",
+    """concat('<script id="__NEXT_DATA__">', to_json(named_struct('props', named_struct('item', named_struct('name', p_name, 'sellingPrice', price)))), '</script>')""",
+    """concat('<script id="ProductJson-x" type="application/json">', to_json(named_struct('title', p_name, 'variants', array(named_struct('sku', 'other', 'price', 1), named_struct('sku', concat('SKU', p_partkey), 'price', cast(price as int) * 100)))), '</script>')""",
+    _META,
+    """concat('<h1>', p_name, '</h1><p><b class="price">', price, '</b> SAR</p>')""",
+    _LD.format(f"array({_OWN}, {_PRODUCT.format(sku=repr('other'))})"),
+    f"concat({_LD.format(_OWN)}, {_META})",
+]
+_WAYS = ["jsonld", "embedded_json", "hydrated_state", "storefront_data", "meta", "visible_dom", "jsonld", "jsonld"]
+
+
+@query(
+    "q_page_candidates",
+    f"""WITH p AS (SELECT p_partkey AS page_id, p_partkey % 8 AS k, cast(cast(floor(p_retailprice) AS BIGINT) AS VARCHAR) AS price FROM part),
+    w AS (SELECT *, unnest(CASE WHEN k = 7 THEN ['jsonld', 'meta'] ELSE [({_WAYS!r})[k + 1]] END) AS strategy FROM p)
+    SELECT page_id, strategy, CASE WHEN k <> 6 THEN CASE WHEN k = 3 THEN price || '.00' ELSE price END END AS price, CASE WHEN k = 6 THEN 'several products' END AS refused,
+      CASE WHEN k <> 6 THEN CASE strategy WHEN 'jsonld' THEN 0.99e0 WHEN 'embedded_json' THEN 0.94e0 WHEN 'hydrated_state' THEN 0.9e0 WHEN 'storefront_data' THEN 0.92e0 WHEN 'meta' THEN 0.72e0 ELSE 0.6e0 END END AS confidence,
+      k <> 6 AND NOT (k = 7 AND strategy = 'meta') AS owns FROM w""",
+)
+def page_candidates(spark: SparkSession, d: str) -> DataFrame:
+    html = "case p_partkey % 8 " + " ".join(f"when {i} then {k}" for i, k in enumerate(_KINDS)) + " end"
+    parts = table(spark, d, "part").withColumn("price", F.floor("p_retailprice").cast("string"))
+    pages = parts.selectExpr("p_partkey AS page_id", f"{html} AS html", "case when p_partkey % 8 = 3 then concat('SKU', p_partkey) end AS expected_sku")
+    every = ex.page_candidates(pages)
+    owns = ex.owner(every).select("page_id", "strategy", F.lit(True).alias("owns"))
+    return every.join(owns, ["page_id", "strategy"], "left").select("page_id", "strategy", "price", "refused", "confidence", F.coalesce("owns", F.lit(False)).alias("owns"))
