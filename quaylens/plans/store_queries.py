@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaylens.operators import audit as au
@@ -11,11 +13,13 @@ from quaylens.operators import extraction as ex
 from quaylens.operators import groups
 from quaylens.operators import quotes as qt
 from quaylens.operators.inverted import OfferIndex
-from quaylens.plans.catalog_queries import _SOLD_SQL, _sold
+from quaylens.operators.selector import cascade
+from quaylens.operators.sweeps import Cursor, advance, reconcile_page
+from quaylens.plans.catalog_queries import _REV, _SOLD_SQL, _revisions, _sold
 from quaylens.plans.registry import query
 from quaylens.schema import OFFERS_NOW
 from quaylens.sources import nested
-from quaylens.sources.storage import work_folder
+from quaylens.sources.storage import work_folder, written
 from quaylens.sources.views import OBSERVATIONS_SQL, OFFERS_SQL, observations, offers, table
 
 INDEX_QUERY, INDEX_SECONDS, INDEX_LIMIT = "red widget 128gb", 2000 * 86400.0, 40
@@ -195,3 +199,52 @@ def page_candidates(spark: SparkSession, d: str) -> DataFrame:
     every = ex.page_candidates(pages)
     owns = ex.owner(every).select("page_id", "strategy", F.lit(True).alias("owns"))
     return every.join(owns, ["page_id", "strategy"], "left").select("page_id", "strategy", "price", "refused", "confidence", F.coalesce("owns", F.lit(False)).alias("owns"))
+
+
+# passes in pages
+
+_PAGES = 4
+
+
+@query("q_reconcile_pages", f"{_REV} SELECT c.key AS key, CASE WHEN i.key IS NULL OR i.revision <> c.revision THEN 'repair' ELSE 'keep' END AS action FROM c LEFT JOIN i ON c.key = i.key")
+def reconcile_pages(spark: SparkSession, d: str) -> DataFrame:
+    """All pages of a pass over the canonical table, each a quarter of it; each page is written, then the cursor."""
+    canonical, index = _revisions(spark, d)
+    folder = work_folder(spark, "reconcile")
+    cursor, size, pages = Cursor(spark, f"{folder}/cursor"), -(-canonical.count() // _PAGES) or 1, []
+    kind = canonical.schema["key"].dataType.simpleString()
+    ended = False
+    while not ended:
+        actions, last, upper = reconcile_page(canonical, index, "key", cursor, size)
+        pages.append(written(actions, f"{folder}/page-{len(pages)}"))
+        ended = advance(cursor, last, upper, kind)
+    return reduce(DataFrame.unionByName, pages)
+
+
+# the variant selector: a product is a category and brand, its groups are what is sold under one set of variants
+
+_DIMS = ("model", "storage", "condition", "color")
+_ENTRIES = "SELECT category, brand, coalesce(model_number, '') AS model, coalesce(storage, '') AS storage, condition, color, min(product_price) AS value, bool_or(exact_match) AS exact FROM offers WHERE currency = 'SAR' GROUP BY ALL"
+
+
+def _pick_sql() -> str:
+    steps, before = [], "placed"
+    for n, dim in enumerate(_DIMS):
+        asked = {"storage": "'128 GB'", "color": "'red'"}.get(dim, "NULL")
+        steps.append(f"""p{n} AS (SELECT *, CASE WHEN bool_or({dim} = {asked}) OVER w THEN {asked} WHEN bool_or({dim} = fall.{dim} AND {dim} <> '') OVER w THEN fall.{dim} ELSE (min(CASE WHEN {dim} <> '' THEN struct_pack(p := coalesce(value, 'infinity'::DOUBLE), k := {dim}) END) OVER w).k END AS picked_{dim} FROM {before} WINDOW w AS (PARTITION BY category, brand)),
+        f{n} AS (SELECT * FROM p{n} WHERE nullif({dim}, '') IS NOT DISTINCT FROM picked_{dim})""")
+        before = f"f{n}"
+    picked = ", ".join(f"picked_{dim}" for dim in _DIMS)
+    return f"""{OFFERS_SQL}, e AS ({_ENTRIES}), n AS (SELECT *, row_number() OVER (PARTITION BY category, brand ORDER BY value NULLS LAST, model, storage, condition, color) AS place FROM e),
+    placed AS (SELECT *, first_value(struct_pack(model := model, storage := storage, condition := condition, color := color)) OVER (PARTITION BY category, brand ORDER BY NOT (exact AND condition = 'new'), place) AS fall FROM n), {', '.join(steps)}
+    SELECT category, brand, {picked}, value FROM {before} QUALIFY row_number() OVER (PARTITION BY category, brand ORDER BY place) = 1"""
+
+
+@query("q_variant_cascade", _pick_sql())
+def variant_cascade(spark: SparkSession, d: str) -> DataFrame:
+    sold = offers(spark, d).where("currency = 'SAR'").withColumns({"model": F.coalesce("model_number", F.lit("")), "storage": F.coalesce("storage", F.lit(""))})
+    entries = sold.groupBy("category", "brand", *_DIMS).agg(F.min("product_price").alias("value"), F.bool_or("exact_match").alias("exact"))
+    order = Window.partitionBy("category", "brand").orderBy(F.col("value").asc_nulls_last(), *_DIMS)
+    asked = {"requested_storage": F.lit("128 GB"), "requested_color": F.lit("red")}
+    chosen, _ = cascade(entries.withColumn("place", F.row_number().over(order)).withColumns(asked), ["category", "brand"], _DIMS)
+    return chosen.select("category", "brand", *[f"picked_{c}" for c in _DIMS], "value")
