@@ -278,3 +278,28 @@ def ranking_metrics(ranked: DataFrame, by: str, relevant: int = 3, depth: int =
     first = F.min(F.when(hit & (F.col("place") <= depth), F.struct("place", "price")))
     out = ranked.groupBy(by).agg(first.alias("_f"), F.min(F.when(hit, F.col("price"))).alias("_low"))
     return out.select(by, F.coalesce(1.0 / F.col("_f.place"), F.lit(0.0)).alias("reciprocal_rank"), (F.col("_f.price") - F.col("_low")).alias("regret"))
+
+
+#: What a market's prices are in.
+MARKET_CURRENCY = {"KSA": "SAR", "SA": "SAR", "UAE": "AED", "AE": "AED", "KW": "KWD", "QA": "QAR", "BH": "BHD", "OM": "OMR"}
+
+
+def market_issues(market: Column, currency: Column, host: Column) -> Column:
+    """What is wrong with the market that a source states: market-missing, currency-missing, currency-market-mismatch, host-market-mismatch."""
+    m, c = F.upper(F.coalesce(market, F.lit(""))), F.upper(F.coalesce(currency, F.lit("")))
+    expected = F.coalesce(*[F.when(m == k, F.lit(v)) for k, v in MARKET_CURRENCY.items()])
+    hint = F.when(host.rlike(r"(?i)\.sa$"), "KSA").when(host.rlike(r"(?i)\.ae$"), "UAE")
+    return F.array_compact(F.array(F.when(m == "", "market-missing"), F.when(c == "", "currency-missing"), F.when((c != "") & (expected != c), "currency-market-mismatch"), F.when((m != "") & (hint != m), "host-market-mismatch")))
+
+
+def absent_from_sitemap(indexed: DataFrame, observed: DataFrame, url: str, complete: bool, most: int = 10_000) -> DataFrame:
+    """Indexed addresses that a source's complete sitemap lacks, to be looked at anew: nothing is removed, and nothing follows for a price.
+
+    A source whose sitemap wasn't read whole, or that has more than `most` entries on either side, says nothing. Both: source_id and the address.
+    """
+    if not complete:
+        return indexed.limit(0).select("source_id", url, F.lit("").alias("status"))
+    count = lambda df: df.groupBy("source_id").agg(F.count("*").alias("n"))
+    sound = count(observed).where(F.col("n") <= most).join(count(indexed).where(F.col("n") <= most), "source_id", "left_semi").select("source_id")
+    asked = indexed.where(F.col(url).isNotNull()).join(sound, "source_id", "left_semi")
+    return asked.join(observed.select("source_id", url).distinct(), ["source_id", url], "left_anti").select("source_id", url, F.lit("reverify").alias("status"))

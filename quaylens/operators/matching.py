@@ -25,36 +25,47 @@ CARRIERS = r"(?i)\(\s*(?:at\s*&\s*t|verizon|t[- ]mobile)\s*\)"
 CARRIER_ASKED = r"(?i)\bat\s*&\s*t\b|\bverizon\b|\bt[- ]mobile\b"
 LAPTOP_LINES = ("pavilion", "elitebook", "probook", "spectre", "envy", "omnibook", "victus", "omen", "latitude", "thinkpad", "ideapad", "zenbook", "vivobook", "macbook", "chromebook")
 LAPTOP_PARTS = ("intel", "amd", "ryzen", "core", "celeron", "pentium", "ram", "memory", "ssd", "windows", "processor")
-#: The words by which a text is of a category; the first category that has one is the text's.
-CATEGORY_WORDS: dict[str, str] = {
-    "accessory": r"mouse|keyboard|charger|cable|adapter|adaptor|cases?|covers?|protector|cartridge|toner|ink|controller|remote|gift card",
-    "laptop": r"laptops?|notebooks?|macbook|chromebook|zenbook|vivobook|thinkpad|ideapad|elitebook|probook|omnibook|spectre|envy|pavilion|inspiron|latitude|loq",
-    "printer": r"printers?|laserjet|deskjet|officejet|ecotank|smart tank",
-    "desktop": r"desktop|imac|mac mini|all in one|tower pc|optiplex|prodesk",
-    "phone": r"phones?|smartphone|iphone|galaxy s\d+|galaxy a\d+|galaxy z|pixel \d+",
-    "tablet": r"tablets?|ipad|galaxy tab|surface pro",
-    "tv": r"tv|television|bravia|oled tv|qled tv",
-    "monitor": r"monitors?|display screen",
-    "audio": r"headphones?|earphones?|earbuds?|airpods|headset|speaker|soundbar|walkman",
-    "jewelry": r"jewelry|jewellery|necklaces?|pendants?|bracelets?|bangles?|earrings?|rings?|brooch(?:es)?|charms?",
-    "watch": r"watch|smartwatch",
-    "camera": r"camera|dslr|mirrorless|eos",
-    "vacuum": r"vacuum|hoover|dyson v\d+",
-    "network": r"router|modem|wifi|wi fi|network switch",
-    "projector": r"projector",
-    "coffee": r"coffee|ground coffee|coffee beans",
-    "shoes": r"shoes?|sneakers?|boots?|sandals?|heels?|slippers?|loafers?",
-    "bag": r"bags?|handbags?|backpacks?|luggage|wallets?|purses?|totes?",
-    "perfume": r"perfumes?|fragrances?|eau de parfum|eau de toilette|eau de cologne|parfums?|edp|edt|cologne",
-    "furniture": r"furniture|sofas?|couches?|chairs?|tables?|desks?|beds?|wardrobes?|cabinets?",
-    "kitchen": r"kitchen|cookware|pans?|pots?|cutlery|tableware|air fryer|toaster|cooktop",
-    "sports": r"sports?|fitness|gym|running|football|soccer|basketball|cycling|camping|hiking",
-    "toy": r"toys?|dolls?|lego|building blocks|plush|kids game",
-    "baby": r"baby|infant|stroller|diaper|feeding bottle|car seat",
-    "book": r"books?|paperback|hardcover|kindle",
-    "grocery": r"grocery|groceries|snacks?|chocolate|tea|rice|pasta|cereal|spices?",
-    "tool": r"drill|saw|screwdriver|power tool",
-}
+#: The words by which a text is of a category; the first row that has one is the text's. One category has two rows.
+CATEGORY_WORDS: tuple[tuple[str, str], ...] = (
+    (
+        "accessory",
+        r"mouse|keyboard|charger|cable|adapter|adaptor|cases?|covers?|protector|cartridge|toner|ink|controller|dualsense|charging station|stick module|remote|gift card|hubs?|docking stations?|port expanders?|atomizer|perfume bottle|empty bottle|laptop screen|replacement screen|replacement display|display panel|lcd panel|lcd screen|backpacks?|briefcases?|rucksacks?|(?:laptop|notebook) (?:sleeves?|slings?|bags?|cases?|pouches?)|(?:cpu |laptop |notebook )?(?:cooling|replacement) fans?|cpu fans?|protective shells?|privacy screens?|active pens?|(?:lcd|led lcd|screen) replacements?|only compatible with|(?:laptop|notebook) batter(?:y|ies)|(?:replacement|compatible|spare) batter(?:y|ies)|batter(?:y|ies) (?:replacement|compatible|for)|power suppl(?:y|ies)|stylus|stylus pen|photo paper|printhead|print head|ssds?|nvme|solid state drives?|storage expansion(?: drives?)?",
+    ),
+    ("laptop", r"laptops?|notebooks?|macbook|chromebook|zenbook|vivobook|thinkpad|ideapad|elitebook|probook|omnibook|spectre|envy|pavilion|inspiron|latitude|loq"),
+    ("printer", r"printers?|laserjet|deskjet|officejet|ecotank|smart tank"),
+    ("desktop", r"desktop|imac|mac mini|all in one|tower pc|optiplex|prodesk"),
+    ("phone", r"phones?|smartphone|iphone|galaxy s\d+|galaxy a\d+|galaxy z|pixel \d+"),
+    ("tablet", r"tablets?|ipad|galaxy tab|surface pro"),
+    ("tv", r"tv|television|bravia|oled tv|qled tv"),
+    ("monitor", r"monitors?|display screen"),
+    ("audio", r"headphones?|earphones?|earbuds?|airpods|headset|speaker|soundbar|walkman"),
+    ("jewelry", r"jewelry|jewellery|necklaces?|pendants?|bracelets?|bangles?|earrings?|rings?|brooch(?:es)?|charms?"),
+    ("watch", r"watch|smartwatch"),
+    ("camera", r"camera|dslr|mirrorless|eos"),
+    ("vacuum", r"vacuum|hoover|dyson v\d+"),
+    ("beauty", r"airwrap|supersonic|hair dryer|straightener|shaver|trimmer"),
+    ("appliance", r"refrigerator|fridge|washer|washing machine|dryer|dishwasher|oven|microwave|air conditioner|purifier|blender|kettle|coffee maker"),
+    ("network", r"router|modem|wifi|wi fi|network switch"),
+    ("projector", r"projector"),
+    ("coffee", r"coffee|ground coffee|coffee beans"),
+    ("clothing", r"clothing|fashion|dress(?:es)?|abaya|shirts?|tees?|t shirts?|hoodies?|pants?|jeans|jackets?|coats?|sweaters?|skirts?|blouses?|abito|abiti|robe|robes|kleid|kleider|vestido|vestidos|vestito|vestiti"),
+    ("shoes", r"shoes?|sneakers?|boots?|sandals?|heels?|slippers?|loafers?"),
+    ("bag", r"bags?|handbags?|backpacks?|luggage|wallets?|purses?|totes?"),
+    ("beauty", r"makeup|cosmetics?|skincare|skin care|lipstick|mascara|foundation|serum|moisturizer|hair care"),
+    ("perfume", r"perfumes?|fragrances?|eau de parfum|eau de toilette|eau de cologne|parfums?|edp|edt|cologne"),
+    ("furniture", r"furniture|sofas?|couches?|chairs?|tables?|desks?|beds?|wardrobes?|cabinets?"),
+    ("kitchen", r"kitchen|cookware|pans?|pots?|cutlery|tableware|air fryer|toaster|cooktop"),
+    ("home", r"home decor|bedding|duvet|pillows?|curtains?|rugs?|storage organizer|lighting|lamp"),
+    ("sports", r"sports?|fitness|gym|running|football|soccer|basketball|cycling|camping|hiking"),
+    ("toy", r"toys?|dolls?|lego|building blocks|plush|kids game"),
+    ("baby", r"baby|infant|stroller|diaper|feeding bottle|car seat"),
+    ("pet", r"pet|pets|cat food|dog food|cat litter|pet toy|pet bed"),
+    ("automotive", r"automotive|car accessories|car part|engine oil|tire|tyre|brake|wiper"),
+    ("book", r"books?|paperback|hardcover|kindle"),
+    ("grocery", r"grocery|groceries|snacks?|chocolate|tea|rice|pasta|cereal|spices?"),
+    ("office", r"office supplies|stationery|notebook|pens?|pencils?|paper shredder"),
+    ("tool", r"drill|saw|screwdriver|power tool"),
+)
 #: Words that end the principal part of a title: what follows is only included.
 INCLUDED = r" (?:with|including|includes|con|avec|mit) "
 #: For queries of a whole product (first pattern, unless the second is asked for), titles whose principal part is only a part of it or a book about it.
@@ -68,13 +79,13 @@ PRINCIPAL_RULES = (
 
 def category_of(text: str) -> str | None:
     """The category of a normal text."""
-    return next((c for c, p in CATEGORY_WORDS.items() if re.search(rf"\b(?:{p})\b", text)), None)
+    return next((c for c, p in CATEGORY_WORDS if re.search(rf"\b(?:{p})\b", text)), None)
 
 
 def category(text: Column) -> Column:
     """The same for a column of texts; null if no category's word is there."""
     plain = plain_text(text)
-    return F.coalesce(*[F.when(plain.rlike(rf"\b(?:{p})\b"), F.lit(c)) for c, p in CATEGORY_WORDS.items()])
+    return F.coalesce(*[F.when(plain.rlike(rf"\b(?:{p})\b"), F.lit(c)) for c, p in CATEGORY_WORDS])
 
 
 def principal(text: Column) -> Column:
@@ -118,7 +129,8 @@ def parse_intent(text: str, categories: tuple[str, ...] | None = None, colors: t
     words = [w for w in plain.split() if w not in STOP_WORDS]
     if categories is None:
         kind = category_of(plain)
-        gone = set(re.search(rf"\b(?:{CATEGORY_WORDS[kind]})\b", plain)[0].split()) if kind else set()
+        named = next((m for c, p in CATEGORY_WORDS if c == kind and (m := re.search(rf"\b(?:{p})\b", plain))), None)
+        gone = set(named[0].split()) if named else set()
     else:
         kind = next((w for w in words if w in categories), None)
         gone = {kind}
@@ -140,12 +152,19 @@ def relaxed(intent: Intent) -> list[str]:
     return [q for q in dict.fromkeys(out) if q and q != intent.text]
 
 
+def _read(offers: DataFrame) -> DataFrame:
+    """What is read of an offer's texts, once: _title, then _words, _named, _sizes, _memory."""
+    title = F.col("_title")
+    rows = offers.withColumn("_title", plain_text(F.col("title")))
+    return rows.withColumns({"_words": tokens(F.concat_ws(" ", "title", "brand")), "_named": models(title), "_sizes": F.regexp_extract_all(title, F.lit(r"[0-9]+(?:gb|tb)"), F.lit(0)), "_memory": ram_gb(title)})
+
+
 def _flags(intent: Intent) -> dict[str, Column]:
-    """What an offer (title, brand, category, condition, storage) violates of an intent, by name; a flag is never null."""
-    title, words = plain_text(F.col("title")), tokens(F.concat_ws(" ", "title", "brand"))
+    """What an offer (title, brand, category, condition, storage), once read, violates of an intent, by name; a flag is never null."""
+    title, words = F.col("_title"), F.col("_words")
     any_of = lambda these: F.arrays_overlap(words, F.array(*[F.lit(w) for w in these]))
     no = F.lit(False)
-    found = F.regexp_extract_all(title, F.lit(r"[0-9]+(?:gb|tb)"), F.lit(0))
+    found = F.col("_sizes")
     titled = F.when(title.rlike(r"\b(refurbished|renewed|remanufactured)\b"), "refurbished").when(title.rlike(r"\b(used|pre owned|b grade|c grade|grade [bc])\b"), "used")
     condition = F.coalesce(titled, "condition", F.lit("unknown"))
     out = {
@@ -157,12 +176,11 @@ def _flags(intent: Intent) -> dict[str, Column]:
     }
     unasked = [w for w in VARIANT_WORDS if w not in intent.variants]
     out["variant"] = any_of(unasked) & ~F.col("category").eqNullSafe("shoes") if intent.model else no
-    named = models(title)
-    out["model"] = F.exists(named, lambda m: m != intent.model) if intent.model else no
+    out["model"] = F.exists("_named", lambda m: m != intent.model) if intent.model else no
     rules = [bad for _, asked, unless, bad in PRINCIPAL_RULES if re.search(asked, intent.text) and not re.search(unless, intent.text)]
     out["principal"] = principal(F.col("title")).rlike("|".join(rules)) if rules else no
     laptop = F.col("category") == "laptop"
-    memory = ram_gb(title)
+    memory = F.col("_memory")
     out["ram"] = laptop & (memory != intent.ram) if intent.ram else no
     out["ram_unverified"] = laptop & memory.isNull() if intent.ram else no
     sparse = (F.size(F.split(title, " ")) <= 4) & ~any_of(LAPTOP_LINES) & ~any_of(LAPTOP_PARTS) & ~title.rlike(r"\d+(?:gb|tb)\b")
@@ -171,15 +189,15 @@ def _flags(intent: Intent) -> dict[str, Column]:
 
 
 def _hits(intent: Intent) -> Column:
-    words = tokens(F.concat_ws(" ", "title", "brand"))
+    words = F.col("_words")
     if intent.ram:
-        words = F.when(ram_gb(plain_text(F.col("title"))) == intent.ram, F.concat(words, F.array(F.lit(str(intent.ram)), F.lit(f"{intent.ram}gb")))).otherwise(words)
+        words = F.when(F.col("_memory") == intent.ram, F.concat(words, F.array(F.lit(str(intent.ram)), F.lit(f"{intent.ram}gb")))).otherwise(words)
     return F.size(F.array_intersect(F.array(*[F.lit(t) for t in intent.tokens]), words)) if intent.tokens else F.lit(0)
 
 
-def score(intent: Intent) -> Column:
-    """match score of an offer with title, brand, category, condition and storage, from 0 to 1 with two decimals."""
-    hits, n, bad = _hits(intent), len(intent.tokens), _flags(intent)
+def _score(intent: Intent, hits: Column, bad: dict[str, Column]) -> Column:
+    """The match score, from 0 to 1 with two decimals."""
+    n = len(intent.tokens)
     base = hits / F.lit(float(n)) if n else F.lit(1.0)
     if intent.category:
         base = F.when(bad["kind"], base * LEFT_BY["kind"]).otherwise(F.least(F.lit(1.0), (hits + 1) / F.lit(n + 1.0)) if n else F.lit(1.0))
@@ -191,21 +209,32 @@ def score(intent: Intent) -> Column:
     return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base)) * 100 + 0.5) / 100
 
 
+_READ = ["_title", "_words", "_named", "_sizes", "_memory", "_hit"]
+
+
+def _assessed(offers: DataFrame, intent: Intent) -> tuple[DataFrame, dict[str, Column]]:
+    """The assessed offers with what was read of them and their flags, and the flags by name."""
+    flags = _flags(intent)
+    rows = _read(offers).withColumns({**{f"_bad_{k}": c for k, c in flags.items()}, "_hit": _hits(intent)})
+    bad = {k: F.col(f"_bad_{k}") for k in flags}
+    rows = rows.withColumns({"query_score": _score(intent, F.col("_hit"), bad), "all_hits": F.col("_hit") == len(intent.tokens)})
+    clean = ~F.greatest(*[c for k, c in bad.items() if k != "sparse"])
+    return rows.withColumn("exact", (F.col("query_score") >= EXACT) & F.col("all_hits") & clean), bad
+
+
 def assess(offers: DataFrame, intent: Intent) -> DataFrame:
     """Adds query_score, all_hits and exact: nothing an offer once scored for another query is used."""
-    spoiled = [c for k, c in _flags(intent).items() if k != "sparse"]
-    clean = ~F.greatest(*spoiled)
-    out = offers.withColumn("query_score", score(intent)).withColumn("all_hits", _hits(intent) == len(intent.tokens))
-    return out.withColumn("exact", (F.col("query_score") >= EXACT) & F.col("all_hits") & clean)
+    out, bad = _assessed(offers, intent)
+    return out.drop(*_READ, *[f"_bad_{k}" for k in bad])
 
 
 def reasons(offers: DataFrame, intent: Intent) -> DataFrame:
     """Adds why an offer isn't what was asked for: model_conflict, capacity_conflict, query_mismatch; empty for those to keep."""
-    out, bad = assess(offers, intent), _flags(intent)
-    missing = ~F.array_contains(models(plain_text(F.col("title"))), intent.model) if intent.model else F.lit(False)
+    out, bad = _assessed(offers, intent)
+    missing = ~F.array_contains("_named", intent.model) if intent.model else F.lit(False)
     mismatch = (~F.col("exact") if intent.storage or intent.model else F.col("query_score") < 0.65) | missing
     said = [F.when(bad["model"], "model_conflict"), F.when(bad["capacity"], "capacity_conflict"), F.when(mismatch, "query_mismatch")]
-    return out.withColumn("reasons", F.array_join(F.array_compact(F.array(*said)), ","))
+    return out.withColumn("reasons", F.array_join(F.array_compact(F.array(*said)), ",")).drop(*_READ, *[f"_bad_{k}" for k in bad])
 
 
 def admitted(intent: Intent) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaylens.operators import audit as au
+from quaylens.operators import coverage as cov
 from quaylens.operators import evidence as ev
 from quaylens.operators import extraction as ex
 from quaylens.operators import groups
@@ -248,3 +249,27 @@ def variant_cascade(spark: SparkSession, d: str) -> DataFrame:
     asked = {"requested_storage": F.lit("128 GB"), "requested_color": F.lit("red")}
     chosen, _ = cascade(entries.withColumn("place", F.row_number().over(order)).withColumns(asked), ["category", "brand"], _DIMS)
     return chosen.select("category", "brand", *[f"picked_{c}" for c in _DIMS], "value")
+
+
+# sources: what their markets and sitemaps say
+
+_MARKET = "case l_suppkey % 5 when 0 then 'KSA' when 1 then 'ae' when 2 then 'UAE' when 3 then '' end"
+_CURRENCY = "case l_partkey % 4 when 0 then 'SAR' when 1 then 'aed' when 2 then 'USD' end"
+_HOST = "case l_linenumber % 3 when 0 then 'shop.example.sa' when 1 then 'shop.example.AE' else 'example.com' end"
+
+
+@query(
+    "q_market_issues",
+    f"""WITH s AS (SELECT upper(coalesce({_MARKET}, '')) AS m, upper(coalesce({_CURRENCY}, '')) AS c, {_HOST} AS h FROM lineitem),
+    x AS (SELECT *, CASE m WHEN 'KSA' THEN 'SAR' WHEN 'AE' THEN 'AED' WHEN 'UAE' THEN 'AED' END AS e, CASE WHEN h LIKE '%.sa' THEN 'KSA' WHEN h LIKE '%.AE' THEN 'UAE' END AS hint FROM s)
+    SELECT concat_ws(',', CASE WHEN m = '' THEN 'market-missing' END, CASE WHEN c = '' THEN 'currency-missing' END, CASE WHEN c <> '' AND e <> c THEN 'currency-market-mismatch' END, CASE WHEN m <> '' AND hint <> m THEN 'host-market-mismatch' END) AS issues, count(*) AS n FROM x GROUP BY issues""",
+)
+def market_issues(spark: SparkSession, d: str) -> DataFrame:
+    issues = cov.market_issues(F.expr(_MARKET), F.expr(_CURRENCY), F.expr(_HOST))
+    return table(spark, d, "lineitem").groupBy(F.array_join(issues, ",").alias("issues")).agg(F.count("*").alias("n"))
+
+
+@query("q_sitemap_absent", "WITH i AS (SELECT DISTINCT l_suppkey AS source_id, concat('/p/', l_partkey) AS url FROM lineitem), o AS (SELECT DISTINCT l_suppkey AS source_id, concat('/p/', l_partkey) AS url FROM lineitem WHERE l_quantity > 10), n AS (SELECT source_id FROM i GROUP BY source_id HAVING count(*) <= 10000 INTERSECT SELECT source_id FROM o GROUP BY source_id HAVING count(*) <= 10000) SELECT source_id, url, 'reverify' AS status FROM (SELECT * FROM i EXCEPT SELECT * FROM o) JOIN n USING (source_id)")
+def sitemap_absent(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source_id"), F.concat(F.lit("/p/"), "l_partkey").alias("url"), "l_quantity")
+    return cov.absent_from_sitemap(rows.select("source_id", "url").distinct(), rows.where("l_quantity > 10").select("source_id", "url").distinct(), "url", complete=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from quaylens.operators import selector, sweeps
+from quaylens.operators import coverage, matching, selector, sweeps
 
 
 def test_pages_give_what_one_join_gives_and_wrap(spark, tmp_path):  # noqa: ANN001
@@ -75,3 +75,25 @@ def test_the_cascade(spark, name):  # noqa: ANN001
     assert (r.picked_model, r.picked_storage, r.picked_condition, r.picked_color) == expected
     said = {(o.dimension, o.option): (o.groups, o.min_price) for o in options.collect()}
     assert ("model", expected[0]) in said and not any(o is None for _, o in said)
+
+
+MARKETS = [(("KSA", "SAR", "x.sa"), []), (("uae", "aed", "X.AE"), []), ((None, None, None), ["market-missing", "currency-missing"]), (("KSA", "AED", "a.com"), ["currency-market-mismatch"]), (("UAE", "AED", "a.sa"), ["host-market-mismatch"]), (("SA", "SAR", "a.sa"), ["host-market-mismatch"]), (("FR", "EUR", "a.fr"), [])]
+
+
+def test_market_issues(spark):  # noqa: ANN001
+    df = spark.createDataFrame([(*row, i) for i, (row, _) in enumerate(MARKETS)], "m string, c string, h string, i int")
+    got = {r.i: r.x for r in df.select("i", coverage.market_issues(F.col("m"), F.col("c"), F.col("h")).alias("x")).collect()}
+    assert got == {i: e for i, (_, e) in enumerate(MARKETS)}
+
+
+def test_only_a_whole_sitemap_says_that_something_is_absent(spark):  # noqa: ANN001
+    indexed = spark.createDataFrame([("a", "1"), ("a", "2"), ("a", None), ("big", "1"), ("big", "2"), ("big", "3"), ("big", "4"), ("none", "1")], "source_id string, url string")
+    observed = spark.createDataFrame([("a", "1"), ("a", "1"), ("big", "1")], "source_id string, url string")
+    found = coverage.absent_from_sitemap(indexed, observed, "url", complete=True, most=3)
+    assert [tuple(r) for r in found.collect()] == [("a", "2", "reverify")]
+    assert coverage.absent_from_sitemap(indexed, observed, "url", complete=False).count() == 0
+
+
+@pytest.mark.parametrize(("text", "found"), [("front load washing machine 8kg", "appliance"), ("hp 15 laptop sleeve", "accessory"), ("dyson airwrap", "beauty"), ("matte lipstick", "beauty"), ("cotton t shirt", "clothing"), ("cat litter 10l", "pet"), ("engine oil 5w30", "automotive"), ("duvet cover", "accessory"), ("desk lamp", "furniture"), ("led lamp", "home"), ("replacement battery for thinkpad", "accessory"), ("granite", None)])
+def test_categories(text, found):  # noqa: ANN001
+    assert matching.category_of(text) == found
