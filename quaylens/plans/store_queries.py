@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quaylens.catalogue import Catalogue
 from quaylens.operators import audit as au
 from quaylens.operators import coverage as cov
 from quaylens.operators import evidence as ev
@@ -16,7 +17,7 @@ from quaylens.operators import quotes as qt
 from quaylens.operators.inverted import OfferIndex
 from quaylens.operators.selector import cascade
 from quaylens.operators.sweeps import Cursor, advance, reconcile_page
-from quaylens.plans.catalog_queries import _REV, _SOLD_SQL, _revisions, _sold
+from quaylens.plans.catalog_queries import _REV, _SCORED, _SOLD_SQL, CATEGORIES, COLORS, _revisions, _sold
 from quaylens.plans.registry import query
 from quaylens.schema import OFFERS_NOW
 from quaylens.sources import nested
@@ -31,6 +32,14 @@ r AS (SELECT offer_id, title, observed_at, ({_POINTS}) / len(w) AS text_rank FRO
 SELECT (row_number() OVER (ORDER BY text_rank DESC, observed_at DESC, offer_id) - 1)::INT AS place, offer_id, title, text_rank FROM r ORDER BY place LIMIT {INDEX_LIMIT}"""
 
 
+_POINTED = _POINTS.replace("FROM w)", "FROM iw)")
+_CHAIN_SQL = rf"""{OFFERS_SQL}, iw AS (SELECT *, list_filter(string_split(trim(regexp_replace(lower(concat_ws(' ', title, brand)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM offers WHERE product_price > 0 AND observed_at <= TIMESTAMP '{OFFERS_NOW}' + INTERVAL 60 SECOND),
+hits AS (SELECT * EXCLUDE (w) FROM iw WHERE {' AND '.join(_WORDS)} AND observed_at >= TIMESTAMP '{OFFERS_NOW}' - INTERVAL 2000 DAY ORDER BY ({_POINTED}) / len(w) DESC, observed_at DESC, offer_id LIMIT 1000),
+picked AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY product_id, merchant, condition ORDER BY observed_at DESC NULLS LAST, offer_id) = 1)
+{_SCORED[len(OFFERS_SQL):].replace('FROM offers)', 'FROM picked)', 1)}
+SELECT offer_id, query_score, product_price FROM s ORDER BY query_score DESC, product_price ASC NULLS LAST, offer_id LIMIT 20 OFFSET 20"""
+
+
 def _catalogue(spark: SparkSession, d: str) -> DataFrame:
     return offers(spark, d).select("offer_id", "title", "brand", "merchant", "product_price", "observed_at")
 
@@ -56,6 +65,14 @@ def index_incremental(spark: SparkSession, d: str) -> DataFrame:
     return index.search(INDEX_QUERY, OFFERS_NOW, INDEX_SECONDS, INDEX_LIMIT).select("place", "offer_id", "title", "text_rank")
 
 
+@query("q_search_chain", _CHAIN_SQL)
+def search_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Ingest, recall, dedupe, score, admit, and the second page."""
+    catalogue = Catalogue(spark, work_folder(spark, "catalogue"), CATEGORIES, COLORS, buckets=16)
+    catalogue.ingest(offers(spark, d), OFFERS_NOW)
+    return catalogue.search(INDEX_QUERY, OFFERS_NOW, INDEX_SECONDS).page(1).select("offer_id", "query_score", "product_price")
+
+
 # groups: no twin, since each step of the rule depends on those before; tests hold it against the rule over plain offers
 
 @query("q_comparable_groups")
