@@ -17,14 +17,15 @@ from quaylens.operators import quotes as qt
 from quaylens.operators.inverted import OfferIndex
 from quaylens.operators.selector import cascade
 from quaylens.operators.sweeps import Cursor, advance, reconcile_page
-from quaylens.plans.catalog_queries import _REV, _SCORED, _SOLD_SQL, CATEGORIES, COLORS, _revisions, _sold
+from quaylens.plans.catalog_queries import _REV, _SOLD_SQL, CATEGORIES, COLORS, _revisions, _sold
+from quaylens.plans.gate_queries import _BROAD
 from quaylens.plans.registry import query
 from quaylens.schema import OFFERS_NOW
 from quaylens.sources import nested
 from quaylens.sources.storage import work_folder, written
 from quaylens.sources.views import OBSERVATIONS_SQL, OFFERS_SQL, observations, offers, table
 
-INDEX_QUERY, INDEX_SECONDS, INDEX_LIMIT = "red widget 128gb", 2000 * 86400.0, 40
+INDEX_QUERY, INDEX_SECONDS, INDEX_LIMIT = "widget 128gb", 2000 * 86400.0, 40
 _WORDS = [f"list_contains(w, '{t}')" for t in INDEX_QUERY.split()]
 _POINTS = " + ".join(f"len(list_filter(w, lambda x: x = '{t}')) * (SELECT floor(1000 * ln(1 + count(*) / count_if(list_contains(w, '{t}')))) FROM w)" for t in INDEX_QUERY.split())
 _INDEX_SQL = rf"""{OFFERS_SQL}, w AS (SELECT offer_id, title, observed_at, list_filter(string_split(trim(regexp_replace(lower(concat_ws(' ', title, brand)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM offers),
@@ -32,12 +33,12 @@ r AS (SELECT offer_id, title, observed_at, ({_POINTS}) / len(w) AS text_rank FRO
 SELECT (row_number() OVER (ORDER BY text_rank DESC, observed_at DESC, offer_id) - 1)::INT AS place, offer_id, title, text_rank FROM r ORDER BY place LIMIT {INDEX_LIMIT}"""
 
 
-_POINTED = _POINTS.replace("FROM w)", "FROM iw)")
+CHAIN_QUERY = "red widget"
+_CHAIN_POINTS = " + ".join(f"len(list_filter(w, lambda x: x = '{t}')) * (SELECT floor(1000 * ln(1 + count(*) / count_if(list_contains(w, '{t}')))) FROM iw)" for t in CHAIN_QUERY.split())
 _CHAIN_SQL = rf"""{OFFERS_SQL}, iw AS (SELECT *, list_filter(string_split(trim(regexp_replace(lower(concat_ws(' ', title, brand)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM offers WHERE product_price > 0 AND observed_at <= TIMESTAMP '{OFFERS_NOW}' + INTERVAL 60 SECOND),
-hits AS (SELECT * EXCLUDE (w) FROM iw WHERE {' AND '.join(_WORDS)} AND observed_at >= TIMESTAMP '{OFFERS_NOW}' - INTERVAL 2000 DAY ORDER BY ({_POINTED}) / len(w) DESC, observed_at DESC, offer_id LIMIT 1000),
-picked AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY product_id, merchant, condition ORDER BY observed_at DESC NULLS LAST, offer_id) = 1)
-{_SCORED[len(OFFERS_SQL):].replace('FROM offers)', 'FROM picked)', 1)}
-SELECT offer_id, query_score, product_price FROM s ORDER BY query_score DESC, product_price ASC NULLS LAST, offer_id LIMIT 20 OFFSET 20"""
+hits AS (SELECT * EXCLUDE (w) FROM iw WHERE list_contains(w, 'red') AND list_contains(w, 'widget') AND observed_at >= TIMESTAMP '{OFFERS_NOW}' - INTERVAL 2000 DAY ORDER BY ({_CHAIN_POINTS}) / len(w) DESC, observed_at DESC, offer_id LIMIT 1000),
+picked AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY product_id, merchant, condition ORDER BY observed_at DESC NULLS LAST, offer_id) = 1), {_BROAD.format('picked')}
+SELECT offer_id, query_score, product_price FROM s ORDER BY query_score DESC, product_price ASC NULLS LAST, offer_id LIMIT 20"""
 
 
 def _catalogue(spark: SparkSession, d: str) -> DataFrame:
@@ -58,19 +59,19 @@ def index_incremental(spark: SparkSession, d: str) -> DataFrame:
     rows = _catalogue(spark, d)
     before = F.col("observed_at") < F.lit("1998-01-01").cast("timestamp")
     earlier = lambda days: F.col("observed_at") - F.expr(f"INTERVAL {days} DAYS")
-    first = rows.where(~before).withColumns({"observed_at": earlier(300), "title": F.concat(F.lit("128gb red widget widget "), "title")})
+    first = rows.where(~before).withColumns({"observed_at": earlier(300), "title": F.concat(F.lit("128gb widget widget "), "title")})
     index.write(rows.where(before).unionByName(first))
     index.write(rows.where(~before))
-    index.write(rows.withColumns({"observed_at": earlier(10), "title": F.lit("red widget 128gb")}))
+    index.write(rows.withColumns({"observed_at": earlier(10), "title": F.lit("widget 128gb")}))
     return index.search(INDEX_QUERY, OFFERS_NOW, INDEX_SECONDS, INDEX_LIMIT).select("place", "offer_id", "title", "text_rank")
 
 
 @query("q_search_chain", _CHAIN_SQL)
 def search_chain(spark: SparkSession, d: str) -> DataFrame:
-    """Ingest, recall, dedupe, score, admit, and the second page."""
+    """Ingest, recall, dedupe, score, admit, and the first page."""
     catalogue = Catalogue(spark, work_folder(spark, "catalogue"), CATEGORIES, COLORS, buckets=16)
     catalogue.ingest(offers(spark, d), OFFERS_NOW)
-    return catalogue.search(INDEX_QUERY, OFFERS_NOW, INDEX_SECONDS).page(1).select("offer_id", "query_score", "product_price")
+    return catalogue.search(CHAIN_QUERY, OFFERS_NOW, INDEX_SECONDS).page(0).select("offer_id", "query_score", "product_price")
 
 
 # groups: no twin, since each step of the rule depends on those before; tests hold it against the rule over plain offers
