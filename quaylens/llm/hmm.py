@@ -1,30 +1,31 @@
 """A hidden Markov language model over words.
 
-Words that make up at least a share `least_share` of the training tokens are symbols of their own, at every size of the
-corpus (so there are at most 1 / least_share of them); each other word belongs to one of a fixed number of groups by its
-ending, and has a share of its group's probability by its count. So the model gives every sequence of words a probability:
+A state emits a word's class, and the class gives the word by its count. A class is the hash of a word's ending together with
+one of the whole word, so it follows from the word alone: one rule for all words, frequent or rare, at every size of the
+corpus. There are so many classes (Settings) that a frequent word hardly shares its own with another such word; rare words
+share theirs with words of the same ending. So the model gives every sequence of words a probability:
 
-    P(text) = P_hmm(symbols of its words, end) * product over grouped words of (c + 0.5) / (mass of the group)
+    P(text) = P_hmm(classes of its words, end) * product over words of (c + 0.5) / (mass of the class)
 
-where a group's mass is the sum of c + 0.5 over its words and 0.5 for all words never seen.
+where a class's mass is the sum of c + 0.5 over its words and 0.5 for all words never seen. The model's size is fixed, and
+so is what tasks hold of it; what is known of words is counts, in a table that grows with the corpus.
 
 Training is Baum-Welch from random parameters. Every training text counts in every round: tasks add up expected emissions,
-transitions and starts, which are summed over the corpus by symbol. Rounds end when the corpus's likelihood gains no more
+transitions and starts, which are summed over the corpus by class. Rounds end when the corpus's likelihood gains no more
 than `least_gain` a token, less than the round before, and at the latest after `corpus_rounds`. Neither training nor scoring
 cuts a text: the scaled recursions run over the whole text, all texts of a block in step. Training holds about `window` tokens
 of them at a time and carries what leads from one window to the next.
 
-Words are counted over all training texts. The symbols, and at most `listed` of the most frequent words, are broadcast with
-their counts; the rest meets its counts in a join.
+Words are counted over all training texts. At most `listed` of the most frequent words are broadcast with their counts; the
+rest meets its counts in a join, with the same result.
 
 Cases: a null or empty text is the end token alone. Repeated rows are scored (and, in training folds, counted) row by row.
-Without training texts every token has probability 1 under the base model, and the symbols are equally likely. Ties in
+Without training texts every token has probability 1 under the base model, and the classes are equally likely. Ties in
 counts stay on the same side of every cut. Extra columns aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -44,28 +45,30 @@ END = b"\n"  # no word holds a newline
 @dataclass(frozen=True)
 class Settings:
     states: int = 8
-    #: share of all training tokens from which on a word is a symbol of its own, and words listed with their counts at most, if symbols aren't more
-    least_share: float = 1e-6
+    #: hashes of endings, and of whole words beside each ending: with the end, symbols of 16 bits
+    endings: int = 255
+    parts: int = 257
+    #: words broadcast with their counts at most
     listed: int = 262_144
-    groups: int = 512
     #: rounds over the corpus at most, and the gain of log10 likelihood a token that is worth another
     corpus_rounds: int = 14
     least_gain: float = 1e-4
     #: tokens whose forward steps are held at a time, and bytes of symbols in a block of texts that go in step
     window: int = 2 << 20
     block: int = 16 << 20
-    prior: float = 30.0
+    #: pseudo-counts that draw a class to the shares of the states in the corpus
+    prior: float = 5.0
     seed: int = 7
 
 
 @dataclass(frozen=True)
 class Words:
-    """What tasks need to turn words into symbols: symbol 0 is the end, then come words, then groups."""
+    """What tasks need to turn words into symbols: symbol 0 is the end, then come the classes."""
 
     words: tuple[bytes, ...]
     counts: np.ndarray
-    n_symbols: int
-    groups: int
+    endings: int
+    parts: int
     masses: np.ndarray
     total: int
     distinct: int
@@ -73,7 +76,7 @@ class Words:
 
     @property
     def size(self) -> int:
-        return 1 + self.n_symbols + self.groups
+        return 1 + self.endings * self.parts
 
     @property
     def kind(self) -> str:
@@ -89,19 +92,19 @@ class Model:
     emit: np.ndarray  # symbols x states
 
 
-def group_of(word: bytes, groups: int) -> int:
-    return zlib.crc32(word[-3:]) % groups
+def class_of(word: bytes, endings: int, parts: int) -> int:
+    return zlib.crc32(word[-3:]) % endings * parts + zlib.crc32(word) % parts
 
 
-def count_words(docs: DataFrame, groups: int) -> DataFrame:
-    """word, group, c over all rows of `docs`; the end is counted once a row."""
+def count_words(docs: DataFrame, endings: int, parts: int) -> DataFrame:
+    """word, class, c over all rows of `docs`; the end is counted once a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
 
         def rows() -> pa.RecordBatch:
             names = list(held)
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([group_of(w, groups) for w in names], pa.int32()), pa.array(list(held.values()), pa.int64())], names=["word", "group", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([class_of(w, endings, parts) for w in names], pa.int32()), pa.array(list(held.values()), pa.int64())], names=["word", "class", "c"])
 
         for block in text_blocks(batches, max_bytes=8 << 20):
             words, _ = block_words(block)
@@ -115,7 +118,7 @@ def count_words(docs: DataFrame, groups: int) -> DataFrame:
         if held:
             yield rows()
 
-    return docs.select("text").mapInArrow(run, "word binary, group int, c long").groupBy("word", "group").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, "word binary, class int, c long").groupBy("word", "class").agg(F.sum("c").alias("c"))
 
 
 _LEVEL = "cast(floor(log2(c) * 8) as int)"
@@ -123,23 +126,22 @@ _LEVEL = "cast(floor(log2(c) * 8) as int)"
 
 def learn_words(counts: DataFrame, s: Settings) -> tuple[Words, int]:
     """The listed words, and the count from which on words are listed."""
-    total, distinct, ends = counts.agg(F.sum("c"), F.count("*"), F.max(F.when(F.col("word") == F.lit(END), F.col("c")))).first()
+    total, distinct, top, ends = counts.agg(F.sum("c"), F.count("*"), F.max("c"), F.max(F.when(F.col("word") == F.lit(END), F.col("c")))).first()
     proper = counts.where(F.col("word") != F.lit(END))
-    own = max(1, math.ceil((total or 0) * s.least_share))
     levels = proper.groupBy(F.expr(_LEVEL).alias("level")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("level")).collect()  # a few hundred rows
-    held, low = 0, own
+    held, low = 0, (top or 0) + 1
     for level in levels:
         held += level.n
         if held > s.listed:
             break
-        low = min(low, level.c)
-    rows = proper.where(F.col("c") >= low).select("word", "c").toArrow()  # at most `listed` rows, or 1 / least_share
+        low = level.c
+    rows = proper.where(F.col("c") >= low).select("word", "c").toArrow()  # at most `listed` rows
     words, numbers = rows.column("word").to_pylist(), rows.column("c").to_numpy()
     order = sorted(range(len(words)), key=lambda i: (-int(numbers[i]), words[i]))
-    masses = np.full(s.groups, 0.5)
-    for group, mass in proper.where(F.col("c") < own).groupBy("group").agg(F.sum(F.col("c") + 0.5)).collect():
-        masses[group] += mass
-    return Words(tuple(words[i] for i in order), numbers[order].astype(np.int64), int((numbers >= own).sum()), s.groups, masses, total or 0, distinct or 0, ends or 0), low
+    masses = np.full(s.endings * s.parts, 0.5)
+    summed = proper.groupBy("class").agg(F.sum(F.col("c") + 0.5).alias("mass")).toArrow()  # a row for each class
+    masses[summed.column("class").to_numpy()] += summed.column("mass").to_numpy()
+    return Words(tuple(words[i] for i in order), numbers[order].astype(np.int64), s.endings, s.parts, masses, total or 0, distinct or 0, ends or 0), low
 
 
 def encode(docs: DataFrame, words: Words) -> DataFrame:
@@ -149,7 +151,6 @@ def encode(docs: DataFrame, words: Words) -> DataFrame:
         w = handle.value
         listed, symbol_of, log_c = _tables(w)
         log_all, log_mass = np.log10(w.total + 0.5 * (w.distinct + 1)), np.log10(w.masses)
-        first_group = 1 + w.n_symbols
 
         def per_text(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
             sums = np.r_[0.0, np.cumsum(values)]
@@ -164,13 +165,11 @@ def encode(docs: DataFrame, words: Words) -> DataFrame:
             codes, names = others.indices.to_numpy(), others.dictionary
             symbol = symbol_of[at] if len(symbol_of) else np.zeros(len(at), np.int64)
             if len(names):
-                symbol[unlisted] = np.array([first_group + group_of(x, w.groups) for x in names.to_pylist()])[codes]
-            grouped = symbol >= first_group
+                symbol[unlisted] = np.array([1 + class_of(x, w.endings, w.parts) for x in names.to_pylist()])[codes]
             logs = np.where(unlisted, 0.0, log_c[at] if len(log_c) else 0.0)
             owner = np.repeat(np.arange(n), size)
             base = per_text(logs, edges) + np.log10(w.ends + 0.5) - (size + 1) * log_all
-            shares = np.where(grouped, logs, 0.0)
-            shares[grouped] -= log_mass[symbol[grouped] - first_group]
+            shares = logs - log_mass[symbol - 1]
             known = np.round(per_text(~unlisted, edges)).astype(np.int64) + (w.ends > 0)
             # each text's symbols with the end behind them
             ended = np.zeros(len(symbol) + n, dtype=w.kind)
@@ -197,9 +196,7 @@ def _tables(words: Words) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """A worker's look-up tables for the words that were broadcast; one set at a time."""
     if _held.get("key") != (words.total, words.distinct, words.words[:50]):
         _held.clear()
-        symbol = np.arange(1, len(words.words) + 1)
-        for i in range(words.n_symbols, len(words.words)):
-            symbol[i] = 1 + words.n_symbols + group_of(words.words[i], words.groups)
+        symbol = np.array([1 + class_of(w, words.endings, words.parts) for w in words.words], np.int64)
         _held.update(key=(words.total, words.distinct, words.words[:50]), tables=(pa.array(words.words, pa.binary()), symbol, np.log10(words.counts + 0.5)))
     return _held["tables"]
 
@@ -298,16 +295,17 @@ def expected_counts(sequences: list[np.ndarray], m: Model, window: int, into: tu
 
 
 def maximise(start: np.ndarray, step: np.ndarray, emit: np.ndarray, common: np.ndarray, prior: float) -> Model:
-    """Parameters from expected counts; each state's emissions are smoothed with the corpus's shares of the symbols."""
+    """Parameters from expected counts. A class's shares of the states are drawn to those of the corpus by `prior` pseudo-counts, so that a class of few tokens tells little of the state, however large the corpus."""
     share = emit.sum(axis=0) + 1e-3
-    smoothed = emit + prior * common[:, None]
-    return Model((start + 1) / (start + 1).sum(), share / share.sum(), (step + 0.1) / (step + 0.1).sum(axis=1, keepdims=True), smoothed / smoothed.sum(axis=0))
+    share /= share.sum()
+    given = (emit + prior * share) / (emit.sum(axis=1, keepdims=True) + prior) * common[:, None]
+    return Model((start + 1) / (start + 1).sum(), share, (step + 0.1) / (step + 0.1).sum(axis=1, keepdims=True), given / given.sum(axis=0))
 
 
 def train(encoded: DataFrame, words: Words, s: Settings) -> Model:
     """Baum-Welch on the rows of `encoded` that aren't held out."""
     rows, k, size = encoded.where("not held_out"), s.states, words.size
-    common = np.r_[words.ends, words.counts[: words.n_symbols], words.masses].astype(float) + 1e-3
+    common = np.r_[words.ends, words.masses].astype(float) + 1e-3
     common /= common.sum()
     zeros = lambda: (np.zeros(k), np.zeros((k, k)), np.zeros((size, k)))
     rng = np.random.default_rng(s.seed)
@@ -387,7 +385,7 @@ def score(docs: DataFrame, settings: Settings | None = None, folds: int = 5, fol
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row. Rows whose crc32(doc_id) modulo `folds` is `fold` are held out."""
     s = settings or Settings()
     docs = docs.select("doc_id", "text", (crc_fold(F.col("doc_id"), folds) == fold).alias("held_out"))
-    counts = materialise(count_words(docs.where("not held_out"), s.groups), "word-counts")
+    counts = materialise(count_words(docs.where("not held_out"), s.endings, s.parts), "word-counts")
     words, low = learn_words(counts, s)
     encoded = materialise(encode(docs, words), "symbols")
     model = train(encoded, words, s)

@@ -271,7 +271,7 @@ def test_scores_against_plain_python(documents):  # noqa: ANN001
     fold = lambda i: zlib.crc32(str(i).encode()) % 5
     counts = Counter(w for i, t in rows if fold(i) != 1 for w in [*lower_words(t), None])
     n, v = sum(counts.values()), len(counts)
-    got = {r.doc_id: r for r in hmm.score(documents, hmm.Settings(least_share=3e-4, listed=2000)).collect()}
+    got = {r.doc_id: r for r in hmm.score(documents, hmm.Settings(listed=2000)).collect()}
     gain = []
     for i, t in rows:
         ws, r = [*lower_words(t), None], got[i]
@@ -282,6 +282,40 @@ def test_scores_against_plain_python(documents):  # noqa: ANN001
     assert np.mean(gain) > 0.02
 
 
+def test_words_have_the_same_symbols_and_rule_at_every_size(spark):  # noqa: ANN001
+    texts = [" ".join(f"w{(i * k) % 97}x" for k in range(40)) + f" only{i} end" for i in range(40)]
+    sizes = {}
+    for times in (1, 30):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * times)], "doc_id long, text string")
+        s = hmm.Settings(listed=50)
+        counts = hmm.count_words(df, s.endings, s.parts)
+        words, low = hmm.learn_words(counts, s)
+        rows = hmm.encode(df.withColumn("held_out", F.lit(False)), words).where("doc_id < 40").collect()
+        sizes[times] = {r.doc_id: r.symbols for r in rows}, words, {bytes(r.word) for r in counts.where(F.col("c") >= low).collect()}
+    (one, few, listed), (many, all_, _) = sizes[1], sizes[30]
+    assert one == many and few.size == all_.size and all(len(x) == 2 * 43 for x in one.values())
+    assert 0 < len(listed - {hmm.END}) <= 50  # rare words aren't listed, yet have their classes by the same rule
+    assert np.allclose(all_.masses - 0.5, 30 * (few.masses - 0.5) - 29 * 0.5 * _words_by_class(texts))
+
+
+def _words_by_class(texts):  # noqa: ANN001, ANN202
+    found = np.zeros(255 * 257)
+    for w in {w for t in texts for w in t.encode().split()}:
+        found[zlib.crc32(w[-3:]) % 255 * 257 + zlib.crc32(w) % 257] += 1
+    return found
+
+
+def test_probabilities_of_all_words_add_up(spark):  # noqa: ANN001
+    """The scores of all one-word texts, and of all unseen words of each class at once, are a distribution of first words."""
+    df = spark.createDataFrame([(i, f"a{i % 5} b{i % 7}") for i in range(60)], "doc_id long, text string")
+    s = hmm.Settings(endings=3, parts=2)
+    words, _ = hmm.learn_words(hmm.count_words(df, 3, 2), s)
+    within = np.full(6, 0.5)
+    for word, c in zip(words.words, words.counts, strict=True):
+        within[hmm.class_of(word, 3, 2)] += c + 0.5
+    assert np.allclose(within / words.masses, 1)
+
+
 def test_language_model_bears_odd_rows(odd, none):  # noqa: ANN001
     got = hmm.score(odd).collect()
     assert len(got) == 18 and all(math.isfinite(r.score) for r in got)
