@@ -63,13 +63,14 @@ class Settings:
 
 @dataclass(frozen=True)
 class Words:
-    """What tasks need to turn words into symbols: symbol 0 is the end, then come the classes."""
+    """What tasks need to turn words into symbols: symbol 0 is the end, then come the classes, those of the largest mass first, so that what is read most lies close together."""
 
     words: tuple[bytes, ...]
     counts: np.ndarray
     endings: int
     parts: int
-    masses: np.ndarray
+    symbol_of_class: np.ndarray
+    masses: np.ndarray  # by symbol, from symbol 1 on
     total: int
     distinct: int
     ends: int
@@ -97,14 +98,14 @@ def class_of(word: bytes, endings: int, parts: int) -> int:
 
 
 def count_words(docs: DataFrame, endings: int, parts: int) -> DataFrame:
-    """word, class, c over all rows of `docs`; the end is counted once a row."""
+    """word, its class (as `class_of` gives it), c over all rows of `docs`; the end is counted once a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
 
         def rows() -> pa.RecordBatch:
             names = list(held)
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([class_of(w, endings, parts) for w in names], pa.int32()), pa.array(list(held.values()), pa.int64())], names=["word", "class", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
 
         for block in text_blocks(batches, max_bytes=8 << 20):
             words, _ = block_words(block)
@@ -118,7 +119,8 @@ def count_words(docs: DataFrame, endings: int, parts: int) -> DataFrame:
         if held:
             yield rows()
 
-    return docs.select("text").mapInArrow(run, "word binary, class int, c long").groupBy("word", "class").agg(F.sum("c").alias("c"))
+    counts = docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return counts.withColumn("class", (F.crc32(F.substring("word", -3, 3)) % endings * parts + F.crc32("word") % parts).cast("int"))
 
 
 _LEVEL = "cast(floor(log2(c) * 8) as int)"
@@ -141,7 +143,10 @@ def learn_words(counts: DataFrame, s: Settings) -> tuple[Words, int]:
     masses = np.full(s.endings * s.parts, 0.5)
     summed = proper.groupBy("class").agg(F.sum(F.col("c") + 0.5).alias("mass")).toArrow()  # a row for each class
     masses[summed.column("class").to_numpy()] += summed.column("mass").to_numpy()
-    return Words(tuple(words[i] for i in order), numbers[order].astype(np.int64), s.endings, s.parts, masses, total or 0, distinct or 0, ends or 0), low
+    heavy = np.argsort(-masses, kind="stable")
+    symbol_of_class = np.empty(len(masses), np.int64)
+    symbol_of_class[heavy] = np.arange(1, len(masses) + 1)
+    return Words(tuple(words[i] for i in order), numbers[order].astype(np.int64), s.endings, s.parts, symbol_of_class, masses[heavy], total or 0, distinct or 0, ends or 0), low
 
 
 def encode(docs: DataFrame, words: Words) -> DataFrame:
@@ -165,7 +170,7 @@ def encode(docs: DataFrame, words: Words) -> DataFrame:
             codes, names = others.indices.to_numpy(), others.dictionary
             symbol = symbol_of[at] if len(symbol_of) else np.zeros(len(at), np.int64)
             if len(names):
-                symbol[unlisted] = np.array([1 + class_of(x, w.endings, w.parts) for x in names.to_pylist()])[codes]
+                symbol[unlisted] = w.symbol_of_class[[class_of(x, w.endings, w.parts) for x in names.to_pylist()]][codes]
             logs = np.where(unlisted, 0.0, log_c[at] if len(log_c) else 0.0)
             owner = np.repeat(np.arange(n), size)
             base = per_text(logs, edges) + np.log10(w.ends + 0.5) - (size + 1) * log_all
@@ -196,7 +201,7 @@ def _tables(words: Words) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """A worker's look-up tables for the words that were broadcast; one set at a time."""
     if _held.get("key") != (words.total, words.distinct, words.words[:50]):
         _held.clear()
-        symbol = np.array([1 + class_of(w, words.endings, words.parts) for w in words.words], np.int64)
+        symbol = words.symbol_of_class[np.array([class_of(w, words.endings, words.parts) for w in words.words], np.int64)]
         _held.update(key=(words.total, words.distinct, words.words[:50]), tables=(pa.array(words.words, pa.binary()), symbol, np.log10(words.counts + 0.5)))
     return _held["tables"]
 
