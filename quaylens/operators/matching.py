@@ -32,6 +32,10 @@ ACCESSORY_TERMS = (
 ACCESSORY_WORDS = ("strap", "bolt", "gear")
 ACCESSORY = rf"(?:^| )(?:{'|'.join((*ACCESSORY_TERMS, *ACCESSORY_WORDS))})(?= |$)"
 VARIANT_WORDS = ("pro", "max", "plus", "ultra", "air", "fold", "flip", "fe", "برو", "ماكس", "بلس", "الترا", "اير")
+# single words are looked up in an offer's words; phrases are searched for only where one's first word is there
+_SINGLE = tuple(t for t in (*ACCESSORY_TERMS, *ACCESSORY_WORDS) if " " not in t)
+_PHRASES = tuple(t for t in ACCESSORY_TERMS if " " in t)
+_OPENING = tuple(dict.fromkeys(t.split()[0] for t in _PHRASES))
 CARRIERS = r"(?i)\(\s*(?:at\s*&\s*t|verizon|t[- ]mobile)\s*\)"
 CARRIER_ASKED = r"(?i)\bat\s*&\s*t\b|\bverizon\b|\bt[- ]mobile\b"
 LAPTOP_LINES = ("pavilion", "elitebook", "probook", "spectre", "envy", "omnibook", "victus", "omen", "latitude", "thinkpad", "ideapad", "zenbook", "vivobook", "macbook", "chromebook")
@@ -331,6 +335,12 @@ def relaxed(intent: Intent) -> list[str]:
     return [q for q in dict.fromkeys(out) if q and q != intent.text]
 
 
+def _names_accessory(words: Column, text: Column) -> Column:
+    """Whether a normal text, split into its words, names an accessory."""
+    one_of = lambda these: F.arrays_overlap(words, F.array(*[F.lit(w) for w in these]))
+    return one_of(_SINGLE) | (one_of(_OPENING) & text.rlike(rf"(?:^| )(?:{'|'.join(_PHRASES)})(?= |$)"))
+
+
 def _subject(title: Column) -> Column:
     """The part of a normal title before what is only included."""
     return F.trim(F.split(F.concat(F.lit(" "), title, F.lit(" ")), INCLUDED)[0])
@@ -340,7 +350,7 @@ def _read(offers: DataFrame, intent: Intent) -> DataFrame:
     """What is read of an offer's texts, once: _title, _said (with brand and the address's path), then _sold, _words, _named, _sizes, _memory; _kind where the query asks for one."""
     title = F.col("_title")
     path = F.coalesce(F.try_url_decode(F.regexp_extract("source_url", r"^https?://[^/?#]+(/[^?#]*)", 1)), F.lit("")) if "source_url" in offers.columns else F.lit("")
-    rows = offers.withColumns({"_title": described.console_text(F.col("title")), "_said": described.console_text(F.concat_ws(" ", "title", "brand", path))})
+    rows = offers.withColumn("_title", described.console_text(F.col("title"))).withColumn("_said", F.trim(F.concat_ws(" ", "_title", plain_text(F.concat_ws(" ", "brand", path)))))
     rows = rows.withColumns({"_sold": _subject(title), "_words": F.split("_said", " "), "_named": models(title), "_sizes": F.regexp_extract_all(title, F.lit(r"[0-9]+(?:gb|tb)"), F.lit(0)), "_memory": ram_gb(title)})
     if not intent.kind:
         return rows.withColumn("_kind", F.lit(None).cast("string"))
@@ -386,7 +396,7 @@ def _flags(intent: Intent) -> dict[str, Column]:
     titled = F.when(title.rlike(r"\b(refurbished|renewed|remanufactured)\b"), "refurbished").when(title.rlike(r"\b(used|pre owned|b grade|c grade|grade [bc])\b"), "used")
     condition = F.coalesce(titled, "condition", F.lit("unknown"))
     with_extras = (F.col("category") == "phone") & (title != subject) & subject.rlike(PHONE_FIRST) & subject.rlike(r"\b\d+(?:gb|tb)\b") & ~subject.rlike(PHONE_PART)
-    accessory = F.when(with_extras, subject).otherwise(F.col("_said")).rlike(ACCESSORY)
+    accessory = F.when(with_extras, _names_accessory(F.split(subject, " "), subject)).otherwise(_names_accessory(words, F.col("_said")))
     if intent.kind:
         accessory = accessory & (F.col("_kind") != "console")
     series = intent.category == "watch" and asked(SERIES_ASKED)
