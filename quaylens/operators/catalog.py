@@ -81,9 +81,14 @@ def read_by_key(canonical: DataFrame, keys: DataFrame, key: str, now: str, secon
 
 def index_writes(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """What an index does with incoming documents, one per key: add, replace an older one, or skip."""
-    c = current.select(F.col(key).alias("_k"), F.col("observed_at").alias("_t"))
+    return planned_writes(current, incoming, key).select(key, "action")
+
+
+def planned_writes(current: DataFrame, incoming: DataFrame, key: str, of_old: list[str] = ()) -> DataFrame:
+    """The incoming documents with their action, and with the columns `of_old` of the ones they meet."""
+    c = current.select(F.col(key).alias("_k"), F.col("observed_at").alias("_t"), *of_old)
     action = F.when(F.col("_k").isNull(), "add").when(F.col("observed_at") > F.col("_t"), "replace").otherwise("skip")
-    return incoming.join(c, F.col(key) == F.col("_k"), "left").select(key, action.alias("action"))
+    return incoming.join(c, F.col(key) == F.col("_k"), "left").withColumn("action", action).drop("_k", "_t")
 
 
 def record(log: DataFrame, current: DataFrame, incoming: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:

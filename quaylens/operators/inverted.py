@@ -1,13 +1,14 @@
 """An inverted index of offers as tables: postings by term, counts by term, the documents, and what later writes replaced.
 
     commits/segment=S                one row for each write that is complete: how many documents it added
-    docs/segment=S/bucket=B          the documents of a write, by a hash of their key
-    dead/segment=S                   keys whose postings in earlier segments no longer count
-    postings/segment=S/bucket=B      term, tier, doc, tf, length, observed_at; by a hash of the term, sorted by term and tier
+    docs/segment=S/bucket=B          the documents of a write with the digest of their text, by a hash of that digest
+    dead/segment=S                   documents of earlier segments that no longer count, with the text they had
+    postings/segment=S/bucket=B      term, tier, text, tf, length, n (documents of the text); by a hash of the term, sorted by term and tier
     stats/segment=S/bucket=B         term, tier, df (negative for replaced documents), impact (the largest tf / length)
 
 A write changes no file of an earlier one; it counts once its commit is there, so a job that dies halfway leaves the index as it
-was. A query reads the buckets of its terms only. Documents of about one length are a tier; the counts say what a document of a
+was. Documents that say the same share their postings: a text is split into words once, however many documents have it. A query
+reads the buckets of its terms, then the documents of the texts that have them. Documents of about one length are a tier; the counts say what a document of a
 tier can reach at best, so tiers are read from the most promising on, until the next can't bring anything among the first k.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaylens.functions.text import tokens
-from quaylens.operators.catalog import index_writes, reject_reason
+from quaylens.operators.catalog import planned_writes, reject_reason
 
 
 def words_of(query: str) -> list[str]:
@@ -29,6 +30,15 @@ def words_of(query: str) -> list[str]:
     return sorted(set("".join(c if c.isalnum() else " " for c in query.lower()).split()))
 
 
+#: what the index notes on its documents
+_OWN = ("_text", "_was")
+
+
+def digest(said: Column) -> Column:
+    """16 bytes that stand for a text."""
+    return F.unhex(F.md5(said))
+
+
 def tier(length: Column) -> Column:
     """The length itself below 16, then one tier for each doubling."""
     return F.when(length < 16, length).otherwise(F.length(F.bin(length.cast("long"))) + 11).cast("int")
@@ -64,18 +74,24 @@ class OfferIndex:
         paths = [f"{self.path}/{name}/segment={s}" for s in sorted(self._known)]
         return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*paths)
 
-    def _alive(self, rows: DataFrame, doc: str) -> DataFrame:
-        dead = self._table("dead").select(F.col("doc").alias("_doc"), F.col("segment").alias("_since"))
-        return rows.join(dead, (F.col(doc) == F.col("_doc")) & (F.col("segment") < F.col("_since")), "left_anti")
+    def _alive(self, rows: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+        """Those of the documents that no later write replaced. texts: the only ones that the rows have (a column _text)."""
+        if len(self._known) < 2:
+            return rows
+        dead = self._table("dead")
+        if texts is not None:
+            dead = dead.join(texts.select("_text"), "_text", "left_semi")
+        dead = dead.select(F.col("doc").alias("_doc"), F.col("segment").alias("_since"))
+        return rows.join(dead, (F.col(self.key) == F.col("_doc")) & (F.col("segment") < F.col("_since")), "left_anti")
 
     def documents(self) -> DataFrame:
         """The documents as they are now."""
-        return self._alive(self._table("docs"), self.key)
+        return self._alive(self._table("docs")).drop(*_OWN)
 
     def postings(self, terms: list[str], tiers: list[int] | None = None) -> DataFrame:
         """The postings of these terms; partitions of other buckets aren't listed, row groups of other terms and tiers aren't read."""
         rows = self._table("postings").where(F.col("bucket").isin(self._buckets_of(terms)) & F.col("term").isin(terms))
-        return self._alive(rows if tiers is None else rows.where(F.col("tier").isin(tiers)), "doc")
+        return rows if tiers is None else rows.where(F.col("tier").isin(tiers))
 
     def _buckets_of(self, values: list[str]) -> list[int]:
         return sorted({zlib.crc32(v.encode()) % self.buckets for v in values})
@@ -93,40 +109,57 @@ class OfferIndex:
     def _bucket(self, value: Column) -> Column:
         return (F.crc32(value.cast("string").cast("binary")) % self.buckets).cast("int")
 
+    def _said(self) -> Column:
+        return F.concat_ws(" ", *self.text)
+
     def _postings_of(self, docs: DataFrame) -> DataFrame:
-        words = tokens(F.concat_ws(" ", *self.text))
-        rows = docs.select(F.col(self.key).cast("string").alias("doc"), "observed_at", words.alias("words")).withColumn("length", F.size("words"))
-        rows = rows.select("doc", "observed_at", "length", F.explode("words").alias("term"))
-        counted = rows.groupBy("doc", "observed_at", "length", "term").agg(F.count("*").cast("int").alias("tf"))
+        """term, tier, text, tf, length, n of the documents' texts."""
+        rows = docs.groupBy(self._said().alias("said")).agg(F.count("*").alias("n"))
+        rows = rows.select(digest(F.col("said")).alias("_text"), "n", tokens(F.col("said")).alias("words")).withColumn("length", F.size("words"))
+        rows = rows.select("_text", "n", "length", F.explode("words").alias("term"))
+        counted = rows.groupBy("_text", "n", "length", "term").agg(F.count("*").cast("int").alias("tf"))
         return counted.withColumn("tier", tier(F.col("length"))).withColumn("bucket", self._bucket(F.col("term")))
 
     def _write(self, rows: DataFrame, name: str, segment: int, order: list[str]) -> DataFrame:
         """Rows by bucket; AQE splits a bucket that is large."""
         path = f"{self.path}/{name}/segment={segment}"
-        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        return self._stored(rows.hint("rebalance", "bucket"), path, order)
+
+    def _stored(self, rows: DataFrame, path: str, order: list[str]) -> DataFrame:
+        rows.sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def _current(self) -> DataFrame:
+        """Key, time and text of the documents as they are now: of each key the last segment's."""
+        rows = self._table("docs").select(self.key, "observed_at", "_text", "segment")
+        if len(self._known) > 1:
+            later = Window.partitionBy(self.key).orderBy(F.desc("segment"))
+            rows = rows.withColumn("_after", F.lag(F.lit(1)).over(later)).where("_after is null").drop("_after")
+        return rows.drop("segment")
+
     def write(self, incoming: DataFrame) -> int:
         """Takes in new documents and newer observations of known ones, and skips the rest. Gives the number of the segment."""
         known = self._known = self.commits()
         segment = max(known, default=-1) + 1
         newest = Window.partitionBy(self.key).orderBy(F.col("observed_at").desc_nulls_last(), *self.text)
-        incoming = incoming.where(F.col(self.key).isNotNull()).withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn")
+        # a row without one before it is its key's newest; told this way, rows are sorted once, behind the shuffle
+        rows = incoming.where(F.col(self.key).isNotNull()).withColumn("_before", F.lag(F.lit(1)).over(newest)).where("_before is null").drop("_before")
         if known:
-            current = self.documents()
-            actions = index_writes(current.select(self.key, "observed_at"), incoming, self.key).where("action <> 'skip'")
-            rows = incoming.join(actions, self.key)
+            rows = planned_writes(self._current(), rows, self.key, ["_text"]).where("action <> 'skip'").withColumnRenamed("_text", "_was")
         else:
-            rows = incoming.withColumn("action", F.lit("add"))
-        docs = self._write(rows.withColumn("bucket", self._bucket(F.col(self.key))), "docs", segment, [self.key])
-        replaced = docs.where("action = 'replace'").select(F.col(self.key).cast("string").alias("doc"))
+            rows = rows.withColumns({"_was": F.lit(None).cast("binary"), "action": F.lit("add")})
+        rows = rows.withColumn("_text", digest(self._said()))
+        # as they come, by key: each task writes a file to each bucket, so that they aren't shuffled twice
+        docs = self._stored(rows.withColumn("bucket", self._bucket(F.hex("_text"))), f"{self.path}/docs/segment={segment}", ["_text", self.key])
+        replaced = docs.where("action = 'replace'").select(F.col(self.key).cast("string").alias("doc"), F.col("_was").alias("_text"))
         replaced.write.mode("overwrite").parquet(f"{self.path}/dead/segment={segment}")
-        postings = self._write(self._postings_of(docs), "postings", segment, ["term", "tier", "doc"])
-        stats = postings.select("term", "tier", "bucket", F.lit(1).alias("one"), (F.col("tf") / F.col("length")).alias("share"))
+        postings = self._write(self._postings_of(docs), "postings", segment, ["term", "tier", "_text"])
+        stats = postings.select("term", "tier", "bucket", F.col("n").alias("more"), (F.col("tf") / F.col("length")).alias("share"))
         if known:
-            before = current.join(replaced, F.col(self.key) == F.col("doc"), "left_semi")
-            stats = stats.unionByName(self._postings_of(before).select("term", "tier", "bucket", F.lit(-1).alias("one"), F.lit(0.0).alias("share")))
-        self._write(stats.groupBy("term", "tier", "bucket").agg(F.sum("one").alias("df"), F.max("share").alias("impact")), "stats", segment, ["term", "tier"])
+            gone = replaced.groupBy("_text").agg(F.count("*").alias("gone"))
+            of = self._table("postings").select("_text", "term", "tier", "bucket").distinct()
+            stats = stats.unionByName(of.join(gone, "_text").select("term", "tier", "bucket", (-F.col("gone")).alias("more"), F.lit(0.0).alias("share")))
+        self._write(stats.groupBy("term", "tier", "bucket").agg(F.sum("more").alias("df"), F.max("share").alias("impact")), "stats", segment, ["term", "tier"])
         added = docs.where("action = 'add'").agg(F.count("*").alias("added"))
         added.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/segment={segment}")
         self._known = self.commits()
@@ -160,17 +193,21 @@ class OfferIndex:
                 rows = self.scored(terms, weights, now_read).where(reject_reason(now, seconds).isNull())
                 rows = rows.orderBy(F.desc("text_rank"), F.col("observed_at").desc_nulls_last(), "doc").limit(limit).collect()
                 newest_first = lambda r: -r[2].timestamp() if r[2] is not None else math.inf
-                found = sorted([*found, *[(r.doc, r.text_rank, r.observed_at) for r in rows]], key=lambda r: (-r[1], newest_first(r), r[0]))[:limit]
-        places = self.spark.createDataFrame([(doc, rank, i) for i, (doc, rank, _) in enumerate(found)], "_doc string, text_rank double, place int")
-        docs = self._table("docs").where(F.col("bucket").isin(self._buckets_of([d for d, *_ in found])) & F.col(self.key).isin([d for d, *_ in found]))
-        hits = self._alive(docs, self.key).join(F.broadcast(places), F.col(self.key) == F.col("_doc"))  # `limit` rows at most
-        return hits.drop("_doc", "action", "bucket", "segment").withColumns({"exact_match": F.lit(False), "match_confidence": F.lit(0.0)})
+                found = sorted([*found, *[(r.doc, r.text_rank, r.observed_at, r.bucket) for r in rows]], key=lambda r: (-r[1], newest_first(r), r[0]))[:limit]
+        places = self.spark.createDataFrame([(doc, rank, i) for i, (doc, rank, *_) in enumerate(found)], "_doc string, text_rank double, place int")
+        docs = self._table("docs").where(F.col("bucket").isin(sorted({b for *_, b in found})) & F.col(self.key).isin([d for d, *_ in found]))
+        hits = self._alive(docs).join(F.broadcast(places), F.col(self.key) == F.col("_doc"))  # `limit` rows at most
+        return hits.drop("_doc", "action", "bucket", "segment", *_OWN).withColumns({"exact_match": F.lit(False), "match_confidence": F.lit(0.0)})
 
     def scored(self, terms: list[str], weights: dict[str, int], tiers: list[int]) -> DataFrame:
-        """doc, observed_at, text_rank of the documents of these tiers that have all terms. Keys are partly summed before they are shuffled."""
+        """doc, observed_at, bucket, text_rank of the documents of these tiers that have all terms: a rank for each text, then the texts' documents."""
         weight = F.coalesce(*[F.when(F.col("term") == t, F.lit(w)) for t, w in weights.items()])
-        rows = self.postings(terms, tiers).groupBy("doc", "length", "observed_at").agg(F.count("*").alias("n"), F.sum(F.col("tf") * weight).alias("points"))
-        return rows.where(F.col("n") == len(terms)).select("doc", "observed_at", (F.col("points") / F.col("length")).alias("text_rank"))
+        rows = self.postings(terms, tiers).select("_text", "length", "term", "tf")
+        rows = (rows.distinct() if len(self._known) > 1 else rows).groupBy("_text", "length").agg(F.count("*").alias("n"), F.sum(F.col("tf") * weight).alias("points"))
+        texts = rows.where(F.col("n") == len(terms)).select("_text", (F.col("points") / F.col("length")).alias("text_rank"))
+        buckets = [r.bucket for r in texts.select(self._bucket(F.hex("_text")).alias("bucket")).distinct().collect()]  # `buckets` numbers at most
+        docs = self._alive(self._table("docs").where(F.col("bucket").isin(buckets)).select(self.key, "observed_at", "_text", "segment", "bucket"), texts)
+        return docs.join(texts, "_text").select(F.col(self.key).cast("string").alias("doc"), "observed_at", "bucket", "text_rank")
 
     def compact(self, path: str) -> OfferIndex:
         """The same documents as an index of one segment in another folder."""
