@@ -79,6 +79,23 @@ def test_a_search_reads_the_buckets_of_its_words(spark, tmp_path):  # noqa: ANN0
     assert len(got) == 3 and sum(map(len, reads)) < len(index.stats(["128gb"])["128gb"])
 
 
+def test_documents_of_one_text_share_its_postings(spark, tmp_path):  # noqa: ANN001
+    index = OfferIndex(spark, str(tmp_path / "index"), buckets=4)
+    index.write(docs(spark, [(f"o{i}", f"red widget {i % 2}", "b", NOW) for i in range(100)]))
+    assert sorted((r.n, r.tf) for r in index.postings(["red"]).collect()) == [(50, 1), (50, 1)]
+    assert index.stats(["red", "0"]) == {"red": {4: (100, 0.25)}, "0": {4: (50, 0.25)}}
+    assert len(searched(index, "red 1", 100)) == 50
+
+
+def test_a_write_over_another_counts_texts_not_documents(spark, tmp_path):  # noqa: ANN001
+    index = OfferIndex(spark, str(tmp_path / "index"), buckets=4)
+    for text, at in (("red widget", "2000-01-01 00:00:00"), ("blue widget", "2000-01-02 00:00:00"), ("late widget", "2000-01-01 12:00:00"), ("red widget", "2000-01-03 00:00:00")):
+        index.write(docs(spark, [(f"o{i}", text, None, at) for i in range(60)]))
+    assert sorted((r.segment, r.n) for r in index.postings(["widget"]).collect()) == [(0, 60), (1, 60), (3, 60)]
+    assert {t: {k: n for k, (n, _) in of.items()} for t, of in index.stats(["red", "blue", "late"]).items()} == {"red": {2: 60}, "blue": {}, "late": {}}
+    assert [len(searched(index, q, 100)) for q in ("red", "blue", "late")] == [60, 0, 0] and index.documents().count() == 60
+
+
 def test_no_index_is_an_error(spark, tmp_path):  # noqa: ANN001
     with pytest.raises(ValueError, match="no index"):
         OfferIndex(spark, str(tmp_path / "none")).search("red", NOW, 1e9, 5)
