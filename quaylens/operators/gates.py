@@ -103,11 +103,10 @@ def canary(offers: DataFrame, by: str, order: list[str], least: int = 1, most: i
     return out.withColumn("validity", validity).withColumn("passed", (F.col("sampled") >= least) & (F.col("validity") >= CANARY_SHARE))
 
 
-def limited_ingest(results: DataFrame, by: str, order: list[str], most: int = LIMITED_BATCH) -> DataFrame:
-    """attempted, saved, failed and passed of each source's first ingest, which tries its first `most` offers by `order`, as a canary does. results: one row per offer, with `recorded` (null: it isn't)."""
-    first = results.withColumn("_place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_place") <= min(LIMITED_BATCH, most))
+def limited_ingest(results: DataFrame, by: str) -> DataFrame:
+    """attempted, saved, failed and passed of each source's first ingest. results: one row per offer tried, with `recorded` (null: it isn't)."""
     saved = F.coalesce("recorded", F.lit(False))
-    out = first.groupBy(by).agg(F.count("*").alias("attempted"), F.count_if(saved).alias("saved"), F.count_if(~saved).alias("failed"))
+    out = results.groupBy(by).agg(F.count("*").alias("attempted"), F.count_if(saved).alias("saved"), F.count_if(~saved).alias("failed"))
     return out.withColumn("passed", (F.col("attempted") > 0) & (F.col("failed") == 0))
 
 

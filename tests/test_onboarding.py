@@ -7,6 +7,7 @@ import random
 import pytest
 
 from quaylens.operators import coverage as cov
+from quaylens.operators import gates as gt
 from quaylens.operators import onboarding as ob
 
 PRODUCT = "source string, source_product_id string, title string, price double, currency string, product_url string, sku string, capacity string, size string, concentration string, edition string, condition string, price_label string, price_text string, variant_key string, n int"
@@ -87,3 +88,9 @@ def test_registry_entries(spark):  # noqa: ANN001
     df = spark.createDataFrame([("s", "n", "SA", "SA", "SAR", None, 3, "", "a")], "source_id string, name string, country string, market string, currency string, platform string, profile_version int, primary_strategy string, adapter string")
     r = ob.registry_entries(df).first()
     assert (r.platform, r.priority, r.health_status, r.enabled, r.missing) == ("unknown", 100, "HEALTHY", False, ["primary_strategy"])
+
+
+def test_a_first_ingest_counts_every_offer(spark):  # noqa: ANN001
+    rows = spark.range(450).selectExpr("concat('m', id % 2) AS merchant", "case when id = 449 then null else id <> 448 end AS recorded")
+    got = {r.merchant: (r.attempted, r.saved, r.failed, r.passed) for r in gt.limited_ingest(rows, "merchant").collect()}
+    assert got == {"m0": (225, 224, 1, False), "m1": (225, 224, 1, False)}
