@@ -61,8 +61,8 @@ def names_sku(address: Column, sku: Column) -> Column:
 def link_health(links: DataFrame, answers: DataFrame, hosts: tuple[str, ...], redirects: int = 3) -> DataFrame:
     """Adds link_status and final_url to links (address, sku): where each leads by the recorded answers (see ANSWERS), followed for at most `redirects` (5 at most).
 
-    Each redirect is one equi-join of the links that are still open with the answers; those that are settled pass by, so the
-    joins shrink. Every address on the way must be the merchant's and name the SKU. GET counts where HEAD is refused.
+    Each redirect is one equi-join with the answers, both sides by address: short texts that many rows share look small to the planner, so
+    the answers are never sent whole to each task. A settled link goes where its address does, so that none gather under null. Every address on the way must be the merchant's and name the SKU. GET counts where HEAD is refused.
     """
     most = max(0, min(MOST_REDIRECTS, redirects))
     status = F.when(F.col("head_status").isin(*HEAD_REFUSED), F.struct(F.col("get_status").alias("code"), F.col("get_location").alias("location"))).otherwise(F.struct(F.col("head_status").alias("code"), F.col("head_location").alias("location")))
@@ -71,8 +71,8 @@ def link_health(links: DataFrame, answers: DataFrame, hosts: tuple[str, ...], re
     rows = rows.withColumn("link_status", F.when(F.col("_now").isNull(), "INVALID_URL"))
     for hop in range(most + 1):
         now, code = F.col("_now"), F.col("_got.code")
-        open_at = F.when(F.col("link_status").isNull(), now)
-        rows = rows.withColumn("_open", open_at).join(known, F.col("_open") == F.col("_at"), "left")
+        rows = rows.withColumns({"_open": F.when(F.col("link_status").isNull(), now), "_by": F.coalesce(now, F.xxhash64(*links.columns).cast("string"))})
+        rows = rows.join(known.hint("merge"), F.col("_by") == F.col("_at"), "left")
         target = store_address(F.col("_got.location"), hosts, now)
         moved = code.isin(*REDIRECTS)
         settled = (
@@ -92,7 +92,7 @@ def link_health(links: DataFrame, answers: DataFrame, hosts: tuple[str, ...], re
                 "_seen": F.when(F.col("_open").isNull(), F.col("_seen")).otherwise(F.concat("_seen", F.array("_now"))),
                 "_now": F.when(F.col("_open").isNotNull() & moved & settled.isNull(), target).otherwise(now),
             }
-        ).drop("_open", "_at", "_got")
+        ).drop("_open", "_by", "_at", "_got")
     return rows.withColumn("final_url", F.when(F.col("link_status") == "OK", F.col("_now"))).drop("_now", "_seen")
 
 

@@ -134,3 +134,12 @@ def test_links_to_products(spark):  # noqa: ANN001
     assert [p for p, *_ in got] == list(range(1, 7))
     assert product_links(pages, "", "/p/", 2).count() == 2
     assert product_links(pages.limit(0), "red", "/p/").count() == 0
+
+
+def test_answers_are_never_sent_whole_to_each_task(spark):  # noqa: ANN001
+    links = spark.range(20).selectExpr("id", "case when id % 4 > 0 then concat('https://shop.example.com/p/SKU', id) end AS address", "concat('SKU', id) AS sku")
+    answers = links.selectExpr("address", "200 AS head_status", "cast(null AS string) AS head_location", "cast(null AS int) AS get_status", "cast(null AS string) AS get_location")
+    out = ad.link_health(links, answers, ("shop.example.com",))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.link_status: r["count"] for r in out.groupBy("link_status").count().collect()}
+    assert got == {"INVALID_URL": 5, "SKU_HINT_MISMATCH": 7, "OK": 8} or got == {"INVALID_URL": 5, "OK": 15}
