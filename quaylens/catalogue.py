@@ -62,7 +62,8 @@ class Catalogue:
         """Recalls fresh offers that have the query's words, and keeps those that fit what it asks for."""
         intent = matching.parse_intent(query, self.categories, self.colors)
         hits = self.index.search(query, now, seconds, min(limit, RECALLED)).drop("text_rank", "place")
-        return Found(intent, matching.admit(op.newest(hits, self.identity, ["offer_id"]), intent))
+        # few rows, so each is read by itself
+        return Found(intent, matching.assess(op.newest(hits, self.identity, ["offer_id"]), intent).where(matching.admitted(intent)))
 
     def audit(self, by: str = "provider") -> DataFrame:
         """raw = accepted + rejected + duplicates of each source, over the catalogue as it is."""

@@ -7,6 +7,7 @@ the same expressions run on columns of intents.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -499,22 +500,56 @@ def admitted(intent: Intent) -> Column:
     return (F.col("query_score") >= FLOOR) | ((F.lit(len(wanted)) > 0) & (hits >= (1 if len(wanted) == 1 else 2)))
 
 
+#: what an offer's path is read from, whatever its host and parameters
+_PATH = r"^https?://[^/?#]+(/[^?#]*)"
+
+
+def by_text(offers: DataFrame, intent: Intent, add: Callable[[DataFrame, Intent], DataFrame]) -> DataFrame:
+    """`add(offers, intent)`, one of the functions above, worked out once for each text that offers share and joined back to them.
+
+    The texts are all that is read of an offer: title, brand, category, condition and the address's path; for consoles and games also the
+    storage, the model number and the whole address. Reading costs far more than the join. `add` adds columns and keeps all rows.
+    """
+    names = ("title", "brand", "category", "condition", *(("storage", "model_number", "source_url") if intent.kind else ()))
+    read = {c: F.col(c) for c in names if c in offers.columns}
+    if "source_url" in offers.columns and not intent.kind:
+        read["source_url"] = F.concat(F.lit("https://x"), F.regexp_extract("source_url", _PATH, 1))
+    made = add(offers.select(*[c.alias(n) for n, c in read.items()]).distinct(), intent)
+    new = [c for c in made.columns if c not in read]
+
+    def keys(columns: list[Column]) -> dict[str, Column]:
+        absent = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in columns])
+        return {"_said": F.xxhash64(absent, *columns), "_check": F.xxhash64(F.lit("check"), absent, *columns)}
+
+    # exploded, so that a filter on a result isn't moved below it, where each mention of a column works out all that is behind it again
+    found = made.withColumns(keys([F.col(c) for c in read])).select("_said", "_check", F.explode(F.array(F.struct(*new))).alias("_made")).select("_said", "_check", "_made.*")
+    return offers.drop(*new).withColumns(keys(list(read.values()))).join(found, ["_said", "_check"]).drop("_said", "_check")
+
+
+def _admission(offers: DataFrame, intent: Intent) -> DataFrame:
+    return assess(offers, intent).withColumn("_admitted", admitted(intent))
+
+
 def admit(offers: DataFrame, intent: Intent) -> DataFrame:
-    return assess(offers, intent).where(admitted(intent))
+    return by_text(offers, intent, _admission).where("_admitted").drop("_admitted")
 
 
 def retain_acquired(offers: DataFrame, intent: Intent) -> DataFrame:
     """Offers of a source to keep: those that fit, and for a query with a model also admissible ones that contradict neither model nor capacity."""
-    out = reasons(offers, intent)
-    fits = F.col("reasons") == ""
-    if intent.model:
-        fits = fits | (~F.col("reasons").rlike("model_conflict|capacity_conflict") & admitted(intent))
-    return out.where(fits)
+
+    def kept(rows: DataFrame, intent: Intent) -> DataFrame:
+        fits = F.col("reasons") == ""
+        if intent.model:
+            fits = fits | (~F.col("reasons").rlike("model_conflict|capacity_conflict") & admitted(intent))
+        return reasons(rows, intent).withColumn("_kept", fits)
+
+    return by_text(offers, intent, kept).where("_kept").drop("_kept")
 
 
 def retain_related(offers: DataFrame, intent: Intent, identity: list[str]) -> DataFrame:
     """The newest offer of each identity, scored and admitted; in order of score (a sort over ranges, of what is left)."""
-    return admit(newest(offers, identity, ["offer_id"]), intent).orderBy(F.desc("query_score"), F.col("product_price").asc_nulls_last(), "offer_id")
+    scored = by_text(offers, intent, _admission)
+    return newest(scored, identity, ["offer_id"]).where("_admitted").drop("_admitted").orderBy(F.desc("query_score"), F.col("product_price").asc_nulls_last(), "offer_id")
 
 
 def simple_score(query: str, text: Column) -> Column:
