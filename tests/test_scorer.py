@@ -106,3 +106,21 @@ def test_empty_table_and_ties(spark):  # noqa: ANN001
     assert matching.assess(rows, matching.parse_intent("ps5 slim")).count() == 0
     twice = spark.createDataFrame([("Office chair", "a", "furniture", "new", None, 1.0, "not an address", None, None)] * 2, DDL)
     assert [r.query_score for r in matching.assess(twice, matching.parse_intent("office chair")).collect()] == [1.0, 1.0]
+
+
+def test_offers_of_one_text_are_read_once(spark):  # noqa: ANN001
+    rows = spark.range(60).selectExpr(
+        "cast(id AS string) AS offer_id", "case when id % 5 = 4 then null else concat('red widget ', id % 3) end AS title", "case when id % 5 = 3 then null else 'red' end AS brand",
+        "'widget' AS category", "case when id % 2 = 0 then 'new' else 'used' end AS condition", "concat('https://s', id, '.example.com/p/', id % 4, '?v=', id) AS source_url",
+        "cast(id AS double) AS product_price", "'live' AS data_kind", "cast(id AS timestamp) AS observed_at", "id % 7 AS product_id",
+    )
+    intent = matching.parse_intent("new red widget", ("widget",), ("red",))
+    each = matching.assess(rows, intent).where(matching.admitted(intent))
+    admitted = matching.admit(rows, intent)
+    assert admitted.columns == each.columns and sorted(map(repr, admitted.collect())) == sorted(map(repr, each.collect()))
+    fits = matching.reasons(rows, intent).where("reasons = ''")
+    acquired = matching.retain_acquired(rows, intent)
+    assert acquired.columns == fits.columns and sorted(map(repr, acquired.collect())) == sorted(map(repr, fits.collect()))
+    # a filter on the result stays above the reading
+    plan = acquired._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("Generate explode")
