@@ -142,4 +142,4 @@ def test_answers_are_never_sent_whole_to_each_task(spark):  # noqa: ANN001
     out = ad.link_health(links, answers, ("shop.example.com",))
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     got = {r.link_status: r["count"] for r in out.groupBy("link_status").count().collect()}
-    assert got == {"INVALID_URL": 5, "SKU_HINT_MISMATCH": 7, "OK": 8} or got == {"INVALID_URL": 5, "OK": 15}
+    assert got == {"INVALID_URL": 5, "OK": 15}
