@@ -213,11 +213,11 @@ _WAYS = ["jsonld", "embedded_json", "hydrated_state", "storefront_data", "meta",
 )
 def page_candidates(spark: SparkSession, d: str) -> DataFrame:
     html = "case p_partkey % 8 " + " ".join(f"when {i} then {k}" for i, k in enumerate(_KINDS)) + " end"
-    parts = table(spark, d, "part").withColumn("price", F.floor("p_retailprice").cast("string"))
+    # a file of parts is small, and its pages aren't: parts are dealt out before pages are made of them
+    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", F.floor("p_retailprice").cast("string").alias("price"))
+    parts = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
     pages = parts.selectExpr("p_partkey AS page_id", f"{html} AS html", "case when p_partkey % 8 = 3 then concat('SKU', p_partkey) end AS expected_sku")
-    every = ex.page_candidates(pages)
-    owns = ex.owner(every).select("page_id", "strategy", F.lit(True).alias("owns"))
-    return every.join(owns, ["page_id", "strategy"], "left").select("page_id", "strategy", "price", "refused", "confidence", F.coalesce("owns", F.lit(False)).alias("owns"))
+    return ex.owned(ex.page_candidates(pages)).select("page_id", "strategy", "price", "refused", "confidence", "owns")
 
 
 # passes in pages
