@@ -38,7 +38,11 @@ def tokens(text: Column) -> Column:
 
 def token_similarity(a: Column, b: Column) -> Column:
     """Shared distinct tokens over those of the larger set; 0 if either has none."""
-    x, y = F.array_distinct(a), F.array_distinct(b)
+    return distinct_similarity(F.array_distinct(a), F.array_distinct(b))
+
+
+def distinct_similarity(x: Column, y: Column) -> Column:
+    """`token_similarity` of tokens that don't repeat."""
     larger = F.greatest(F.size(x), F.size(y))
     return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / larger)
 

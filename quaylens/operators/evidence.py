@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaylens.functions.text import plain_text, token_similarity, tokens
+from quaylens.functions.text import distinct_similarity, plain_text, token_similarity, tokens
 
 # How far each way of extraction is trusted, in general and by field.
 GENERAL = {"jsonld": 1.0, "domain_adapter": 0.99, "embedded_json": 0.97, "storefront_data": 0.96, "hydrated_state": 0.94, "meta": 0.75}
@@ -65,19 +65,23 @@ def pairs(candidates: DataFrame, columns: list[str]) -> DataFrame:
 def prepared(candidates: DataFrame) -> DataFrame:
     """`candidates` with the words of their names and the plain forms of their identifiers, once a candidate and not once a pair."""
     words = F.array_distinct(tokens(F.col("name")))
-    plain = {f"{c}_plain": plain_text(F.col(c)) for c in ("gtin", "sku", "model") if c in candidates.columns}
+    plain = {f"{c}_plain": plain_text(F.col(c)) for c in ("name", "gtin", "sku", "model") if c in candidates.columns}
     return candidates.withColumns({"words": words, "long_words": F.filter(words, lambda t: F.length(t) > 1), **plain})
 
 
 def conflicts(candidates: DataFrame) -> DataFrame:
     """Where two candidates of a product disagree: prices of one currency by 3 % or more, availabilities, names with less than 0.45 in common."""
     p = pairs(prepared(candidates), ["candidate_id", "price", "currency", "availability", "words"])
+    one_currency = F.col("currency_a") == F.col("currency_b")
     gap = F.abs(F.col("price_a") - F.col("price_b")) / F.greatest(F.abs("price_a"), F.abs("price_b"), F.lit(1.0))
-    price = F.when((F.col("currency_a") == F.col("currency_b")) & (gap >= 0.03), F.struct(F.lit("price").alias("field"), F.when(gap >= 0.15, "high").otherwise("medium").alias("severity"), gap.alias("measure")))
-    stock = F.when((F.col("currency_a") == F.col("currency_b")) & (F.col("availability_a") != F.col("availability_b")), F.struct(F.lit("availability").alias("field"), F.lit("medium").alias("severity"), F.lit(1.0).alias("measure")))
-    shared = token_similarity(F.col("words_a"), F.col("words_b"))
-    name = F.when(F.col("words_a").isNotNull() & F.col("words_b").isNotNull() & (shared < 0.45), F.struct(F.lit("name").alias("field"), F.when(shared < 0.2, "high").otherwise("medium").alias("severity"), shared.alias("measure")))
-    return p.select("product_id", "candidate_id_a", "candidate_id_b", F.explode(F.array_compact(F.array(price, stock, name))).alias("c")).select("product_id", "candidate_id_a", "candidate_id_b", "c.*")
+    # one step a projection, so that nothing is worked out twice; equal names have everything in common unless they have no word
+    alike = (F.col("words_a") == F.col("words_b")) & (F.size("words_a") > 0)
+    p = p.withColumns({"_gap": F.when(one_currency, gap), "_stock": one_currency & (F.col("availability_a") != F.col("availability_b")), "_shared": F.when(~alike, distinct_similarity(F.col("words_a"), F.col("words_b")))})
+    p = p.where("_gap >= 0.03 or _stock or _shared < 0.45")
+    price = F.when(F.col("_gap") >= 0.03, F.struct(F.lit("price").alias("field"), F.when(F.col("_gap") >= 0.15, "high").otherwise("medium").alias("severity"), F.col("_gap").alias("measure")))
+    stock = F.when(F.col("_stock"), F.struct(F.lit("availability").alias("field"), F.lit("medium").alias("severity"), F.lit(1.0).alias("measure")))
+    name = F.when(F.col("_shared") < 0.45, F.struct(F.lit("name").alias("field"), F.when(F.col("_shared") < 0.2, "high").otherwise("medium").alias("severity"), F.col("_shared").alias("measure")))
+    return p.select("product_id", "candidate_id_a", "candidate_id_b", F.explode(F.array(price, stock, name)).alias("c")).where("c is not null").select("product_id", "candidate_id_a", "candidate_id_b", "c.*")
 
 
 #: what `identity_verdict` needs of both sides
@@ -98,7 +102,8 @@ def identity_verdict(p: DataFrame) -> DataFrame:
     def longer(side: str) -> Column:
         return F.col(f"long_words_{side}") if f"long_words_{side}" in p.columns else F.filter(tokens(F.col(f"name_{side}")), lambda t: F.length(t) > 1)
 
-    shared = F.when(longer("a").isNotNull() & longer("b").isNotNull(), token_similarity(longer("a"), longer("b")))
+    alike = distinct_similarity if {"long_words_a", "long_words_b"} <= set(p.columns) else token_similarity
+    shared = F.when(longer("a").isNotNull() & longer("b").isNotNull(), alike(longer("a"), longer("b")))
     out = p.withColumns({"_g": evidence("gtin", 0.45), "_s": evidence("sku", 0.35), "_m": evidence("model", 0.22), "_t": shared})
     out = out.withColumn("_b", F.when(F.col("brand_a") == F.col("brand_b"), 0.12).when(F.col("brand_a") != F.col("brand_b"), -0.22).otherwise(0.0))
     title = F.when(F.col("_t") >= 0.75, 0.16).when(F.col("_t") >= 0.45, 0.06).when(F.col("_t") < 0.2, -0.28).otherwise(0.0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quaylens.functions.text import normalize_condition, plain_text
 from quaylens.functions.urls import host
-from quaylens.operators.evidence import identity_verdict
+from quaylens.operators.evidence import PREPARED_COLUMNS, identity_verdict, prepared
 
 # Bounds of an ingest batch, of a first limited ingest and of its sample, and how far ahead a clock may be.
 INGEST_BATCH, LIMITED_BATCH, CANARY_SHARE, AHEAD_SECONDS = 500, 200, 0.99, 60
@@ -202,21 +202,30 @@ def shared_model_evidence(offers: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("shared_model", (F.col("merchants") >= 2) & (F.col("_low") == F.col("_high")) & (F.col("_low") != "")).drop("_low", "_high")
 
 
+def listing(candidates: DataFrame) -> DataFrame:
+    """`candidates` prepared for pairs of listings: what `same_offer` reads of one side, once a candidate and not once a pair; site is null where the address isn't https or holds credentials."""
+    url = F.col("source_url")
+    site = F.concat(host(F.lower(url)), F.regexp_replace(F.regexp_extract(url, r"^https://[^/?#]+([^?#]*)", 1), "/+$", ""))
+    out = prepared(candidates).withColumn("site", F.when(url.rlike("^https://[^/@]+(/|$)"), site))
+    return out.withColumn("brand_plain", plain_text(F.col("brand")))
+
+
+#: what `same_offer` needs of both sides
+LISTING_COLUMNS = [*PREPARED_COLUMNS, "site", "brand_plain", "name_plain"]
+
+
 def same_offer(pairs: DataFrame) -> DataFrame:
     """Adds same_offer to pairs of listings: one address (host and path), and identities that agree by an identifier or by the title.
 
-    pairs: source_url_a and _b, and gtin, sku, model, brand and name of both sides.
+    pairs: LISTING_COLUMNS of both sides, as `listing` makes them.
     """
-    site = lambda s: F.concat(host(F.lower(F.col(f"source_url_{s}"))), F.regexp_replace(F.regexp_extract(f"source_url_{s}", r"^https://[^/?#]+([^?#]*)", 1), "/+$", ""))
-    secure = lambda s: F.col(f"source_url_{s}").rlike("^https://[^/@]+(/|$)")
-    plain = lambda c, s: plain_text(F.col(f"{c}_{s}"))
-    agrees = lambda c: F.coalesce((plain(c, "a") == plain(c, "b")) & (plain(c, "a") != ""), F.lit(False))
-    differs = lambda c: F.coalesce((plain(c, "a") != plain(c, "b")) & (plain(c, "a") != "") & (plain(c, "b") != ""), F.lit(False))
+    a, b = (lambda c: F.col(f"{c}_plain_a")), (lambda c: F.col(f"{c}_plain_b"))
+    agrees = lambda c: F.coalesce((a(c) == b(c)) & (a(c) != ""), F.lit(False))
+    differs = lambda c: F.coalesce((a(c) != b(c)) & (a(c) != "") & (b(c) != ""), F.lit(False))
     known = agrees("sku") | agrees("gtin") | agrees("model")
     conflict = differs("sku") | differs("gtin") | differs("model") | differs("brand")
-    out = identity_verdict(pairs)
-    listing = F.coalesce(secure("a") & secure("b") & (site("a") == site("b")), F.lit(False))
-    return out.withColumn("same_offer", listing & ~conflict & F.col("verdict").isin("same", "likely_same") & (known | agrees("name")))
+    at_one = F.coalesce(F.col("site_a") == F.col("site_b"), F.lit(False))
+    return identity_verdict(pairs).withColumn("same_offer", at_one & ~conflict & F.col("verdict").isin("same", "likely_same") & (known | agrees("name")))
 
 
 def select_variant(offers: DataFrame, requests: DataFrame) -> DataFrame:

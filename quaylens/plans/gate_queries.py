@@ -15,6 +15,7 @@ from quaylens.plans.catalog_queries import CATEGORIES, COLORS
 from quaylens.plans.evidence_queries import _TOK, _verdict_sql
 from quaylens.plans.registry import query
 from quaylens.schema import OFFERS_NOW
+from quaylens.sources.storage import work_folder, written
 from quaylens.sources.views import CANDIDATES_SQL, OBSERVATIONS_SQL, OFFERS_SQL, candidates, observations, offers, table
 
 
@@ -155,9 +156,12 @@ def shared_model(spark: SparkSession, d: str) -> DataFrame:
     SELECT candidate_id_a, candidate_id_b, split_part(candidate_id_a, '-', 3) = split_part(candidate_id_b, '-', 3) AND verdict IN ('same', 'likely_same') AND NOT coalesce(ga <> gb, false) AND NOT coalesce(sa <> sb, false) AND NOT coalesce(ma <> mb, false) AND ba = bb AND (coalesce(ga = gb, false) OR coalesce(sa = sb, false) OR coalesce(ma = mb, false) OR coalesce(lower(na) = lower(nb), false)) AS same_offer FROM v""",
 )
 def same_offer(spark: SparkSession, d: str) -> DataFrame:
-    c = candidates(spark, d).withColumn("n", F.split_part("candidate_id", F.lit("-"), F.lit(2)).cast("int"))
-    c = c.withColumn("source_url", F.expr("concat('https://', case when n % 2 = 0 then 'www.' else '' end, 'Shop.example.com/p/', split_part(candidate_id, '-', 3), case when n % 3 = 0 then '/' else '' end, '?v=', n)"))
-    p = ev.pairs(c, ["candidate_id", "source_url", *ev.IDENTITY_COLUMNS])
+    part = lambda i: f"substring_index(substring_index(candidate_id, '-', {i}), '-', -1)"
+    c = candidates(spark, d).withColumn("n", F.expr(part(2)).cast("int"))
+    c = c.withColumn("source_url", F.expr(f"concat('https://', case when n % 2 = 0 then 'www.' else '' end, 'Shop.example.com/p/', {part(3)}, case when n % 3 = 0 then '/' else '' end, '?v=', n)"))
+    # written, so that both sides of the pairs read it and share one shuffle
+    made = written(gt.listing(c).select("product_id", *gt.LISTING_COLUMNS), work_folder(spark, "listings"))
+    p = ev.pairs(made, gt.LISTING_COLUMNS)
     return gt.same_offer(p).select("candidate_id_a", "candidate_id_b", "same_offer")
 
 

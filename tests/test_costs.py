@@ -15,3 +15,8 @@ def above_join(text):  # noqa: ANN001, ANN201
 
 def test_pages_are_parsed_once(spark, data):  # noqa: ANN001
     assert plan(spark, data, "q_page_candidates").count("PageCandidates(") == 1
+
+
+def test_listings_are_made_plain_before_they_meet(spark, data):  # noqa: ANN001
+    above = above_join(plan(spark, data, "q_same_offer"))
+    assert "site_a" in above and "regexp" not in above.lower() and "lower(" not in above
