@@ -20,3 +20,12 @@ def test_pages_are_parsed_once(spark, data):  # noqa: ANN001
 def test_listings_are_made_plain_before_they_meet(spark, data):  # noqa: ANN001
     above = above_join(plan(spark, data, "q_same_offer"))
     assert "site_a" in above and "regexp" not in above.lower() and "lower(" not in above
+
+
+def test_words_are_compared_once_a_pair(spark, data):  # noqa: ANN001
+    above = above_join(plan(spark, data, "q_conflicts"))
+    assert above.count("array_intersect") == 1 and "array_distinct" not in above
+
+
+def test_a_summary_gathers_no_fields(spark, data):  # noqa: ANN001
+    assert "collect_set" not in plan(spark, data, "q_conflict_summary")
