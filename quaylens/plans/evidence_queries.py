@@ -79,7 +79,7 @@ def conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_conflict_summary", f"{_CONFLICTS} SELECT product_id, count(*) AS conflicts, count(*) FILTER (severity = 'high') AS high, string_agg(DISTINCT field, ',' ORDER BY field) AS fields FROM c GROUP BY product_id")
 def conflict_summary(spark: SparkSession, d: str) -> DataFrame:
-    fields = F.array_join(F.array_sort(F.collect_set("field")), ",")
+    fields = F.concat_ws(",", *[F.when(F.bool_or(F.col("field") == f), f) for f in ("availability", "name", "price")])
     return ev.conflicts(candidates(spark, d)).groupBy("product_id").agg(F.count("*").alias("conflicts"), F.count_if(F.col("severity") == "high").alias("high"), fields.alias("fields"))
 
 
