@@ -19,11 +19,19 @@ def _rest(url: Column, pattern: str) -> tuple[Column, Column]:
 
 def canonical_url(url: Column) -> Column:
     """https only and without credentials; lower-case host without www, no trailing slashes, fragment or tracking. Null for anything else."""
+    once = lambda value, then: F.get(F.transform(F.array(value), then), 0)  # noqa: E731  a value that is used several times is worked out once
+
+    def whole(p: Column) -> Column:
+        path = F.when(p["path"] == "", "/").otherwise(p["path"])
+        return F.when(p["host"] != "", F.concat(F.lit("https://"), p["host"], path, F.when(p["query"] == "", "").otherwise(F.concat(F.lit("?"), p["query"]))))
+
+    def parts(r: Column) -> Column:
+        host = F.regexp_replace(F.lower(F.regexp_extract(r["head"], "^https://([^/@]+)(/.*)?$", 1)), r"^www\.", "")
+        path = F.regexp_replace(F.regexp_extract(r["head"], "^https://[^/@]+(/.*)?$", 1), "/+$", "")
+        return once(F.struct(host.alias("host"), path.alias("path"), r["query"].alias("query")), whole)
+
     head, query = _rest(url, TRACKING)
-    host = F.regexp_replace(F.lower(F.regexp_extract(head, "^https://([^/@]+)(/.*)?$", 1)), r"^www\.", "")
-    path = F.regexp_replace(F.regexp_extract(head, "^https://[^/@]+(/.*)?$", 1), "/+$", "")
-    out = F.concat(F.lit("https://"), host, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when(host != "", out)
+    return once(F.struct(head.alias("head"), query.alias("query")), parts)
 
 
 def comparison_url(url: Column) -> Column:
