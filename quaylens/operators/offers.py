@@ -113,7 +113,8 @@ def profile(offers: DataFrame, by: list[str], fields: tuple[str, ...] = SPEC_FIE
     """For each group and field the value that most merchants state (then most observations, the longest, the first by name), and whether others disagree."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.trim(f).alias("value")) for f in fields]))
     # equal statements of a merchant are counted first, so that the text work runs once for each
-    said = offers.groupBy(*by, "merchant", *fields).agg(F.count("*").alias("_n"))
+    # all steps are within a group, so its rows are dealt out once
+    said = offers.select(*by, "merchant", *fields).repartition(*by).groupBy(*by, "merchant", *fields).agg(F.count("*").alias("_n"))
     rows = said.select(*by, "merchant", "_n", pairs.alias("p")).select(*by, "merchant", "_n", "p.field", "p.value").where("value is not null and value <> ''")
     rows = rows.withColumn("normal", F.regexp_replace(F.lower("value"), r"[^\p{L}\p{N}]+", "")).where("normal <> ''")
     voices = rows.groupBy(*by, "field", "normal", "merchant").agg(F.sum("_n").alias("_n"), F.max(F.struct(F.length("value").alias("n"), "value")).alias("_v"))
