@@ -167,15 +167,18 @@ class VariantLine:
 
     def fits(self, query: str, title: Column, address: Column) -> Column:
         """Whether an offer may answer a query: one that names a variant takes that variant's own page and title only."""
+        return self.fitting(query, self.page_variant(address), self.variant(title, address))
+
+    def fitting(self, query: str, page: Column, here: Column) -> Column:
+        """`fits`, of an offer's page variant and of the variant that title and address agree on."""
         asked = self.asked(query)
         if asked == "UNSUPPORTED":
             return F.lit(False)
-        here = self.variant(title, address)
         on_page = here.isNotNull() if asked is None else F.coalesce(here == asked, F.lit(False))
-        return F.when(self.page_variant(address).isNull(), F.lit(asked is None)).otherwise(on_page)
+        return F.when(page.isNull(), F.lit(asked is None)).otherwise(on_page)
 
     def parity(self, cards: DataFrame, pages: DataFrame, currency: str = "EUR") -> DataFrame:
-        """Adds parity to search cards (title, source_url, price, currency): whether the product's page, joined by source_url, says the same; else why not.
+        """Adds page_variant, variant and parity to search cards (title, source_url, price, currency): whether the product's page, joined by source_url, says the same; else why not.
 
         Of several pages of one address the least by its fields counts; a card without a page has a conflict of identity.
         """
@@ -183,14 +186,16 @@ class VariantLine:
         page = F.struct(F.col("title").alias("title"), F.col("price").alias("price"), F.col("currency").alias("currency"))
         told = pages.where("source_url is not null").groupBy(F.col("source_url").alias("_url")).agg(F.min(page).alias("_page"))
         rows = cards.join(told, F.col("source_url") == F.col("_url"), "left")
-        own, other = self.identity(F.col("title"), F.col("source_url")), self.identity(F.col("_page.title"), F.col("_url"))
+        # card and page have one address, so their identities are equal where their variants are; one step a projection, so that nothing is worked out twice
+        rows = rows.withColumns({"page_variant": self.page_variant(F.col("source_url")), "_title": self.title_variant(F.col("title")), "_told": self.title_variant(F.col("_page.title"))})
+        rows = rows.withColumn("variant", F.when(F.col("page_variant") == F.col("_title"), F.col("page_variant")))
         euros = F.coalesce((F.col("currency") == currency) & (F.col("_page.currency") == currency), F.lit(False))
         a, b = cents(F.col("price")), cents(F.col("_page.price"))
         reason = (
-            F.when(~F.coalesce(own == other, F.lit(False)), "VARIANT_IDENTITY_CONFLICT")
+            F.when(~F.coalesce(F.col("variant") == F.col("_told"), F.lit(False)), "VARIANT_IDENTITY_CONFLICT")
             .when(~euros, "CURRENCY_CONFLICT")
             .when(a.isNull() | b.isNull(), "PRICE_NOT_OBSERVED")
             .when(a != b, "SEARCH_PDP_PRICE_CONFLICT")
             .otherwise("PDP_PARITY_CONFIRMED")
         )
-        return rows.withColumn("parity", reason).drop("_url", "_page")
+        return rows.withColumn("parity", reason).drop("_url", "_page", "_title", "_told")

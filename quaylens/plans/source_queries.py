@@ -89,8 +89,7 @@ def variant_parity(spark: SparkSession, d: str) -> DataFrame:
     """Search cards of one model's variants against the products' own pages."""
     cards = offers(spark, d).selectExpr(*[f"{e} AS {n}" for n, e in _CARD.items()])
     pages = cards.selectExpr(*[f"{e} AS {n}" for n, e in _PAGE.items()])
-    where = (F.col("title"), F.col("source_url"))
-    told = _LINE.parity(cards, pages).withColumns({"variant": _LINE.variant(*where), "fits": _LINE.fits("superlux hd-662 f", *where)})
+    told = _LINE.parity(cards, pages).withColumn("fits", _LINE.fitting("superlux hd-662 f", F.col("page_variant"), F.col("variant")))
     return told.groupBy("variant", "fits", "parity").agg(F.count("*").alias("n"))
 
 
