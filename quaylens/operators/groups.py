@@ -175,8 +175,8 @@ def founders(identities: DataFrame) -> DataFrame:
 STATED = ("brand", "category", "condition", "title", "model_number", *CORE, *OTHER)
 
 
-def members(offers: DataFrame) -> DataFrame:
-    """The enriched offers with their group: `group` (the founding identity, and the offer where it is a group of its own) and `group_key`, the founder's variant key.
+def placed(offers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The enriched offers with their group in short (founder, founder_check, and `own`, the offer where it is a group of its own), and the founders with group_key, their variant keys.
 
     Offers that state the same are counted first, so the text work runs once for each statement, not for each offer.
     """
@@ -195,13 +195,27 @@ def members(offers: DataFrame) -> DataFrame:
     few = said.groupBy("id", "check").agg(F.any_value("identity").alias("identity"), F.sum("n").alias("n"), F.min("best").alias("best"))
     few = written(few.withColumns({"telling": telling_name(), "key": variant_key()}), work_folder(spark, "identities"))
     fit = (F.col("identity.number") != "") | F.col("telling")
-    found = founders(few.where(fit)).join(few.select(F.col("id").alias("founder"), F.col("check").alias("founder_check"), F.col("key").alias("group_key")), ["founder", "founder_check"])
+    names = few.select(F.col("id").alias("founder"), F.col("check").alias("founder_check"), F.col("key").alias("group_key"))
     # offers of identities that fit nothing are groups of their own
-    alone = few.where(~fit).select(F.col("id").alias("founder"), F.col("check").alias("founder_check"), "id", "check", F.lit(True).alias("alone"), F.col("key").alias("group_key"))
-    of = said.select("said", "said_check", "id", "check").join(found.unionByName(alone, allowMissingColumns=True), ["id", "check"]).drop("id", "check")
+    alone = few.where(~fit).select(F.col("id").alias("founder"), F.col("check").alias("founder_check"), "id", "check", F.lit(True).alias("alone"))
+    of = said.select("said", "said_check", "id", "check").join(founders(few.where(fit)).unionByName(alone), ["id", "check"]).drop("id", "check")
     joined = e.join(written(of, work_folder(spark, "groups-of")), ["said", "said_check"])
-    group = F.concat_ws("/", F.hex("founder"), F.hex("founder_check"), F.when(F.col("alone"), F.col("offer_id")))
-    return joined.withColumn("group", group).drop("said", "said_check", "founder", "founder_check")
+    return joined.withColumn("own", F.when(F.col("alone"), F.col("offer_id"))).drop("said", "said_check"), names
+
+
+#: a group in short
+GROUP = ("founder", "founder_check", "own")
+
+
+def named(grouped: DataFrame, names: DataFrame) -> DataFrame:
+    """`group` (the founding identity, and the offer where it is a group of its own) and `group_key`, the founder's variant key, for a group in short."""
+    group = F.concat_ws("/", F.hex("founder"), F.hex("founder_check"), "own")
+    return grouped.join(names, ["founder", "founder_check"]).withColumn("group", group).drop(*GROUP)
+
+
+def members(offers: DataFrame) -> DataFrame:
+    """The enriched offers with their `group` and `group_key`."""
+    return named(*placed(offers))
 
 
 def comparable(offers: DataFrame) -> DataFrame:
@@ -210,13 +224,16 @@ def comparable(offers: DataFrame) -> DataFrame:
     The value of an offer is its total where it is confirmed, else its price; savings are those of the best offer against the next
     one, where both have values of one kind and the next is dearer.
     """
-    m = members(offers)
+    m, names = placed(offers)
     total = (F.col("bucket") == "confirmed") & F.col("total_sar").isNotNull()
-    m = m.select("group", "group_key", "merchant", "delivery_days", "offer_id", "bucket", "total_sar", "product_price", "match_confidence", total.alias("by_total"), F.when(total, F.col("total_sar")).otherwise(F.col("product_price")).alias("value"))
-    counts = m.groupBy("group", "group_key").agg(F.count("*").alias("offers"), F.countDistinct("merchant").alias("merchants"), F.min("delivery_days").alias("fastest_days"))
-    first = m.withColumn("rn", F.row_number().over(Window.partitionBy("group").orderBy(*rank_order("lowest")))).where("rn <= 2")
+    # offers go by their group in short; names come to the groups, not to the offers
+    m = m.select(*GROUP, "merchant", "delivery_days", "offer_id", "bucket", "total_sar", "product_price", "match_confidence", total.alias("by_total"), F.when(total, F.col("total_sar")).otherwise(F.col("product_price")).alias("value"))
+    counts = m.groupBy(*GROUP, "merchant").agg(F.count("*").alias("_n"), F.min("delivery_days").alias("_days")).groupBy(*GROUP).agg(F.sum("_n").alias("offers"), F.count("merchant").alias("merchants"), F.min("_days").alias("fastest_days"))
+    first = m.withColumn("rn", F.row_number().over(Window.partitionBy(*GROUP).orderBy(*rank_order("lowest")))).where("rn <= 2")
     at = lambda rn, c: F.max(F.when(F.col("rn") == rn, F.col(c)))
-    best = first.groupBy("group").agg(at(1, "offer_id").alias("best_offer"), at(1, "by_total").alias("_t1"), at(2, "by_total").alias("_t2"), at(1, "value").alias("best_value"), at(2, "value").alias("_next"))
+    best = first.groupBy(*GROUP).agg(at(1, "offer_id").alias("best_offer"), at(1, "by_total").alias("_t1"), at(2, "by_total").alias("_t2"), at(1, "value").alias("best_value"), at(2, "value").alias("_next"))
+    best = best.select(*[F.col(c).alias(f"_{c}") for c in GROUP], "best_offer", "_t1", "_t2", "best_value", "_next")
+    same = (F.col("founder") == F.col("_founder")) & (F.col("founder_check") == F.col("_founder_check")) & F.col("own").eqNullSafe(F.col("_own"))
     saved = F.when(F.col("_t1").eqNullSafe(F.coalesce("_t2", F.lit(False))) & (F.col("_next") > F.col("best_value")), F.col("_next") - F.col("best_value"))
-    out = counts.join(best, "group").withColumns({"price_basis": F.when(F.col("_t1"), "comparable_total").otherwise("advertised_price"), "savings_to_next": saved})
+    out = named(counts.join(best, same).drop(*[f"_{c}" for c in GROUP]), names).withColumns({"price_basis": F.when(F.col("_t1"), "comparable_total").otherwise("advertised_price"), "savings_to_next": saved})
     return out.select("group", "group_key", "offers", "merchants", "best_offer", "price_basis", "best_value", "savings_to_next", "fastest_days")
