@@ -35,7 +35,8 @@ def parse_money(text: Column) -> Column:
     grouped = raw.rlike(r"^[-+]?\d{1,3}(,\d{3})+$") | raw.rlike(r"^[-+]?\d{1,3}(\.\d{3})+$")
     number = F.when(grouped, F.translate(raw, ",.", "")).otherwise(F.replace(F.replace(raw, other, F.lit("")), mark, F.lit(".")))
     amount = F.when(mark == "", raw).otherwise(number).try_cast("double")
-    return F.when(~said.isin(*NO_PRICE) & raw.rlike("[0-9]") & (amount >= 0), amount)
+    # a plain number, as most are, needs none of this
+    return F.when(text.rlike(r"^\d+(\.\d{1,2})?$"), text.try_cast("double")).when(~said.isin(*NO_PRICE) & raw.rlike("[0-9]") & (amount >= 0), amount)
 
 
 def strict_price(text: Column) -> Column:

@@ -87,7 +87,9 @@ STOCK_WORDS = (
 def _said(text: Column, table: tuple[tuple[str, str], ...]) -> Column:
     """The first state of the table whose words a text has; unknown if none."""
     spaced = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[_-]+", " "))
-    return F.coalesce(*[F.when(spaced.rlike(rf"(?<![a-z0-9_])({words})(?![a-z0-9_])"), F.lit(state)) for state, words in table], F.lit("unknown"))
+    # states in their own name, as most come, need no search
+    plain = F.lower(F.trim(text))
+    return F.coalesce(F.when(text.isNull(), "unknown"), *[F.when(plain == state.replace("_", " "), F.lit(state)) for state, _ in table if state not in ("unknown", "preorder")], *[F.when(spaced.rlike(rf"(?<![a-z0-9_])({words})(?![a-z0-9_])"), F.lit(state)) for state, words in table], F.lit("unknown"))
 
 
 def normalize_condition(text: Column) -> Column:

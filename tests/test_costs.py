@@ -29,3 +29,34 @@ def test_words_are_compared_once_a_pair(spark, data):  # noqa: ANN001
 
 def test_a_summary_gathers_no_fields(spark, data):  # noqa: ANN001
     assert "collect_set" not in plan(spark, data, "q_conflict_summary")
+
+
+def test_an_address_is_taken_apart_once(spark, data):  # noqa: ANN001
+    text = plan(spark, data, "q_identity_key")
+    assert text.count("(?i)^(utm_") == 1 and text.count("^www") == 1
+
+
+def test_a_profile_is_dealt_out_once(spark, data):  # noqa: ANN001
+    text = plans.QUERIES["q_canonical_profile"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning(product_id") == 1 == text.count("Exchange hashpartitioning")
+
+
+def test_variants_are_compared_without_hashes(spark, data):  # noqa: ANN001
+    assert "sha2" not in plan(spark, data, "q_variant_parity")
+
+
+def test_groups_are_named_last(spark, data):  # noqa: ANN001
+    assert plan(spark, data, "q_comparable_groups").count("hex(") == 2
+
+
+def test_plain_prices_and_states_need_no_search(spark):  # noqa: ANN001
+    from pyspark.sql import functions as F
+
+    from quaylens.functions.money import parse_money
+    from quaylens.functions.text import normalize_availability
+
+    rows = spark.createDataFrame([("12",), ("12.5",), ("1.234",), ("In Stock",), (None,)], "v string")
+    got = rows.select(parse_money(F.col("v")).alias("m"), normalize_availability(F.col("v")).alias("s"))
+    assert [tuple(r) for r in got.collect()] == [(12.0, "unknown"), (12.5, "unknown"), (1234.0, "unknown"), (None, "in_stock"), (None, "unknown")]
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert r"^\d+(\.\d{1,2})?$" in text and "= in stock" in text
