@@ -155,11 +155,14 @@ def source_constructor(spark: SparkSession, d: str) -> DataFrame:
 _SOLD_SQL = "WITH k AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), v AS (SELECT p_partkey, p_name, p_brand, floor(p_retailprice) AS price, s_name, s_suppkey FROM k JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey)"
 
 
-def _sold(spark: SparkSession, d: str, item: str, wrap: str) -> DataFrame:
-    """Payloads in which each supplier offers the parts of its line items, in pages."""
+def _sold(spark: SparkSession, d: str, item: str, wrap: str, **made_first: str) -> DataFrame:
+    """Payloads in which each supplier offers the parts of its line items, in pages; made_first: columns that an item or a later one uses more than once."""
     sold = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
     made = sold.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    pages = made.groupBy(F.col("s_name").alias("source_id"), F.pmod(F.xxhash64("p_partkey"), F.lit(64)).alias("page")).agg(F.array_sort(F.collect_list(F.expr(item))).alias("l"))
+    for name, e in {**made_first, "page": "pmod(xxhash64(p_partkey), 64L)"}.items():
+        made = made.withColumn(name, F.expr(e))
+    # many groups are gathered by sorting: a hash in front, and their names are hardly compared
+    pages = made.groupBy(F.xxhash64("s_name", "page").alias("_hash"), F.col("s_name").alias("source_id"), "page").agg(F.array_sort(F.collect_list(F.expr(item))).alias("l"))
     return pages.select("source_id", F.expr(wrap).alias("payload"))
 
 

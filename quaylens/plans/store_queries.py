@@ -159,13 +159,15 @@ def quote_fold(spark: SparkSession, d: str) -> DataFrame:
 @query("q_source_nested_cards", f"{_SOLD_SQL}, x AS (SELECT *, unnest(CASE WHEN p_partkey % 4 = 0 THEN [1, 2] ELSE [1] END) AS o FROM v) SELECT s_name AS source_id, concat_ws('|', p_partkey, o, s_name, concat(CAST(price AS BIGINT), '.00')) AS listing_id, p_name AS title, price, CASE WHEN p_partkey % 3 = 0 THEN 'out_of_stock' ELSE 'in_stock' END AS availability FROM x")
 def source_nested_cards(spark: SparkSession, d: str) -> DataFrame:
     """Cards in the payload's list, in a slot of a widget, and in rows of a grid; some twice, some with the price in a part, some without a product."""
-    own = "'productId', cast(p_partkey as string), 'offerId', '{0}', 'shopName', s_name, 'productName', p_name, 'sellingPrice', case when p_partkey % 2 = 0 then floor(p_retailprice) end, 'stock', named_struct('stockLevelStatus', case when p_partkey % 3 = 0 then 'outOfStock' else 'lowStock' end)"
+    own = "'productId', cast(p_partkey as string), 'offerId', '1', 'shopName', s_name, 'productName', p_name, 'sellingPrice', case when p_partkey % 2 = 0 then floor(p_retailprice) end, 'stock', named_struct('stockLevelStatus', case when p_partkey % 3 = 0 then 'outOfStock' else 'lowStock' end)"
     parts = "array(named_struct('componentDTO', named_struct('priceDTO', named_struct('finalPrice', floor(p_retailprice)))))"
     card = f"to_json(named_struct('uid', 'master-product-card', 'componentDTO', named_struct('additionalAttributes', named_struct({own}), 'productCardComponents', {parts})))"
     banner = """'{"uid":"banner","componentDTO":{"additionalAttributes":{"productName":"x"}}}'"""
-    cards = f"concat_ws(',', {card.format(1)}, {banner}, case when p_partkey % 4 = 0 then {card.format(2)} else {card.format(1)} end)"
-    item = f"case p_partkey % 3 when 0 then {cards} when 1 then concat('{{\"widget\":{{\"slot\":[', {cards}, ']}}}}') else concat('{{\"grid\":[{{\"row\":[[', {cards}, ']]}}]}}') end"
-    return nested.product_cards(_sold(spark, d, item, "concat('{\"rows\":[', array_join(l, ','), ']}')")).select("source_id", "listing_id", "title", "price", "availability")
+    # a card is made once; quotes within its texts are escaped, so the other offer differs there only
+    cards = f"""concat_ws(',', card, {banner}, case when p_partkey % 4 = 0 then replace(card, '"offerId":"1"', '"offerId":"2"') else card end)"""
+    item = """case p_partkey % 3 when 0 then cards when 1 then concat('{"widget":{"slot":[', cards, ']}}') else concat('{"grid":[{"row":[[', cards, ']]}]}') end"""
+    sold = _sold(spark, d, item, "concat('{\"rows\":[', array_join(l, ','), ']}')", card=card, cards=cards)
+    return nested.product_cards(sold).select("source_id", "listing_id", "title", "price", "availability")
 
 
 # audits by round, source and kind

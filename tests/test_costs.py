@@ -60,3 +60,8 @@ def test_plain_prices_and_states_need_no_search(spark):  # noqa: ANN001
     assert [tuple(r) for r in got.collect()] == [(12.0, "unknown"), (12.5, "unknown"), (1234.0, "unknown"), (None, "in_stock"), (None, "unknown")]
     text = got._jdf.queryExecution().optimizedPlan().toString()
     assert r"^\d+(\.\d{1,2})?$" in text and "= in stock" in text
+
+
+def test_cards_are_made_and_read_once(spark, data):  # noqa: ANN001
+    text = plan(spark, data, "q_source_nested_cards")
+    assert text.count("master-product-card") == 1 == text.count("MapInArrow") and "variant" not in text.lower()

@@ -41,3 +41,10 @@ def test_values_by_name(spark):  # noqa: ANN001
     df = payloads(spark, {"Price": 5, "a": [{"price": "6"}, {"b": {"c": [[{"PRICE": 7, "other": 1}]]}}], "price": {"price": 9}})
     got = sorted((r.key, r.value or "") for r in nested.values_named(df, ["price"]).collect())
     assert [k for k, _ in got] == ["PRICE", "Price", "price", "price"] and {"5", "6", "7"} <= {v for _, v in got}
+
+
+def test_what_a_payload_repeats_leaves_it_once():
+    rows = [card("a"), {"x": [card("a"), {"y": card("b", stock={"value": True}, productUrl=["u"])}]}, {"uid": nested.CARD, "componentDTO": {"additionalAttributes": None, "z": card("within")}}]
+    found = list(nested.card_fields(json.dumps({"z": rows, "a": card("last")})))
+    assert [f[0] for f in found] == ["a", "b", None, "last"] and found[1][6] == '["u"]' and found[1][8] == "1"
+    assert found[0][9] == ("0", "7.5") and list(nested.card_fields('{"a": NaN}')) == list(nested.card_fields(None)) == []
