@@ -74,3 +74,35 @@ def test_offers_of_the_asked_kind(spark):  # noqa: ANN001
     kept = {r.title for r in of_asked_kind(rows, "ps5").collect()}
     assert kept == {c[0] for c in CASES if c[3] == "console" and "Nintendo" not in c[0]}
     assert of_asked_kind(rows, "red widget").count() == len(CASES)
+
+
+def test_what_a_pattern_needs_stands_in_all_that_it_matches(spark):  # noqa: ANN001
+    import itertools
+    import re._parser as parser
+
+    from quaylens.operators import described as ds
+
+    def said(items):  # noqa: ANN001, ANN202
+        """Texts that a pattern matches: every branch, options and repeats at their fewest, a class by its first member."""
+        out = [""]
+        for op, arg in items:
+            name, more = str(op), [""]
+            if name == "LITERAL":
+                more = [chr(arg)]
+            elif name == "BRANCH":
+                more = [t for b in arg[1] for t in said(b)]
+            elif name == "SUBPATTERN":
+                more = said(arg[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                more = said(arg[2]) if arg[0] else [""]
+            elif name == "IN":
+                first = arg[0]
+                more = [chr(first[1])] if str(first[0]) == "LITERAL" else [" " if "SPACE" in str(first[1]) else "1" if "DIGIT" in str(first[1]) else "a"]
+            out = [a + b for a, b in itertools.product(out, more)]
+        return out
+
+    for pattern, words in ds.NEEDS.items():
+        assert all(any(w in t for w in words) for t in said(parser.parse(pattern))), pattern
+    # and a title's projections aren't one method
+    plan = describe(frame(spark, CASES))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bundle\\b),") <= 1 and "exists(" in plan
