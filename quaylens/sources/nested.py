@@ -108,9 +108,8 @@ def card_fields(payload: str | None) -> Iterable[tuple]:
 _FOUND = ", ".join(f"{n} string" for n in (*_SAID, "status", "amount")) + ", prices array<string>, place int"
 
 
-def _cards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The cards of batches of payloads: source_id and what is found. Trees of JSON have no cycles, and to look for them took half of the time."""
-    gc.disable()
+def _found_cards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cards of batches of payloads: source_id and what is found."""
     kinds = [pa.string()] * (len(_SAID) + 2) + [pa.list_(pa.string())]
     for batch in batches:
         owner, places, rows = [], [], []
@@ -124,6 +123,15 @@ def _cards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("source_id").take(pa.array(owner, pa.int32())), *said, pa.array(places, pa.int32())], names=["source_id", *_SAID, "status", "amount", "prices", "place"])
 
 
+def _cards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trees of JSON have no cycles, and to look for them takes a third of the time; the worker's next task may have some."""
+    gc.disable()
+    try:
+        yield from _found_cards(batches)
+    finally:
+        gc.enable()
+
+
 def product_cards(payloads: DataFrame) -> DataFrame:
     """Offers from the product cards of search payloads (source_id, payload): source_id, listing_id, title, price, list_price, availability, seller, url.
 
