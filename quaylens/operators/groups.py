@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quaylens.functions.text import joined_units, models, plain_text, screen_size
 from quaylens.operators.offers import enrich, rank_order
 from quaylens.schema import BUCKETS
-from quaylens.sources.storage import work_folder, written
+from quaylens.sources.storage import small, work_folder, written
 
 #: Categories whose name must have a digit to tell one product.
 NUMBERED = ("laptop", "printer", "desktop", "monitor", "tv", "tablet", "camera", "watch")
@@ -171,12 +171,29 @@ def founders(identities: DataFrame) -> DataFrame:
     return single.unionByName(ordered.drop("best", "key").mapInPandas(run, "id long, check long, founder long, founder_check long, alone boolean"))
 
 
+def with_best(identities: DataFrame, said: DataFrame, enriched: DataFrame) -> DataFrame:
+    """Adds `best`, the place of an identity's first offer, where the rule's order needs it: where variant keys are equal (form, edition and bundle aren't in them). It is null elsewhere.
+
+    identities: id, check, identity, key. said: said, said_check, id, check. enriched: the offers, with said and said_check.
+    """
+    spark = identities.sparkSession
+    keyed = identities.select("id", "check", F.xxhash64("identity.brand", "identity.category", "identity.condition", "key").alias("_key"))
+    shared = written(keyed.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key"), work_folder(spark, "shared-keys"))
+    place = F.coalesce(*[F.when(F.col("bucket") == b, F.lit(i)) for i, b in enumerate(BUCKETS)])
+    order = F.struct(place, F.coalesce("total_sar", F.lit(float("inf"))), F.coalesce("product_price", F.lit(float("inf"))), -F.coalesce("match_confidence", F.lit(0.0)), "offer_id")
+    if shared.isEmpty():
+        return identities.withColumn("best", F.lit(None))
+    tied = written(said.select("said", "said_check", "id", "check").join(keyed.join(small(shared), "_key", "left_semi").drop("_key"), ["id", "check"]), work_folder(spark, "tied"))
+    best = enriched.join(small(tied), ["said", "said_check"]).groupBy("id", "check").agg(F.min(order).alias("best"))
+    return identities.join(written(best, work_folder(spark, "best")), ["id", "check"], "left")
+
+
 #: columns that `identity` reads, where they are
 STATED = ("brand", "category", "condition", "title", "model_number", *CORE, *OTHER)
 
 
-def placed(offers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The enriched offers with their group in short (founder, founder_check, and `own`, the offer where it is a group of its own), and the founders with group_key, their variant keys.
+def placed(offers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The enriched offers with a mark of what they state (said, said_check); the number of each statement's group (said, said_check, g), in one table, and in another for statements whose offers are a group of their own each; the groups' founders (g, founder, founder_check) with group_key, their variant keys.
 
     Offers that state the same are counted first, so the text work runs once for each statement, not for each offer.
     """
@@ -185,37 +202,45 @@ def placed(offers: DataFrame) -> tuple[DataFrame, DataFrame]:
     if "extra_specs" in offers.columns:
         stated.append(F.array_sort(F.map_entries("extra_specs")).alias("extra_specs"))
     e = enrich(offers).withColumns({"said": F.xxhash64(*stated), "said_check": F.xxhash64(F.lit("said"), *stated)})
-    place = F.coalesce(*[F.when(F.col("bucket") == b, F.lit(i)) for i, b in enumerate(BUCKETS)])
-    order = F.struct(place, F.coalesce("total_sar", F.lit(float("inf"))), F.coalesce("product_price", F.lit(float("inf"))), -F.coalesce("match_confidence", F.lit(0.0)), "offer_id")
-    said = e.groupBy("said", "said_check").agg(F.any_value(F.struct(*stated)).alias("s"), F.count("*").alias("n"), F.min(order).alias("best")).select("s.*", "said", "said_check", "n", "best")
+    said = e.groupBy("said", "said_check").agg(F.any_value(F.struct(*stated)).alias("s"), F.count("*").alias("n")).select("s.*", "said", "said_check", "n")
     if "extra_specs" in offers.columns:
         said = said.withColumn("extra_specs", F.map_from_entries("extra_specs"))
-    said = identity(said).select("said", "said_check", "n", "best", "identity", F.xxhash64("identity").alias("id"), F.xxhash64(F.lit("identity"), "identity").alias("check"))
+    said = identity(said).select("said", "said_check", "n", "identity", F.xxhash64("identity").alias("id"), F.xxhash64(F.lit("identity"), "identity").alias("check"))
     said = written(said, work_folder(spark, "statements"))
-    few = said.groupBy("id", "check").agg(F.any_value("identity").alias("identity"), F.sum("n").alias("n"), F.min("best").alias("best"))
-    few = written(few.withColumns({"telling": telling_name(), "key": variant_key()}), work_folder(spark, "identities"))
+    few = said.groupBy("id", "check").agg(F.any_value("identity").alias("identity"), F.sum("n").alias("n"))
+    few = written(few.withColumns({"telling": telling_name(), "key": variant_key(), "g": F.monotonically_increasing_id()}), work_folder(spark, "identities"))
+    names = few.select("g", F.col("id").alias("founder"), F.col("check").alias("founder_check"), F.col("key").alias("group_key"))
+    few = with_best(few, said, e)
     fit = (F.col("identity.number") != "") | F.col("telling")
-    names = few.select(F.col("id").alias("founder"), F.col("check").alias("founder_check"), F.col("key").alias("group_key"))
     # offers of identities that fit nothing are groups of their own
     alone = few.where(~fit).select(F.col("id").alias("founder"), F.col("check").alias("founder_check"), "id", "check", F.lit(True).alias("alone"))
-    of = said.select("said", "said_check", "id", "check").join(founders(few.where(fit)).unionByName(alone), ["id", "check"]).drop("id", "check")
-    joined = e.join(written(of, work_folder(spark, "groups-of")), ["said", "said_check"])
-    return joined.withColumn("own", F.when(F.col("alone"), F.col("offer_id"))).drop("said", "said_check"), names
+    of = founders(few.where(fit)).unionByName(alone).join(names.drop("group_key"), ["founder", "founder_check"]).drop("founder", "founder_check")
+    of = said.select("said", "said_check", "id", "check").join(of, ["id", "check"]).drop("id", "check")
+    of = written(of, work_folder(spark, "groups-of"))
+    several, single = (written(of.where(F.col("alone") == alone).drop("alone"), work_folder(spark, f"groups-of-{name}")) for name, alone in (("several", False), ("single", True)))
+    return e, several, single, names
 
 
-#: a group in short
-GROUP = ("founder", "founder_check", "own")
+#: a group in short: its founder's number, and a slash and the offer where that is a group of its own
+GROUP = ("g", "own")
 
 
 def named(grouped: DataFrame, names: DataFrame) -> DataFrame:
     """`group` (the founding identity, and the offer where it is a group of its own) and `group_key`, the founder's variant key, for a group in short."""
-    group = F.concat_ws("/", F.hex("founder"), F.hex("founder_check"), "own")
-    return grouped.join(names, ["founder", "founder_check"]).withColumn("group", group).drop(*GROUP)
+    group = F.concat(F.hex("founder"), F.lit("/"), F.hex("founder_check"), "own")
+    return grouped.join(small(names), "g").withColumn("group", group).drop("founder", "founder_check", *GROUP)
+
+
+def grouped_offers(enriched: DataFrame, of: DataFrame, alone: bool) -> DataFrame:
+    """The offers of these statements with their group in short. Offers stay where they are if there are few statements."""
+    own = F.coalesce(F.concat(F.lit("/"), "offer_id"), F.lit("")) if alone else F.lit("")
+    return enriched.join(small(of), ["said", "said_check"]).withColumn("own", own).drop("said", "said_check")
 
 
 def members(offers: DataFrame) -> DataFrame:
     """The enriched offers with their `group` and `group_key`."""
-    return named(*placed(offers))
+    e, several, single, names = placed(offers)
+    return named(grouped_offers(e, several, False).unionByName(grouped_offers(e, single, True)), names)
 
 
 def comparable(offers: DataFrame) -> DataFrame:
@@ -224,16 +249,27 @@ def comparable(offers: DataFrame) -> DataFrame:
     The value of an offer is its total where it is confirmed, else its price; savings are those of the best offer against the next
     one, where both have values of one kind and the next is dearer.
     """
-    m, names = placed(offers)
-    total = (F.col("bucket") == "confirmed") & F.col("total_sar").isNotNull()
-    # offers go by their group in short; names come to the groups, not to the offers
-    m = m.select(*GROUP, "merchant", "delivery_days", "offer_id", "bucket", "total_sar", "product_price", "match_confidence", total.alias("by_total"), F.when(total, F.col("total_sar")).otherwise(F.col("product_price")).alias("value"))
-    counts = m.groupBy(*GROUP, "merchant").agg(F.count("*").alias("_n"), F.min("delivery_days").alias("_days")).groupBy(*GROUP).agg(F.sum("_n").alias("offers"), F.count("merchant").alias("merchants"), F.min("_days").alias("fastest_days"))
-    first = m.withColumn("rn", F.row_number().over(Window.partitionBy(*GROUP).orderBy(*rank_order("lowest")))).where("rn <= 2")
-    at = lambda rn, c: F.max(F.when(F.col("rn") == rn, F.col(c)))
-    best = first.groupBy(*GROUP).agg(at(1, "offer_id").alias("best_offer"), at(1, "by_total").alias("_t1"), at(2, "by_total").alias("_t2"), at(1, "value").alias("best_value"), at(2, "value").alias("_next"))
-    best = best.select(*[F.col(c).alias(f"_{c}") for c in GROUP], "best_offer", "_t1", "_t2", "best_value", "_next")
-    same = (F.col("founder") == F.col("_founder")) & (F.col("founder_check") == F.col("_founder_check")) & F.col("own").eqNullSafe(F.col("_own"))
+    spark = offers.sparkSession
+    e, several, single, names = placed(offers)
+    several, single = grouped_offers(e, several, False), grouped_offers(e, single, True)
+    by_total = (F.col("bucket") == "confirmed") & F.col("total_sar").isNotNull()
+    value = F.when(by_total, F.col("total_sar")).otherwise(F.col("product_price"))
+    at = lambda rn, c: F.max(F.when(F.col("rn") == rn, c))
+    best = [at(1, F.col("offer_id")).alias("best_offer"), at(1, by_total).alias("_t1"), at(2, by_total).alias("_t2"), at(1, value).alias("best_value"), at(2, value).alias("_next")]
+    ranked = F.row_number().over(Window.partitionBy(*GROUP).orderBy(*rank_order("lowest"))).alias("rn")
+    ranks = ["offer_id", "bucket", "total_sar", "product_price", "match_confidence"]
+
+    # groups of any size: the counts need few columns of an offer, and have a pass of their own
+    counts = several.groupBy("g", "merchant").agg(F.count("*").alias("_n"), F.min("delivery_days").alias("_days")).groupBy("g").agg(F.sum("_n").alias("offers"), F.count("merchant").alias("merchants"), F.min("_days").alias("fastest_days"))
+    counts = written(counts, work_folder(spark, "group-counts"))
+    first = several.select(*GROUP, *ranks, ranked).where("rn <= 2").groupBy(*GROUP).agg(*best)
+    large = first.join(small(counts), "g")
+    # groups of one offer, and of those that share its id, are gathered once
+    seller = F.dense_rank().over(Window.partitionBy(*GROUP).orderBy(F.col("merchant").asc_nulls_last())).alias("seller")
+    sellers = F.coalesce(F.max(F.when(F.col("merchant").isNotNull(), F.col("seller"))), F.lit(0)).cast("long")
+    single = single.select(*GROUP, *ranks, "merchant", "delivery_days", ranked, seller)
+    single = single.groupBy(*GROUP).agg(*best, F.count("*").alias("offers"), sellers.alias("merchants"), F.min("delivery_days").alias("fastest_days"))
+    found = written(large.unionByName(single), work_folder(spark, "groups-found"))
     saved = F.when(F.col("_t1").eqNullSafe(F.coalesce("_t2", F.lit(False))) & (F.col("_next") > F.col("best_value")), F.col("_next") - F.col("best_value"))
-    out = named(counts.join(best, same).drop(*[f"_{c}" for c in GROUP]), names).withColumns({"price_basis": F.when(F.col("_t1"), "comparable_total").otherwise("advertised_price"), "savings_to_next": saved})
+    out = named(found, names).withColumns({"price_basis": F.when(F.col("_t1"), "comparable_total").otherwise("advertised_price"), "savings_to_next": saved})
     return out.select("group", "group_key", "offers", "merchants", "best_offer", "price_basis", "best_value", "savings_to_next", "fastest_days")

@@ -65,3 +65,23 @@ def test_plain_prices_and_states_need_no_search(spark):  # noqa: ANN001
 def test_cards_are_made_and_read_once(spark, data):  # noqa: ANN001
     text = plan(spark, data, "q_source_nested_cards")
     assert text.count("master-product-card") == 1 == text.count("MapInArrow") and "variant" not in text.lower()
+
+
+def test_groups_are_read_from_their_table(spark, data):  # noqa: ANN001
+    # counting and then writing them doesn't go over the offers again
+    text = plan(spark, data, "q_comparable_groups")
+    assert "l_orderkey" not in text and text.count("Join Inner") == 1
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark, tmp_path):  # noqa: ANN001
+    import time
+
+    from quaylens.sources.storage import written
+
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",").count("shuffle_")
+    before = files()
+    table = written(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), f"{tmp_path}/t")
+    until = time.time() + 10
+    while files() > before and time.time() < until:
+        time.sleep(0.2)
+    assert files() <= before and len(table.collect()) == 7

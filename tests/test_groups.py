@@ -139,5 +139,24 @@ def test_components_of_a_long_chain(spark):  # noqa: ANN001
     assert {got[i] for i in range(300)} == {0} and got[1001] == 1000 and 2000 not in got
 
 
+def test_offers_of_one_id_that_fit_nothing_are_one_group(spark):  # noqa: ANN001
+    laptop = {"category": "laptop", "title": "HP Pavilion Laptop", "offer_id": "same"}
+    rows = [offer(0, **laptop, delivery_days=5), offer(1, **laptop | {"merchant": None, "product_price": 900.0}), offer(2, **laptop, delivery_days=2), offer(3, **laptop | {"merchant": "B", "offer_id": None}), offer(4, **laptop | {"offer_id": None})]
+    got = sorted(groups.comparable(table(spark, rows)).collect(), key=lambda g: -g.offers)
+    assert [(g.offers, g.merchants, g.best_offer, g.best_value, g.savings_to_next, g.fastest_days) for g in got] == [(3, 1, "same", 900.0, 100.0, 2), (2, 2, None, 1000.0, None, None)]
+    assert got[0].group.endswith("/same") and got[1].group.count("/") == 1
+
+
+def test_the_first_offer_is_looked_up_only_where_keys_are_equal(spark):  # noqa: ANN001
+    def best(*rows):  # noqa: ANN002, ANN202
+        e = groups.enrich(groups.identity(table(spark, [offer(i, **r) for i, r in enumerate(rows)]))).selectExpr("*", "xxhash64(identity) AS id", "0L AS check")
+        said = e.selectExpr("id AS said", "check AS said_check", "id", "check").distinct()
+        few = e.groupBy("id", "check").agg(groups.F.any_value("identity").alias("identity")).withColumn("key", groups.variant_key())
+        return sorted((r.best is not None) and r.best.offer_id for r in groups.with_best(few, said, e.withColumnsRenamed({"id": "said", "check": "said_check"})).collect())
+
+    assert best({"title": "Thing 1"}, {"title": "Thing 2"}) == [False, False]
+    assert best({"form": "slim"}, {"form": "wide"}, {"form": "slim", "product_price": 5.0}) == ["o00001", "o00002"]
+
+
 def test_no_offers(spark):  # noqa: ANN001
     assert groups.comparable(table(spark, [])).count() == 0
